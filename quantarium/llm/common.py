@@ -33,7 +33,7 @@ def _forget(spark: SparkSession, path: str) -> None:
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     This cuts the lineage and keeps a lost executor from recomputing the rows. The files go when the driver's
@@ -41,7 +41,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/llm-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     atexit.register(_forget, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -51,5 +51,12 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def new_dir(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, which goes when the driver's Python ends."""
+    path = f"{shared_dir(spark)}/llm-{name}-{uuid.uuid4().hex}"
+    atexit.register(_forget, spark, path)
+    return path
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, quality, simhash, winnow
+from . import bpe, chat, huffman, packing, quality, simhash, winnow
+from .common import new_dir, stored
 from .tokens import vocabulary_path
 
 
@@ -31,8 +32,30 @@ def op5_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.fingerprint_edits(_table(spark, sf_dir, "documents"))
 
 
+def op8_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = new_dir(spark, "tokens")
+    huffman.write_tokens(_table(spark, sf_dir, "documents"), out, vocabulary_path(), end_id=2)
+    return huffman.read_tokens(spark, out, with_ids=False).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), vocabulary_path(), width=1024, end_id=0, with_ids=False).drop("ids")
+
+
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = r"\### Assistant: </turn> ok"
+    kinds = dict(turns.dtypes)
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, role string, text string")
+    read = chat.read_chat(stored(chat.format_chat(turns.unionByName(extra)), "chat"))
+    per_turn = F.zip_with("roles", "texts", lambda r, t: F.concat(r, F.lit("\n"), t, F.lit("\n")))
+    loss = F.array_join("trained", "")
+    digest = lambda text: F.sha2(text.cast("binary"), 256)
+    return read.select("conv_id", F.size("roles").cast("long").alias("n_turns"), digest(F.array_join(per_turn, "")).alias("turns_sha256"), F.length(loss).cast("long").alias("loss_chars"), digest(loss).alias("loss_sha256"), "formatted_chars")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op2_bpe, op3_quality, op5_winnow)}
+    return {f.__name__: f for f in (op1_simhash, op2_bpe, op3_quality, op5_winnow, op8_huffman, op9_packing, op10_chat)}
 
 
 def oracle_sql() -> dict[str, str]:
