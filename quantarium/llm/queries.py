@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, huffman, packing, quality, simhash, winnow
+from . import bpe, chat, huffman, packing, pages, pii, quality, simhash, winnow
 from .common import new_dir, stored
 from .tokens import vocabulary_path
 
@@ -28,10 +28,18 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(_table(spark, sf_dir, "documents"), with_text=False).drop("redacted")
+
+
 def op5_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.fingerprint_edits(_table(spark, sf_dir, "documents"))
 
 
+def op7_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.main_text(_table(spark, sf_dir, "pages"))
+
+
 def op8_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = new_dir(spark, "tokens")
     huffman.write_tokens(_table(spark, sf_dir, "documents"), out, vocabulary_path(), end_id=2)
@@ -55,7 +63,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op2_bpe, op3_quality, op5_winnow, op8_huffman, op9_packing, op10_chat)}
+    return {f.__name__: f for f in (op1_simhash, op2_bpe, op3_quality, op4_pii, op5_winnow, op7_pages, op8_huffman, op9_packing, op10_chat)}
 
 
 def oracle_sql() -> dict[str, str]:
