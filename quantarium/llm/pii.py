@@ -17,8 +17,7 @@ from functools import lru_cache, partial
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-
-from .common import texts
+from pyspark.sql import functions as F
 
 #: Fixed: kinds in the order in which spans with one start are listed; the first four have base rules.
 KINDS = ("email", "ip", "card", "phone", "secret", "iban")
@@ -271,25 +270,30 @@ def redact(text: str, spans) -> str:
     return "".join(out) + text[at:] if spans else text
 
 
-def _span_batches(batches, model, with_text):
+def _span_batches(batches, model, with_text, keep):
     for b in batches:
         cols = [[] for _ in range(7)]
-        all_texts = b.column("text").to_pylist()
-        for t in all_texts:
+        for t in b.column("_text").to_pylist():
             base, spans = find_spans(t, model)
             counts = [sum(k == kind for _, k, _ in base) for kind in range(4)]
             for c, v in zip(cols, (*counts, hashlib.sha256(span_text(base).encode()).hexdigest(), span_text(spans), redact(t, spans) if with_text else None)):
                 c.append(v)
         types = [pa.int64()] * 4 + [pa.string()] * 3
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, t) for c, t in zip(cols, types))], ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "redacted"])
+        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *(pa.array(c, t) for c, t in zip(cols, types))], [*keep, *OWN])
+
+
+#: Fixed: the columns this adds.
+OWN = ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "redacted")
 
 
-def personal_data(docs: DataFrame, with_text: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, counts of the base kinds, base_sha256, spans (``kind:start:end`` by start, comma-joined, in code
-    points, end exclusive) and redacted (the text with spans replaced; null without ``with_text``).
+def personal_data(docs: DataFrame, with_text: bool = True, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
+    """Per row: the columns in ``keep``, counts of the base kinds, base_sha256, spans (``kind:start:end`` by start,
+    comma-joined, in code points, end exclusive) and redacted (the text with spans replaced; null without ``with_text``).
 
     A null text is empty and has no spans; rows that repeat, and null ids, each keep their row; an empty table gives
     an empty one.
     """
-    schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, redacted string"
-    return texts(docs, id_col, text_col).mapInArrow(partial(_span_batches, model=train(), with_text=with_text), schema)
+    chosen = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    own = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, redacted string"
+    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), own])
+    return chosen.mapInArrow(partial(_span_batches, model=train(), with_text=with_text, keep=list(keep)), schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, huffman, packing, pages, pii, quality, simhash, winnow
+from . import bpe, chat, huffman, packing, pages, passages, pii, quality, simhash, winnow
 from .common import new_dir, stored
 from .tokens import vocabulary_path
 
@@ -36,6 +36,10 @@ def op5_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.fingerprint_edits(_table(spark, sf_dir, "documents"))
 
 
+def op6_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.passage_classes(_table(spark, sf_dir, "documents"), words=50, similarity=0.8)
+
+
 def op7_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.main_text(_table(spark, sf_dir, "pages"))
 
@@ -63,7 +67,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op2_bpe, op3_quality, op4_pii, op5_winnow, op7_pages, op8_huffman, op9_packing, op10_chat)}
+    return {f.__name__: f for f in (op1_simhash, op2_bpe, op3_quality, op4_pii, op5_winnow, op6_passages, op7_pages, op8_huffman, op9_packing, op10_chat)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -26,18 +26,26 @@ from pyspark.sql import functions as F
 
 from .common import parts, stored, texts
 from .graph import connected_components
+from .passages import SHINGLE, first_texts, mix, shingles
 
 BITS = 64
 #: Relative costs of one probe row (made, shuffled, sorted) and of one candidate pair (a popcount).
 PROBE_COST, PAIR_COST = 1.0, 0.25
+#: Buckets of up to so many rows are compared by array operations over a whole batch.
+SMALL = 16
 
 
 def simhash(text: str, width: int = 4) -> int:
-    """The signed 64-bit fingerprint: a bit is 1 if set in over half the XXH64 hashes of the word shingles."""
+    """The signed 64-bit fingerprint: a bit is 1 if set in over half the XXH64 hashes of the word shingles.
+
+    Width 0 takes each distinct word once: few edits then move few bits, and related texts come close.
+    """
     words = text.encode("utf-8", "surrogatepass").lower().split()  # bytes: ASCII letters and white space only
     if not words:
         return 0
-    if len(words) < width:
+    if width == 0:
+        shingles = set(words)
+    elif len(words) < width:
         shingles = [b" ".join(words)]
     else:
         shingles = map(b" ".join, zip(*(words[k:] for k in range(width))))
@@ -174,9 +182,18 @@ def _probe_batches(batches, plan):
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.tile(fp, len(masks)))], ["key", "fp"])
 
 
-def spanning_edges(fp: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of the links among these fingerprints: each walks from a found one to unseen ones."""
+def spanning_edges(fp: np.ndarray, max_bits: int, nearest: int = 0) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of the links among these fingerprints: each walks from a found one to unseen ones.
+
+    With ``nearest``, also those from each fingerprint to its so many nearest ones, for links that are verified later.
+    """
     out, left = [], fp
+    if nearest and len(fp) > 1:
+        for x in fp:
+            d = np.bitwise_count(fp ^ x)
+            d[fp == x] = 99
+            near = np.argpartition(d, min(nearest, len(fp) - 1))[:nearest]
+            out += [(int(x), int(fp[k])) for k in near if d[k] <= max_bits]
     while len(left):
         queue, left = [left[0]], left[1:]
         while queue and len(left):
@@ -194,7 +211,7 @@ def _table(a, b, block):
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(block, pa.int32())], ["a", "b", "block"])
 
 
-def _bucket_batches(batches, max_bits, cap):
+def _bucket_batches(batches, max_bits, cap, nearest):
     """Sorted (key, fp) rows to edges (block -1), or for buckets over cap rows to (key, fp, block) rows."""
     key0, held, block = None, [], 0  # the bucket that may go on in the next batch
 
@@ -202,7 +219,7 @@ def _bucket_batches(batches, max_bits, cap):
         rows = np.concatenate(held) if len(held) > 1 else held[0]
         if block:
             return [], [(key, int(x), block) for x in rows]
-        return spanning_edges(np.unique(rows), max_bits), []
+        return spanning_edges(np.unique(rows), max_bits, nearest), []
 
     for b in batches:
         keys, fps = b.column("key").to_numpy(zero_copy_only=False), b.column("fp").to_numpy(zero_copy_only=False)
@@ -220,10 +237,12 @@ def _bucket_batches(batches, max_bits, cap):
             e, w = close(key0, held, block)
             edges, wide = edges + e, wide + w
             held, block, key0 = [], 0, None
-        two = starts[inner & (size == 2)]
-        hit = two[np.bitwise_count(fps[two] ^ fps[two + 1]) <= max_bits]
-        edges += list(zip(fps[hit].tolist(), fps[hit + 1].tolist()))
-        todo = [g for g in np.flatnonzero((size > 2) | ~inner)]
+        small = inner & (size > 1) & (size <= SMALL)
+        ok = np.repeat(small, size)
+        for d in range(1, int(size[small].max(initial=1))):  # small buckets: all pairs, by their distance in the batch
+            hit = np.flatnonzero(ok[:-d] & (keys[:-d] == keys[d:]) & (np.bitwise_count(fps[:-d] ^ fps[d:]) <= max_bits))
+            edges += list(zip(fps[hit].tolist(), fps[hit + d].tolist()))
+        todo = [g for g in np.flatnonzero((size > SMALL) | ~inner)]
         for g in todo:
             s, e_, key = starts[g], ends[g], keys[starts[g]]
             if key != key0:
@@ -253,26 +272,26 @@ def _bucket_batches(batches, max_bits, cap):
                 yield _table([r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows] if blocks else [-1] * len(rows))
 
 
-def _block_pair(table: pa.Table, max_bits: int) -> pa.Table:
-    edges = spanning_edges(np.unique(table.column("fp").to_numpy()), max_bits)
+def _block_pair(table: pa.Table, max_bits: int, nearest: int) -> pa.Table:
+    edges = spanning_edges(np.unique(table.column("fp").to_numpy()), max_bits, nearest)
     return pa.table({"a": pa.array([e[0] for e in edges], pa.int64()), "b": pa.array([e[1] for e in edges], pa.int64())})
 
 
-def link_fingerprints(distinct: DataFrame, max_bits: int = 4, cap: int = 4096) -> DataFrame:
+def link_fingerprints(distinct: DataFrame, max_bits: int = 4, cap: int = 4096, nearest: int = 0) -> DataFrame:
     """Edges (a, b) that connect what links connect, over a table of distinct fingerprints (fp)."""
     spark = distinct.sparkSession
     n, both = bit_statistics(distinct)
     plan = plan_probes(both, n, max_bits)
     probes = distinct.select("fp").mapInArrow(partial(_probe_batches, plan=plan), "key long, fp long")
     dealt = probes.repartition(parts(spark), "key").sortWithinPartitions("key", "fp")
-    found = stored(dealt.mapInArrow(partial(_bucket_batches, max_bits=max_bits, cap=cap), "a long, b long, block int"), "links")
+    found = stored(dealt.mapInArrow(partial(_bucket_batches, max_bits=max_bits, cap=cap, nearest=nearest), "a long, b long, block int"), "links")
     edges = found.where("block < 0").select("a", "b")
     wide = found.where("block >= 0").select(F.col("a").alias("key"), F.col("b").alias("fp"), "block")
     if not wide.isEmpty():
         blocks = wide.groupBy("key").agg((F.max("block") + 1).alias("n"))
         pairs = wide.join(blocks, "key").select("key", "fp", "block", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other"))
         pairs = pairs.select("key", "fp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-        edges = edges.unionByName(pairs.groupBy("key", "i", "j").applyInArrow(partial(_block_pair, max_bits=max_bits), "a long, b long"))
+        edges = edges.unionByName(pairs.groupBy("key", "i", "j").applyInArrow(partial(_block_pair, max_bits=max_bits, nearest=nearest), "a long, b long"))
     return edges
 
 
@@ -292,5 +311,79 @@ def near_duplicates(docs: DataFrame, width: int = 4, max_bits: int = 4, cap: int
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+# -- verified on shingles -----------------------------------------------------
+
+#: Documented bound: minima kept per text; their share estimates the similarity before texts are compared.
+SKETCH, LEAST_ESTIMATE = 32, 0.5
+
+
+def sketch(hashes: np.ndarray) -> bytes:
+    """16 bits of the smallest hash under each of 32 functions."""
+    if not len(hashes):
+        return b""
+    return np.array([int(mix(hashes, 300 + k).min()) & 0xFFFF for k in range(SKETCH)], "<u2").tobytes()
+
+
+def text_shingles(text: str) -> np.ndarray:
+    """Distinct hashes of the runs of five words; a shorter text is one run, one without words has none."""
+    words = text.encode("utf-8", "surrogatepass").lower().split()
+    if 0 < len(words) < SHINGLE:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), 5)], np.uint64)
+    return np.unique(shingles(words))
+
+
+def _sketch_batches(batches):
+    for b in batches:
+        all_texts = b.column("text").to_pylist()
+        fp = np.fromiter((simhash(t, 0) for t in all_texts), np.int64, b.num_rows)
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp), pa.array([sketch(text_shingles(t)) for t in all_texts], pa.binary())], ["doc_id", "fp", "sketch"])
+
+
+def _alike_batches(batches):
+    for b in batches:
+        x, y = (b.column(c).to_pylist() for c in ("sketch_a", "sketch_b"))
+        ok = [p == q or bool(p and q and (np.frombuffer(p, "<u2") == np.frombuffer(q, "<u2")).mean() >= LEAST_ESTIMATE) for p, q in zip(x, y)]
+        yield pa.RecordBatch.from_arrays([b.column("a").filter(pa.array(ok, pa.bool_())), b.column("b").filter(pa.array(ok, pa.bool_()))], ["a", "b"])
+
+
+def _similar_batches(batches, similarity):
+    for b in batches:
+        ok = []
+        for ta, tb in zip(b.column("text_a").to_pylist(), b.column("text_b").to_pylist()):
+            x, y = text_shingles(ta), text_shingles(tb)
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            ok.append(both >= similarity * (len(x) + len(y) - both))
+        yield pa.RecordBatch.from_arrays([b.column("a").filter(pa.array(ok, pa.bool_())), b.column("b").filter(pa.array(ok, pa.bool_()))], ["a", "b"])
+
+
+def near_duplicate_texts(docs: DataFrame, similarity: float = 0.8, max_bits: int = 7, cap: int = 4096, nearest: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, component_id) for every doc_id that is not null: groups of texts whose five-word shingles have a Jaccard
+    similarity of ``similarity`` or more, found by SimHash and verified.
+
+    The fingerprints take each distinct word once, since few edits then move few bits. Links within ``max_bits`` are
+    found as in :func:`near_duplicates`; in wide buckets each fingerprint also keeps its ``nearest`` links, so that a
+    failed verification leaves others to connect by. A pair is compared by sketches, then on the whole texts. Equal
+    texts (a null one counts as empty) belong together; rows with one id are one document.
+    """
+    base = texts(docs, id_col, text_col)
+    ids = stored(first_texts(base), "first")
+    unique = base.join(ids.where("doc_id = first_id").select("doc_id").distinct(), "doc_id", "left_semi")
+    marked = stored(unique.mapInArrow(_sketch_batches, "doc_id long, fp long, sketch binary"), "sketches")
+    firsts = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
+    edges = link_fingerprints(firsts.select("fp"), max_bits, cap, nearest).distinct()
+    a, b = firsts.select(F.col("fp").alias("a"), F.col("first").alias("da")), firsts.select(F.col("fp").alias("b"), F.col("first").alias("db"))
+    pairs = edges.join(a, "a").join(b, "b").select(F.col("da").alias("a"), F.col("db").alias("b"))
+    same = marked.select("doc_id", "fp").join(firsts, "fp").where("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
+    pairs = pairs.unionByName(same).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    sa, sb = marked.select(F.col("doc_id").alias("a"), F.col("sketch").alias("sketch_a")), marked.select(F.col("doc_id").alias("b"), F.col("sketch").alias("sketch_b"))
+    alike = stored(pairs.join(sa, "a").join(sb, "b").mapInArrow(_alike_batches, "a long, b long"), "alike")
+    involved = alike.select("a").union(alike.select("b")).distinct().withColumnRenamed("a", "doc_id")
+    some = stored(base.join(involved, "doc_id", "left_semi"), "texts")
+    ta, tb = some.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), some.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
+    links = stored(alike.join(ta, "a").join(tb, "b").mapInArrow(partial(_similar_batches, similarity=similarity), "a long, b long"), "near")
+    roots = connected_components(links).withColumnRenamed("node", "first_id")
+    return ids.join(roots, "first_id", "left").select("doc_id", F.coalesce("root", "first_id").alias("component_id"))
+
+
 def fingerprint_hex(fp):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
