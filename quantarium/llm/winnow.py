@@ -58,29 +58,37 @@ def following(ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return led.join(F.broadcast(ends), "_at").select(id_col, F.coalesce("_next", "_after").alias("next_id"))
 
 
-def fingerprint_edits(docs: DataFrame, gram: int = 3, window: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprint_edits(docs: DataFrame, gram: int = 3, window: int = 8, block_rows: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of every row's text and of its edited text, in which the last quarter of the code points gives way
     to the first as many of the next document by id.
 
     Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next and
-    next_fingerprints (the size of the next document's fingerprint). A null text is empty. Rows with one id are one
-    document for order; of differing texts under the next id the one with the smallest hash counts. A row with a null
-    id has no next document: its tail is cut off and near_next is null. An empty table gives an empty one.
+    next_fingerprints (the size of the next document's fingerprint). A null text is empty. Rows with one id are ordered
+    by their texts' hashes. A row with a null id has no next document: its tail is cut off, near_next is null. An empty
+    table gives an empty one.
+
+    Texts are shuffled once, by blocks of ids of about ``block_rows`` rows, and led inside a block; a block's last row
+    takes the first text of the next block, of which there is one a block.
     """
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    ids = stored(base.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.floor(F.length("text") / 4)).cast("int").alias("need")), "ids")
-    order = stored(following(ids), "next")
-    wanted = order.join(ids, "doc_id").select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("prev_id"), "need")
-    keyed = base.withColumn("_id", F.coalesce("doc_id", F.lit(-(2**63))))  # never null: one exchange serves both uses
-    dealt = winnow(keyed, "text", "own", gram, window).repartition(parts(spark), "_id")
-    one = dealt.withColumn("_rn", F.row_number().over(Window.partitionBy("_id").orderBy(F.xxhash64("text")))).where("_rn = 1").drop("doc_id")
-    heads = one.join(wanted, F.col("_id") == F.col("doc_id")).select(F.col("prev_id").alias("_id"), F.expr("substring(text, 1, need)").alias("head"), F.col("own_hash").alias("next_hash"), F.size("own_pos").cast("long").alias("next_fingerprints"))
-    both = dealt.join(heads, "_id", "left")
-    both = both.withColumn("n_chars", F.length("text").cast("long")).withColumn("_cut", F.floor(F.col("n_chars") / 4).cast("int"))
-    both = both.withColumn("edited", F.concat(F.expr("substring(text, 1, CAST(n_chars AS INT) - _cut)"), F.expr("substring(coalesce(head, ''), 1, _cut)"))).drop("text", "head", "_cut")
-    both = winnow(both, "edited", "new", gram, window)
-    return both.select(
+    low, high, n = base.agg(F.min("doc_id"), F.max("doc_id"), F.count("doc_id")).head()
+    width = max(1, -(-block_rows * (high - low + 1) // n)) if n else 1
+    spread = F.lit(-1) - F.pmod(F.xxhash64("text"), F.lit(4 * parts(spark)))  # null ids need no order
+    blocked = base.withColumn("_block", F.coalesce(F.floor((F.col("doc_id") - (low or 0)) / width).cast("long"), spread)).withColumn("_th", F.xxhash64("text"))
+    heads = stored(blocked.where("doc_id IS NOT NULL").groupBy("_block").agg(F.min_by("text", F.struct("doc_id", "_th")).alias("text")), "heads")
+    order = following(heads, "_block")
+    tails = order.join(heads.select(F.col("_block").alias("next_id"), F.col("text").alias("tail")), "next_id").drop("next_id")
+    tails = winnow(tails, "tail", "tail", gram, window)
+    rows = winnow(blocked.repartition(parts(spark), "_block"), "text", "own", gram, window)
+    by_id = Window.partitionBy("_block").orderBy("doc_id", "_th")
+    rows = rows.withColumn("_led", F.lead(F.struct("text", "own_hash")).over(by_id)).join(tails, "_block", "left")
+    known = F.col("doc_id").isNotNull()
+    rows = rows.withColumn("_next", F.when(known, F.coalesce(F.col("_led")["text"], F.col("tail")))).withColumn("next_hash", F.when(known, F.coalesce(F.col("_led")["own_hash"], F.col("tail_hash"))))
+    rows = rows.withColumn("n_chars", F.length("text").cast("long")).withColumn("_cut", F.floor(F.col("n_chars") / 4).cast("int"))
+    edited = F.concat(F.expr("substring(text, 1, CAST(n_chars AS INT) - _cut)"), F.expr("substring(coalesce(_next, ''), 1, _cut)"))
+    rows = winnow(rows.select("doc_id", "n_chars", "own_hash", "own_pos", "next_hash", edited.alias("edited")), "edited", "new", gram, window)
+    return rows.select(
         "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), fingerprint_text(F.col("own_hash"), F.col("own_pos")).alias("fingerprint"), fingerprint_text(F.col("new_hash"), F.col("new_pos")).alias("edited_fingerprint"),
-        likeness(F.col("own_hash"), F.col("new_hash")).alias("near_edited"), F.when(F.col("next_hash").isNotNull(), likeness(F.col("own_hash"), F.col("next_hash"))).alias("near_next"), "next_fingerprints",
+        likeness(F.col("own_hash"), F.col("new_hash")).alias("near_edited"), F.when(F.col("next_hash").isNotNull(), likeness(F.col("own_hash"), F.col("next_hash"))).alias("near_next"), F.size("next_hash").cast("long").alias("next_fingerprints"),
     )
