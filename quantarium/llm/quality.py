@@ -79,4 +79,6 @@ def line_quality(docs: DataFrame, min_words: int = 50, min_kept_percent: int = 6
     )
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     kept = ~failed & (100 * F.col("_kw") >= min_kept_percent * F.col("n_words"))
-    return a.select("_row.*", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), kept.alias("kept"), "clean_text")
+    # One row each from a generator: a later filter on these columns stays above it, instead of being inlined below.
+    found = F.struct("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), kept.alias("kept"), "clean_text")
+    return a.select("_row", F.explode(F.array(found)).alias("_found")).select("_row.*", "_found.*")
