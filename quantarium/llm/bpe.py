@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from .common import texts
-from .tokens import _UNSAFE, CACHE_PIECES, chunks
+from .tokens import CACHE_PIECES, chunks, unsafe
 
 _HELD: dict[str, "Automaton"] = {}
 
@@ -150,7 +150,7 @@ class Automaton:
         return self.encode_plain(text)
 
     def encode_plain(self, text: str) -> bytes:
-        if not text or _UNSAFE.search(text):
+        if not text or unsafe(text):
             return self._piece(text)
         first, *rest = text.split(" ")
         pieces = self.pieces
