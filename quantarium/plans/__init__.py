@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import lookups, prices, texts
+from . import lookups, models, prices, texts
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "lookups", "prices", "texts"]
+__all__ = ["QUERIES", "SQL", "lookups", "models", "prices", "texts"]
