@@ -7,6 +7,9 @@ import contextlib
 import tempfile
 import uuid
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +17,8 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]+"
 
 _OWN_DIR: list[str] = []
+_MADE: dict[str, str] = {}  # intermediate tables so far, and what they belong to
+_OWNER: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,6 +48,7 @@ def stored(df: DataFrame, name: str, compression: str | None = None) -> DataFram
     path = f"{shared_dir(spark)}/llm-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path, compression=compression)
     atexit.register(_forget, spark, path)
+    _MADE[path] = _OWNER[-1] if _OWNER else ""
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -51,6 +57,69 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+#: Documented bound: bits of an id filter, 2 MB whatever the number of ids. A fuller filter only passes more rows.
+FILTER_BITS = 1 << 24
+
+
+def _id_bits(ids: np.ndarray) -> list[np.ndarray]:
+    z = ids.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    z ^= z >> np.uint64(32)
+    z *= np.uint64(0xD6E8FEB86659FD93)
+    return [(z >> np.uint64(shift)) & np.uint64(FILTER_BITS - 1) for shift in (40, 16)]
+
+
+def _word_batches(batches):
+    for b in batches:
+        ids = b.column(0).drop_null().to_numpy(zero_copy_only=False)
+        at = np.unique(np.concatenate(_id_bits(ids))) if len(ids) else np.zeros(0, np.uint64)
+        yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))], ["word", "bits"])
+
+
+def split_by_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """(rows that may have one of ``ids``, rows that surely have none, null ids among them).
+
+    A Bloom filter of fixed size tells them apart before a join, so that rows with long texts that no join needs are
+    not shuffled. Only ids pass through Python. The first part still needs the join.
+    """
+    spark = docs.sparkSession
+    words = np.zeros(FILTER_BITS // 64, np.int64)
+    for r in ids.select(id_col).mapInArrow(_word_batches, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).collect():
+        words[r.word] = r.bits
+    shared = spark.sparkContext.broadcast(words)
+
+    @F.pandas_udf("boolean")
+    def may(values: pd.Series) -> pd.Series:
+        known = values.notna().to_numpy()
+        out = known.copy()
+        held = shared.value.view(np.uint64)
+        for at in _id_bits(values[known].to_numpy().astype(np.int64)):
+            out[known] &= ((held[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1)).astype(bool)
+        return pd.Series(out)
+
+    marked = docs.withColumn("_may", may(F.col(id_col).cast("long")))
+    return marked.where("_may").drop("_may"), marked.where("NOT _may").drop("_may")
+
+
+@contextlib.contextmanager
+def tables_of(name: str):
+    """Intermediate tables made inside belong to ``name``, for :func:`drop_stored`."""
+    _OWNER.append(name)
+    try:
+        yield
+    finally:
+        _OWNER.pop()
+
+
+def drop_stored(spark: SparkSession, name: str, docs: DataFrame) -> None:
+    """Delete the tables that belong to ``name``, for a chain of steps whose input ``docs`` has been written: all but
+    those that ``docs`` itself reads."""
+    read = docs.inputFiles()
+    for path in [p for p, owner in _MADE.items() if owner == name]:
+        if not any(path.rpartition("/")[2] in f for f in read):
+            _forget(spark, path)
+            del _MADE[path]
+
+
 def new_dir(spark: SparkSession, name: str) -> str:
     """A new folder in the shared one, which goes when the driver's Python ends."""
     path = f"{shared_dir(spark)}/llm-{name}-{uuid.uuid4().hex}"

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parts, stored, texts
+from .common import parts, split_by_ids, stored, texts
 from .graph import connected_components
 from .passages import SHINGLE, first_texts, mix, shingles
 
@@ -32,7 +32,7 @@ BITS = 64
 #: Relative costs of one probe row (made, shuffled, sorted) and of one candidate pair (a popcount).
 PROBE_COST, PAIR_COST = 1.0, 0.25
 #: Buckets of up to so many rows are compared by array operations over a whole batch.
-SMALL = 16
+SMALL = 5
 
 
 def simhash(text: str, width: int = 4) -> int:
@@ -189,11 +189,15 @@ def spanning_edges(fp: np.ndarray, max_bits: int, nearest: int = 0) -> list[tupl
     """
     out, left = [], fp
     if nearest and len(fp) > 1:
-        for x in fp:
-            d = np.bitwise_count(fp ^ x)
-            d[fp == x] = 99
-            near = np.argpartition(d, min(nearest, len(fp) - 1))[:nearest]
-            out += [(int(x), int(fp[k])) for k in near if d[k] <= max_bits]
+        for at in range(0, len(fp), 256):
+            d = np.bitwise_count(fp[at : at + 256, None] ^ fp[None, :])
+            d[np.arange(len(d)), np.arange(at, at + len(d))] = 99
+            k = min(nearest, len(fp) - 1)
+            near = np.argpartition(d, k - 1, axis=1)[:, :k]
+            ok = np.take_along_axis(d, near, 1) <= max_bits
+            x, y = np.broadcast_to(fp[at : at + 256, None], near.shape)[ok], fp[near[ok]]
+            out += list(zip(np.minimum(x, y).tolist(), np.maximum(x, y).tolist()))
+        out = list(dict.fromkeys(out))
     while len(left):
         queue, left = [left[0]], left[1:]
         while queue and len(left):
@@ -356,7 +360,7 @@ def _similar_batches(batches, similarity):
         yield pa.RecordBatch.from_arrays([b.column("a").filter(pa.array(ok, pa.bool_())), b.column("b").filter(pa.array(ok, pa.bool_()))], ["a", "b"])
 
 
-def near_duplicate_texts(docs: DataFrame, similarity: float = 0.8, max_bits: int = 7, cap: int = 4096, nearest: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicate_texts(docs: DataFrame, similarity: float = 0.8, max_bits: int = 7, cap: int = 4096, nearest: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, component_id) for every doc_id that is not null: groups of texts whose five-word shingles have a Jaccard
     similarity of ``similarity`` or more, found by SimHash and verified.
 
@@ -367,8 +371,9 @@ def near_duplicate_texts(docs: DataFrame, similarity: float = 0.8, max_bits: int
     """
     base = texts(docs, id_col, text_col)
     ids = stored(first_texts(base), "first")
-    unique = base.join(ids.where("doc_id = first_id").select("doc_id").distinct(), "doc_id", "left_semi")
-    marked = stored(unique.mapInArrow(_sketch_batches, "doc_id long, fp long, sketch binary"), "sketches")
+    own = ids.where("doc_id = first_id").select("doc_id").distinct()
+    sketched = base.where("doc_id IS NOT NULL").mapInArrow(_sketch_batches, "doc_id long, fp long, sketch binary")
+    marked = stored(sketched.join(own, "doc_id", "left_semi"), "sketches")
     firsts = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     edges = link_fingerprints(firsts.select("fp"), max_bits, cap, nearest).distinct()
     a, b = firsts.select(F.col("fp").alias("a"), F.col("first").alias("da")), firsts.select(F.col("fp").alias("b"), F.col("first").alias("db"))
@@ -378,7 +383,8 @@ def near_duplicate_texts(docs: DataFrame, similarity: float = 0.8, max_bits: int
     sa, sb = marked.select(F.col("doc_id").alias("a"), F.col("sketch").alias("sketch_a")), marked.select(F.col("doc_id").alias("b"), F.col("sketch").alias("sketch_b"))
     alike = stored(pairs.join(sa, "a").join(sb, "b").mapInArrow(_alike_batches, "a long, b long"), "alike")
     involved = alike.select("a").union(alike.select("b")).distinct().withColumnRenamed("a", "doc_id")
-    some = stored(base.join(involved, "doc_id", "left_semi"), "texts")
+    involved = stored(involved, "involved")
+    some = stored(split_by_ids(base, involved)[0].join(involved, "doc_id", "left_semi"), "texts")
     ta, tb = some.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), some.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     links = stored(alike.join(ta, "a").join(tb, "b").mapInArrow(partial(_similar_batches, similarity=similarity), "a long, b long"), "near")
     roots = connected_components(links).withColumnRenamed("node", "first_id")
