@@ -276,9 +276,12 @@ def _bucket_batches(batches, max_bits, cap, nearest):
                 yield _table([r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows] if blocks else [-1] * len(rows))
 
 
-def _block_pair(table: pa.Table, max_bits: int, nearest: int) -> pa.Table:
-    edges = spanning_edges(np.unique(table.column("fp").to_numpy()), max_bits, nearest)
-    return pa.table({"a": pa.array([e[0] for e in edges], pa.int64()), "b": pa.array([e[1] for e in edges], pa.int64())})
+def _block_pair(max_bits, nearest):
+    def walk(table):
+        edges = spanning_edges(np.unique(table.column("fp").to_numpy()), max_bits, nearest)
+        return pa.table({"a": pa.array([e[0] for e in edges], pa.int64()), "b": pa.array([e[1] for e in edges], pa.int64())})
+
+    return walk
 
 
 def link_fingerprints(distinct: DataFrame, max_bits: int = 4, cap: int = 4096, nearest: int = 0) -> DataFrame:
@@ -295,7 +298,7 @@ def link_fingerprints(distinct: DataFrame, max_bits: int = 4, cap: int = 4096, n
         blocks = wide.groupBy("key").agg((F.max("block") + 1).alias("n"))
         pairs = wide.join(blocks, "key").select("key", "fp", "block", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other"))
         pairs = pairs.select("key", "fp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-        edges = edges.unionByName(pairs.groupBy("key", "i", "j").applyInArrow(partial(_block_pair, max_bits=max_bits, nearest=nearest), "a long, b long"))
+        edges = edges.unionByName(pairs.groupBy("key", "i", "j").applyInArrow(_block_pair(max_bits, nearest), "a long, b long"))
     return edges
 
 
