@@ -20,7 +20,7 @@ def html_to_text(html) -> Column:
     for name, char in ENTITIES:
         t = F.replace(t, F.lit(f"&{name};"), F.lit(char))
     t = F.regexp_replace(t, r"[ \t\r\f\x0b ]+", " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(t, r" ?\n ?", "\n"), r"\n{2,}", "\n"))
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(t, r" ?\n ?", "\n"), r"\n{2,}", "\n"), r"^\s+|\s+$", "")
 
 
 def strip_html(html) -> Column:
