@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import lookups, models, prices, streams, texts
+from . import lookups, models, prices, shapes, streams, texts
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "lookups", "models", "prices", "streams", "texts"]
+__all__ = ["QUERIES", "SQL", "lookups", "models", "prices", "shapes", "streams", "texts"]
