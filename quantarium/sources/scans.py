@@ -125,3 +125,65 @@ def manifest(df: DataFrame, date: str, status: str) -> DataFrame:
     """Rows, span and the share of each status, in one aggregate."""
     g = df.groupBy(status).agg(F.count("*").alias("n"), F.min(date).alias("first_date"), F.max(date).alias("last_date"))
     return g.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))
+
+
+#: Month names of the flow reports, and the bulletin's investor categories (accent-free).
+MONTHS = ("jan", "fev", "mar", "abr", "mai", "jun", "jul", "ago", "set", "out", "nov", "dez")
+CATEGORIES = ("pessoas fisicas", "institucionais", "investidores estrangeiros", "empresas", "instituicoes financeiras", "outros")
+
+
+def foreign_flow_report(spark: SparkSession, path: str, anchor: str, cutoff: str) -> DataFrame:
+    """(file, data_ref, flow): rows ``Mon/Mon/YYYY;..;balance`` after the anchor, in millions. A month ends at its last
+    day, the cut-off day's month at that day."""
+    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("pos", "line"))
+    first = lines.where(plain_text("line").rlike(anchor)).groupBy("file").agg(F.min("pos").alias("at"))
+    rows = lines.join(first, "file").where("pos > at")
+    month = F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(F.regexp_extract("line", r"^\s*([A-Za-z]{3})/", 1))).cast("int")
+    year = F.regexp_extract("line", r"^\s*[A-Za-z]{3}/[A-Za-z]{3}/(\d{4});", 1).try_cast("int")
+    rows = rows.select("file", "pos", month.alias("m"), year.alias("y"), (parse_number_br(F.element_at(F.split("line", ";"), -1)) * 1e6).alias("flow")).where("m > 0 AND y IS NOT NULL AND flow IS NOT NULL")
+    end, cut = F.last_day(F.make_date("y", "m", F.lit(1))), F.lit(cutoff).cast("date")
+    dated = rows.select("file", "pos", F.when(F.last_day(cut) == end, cut).otherwise(end).alias("data_ref"), "flow")
+    return dated.groupBy("file", "data_ref").agg(F.min_by("flow", "pos").alias("flow"))
+
+
+def investor_bulletin(spark: SparkSession, path: str) -> DataFrame:
+    """(file, category, buys, sells, balance, error): lines with a category and four numbers (buys, %, sells, %), in
+    thousands; another count of numbers is an error row; the first line of a category counts."""
+    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("pos", "line"))
+    t = lines.withColumn("p", plain_text("line")).withColumn("category", F.coalesce(*[F.when(F.col("p").startswith(c), F.lit(c)) for c in CATEGORIES])).where("category IS NOT NULL")
+    n = F.transform(F.regexp_extract_all("line", F.lit(r"(-?\d[\d.,]*)"), 1), parse_number_br)
+    t = t.withColumn("n", n).withColumn("_r", F.row_number().over(Window.partitionBy("file", "category").orderBy("pos"))).where("_r = 1")
+    ok = F.size("n") == 4
+    buys, sells = F.get("n", F.lit(0)) * 1000, F.get("n", F.lit(2)) * 1000
+    return t.select("file", "category", F.when(ok, buys).alias("buys"), F.when(ok, sells).alias("sells"), F.when(ok, buys - sells).alias("balance"), F.when(~ok, F.concat(F.lit("numbers: "), F.size("n"))).alias("error"))
+
+
+def filing_member(spark: SparkSession, root: str, member: str, years: list[int]) -> DataFrame:
+    """One member's rows of unpacked yearly archives laid out as root/year=YYYY/stmt=NAME/*.csv: other members and years
+    are never opened. file: where a row came from."""
+    df = spark.read.csv(root, sep=";", header=True, quote='"', escape='"', encoding="ISO-8859-1").withColumn("file", F.col("_metadata.file_name"))
+    return df.where((F.col("stmt") == member) & F.col("year").isin(*years))
+
+
+def issuer_index(spark: SparkSession, root: str, years: list[int]) -> DataFrame:
+    """The regulator's document index of several years."""
+    return filing_member(spark, root, "index", years)
+
+
+def account_facts(members: dict[tuple[str, str], DataFrame], accounts: DataFrame, tickers: DataFrame) -> DataFrame:
+    """(ticker, metric, fiscal_year, value, scope, version) of statement members {(statement, scope): frame with company,
+    code, value, period_end, order, version}, by the account map (statement, code, metric) and the ticker map."""
+    frames = [df.withColumn("statement", F.lit(s)).withColumn("scope", F.lit(scope)) for (s, scope), df in members.items()]
+    rows = frames[0]
+    for f in frames[1:]:
+        rows = rows.unionByName(f)
+    rows = rows.where(plain_text("order").isin("ultimo", "penultimo"))
+    return rows.join(accounts, ["statement", "code"]).join(tickers, "company").select("ticker", "metric", F.year("period_end").alias("fiscal_year"), to_number("value").alias("value"), "scope", "version")
+
+
+def bulk_upsert(stored: DataFrame, payload: DataFrame, schema: str, keys: list[str]) -> DataFrame:
+    """Rows of a JSON recordset column (payload.body) into a table: insert or take over by key."""
+    from ..operators.pit import upsert
+
+    rows = payload.select(F.inline(F.from_json("body", f"array<struct<{schema}>>")))
+    return upsert(stored, rows, keys)
