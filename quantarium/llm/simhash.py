@@ -35,7 +35,7 @@ PROBE_COST, PAIR_COST = 1.0, 0.25
 SMALL = 5
 
 
-def simhash(text: str, width: int = 4) -> int:
+def simhash(text: str, width: int = 4, seed: int = 42) -> int:
     """The signed 64-bit fingerprint: a bit is 1 if set in over half the XXH64 hashes of the word shingles.
 
     Width 0 takes each distinct word once: few edits then move few bits, and related texts come close.
@@ -50,7 +50,7 @@ def simhash(text: str, width: int = 4) -> int:
     else:
         shingles = map(b" ".join, zip(*(words[k:] for k in range(width))))
     total, n = np.zeros(BITS, np.int64), 0
-    hashes = np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in shingles), np.uint64)
+    hashes = np.fromiter((xxhash.xxh64_intdigest(s, seed) for s in shingles), np.uint64)
     for at in range(0, len(hashes), 65536):
         part = hashes[at : at + 65536]
         total += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -322,6 +322,8 @@ def near_duplicates(docs: DataFrame, width: int = 4, max_bits: int = 4, cap: int
 
 #: Documented bound: minima kept per text; their share estimates the similarity before texts are compared.
 SKETCH, LEAST_ESTIMATE = 32, 0.5
+#: Fingerprints of one text by different hash functions: a pair that one leaves too far apart, another may not.
+SEEDS = (42, 43, 44)
 
 
 def sketch(hashes: np.ndarray) -> bytes:
@@ -342,8 +344,8 @@ def text_shingles(text: str) -> np.ndarray:
 def _sketch_batches(batches):
     for b in batches:
         all_texts = b.column("text").to_pylist()
-        fp = np.fromiter((simhash(t, 0) for t in all_texts), np.int64, b.num_rows)
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp), pa.array([sketch(text_shingles(t)) for t in all_texts], pa.binary())], ["doc_id", "fp", "sketch"])
+        fp = [[simhash(t, 0, seed) for seed in SEEDS] for t in all_texts]
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp, pa.list_(pa.int64())), pa.array([sketch(text_shingles(t)) for t in all_texts], pa.binary())], ["doc_id", "fps", "sketch"])
 
 
 def _alike_batches(batches):
@@ -367,22 +369,28 @@ def near_duplicate_texts(docs: DataFrame, similarity: float = 0.8, max_bits: int
     """(doc_id, component_id) for every doc_id that is not null: groups of texts whose five-word shingles have a Jaccard
     similarity of ``similarity`` or more, found by SimHash and verified.
 
-    The fingerprints take each distinct word once, since few edits then move few bits. Links within ``max_bits`` are
-    found as in :func:`near_duplicates`; in wide buckets each fingerprint also keeps its ``nearest`` links, so that a
+    The fingerprints (three, by different hash functions) take each distinct word once, since few edits then move few
+    bits. Links within ``max_bits`` of one of them are found as in :func:`near_duplicates`; in wide buckets each
+    fingerprint also keeps its ``nearest`` links, so that a
     failed verification leaves others to connect by. A pair is compared by sketches, then on the whole texts. Equal
     texts (a null one counts as empty) belong together; rows with one id are one document.
     """
     base = texts(docs, id_col, text_col)
     ids = stored(first_texts(base), "first")
     own = ids.where("doc_id = first_id").select("doc_id").distinct()
-    sketched = base.where("doc_id IS NOT NULL").mapInArrow(_sketch_batches, "doc_id long, fp long, sketch binary")
+    sketched = base.where("doc_id IS NOT NULL").mapInArrow(_sketch_batches, "doc_id long, fps array<long>, sketch binary")
     marked = stored(sketched.join(own, "doc_id", "left_semi"), "sketches")
-    firsts = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    edges = link_fingerprints(firsts.select("fp"), max_bits, cap, nearest).distinct()
-    a, b = firsts.select(F.col("fp").alias("a"), F.col("first").alias("da")), firsts.select(F.col("fp").alias("b"), F.col("first").alias("db"))
-    pairs = edges.join(a, "a").join(b, "b").select(F.col("da").alias("a"), F.col("db").alias("b"))
-    same = marked.select("doc_id", "fp").join(firsts, "fp").where("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
-    pairs = pairs.unionByName(same).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = None
+    for k in range(len(SEEDS)):
+        one = marked.select("doc_id", F.col("fps")[k].alias("fp"))
+        firsts = stored(one.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
+        edges = link_fingerprints(firsts.select("fp"), max_bits, cap, nearest).distinct()
+        a, b = firsts.select(F.col("fp").alias("a"), F.col("first").alias("da")), firsts.select(F.col("fp").alias("b"), F.col("first").alias("db"))
+        near = edges.join(a, "a").join(b, "b").select(F.col("da").alias("a"), F.col("db").alias("b"))
+        same = one.join(firsts, "fp").where("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
+        found = near.unionByName(same).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        pairs = found if pairs is None else pairs.unionByName(found)
+    pairs = pairs.distinct()
     sa, sb = marked.select(F.col("doc_id").alias("a"), F.col("sketch").alias("sketch_a")), marked.select(F.col("doc_id").alias("b"), F.col("sketch").alias("sketch_b"))
     alike = stored(pairs.join(sa, "a").join(sb, "b").mapInArrow(_alike_batches, "a long, b long"), "alike")
     involved = alike.select("a").union(alike.select("b")).distinct().withColumnRenamed("a", "doc_id")
