@@ -16,7 +16,7 @@ from array import array
 import numpy as np
 
 #: Pieces kept in a worker's cache before it starts afresh.
-CACHE_PIECES = 1_300_000
+CACHE_PIECES = 1_100_000
 #: White space other than the space, before a space: conservative, and found by plain searches where it is ASCII.
 _BEFORE = tuple(f"{c} " for c in " \n\r\t\x0b\x0c\x1c\x1d\x1e\x1f")
 _WIDE_BEFORE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000] ")
