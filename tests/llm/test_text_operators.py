@@ -266,6 +266,36 @@ def test_cut_passages(spark, odd):
     assert passages.passage_classes(odd).count() == len(ODD) and passages.passage_classes(odd.limit(0)).count() == 0
 
 
+def edited_passages(n=120):
+    """(rows, pairs): pairs of texts that share a passage of 50 to 70 words but for one word inserted, deleted or changed."""
+    rng = np.random.default_rng(11)
+    fill = lambda k: [f"w{x}" for x in rng.integers(0, 50_000, k)]
+    rows, pairs = [], []
+    for k in range(n):
+        size, kind = (50, 60, 70)[k % 3], k // 3 % 3
+        p = fill(size + (kind == 1 and size == 50))  # both passages have 50 words or more
+        q, at = list(p), int(rng.integers(1, size - 1))
+        q[at : at + (kind > 0)] = ["new"] if kind != 1 else []
+        rows += [(2 * k, " ".join(fill(90) + p + fill(40))), (2 * k + 1, " ".join(fill(30) + q + fill(110)))]
+        pairs.append((2 * k, 2 * k + 1))
+    return rows, pairs
+
+
+def near_passages(x, y, words=50, similarity=0.8):
+    """By brute force: some stretches of ``words`` and one more or less, at their shingles' Jaccard similarity."""
+    sets = [[{tuple(w[i + j : i + j + 5]) for j in range(n - 4)} for n in (words, words + 1) for i in range(len(w) - n + 1)] for w in (x.split(), y.split())]
+    return any(len(a & b) >= similarity * len(a | b) for a in sets[0] for b in sets[1])
+
+
+def test_edited_passages_all_meet(spark):
+    rows, pairs = edited_passages()
+    assert all(near_passages(rows[a][1], rows[b][1]) for a, b in pairs[:9]) and not near_passages(rows[0][1], rows[3][1])
+    links, _ = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {(r.first_id, r.doc_id): r.spans for r in links.collect()}
+    assert set(got) == set(pairs)
+    assert all(len(rows[b][1][s.start : s.end].split()) >= 45 for (a, b), spans in got.items() for s in spans)
+
+
 def test_compact_windows_cover_every_passage():
     rng = np.random.default_rng(2)
     for n, kinds in ((60, 10**9), (60, 3), (40, 1)):
