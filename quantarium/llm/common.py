@@ -100,6 +100,22 @@ def split_by_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> tup
     return marked.where("_may").drop("_may"), marked.where("NOT _may").drop("_may")
 
 
+def repeated_batches(batches):
+    """Of rows sorted by their first column, a long, those whose value another row has too. One row is held back."""
+    held, seen = None, False  # the last row, and whether the one before it is its equal
+    for b in batches:
+        if not b.num_rows:
+            continue
+        t = pa.table([b.column(k) for k in range(b.num_columns)], names=b.schema.names) if held is None else pa.concat_tables([held, pa.Table.from_batches([b]).rename_columns(held.schema.names)])
+        key = t.column(0).to_numpy()
+        same = key[1:] == key[:-1]
+        keep = np.concatenate([[seen], same]) | np.concatenate([same, [False]])
+        held, seen = t.slice(len(key) - 1), bool(keep[-1])
+        yield from t.slice(0, len(key) - 1).filter(pa.array(keep[:-1], pa.bool_())).combine_chunks().to_batches()
+    if held is not None and seen:
+        yield from held.combine_chunks().to_batches()
+
+
 @contextlib.contextmanager
 def tables_of(name: str):
     """Intermediate tables made inside belong to ``name``, for :func:`drop_stored`."""

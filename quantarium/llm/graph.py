@@ -34,3 +34,22 @@ def connected_components(edges: DataFrame) -> DataFrame:
         mapped = e.join(a, "a").join(b, "b").where("ra <> rb")
         e = stored(mapped.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "edges")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).limit(0) if labels is None else labels
+
+
+def rest_against_blocks(rows: DataFrame, cap: int) -> DataFrame:
+    """What blocks of one key must still be compared, given the components that links inside blocks made.
+
+    Rows are (key, block, node, root). Nodes outside their key's largest component are its rest: they are cut in blocks
+    of about ``cap`` nodes of their own, and meet every block of the key. Returns (key, rest_block, block, node, root,
+    rest boolean): one group for each pair of blocks, in which nodes of the rest are to be compared with the others.
+    Keys in one component give nothing.
+    """
+    sizes = rows.groupBy("key", "root").agg(F.count("*").alias("n"))
+    keys = sizes.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("largest"), (F.sum("n") - F.max("n")).alias("left")).where("left > 0")
+    keys = keys.join(rows.groupBy("key").agg((F.max("block") + 1).alias("blocks")), "key").withColumn("rest_blocks", F.ceil(F.col("left") / cap))
+    known = stored(rows.select("key", F.col("block").cast("long").alias("block"), "node", "root").join(keys, "key"), "blocks")
+    rest = known.where("root <> largest").withColumn("rest_block", F.pmod(F.xxhash64("node"), F.col("rest_blocks")).cast("long"))
+    rest = rest.drop("block").select("*", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("blocks") - 1).cast("long"))).alias("block"))
+    other = known.select("*", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("rest_blocks") - 1).cast("long"))).alias("rest_block"))
+    cols = ["key", "rest_block", "block", "node", "root"]
+    return rest.select(*cols, F.lit(True).alias("rest")).unionByName(other.select(*cols, F.lit(False).alias("rest")))

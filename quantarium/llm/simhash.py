@@ -8,8 +8,9 @@ all fingerprints. Each partition is probed by masked keys (the partition's bits
 every pair met is verified on all 64 bits.
 
 Only distinct fingerprints are linked, so copies cost nothing. Inside a bucket no pair list is made: a breadth-first
-walk gives a spanning forest, at most one edge a row. Buckets beyond ``cap`` rows are cut in blocks, and all pairs of
-blocks are walked as tasks of their own, so no link is lost and no task holds more than two blocks.
+walk gives a spanning forest, at most one edge a row. Buckets beyond ``cap`` rows are cut in blocks; what the blocks'
+own links leave apart meets the other blocks in tasks of their own, so no link is lost and no task holds more than two
+blocks.
 """
 
 from __future__ import annotations
@@ -24,9 +25,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parts, split_by_ids, stored, texts
-from .graph import connected_components
+from .common import parts, repeated_batches, split_by_ids, stored, texts
+from .graph import connected_components, rest_against_blocks
 from .passages import SHINGLE, first_texts, mix, shingles
+from .tokens import chunks
 
 BITS = 64
 #: Relative costs of one probe row (made, shuffled, sorted) and of one candidate pair (a popcount).
@@ -182,27 +184,19 @@ def _probe_batches(batches, plan):
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.tile(fp, len(masks)))], ["key", "fp"])
 
 
-def spanning_edges(fp: np.ndarray, max_bits: int, nearest: int = 0) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of the links among these fingerprints: each walks from a found one to unseen ones.
+def distance(a: np.ndarray, b) -> np.ndarray:
+    """Differing bits. The count is of unsigned words: of a negative one numpy would count the absolute value's."""
+    return np.bitwise_count((a ^ b).view(np.uint64))
 
-    With ``nearest``, also those from each fingerprint to its so many nearest ones, for links that are verified later.
-    """
+
+def spanning_edges(fp: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of the links among these fingerprints: each walks from a found one to unseen ones."""
     out, left = [], fp
-    if nearest and len(fp) > 1:
-        for at in range(0, len(fp), 256):
-            d = np.bitwise_count(fp[at : at + 256, None] ^ fp[None, :])
-            d[np.arange(len(d)), np.arange(at, at + len(d))] = 99
-            k = min(nearest, len(fp) - 1)
-            near = np.argpartition(d, k - 1, axis=1)[:, :k]
-            ok = np.take_along_axis(d, near, 1) <= max_bits
-            x, y = np.broadcast_to(fp[at : at + 256, None], near.shape)[ok], fp[near[ok]]
-            out += list(zip(np.minimum(x, y).tolist(), np.maximum(x, y).tolist()))
-        out = list(dict.fromkeys(out))
     while len(left):
         queue, left = [left[0]], left[1:]
         while queue and len(left):
             x = queue.pop()
-            near = np.bitwise_count(left ^ x) <= max_bits
+            near = distance(left, x) <= max_bits
             if near.any():
                 found = left[near]
                 out += [(int(x), int(y)) for y in found]
@@ -215,15 +209,14 @@ def _table(a, b, block):
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(block, pa.int32())], ["a", "b", "block"])
 
 
-def _bucket_batches(batches, max_bits, cap, nearest):
-    """Sorted (key, fp) rows to edges (block -1), or for buckets over cap rows to (key, fp, block) rows."""
+def _bucket_batches(batches, max_bits, cap):
+    """Sorted (key, fp) rows to edges (block -1), at most one a row; buckets over cap rows are walked block by block,
+    and give their rows as (key, fp, block) too."""
     key0, held, block = None, [], 0  # the bucket that may go on in the next batch
 
     def close(key, held, block):
-        rows = np.concatenate(held) if len(held) > 1 else held[0]
-        if block:
-            return [], [(key, int(x), block) for x in rows]
-        return spanning_edges(np.unique(rows), max_bits, nearest), []
+        rows = np.unique(np.concatenate(held)) if held else np.zeros(0, np.int64)
+        return spanning_edges(rows, max_bits), [(key, int(x), block) for x in rows] if block else []
 
     for b in batches:
         keys, fps = b.column("key").to_numpy(zero_copy_only=False), b.column("fp").to_numpy(zero_copy_only=False)
@@ -244,7 +237,7 @@ def _bucket_batches(batches, max_bits, cap, nearest):
         small = inner & (size > 1) & (size <= SMALL)
         ok = np.repeat(small, size)
         for d in range(1, int(size[small].max(initial=1))):  # small buckets: all pairs, by their distance in the batch
-            hit = np.flatnonzero(ok[:-d] & (keys[:-d] == keys[d:]) & (np.bitwise_count(fps[:-d] ^ fps[d:]) <= max_bits))
+            hit = np.flatnonzero(ok[:-d] & (keys[:-d] == keys[d:]) & (distance(fps[:-d], fps[d:]) <= max_bits))
             edges += list(zip(fps[hit].tolist(), fps[hit + d].tolist()))
         todo = [g for g in np.flatnonzero((size > SMALL) | ~inner)]
         for g in todo:
@@ -257,6 +250,7 @@ def _bucket_batches(batches, max_bits, cap, nearest):
             held.append(fps[s:e_])
             while sum(map(len, held)) > cap:  # too wide: give full blocks away at once
                 rows = np.concatenate(held)
+                edges += spanning_edges(np.unique(rows[:cap]), max_bits)
                 wide += [(int(key), int(x), block) for x in rows[:cap]]
                 held, block = [rows[cap:]], block + 1
             if inner[g]:
@@ -276,30 +270,43 @@ def _bucket_batches(batches, max_bits, cap, nearest):
                 yield _table([r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows] if blocks else [-1] * len(rows))
 
 
-def _block_pair(max_bits, nearest):
+def _joining(max_bits):
+    """Edges from the rest's fingerprints of one block to fingerprints of another block: one for each root they reach."""
+
     def walk(table):
-        edges = spanning_edges(np.unique(table.column("fp").to_numpy()), max_bits, nearest)
+        node, root, rest = (table.column(c).to_numpy() for c in ("node", "root", "rest"))
+        rest = rest.astype(bool)
+        edges = []
+        for x, r in zip(node[rest], root[rest]):
+            near = (distance(node[~rest], x) <= max_bits) & (root[~rest] != r)
+            _, first = np.unique(root[~rest][near], return_index=True)
+            edges += [(int(x), int(y)) for y in node[~rest][near][first]]
         return pa.table({"a": pa.array([e[0] for e in edges], pa.int64()), "b": pa.array([e[1] for e in edges], pa.int64())})
 
     return walk
 
 
-def link_fingerprints(distinct: DataFrame, max_bits: int = 4, cap: int = 4096, nearest: int = 0) -> DataFrame:
-    """Edges (a, b) that connect what links connect, over a table of distinct fingerprints (fp)."""
+def link_fingerprints(distinct: DataFrame, max_bits: int = 4, cap: int = 4096) -> DataFrame:
+    """Edges (a, b) that connect what links connect, over a table of distinct fingerprints (fp). Rows with a null fp are
+    left out; an empty table gives none.
+
+    A bucket gives at most one edge a row. Buckets over ``cap`` rows are linked inside their blocks first; then only
+    fingerprints that are not yet in the bucket's largest component meet the other blocks.
+    """
     spark = distinct.sparkSession
-    n, both = bit_statistics(distinct)
+    known = distinct.select("fp").where("fp IS NOT NULL")
+    n, both = bit_statistics(known)
     plan = plan_probes(both, n, max_bits)
-    probes = distinct.select("fp").mapInArrow(partial(_probe_batches, plan=plan), "key long, fp long")
+    probes = known.mapInArrow(partial(_probe_batches, plan=plan), "key long, fp long")
     dealt = probes.repartition(parts(spark), "key").sortWithinPartitions("key", "fp")
-    found = stored(dealt.mapInArrow(partial(_bucket_batches, max_bits=max_bits, cap=cap, nearest=nearest), "a long, b long, block int"), "links")
+    found = stored(dealt.mapInArrow(partial(_bucket_batches, max_bits=max_bits, cap=cap), "a long, b long, block int"), "links")
     edges = found.where("block < 0").select("a", "b")
-    wide = found.where("block >= 0").select(F.col("a").alias("key"), F.col("b").alias("fp"), "block")
-    if not wide.isEmpty():
-        blocks = wide.groupBy("key").agg((F.max("block") + 1).alias("n"))
-        pairs = wide.join(blocks, "key").select("key", "fp", "block", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other"))
-        pairs = pairs.select("key", "fp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-        edges = edges.unionByName(pairs.groupBy("key", "i", "j").applyInArrow(_block_pair(max_bits, nearest), "a long, b long"))
-    return edges
+    wide = found.where("block >= 0").select(F.col("a").alias("key"), F.col("b").alias("node"), "block")
+    if wide.isEmpty():
+        return edges
+    rooted = wide.join(connected_components(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    more = rest_against_blocks(rooted, cap).groupBy("key", "rest_block", "block").applyInArrow(_joining(max_bits), "a long, b long")
+    return edges.unionByName(more)
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, max_bits: int = 4, cap: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -320,17 +327,15 @@ def near_duplicates(docs: DataFrame, width: int = 4, max_bits: int = 4, cap: int
 
 # -- verified on shingles -----------------------------------------------------
 
-#: Documented bound: minima kept per text; their share estimates the similarity before texts are compared.
-SKETCH, LEAST_ESTIMATE = 32, 0.5
-#: Fingerprints of one text by different hash functions: a pair that one leaves too far apart, another may not.
-SEEDS = (42, 43, 44)
-
-
-def sketch(hashes: np.ndarray) -> bytes:
-    """16 bits of the smallest hash under each of 32 functions."""
-    if not len(hashes):
-        return b""
-    return np.array([int(mix(hashes, 300 + k).min()) & 0xFFFF for k in range(SKETCH)], "<u2").tobytes()
+#: Bands of minima: a pair of similarity s shares no band with probability (1 - s^ROWS)^BANDS, 0.07 % at 0.8.
+BANDS, ROWS = 24, 6
+#: Minima whose last four bits estimate a similarity; LEAST_ESTIMATE lies 3.8 standard deviations under 0.8, so that
+#: a pair of similarity 0.8 is missed with a probability under 0.01 %.
+SKETCH, LEAST_ESTIMATE = 128, 0.66
+#: Rows and characters of one block of a candidate cluster, compared in one task.
+BLOCK_ROWS, BLOCK_CHARS = 1024, 4_000_000
+_FACTORS = np.random.default_rng(20240301).integers(0, 2**63, (2, BANDS * ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_ONES = np.uint64(0x1111111111111111)
 
 
 def text_shingles(text: str) -> np.ndarray:
@@ -341,65 +346,217 @@ def text_shingles(text: str) -> np.ndarray:
     return np.unique(shingles(words))
 
 
+def minima(sets: list[np.ndarray]) -> np.ndarray:
+    """The smallest hash of each set (row) under each of BANDS * ROWS functions; the largest number for an empty set."""
+    out = np.full((len(sets), BANDS * ROWS), np.uint64(2**64 - 1))
+    at = 0
+    while at < len(sets):
+        to, size = at, 0
+        while to < len(sets) and (to == at or size + len(sets[to]) <= 8192):
+            size += len(sets[to])
+            to += 1
+        full = [k for k in range(at, to) if len(sets[k])]
+        if to == at + 1:  # one set, however large
+            for k in range(0, size, 8192):
+                out[at] = np.minimum(out[at], (sets[at][k : k + 8192, None] * _FACTORS[0] + _FACTORS[1]).min(axis=0))
+        elif full:
+            h = np.concatenate([sets[k] for k in full])
+            starts = np.cumsum([0] + [len(sets[k]) for k in full[:-1]])
+            out[full] = np.minimum.reduceat(h[:, None] * _FACTORS[0] + _FACTORS[1], starts, axis=0)
+        at = to
+    return out
+
+
+def band_keys(least: np.ndarray) -> np.ndarray:
+    """(rows, BANDS) keys, signed."""
+    key = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), (len(least), BANDS)).copy()
+    for r in range(ROWS):
+        key = mix(key + least[:, r::ROWS], 11)
+    return key.view(np.int64)
+
+
+def sketches(least: np.ndarray) -> np.ndarray:
+    """(rows, 8) words of 16 times four bits."""
+    four = (mix(least[:, :SKETCH], 12) >> np.uint64(60)).astype(np.uint8)
+    return np.ascontiguousarray(four[:, ::2] | four[:, 1::2] << 4).view(np.uint64)
+
+
+def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The estimated similarity of rows of sketches: of four equal bits, one in sixteen is so by chance."""
+    x = a ^ b
+    x |= x >> np.uint64(1)
+    x |= x >> np.uint64(2)
+    same = 1 - np.bitwise_count(x & _ONES).sum(axis=-1) / SKETCH
+    return (same - 1 / 16) * 16 / 15
+
+
 def _sketch_batches(batches):
     for b in batches:
         all_texts = b.column("text").to_pylist()
-        fp = [[simhash(t, 0, seed) for seed in SEEDS] for t in all_texts]
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp, pa.list_(pa.int64())), pa.array([sketch(text_shingles(t)) for t in all_texts], pa.binary())], ["doc_id", "fps", "sketch"])
+        for s, e in chunks(all_texts):
+            fp = np.fromiter((simhash(t, 0) for t in all_texts[s:e]), np.int64, e - s)
+            least = minima([text_shingles(t) for t in all_texts[s:e]])
+            keys, drawn = band_keys(least), sketches(least)
+            flat = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, BANDS, dtype=np.int32), pa.array(keys.ravel()))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id")[s:e], pa.array(fp), flat, pa.array([r.tobytes() for r in drawn], pa.binary())], ["doc_id", "fp", "keys", "sketch"])
+
+
+def _pairs(edges):
+    return pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.int64()), pa.array([e[1] for e in edges], pa.int64())], ["a", "b"])
 
 
-def _alike_batches(batches):
+def _alike(ids: list[int], drawn: list[bytes]) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs that are alike by their sketches."""
+    words = np.frombuffer(b"".join(drawn), np.uint64).reshape(len(ids), SKETCH // 16)
+    out, left = [], np.arange(len(ids))
+    while len(left) > 1:
+        queue, left = [left[0]], left[1:]
+        while queue and len(left):
+            x = queue.pop()
+            near = estimate(words[left], words[x]) >= LEAST_ESTIMATE
+            out += [(ids[x], ids[y]) for y in left[near]]
+            queue += list(left[near])
+            left = left[~near]
+    return out
+
+
+def _alike_batches(batches, cap):
+    """Rows (key, doc_id, sketch) sorted by key to edges, at most one a row: of the first ``cap`` rows of a key those
+    that are alike; all later rows link to the first, since candidates too many do no harm."""
+    key0, first, ids, drawn, many = None, None, [], [], False
     for b in batches:
-        x, y = (b.column(c).to_pylist() for c in ("sketch_a", "sketch_b"))
-        ok = [p == q or bool(p and q and (np.frombuffer(p, "<u2") == np.frombuffer(q, "<u2")).mean() >= LEAST_ESTIMATE) for p, q in zip(x, y)]
-        yield pa.RecordBatch.from_arrays([b.column("a").filter(pa.array(ok, pa.bool_())), b.column("b").filter(pa.array(ok, pa.bool_()))], ["a", "b"])
+        edges = []
+        for key, d, x in zip(*(b.column(c).to_pylist() for c in ("key", "doc_id", "sketch"))):
+            if key != key0:
+                edges += _alike(ids, drawn)
+                key0, first, ids, drawn, many = key, d, [], [], False
+            if many:
+                edges.append((first, d))
+                continue
+            ids.append(d), drawn.append(x)
+            if len(ids) > cap:
+                edges += [(first, y) for y in ids[1:]]
+                ids, drawn, many = [], [], True
+        yield _pairs(edges)
+    yield _pairs(_alike(ids, drawn))
+
+
+def verified_edges(ids: list[int], sets: list[np.ndarray], similarity: float, root: list[int], rest: list[bool] | None = None) -> list[tuple[int, int]]:
+    """Edges that connect what the pairs of sets at this Jaccard similarity or more connect, beyond known components.
+
+    Pairs come by their estimated similarity, the likeliest first, and are compared in full unless they are connected
+    already. With ``rest``, only pairs of one that is of the rest and one that is not.
+    """
+    size = np.array([len(s) for s in sets])
+    n, up = len(ids), {}
+
+    def find(x):
+        while x in up:
+            x = up[x]
+        return x
+
+    held: dict[int, frozenset] = {}
+
+    def items(k):
+        if k not in held:
+            held[k] = frozenset(sets[k].tolist())
+        return held[k]
+
+    first, second, order = [], [], []
+    if n > SMALL:
+        drawn = sketches(minima(sets))
+    for k in range(n - 1):
+        ok = np.minimum(size[k], size[k + 1 :]) >= similarity * np.maximum(size[k], size[k + 1 :]) - 1e-9
+        if rest is not None:
+            ok &= np.array(rest[k + 1 :]) != rest[k]
+        likely = np.ones(n - k - 1)
+        if n > SMALL:
+            likely = estimate(drawn[k + 1 :], drawn[k])
+            ok &= likely >= LEAST_ESTIMATE
+        to = np.flatnonzero(ok)
+        first.append(np.full(len(to), k)), second.append(to + k + 1), order.append(likely[to])
+    out = []
+    if not first:
+        return out
+    a, b, by = np.concatenate(first), np.concatenate(second), np.argsort(-np.concatenate(order), kind="stable")
+    for x, y in zip(a[by].tolist(), b[by].tolist()):
+        rx, ry = find(root[x]), find(root[y])
+        if rx == ry:
+            continue
+        both = len(items(x) & items(y))
+        if both >= similarity * (size[x] + size[y] - both) - 1e-9:
+            up[max(rx, ry)] = min(rx, ry)
+            out.append((ids[x], ids[y]))
+    return out
 
 
-def _similar_batches(batches, similarity):
+def _block_batches(batches, similarity):
+    """Rows (cluster, block, doc_id, text) sorted by cluster and block to verified edges."""
+    key0, ids, held = None, [], []
     for b in batches:
-        ok = []
-        for ta, tb in zip(b.column("text_a").to_pylist(), b.column("text_b").to_pylist()):
-            x, y = text_shingles(ta), text_shingles(tb)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            ok.append(both >= similarity * (len(x) + len(y) - both))
-        yield pa.RecordBatch.from_arrays([b.column("a").filter(pa.array(ok, pa.bool_())), b.column("b").filter(pa.array(ok, pa.bool_()))], ["a", "b"])
+        edges = []
+        for c, k, d, t in zip(*(b.column(x).to_pylist() for x in ("cluster", "block", "doc_id", "text"))):
+            if (c, k) != key0:
+                edges += verified_edges(ids, held, similarity, ids)
+                key0, ids, held = (c, k), [], []
+            ids.append(d), held.append(text_shingles(t))
+        yield _pairs(edges)
+    yield _pairs(verified_edges(ids, held, similarity, ids))
 
 
-def near_duplicate_texts(docs: DataFrame, similarity: float = 0.8, max_bits: int = 7, cap: int = 4096, nearest: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _rest_blocks(similarity):
+    def walk(table):
+        ids, root, rest, all_texts = (table.column(c).to_pylist() for c in ("node", "root", "rest", "text"))
+        edges = verified_edges(ids, [text_shingles(t) for t in all_texts], similarity, root, rest)
+        return pa.table({"a": pa.array([e[0] for e in edges], pa.int64()), "b": pa.array([e[1] for e in edges], pa.int64())})
+
+    return walk
+
+
+def near_duplicate_texts(docs: DataFrame, similarity: float = 0.8, max_bits: int = 4, cap: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, component_id) for every doc_id that is not null: groups of texts whose five-word shingles have a Jaccard
-    similarity of ``similarity`` or more, found by SimHash and verified.
+    similarity of ``similarity`` or more; component_id is the smallest doc_id of the group.
 
-    The fingerprints (three, by different hash functions) take each distinct word once, since few edits then move few
-    bits. Links within ``max_bits`` of one of them are found as in :func:`near_duplicates`; in wide buckets each
-    fingerprint also keeps its ``nearest`` links, so that a
-    failed verification leaves others to connect by. A pair is compared by sketches, then on the whole texts. Equal
-    texts (a null one counts as empty) belong together; rows with one id are one document.
+    Candidates are links within ``max_bits`` of the texts' SimHash (of each distinct word once: few edits then move few
+    bits) as in :func:`near_duplicates`, and, because a block of changed or added words moves more bits than can be
+    probed, texts that share a band of minima and look alike by their sketches. Candidates form clusters. Inside a
+    cluster, pairs are compared in full, the likeliest first, until all are connected or refused; a cluster of more than
+    a block (BLOCK_ROWS, BLOCK_CHARS) is compared by blocks, and then what is not in its largest component with all
+    other blocks. For similarities other than 0.8 BANDS, ROWS and LEAST_ESTIMATE give other chances of a miss.
+
+    Equal texts (a null one counts as empty) belong together, and so do texts without words. Rows with one id are one
+    document; if their texts differ, it is that of the smallest MD5. An empty table gives none.
     """
-    base = texts(docs, id_col, text_col)
+    spark = docs.sparkSession
+    base = texts(docs, id_col, text_col).where("doc_id IS NOT NULL")
     ids = stored(first_texts(base), "first")
     own = ids.where("doc_id = first_id").select("doc_id").distinct()
-    sketched = base.where("doc_id IS NOT NULL").mapInArrow(_sketch_batches, "doc_id long, fps array<long>, sketch binary")
-    marked = stored(sketched.join(own, "doc_id", "left_semi"), "sketches")
-    pairs = None
-    for k in range(len(SEEDS)):
-        one = marked.select("doc_id", F.col("fps")[k].alias("fp"))
-        firsts = stored(one.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-        edges = link_fingerprints(firsts.select("fp"), max_bits, cap, nearest).distinct()
-        a, b = firsts.select(F.col("fp").alias("a"), F.col("first").alias("da")), firsts.select(F.col("fp").alias("b"), F.col("first").alias("db"))
-        near = edges.join(a, "a").join(b, "b").select(F.col("da").alias("a"), F.col("db").alias("b"))
-        same = one.join(firsts, "fp").where("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
-        found = near.unionByName(same).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        pairs = found if pairs is None else pairs.unionByName(found)
-    pairs = pairs.distinct()
-    sa, sb = marked.select(F.col("doc_id").alias("a"), F.col("sketch").alias("sketch_a")), marked.select(F.col("doc_id").alias("b"), F.col("sketch").alias("sketch_b"))
-    alike = stored(pairs.join(sa, "a").join(sb, "b").mapInArrow(_alike_batches, "a long, b long"), "alike")
-    involved = alike.select("a").union(alike.select("b")).distinct().withColumnRenamed("a", "doc_id")
-    involved = stored(involved, "involved")
-    some = stored(split_by_ids(base, involved)[0].join(involved, "doc_id", "left_semi"), "texts")
-    ta, tb = some.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), some.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    links = stored(alike.join(ta, "a").join(tb, "b").mapInArrow(partial(_similar_batches, similarity=similarity), "a long, b long"), "near")
-    roots = connected_components(links).withColumnRenamed("node", "first_id")
-    return ids.join(roots, "first_id", "left").select("doc_id", F.coalesce("root", "first_id").alias("component_id"))
+    fields = "doc_id long, fp long, keys array<long>, sketch binary"
+    marked = stored(base.mapInArrow(_sketch_batches, fields).join(own, "doc_id", "left_semi"), "sketches")
+    firsts = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
+    near = link_fingerprints(firsts.select("fp"), max_bits)
+    a, b = firsts.select(F.col("fp").alias("a"), F.col("first").alias("da")), firsts.select(F.col("fp").alias("b"), F.col("first").alias("db"))
+    near = near.join(a, "a").join(b, "b").select(F.col("da").alias("a"), F.col("db").alias("b"))
+    same = marked.select("doc_id", "fp").join(firsts, "fp").where("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
+    keyed = marked.select(F.explode("keys").alias("key"), "doc_id").repartition(parts(spark), "key").sortWithinPartitions("key", "doc_id")
+    shared = stored(keyed.mapInArrow(repeated_batches, "key long, doc_id long"), "bands")
+    drawn = shared.join(marked.select("doc_id", "sketch"), "doc_id").repartition(parts(spark), "key").sortWithinPartitions("key", "doc_id")
+    alike = drawn.mapInArrow(partial(_alike_batches, cap=cap), "a long, b long")
+    roots = connected_components(near.unionByName(same).unionByName(alike))
+    some = split_by_ids(base, roots.withColumnRenamed("node", "doc_id"))[0].join(roots.withColumnRenamed("node", "doc_id"), "doc_id")
+    some = some.groupBy("doc_id", "root").agg(F.min_by("text", F.md5(F.col("text").cast("binary"))).alias("text"))
+    some = stored(some.withColumnRenamed("root", "cluster"), "texts")
+    size = some.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum(F.length("text")) / BLOCK_CHARS), F.lit(1)).alias("blocks"))
+    blocked = some.join(size, "cluster").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
+    dealt = blocked.select("cluster", "block", "doc_id", "text").repartition(parts(spark), "cluster", "block").sortWithinPartitions("cluster", "block", "doc_id")
+    links = stored(dealt.mapInArrow(partial(_block_batches, similarity=similarity), "a long, b long"), "near")
+    wide = stored(blocked.where("blocks > 1").select(F.col("cluster").alias("key"), F.col("doc_id").alias("node"), "block"), "wide")
+    if not wide.isEmpty():
+        rooted = wide.join(connected_components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        met = rest_against_blocks(rooted, BLOCK_ROWS).join(some.select(F.col("doc_id").alias("node"), "text"), "node")
+        links = links.unionByName(met.groupBy("key", "rest_block", "block").applyInArrow(_rest_blocks(similarity), "a long, b long"))
+    found = connected_components(links).withColumnRenamed("node", "first_id")
+    return ids.join(found, "first_id", "left").select("doc_id", F.coalesce("root", "first_id").alias("component_id"))
 
 
 def fingerprint_hex(fp):

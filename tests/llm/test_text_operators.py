@@ -12,6 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from quantarium.llm import bpe, chat, common, huffman, packing, pages, passages, pii, quality, simhash, winnow
+from quantarium.llm import queries as llm_queries
 from quantarium.llm.tokens import PieceEncoder, vocabulary_path
 
 SCHEMA = "doc_id long, text string, _row string, fp long, n_words long"  # extra columns with clashing names
@@ -67,13 +68,13 @@ def test_links_equal_brute_force(spark, cap, max_bits):
         for _ in range(40):
             x = int(b)
             for bit in rng.choice(64, rng.integers(1, 9), replace=False):
-                x ^= 1 << int(bit) if bit < 63 else 0
+                x ^= 1 << int(bit) if bit < 63 else -(2**63)
             fps.add(x)
+    fps |= {int(b) ^ -(2**63) for b in base[6:20]} | {0, -1}
     fps = sorted(fps)
-    edges = simhash.link_fingerprints(spark.createDataFrame([(x,) for x in fps], "fp long"), max_bits, cap)
+    edges = simhash.link_fingerprints(spark.createDataFrame([(x,) for x in [*fps, None]], "fp long"), max_bits, cap)
     got = {r.node: r.root for r in simhash.connected_components(edges).collect()}
-    a = np.array(fps)
-    near = [(fps[i], fps[j]) for i in range(len(fps)) for j in np.flatnonzero(np.bitwise_count(a ^ a[i]) <= max_bits)]
+    near = [(x, y) for x, y in itertools.combinations(fps, 2) if ((x ^ y) & (2**64 - 1)).bit_count() <= max_bits]
     want = roots(near, fps)
     assert {x: got.get(x, x) for x in fps} == want
 
@@ -105,6 +106,76 @@ def test_near_duplicate_texts(spark):
     assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 5}
 
 
+def test_op1_against_brute_force(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    want = {}
+    for r in docs.collect():
+        w = re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (r.text or "").encode()))
+        grams = [b" ".join(w[k : k + 4]) for k in range(len(w) - 3)] or [b" ".join(w)] * bool(w)
+        h = [xxhash.xxh64_intdigest(g, 42) for g in grams]
+        want[r.doc_id] = sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+    pairs = [(a, b) for a, b in itertools.combinations(want, 2) if (want[a] ^ want[b]).bit_count() <= 4]
+    comp = roots(pairs, want)
+    got = llm_queries.op1_simhash(spark, small).collect()
+    assert {r.doc_id: (r.fingerprint, r.component_id) for r in got} == {d: (f"{f:016x}", comp[d]) for d, f in want.items()}
+
+
+def edited_texts(n=60):
+    """(rows, pairs): pairs of texts of 200 words at a similarity of 0.8 or a little more: words changed here and there,
+    a block changed, words added at the end."""
+    rng = np.random.default_rng(5)
+    fill = lambda k: [f"w{x}" for x in rng.integers(0, 5000, k)]
+    rows, pairs = [], []
+    for k in range(n):
+        a = fill(200)
+        b = list(a)
+        if k % 3 == 0:
+            for at in (30, 80, 120, 160):
+                b[at] = f"new{k}"
+        elif k % 3 == 1:
+            b[90:106] = fill(16)
+        else:
+            b += fill(38)
+        rows += [(2 * k, " ".join(a)), (2 * k + 1, " ".join(b))]
+        pairs.append((2 * k, 2 * k + 1))
+    return rows, pairs
+
+
+def similarity(x, y):
+    a, b = (set(zip(*(w[k:] for k in range(5)))) for w in (x.split(), y.split()))
+    return len(a & b) / len(a | b)
+
+
+def test_near_duplicate_texts_of_all_edits(spark):
+    rows, pairs = edited_texts()
+    assert all(0.8 <= similarity(rows[a][1], rows[b][1]) for a, b in pairs)
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicate_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got[a] == got[b] for a, b in pairs) >= 0.98 * len(pairs) and len(set(got.values())) >= len(pairs)
+
+
+def test_near_duplicate_cloud_equals_brute_force(spark, monkeypatch):
+    """Many versions of one text, most of them too far apart, in more than one block and in buckets over the cap."""
+    monkeypatch.setattr(simhash, "BLOCK_ROWS", 100)
+    rng = np.random.default_rng(6)
+    base = [f"w{k}" for k in range(120)]
+    rows = []
+    for k in range(400):
+        w = list(base)
+        for at in rng.choice(120, rng.integers(1, 8), replace=False):
+            w[at] = f"q{rng.integers(10**6)}"
+        rows.append((k, " ".join(w)))
+    near = [(a, b) for (a, x), (b, y) in itertools.combinations(rows, 2) if similarity(x, y) >= 0.8]
+    want = roots(near, range(400))
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicate_texts(spark.createDataFrame(rows, "doc_id long, text string"), cap=50).collect()}
+    assert got == want and len(set(want.values())) > 20
+
+
+def test_near_duplicate_texts_odd_rows(spark, odd):
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicate_texts(odd).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 5, 7: 7}
+    assert simhash.near_duplicate_texts(odd.limit(0)).count() == 0
+
+
 # -- tokens -------------------------------------------------------------------
 
 
