@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -367,6 +368,35 @@ def test_edited_passages_all_meet(spark):
     assert all(len(rows[b][1][s.start : s.end].split()) >= 45 for (a, b), spans in got.items() for s in spans)
 
 
+def test_partly_shared_first_documents_lose_no_link(spark):
+    """An earlier document holds only a part of the passage that two later ones share: the two must still link."""
+    rng = np.random.default_rng(12)
+    fill = lambda k: [f"w{x}" for x in rng.integers(0, 50_000, k)]
+    rows, pairs = [], []
+    for k in range(60):
+        p = fill(50)
+        held = (30, 38, 44)[k % 3]
+        part = p[:held] if k % 2 else p[-held:]
+        rows += [(3 * k, " ".join(fill(40) + part + fill(60))), (3 * k + 1, " ".join(fill(70) + p + fill(20))), (3 * k + 2, " ".join(fill(20) + p + fill(50)))]
+        pairs.append((3 * k + 1, 3 * k + 2))
+    got = {r.doc_id: r for r in passages.passage_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[a].class_id == got[b].class_id for a, b in pairs)
+    assert all(got[b].n_links >= 1 and got[b].spans for _, b in pairs)
+
+
+def test_repeated_lines_are_matched_in_short_time():
+    rng = np.random.default_rng(13)
+    line = [f"l{k}".encode() for k in range(30)]
+    one = [w for k in range(700) for w in [*line, f"a{rng.integers(10**9)}".encode()]]
+    two = [w for k in range(700) for w in [*line, f"b{rng.integers(10**9)}".encode()]]
+    same = [b"the"] * 20_000
+    began = time.time()
+    assert passages.match(passages.shingles(same), passages.shingles(same[:9000]), 46, 0.8) == [(0, 19_996)]
+    passages.match(passages.shingles(one), passages.shingles(two), 46, 0.8)
+    assert passages.match(passages.shingles(one), passages.shingles(same), 46, 0.8) == []
+    assert time.time() - began < 5
+
+
 def test_compact_windows_cover_every_passage():
     rng = np.random.default_rng(2)
     for n, kinds in ((60, 10**9), (60, 3), (40, 1)):
