@@ -64,7 +64,8 @@ def keyword_flag(text, pattern: str) -> Column:
 def page_relevance(pages: DataFrame, terms: DataFrame) -> DataFrame:
     """pages (doc, page, tokens) by terms (query, token): the sum of ln((N + 1) / (df + 1)) + 1 over matched tokens, plus
     five times the share of the query's tokens found; with the number of matches."""
-    per = pages.select("doc", "page", F.explode("tokens").alias("token"))
+    wanted = terms.select("token").distinct()
+    per = pages.select("doc", "page", F.explode("tokens").alias("token")).join(wanted, "token", "left_semi")
     df = per.groupBy("doc", "token").agg(F.count_distinct("page").alias("df"))
     n = pages.groupBy("doc").agg(F.count("*").alias("n_pages"))
     size = terms.groupBy("query").agg(F.count("*").alias("n_terms"))

@@ -10,30 +10,47 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Days of one bucket of a series: a window of an as-of join holds one bucket, and a row a bucket carries on.
+BUCKET_DAYS = 90
+
+
+def _neighbours(targets: DataFrame, series: DataFrame, key: str, at: str, date: str, value: str, ahead: bool = False) -> DataFrame:
+    """targets with ``_found``, the (d, v) of their key's last observation on or before ``at``; with ``ahead``, the first
+    on or after it.
+
+    One sorted pass over the union of both inside each (key, bucket of days); where a bucket has no such observation,
+    that of the nearest bucket that has one is carried, from one row a bucket.
+    """
+    cols = [c for c in targets.columns if c not in (key, at)]
+    seen = F.struct(F.col(date).alias("d"), F.col(value).alias("v"))
+    right = series.where(F.col(value).isNotNull() & F.col(date).isNotNull()).select(key, F.col(date).alias("_t"), F.lit(0).alias("_target"), seen.alias("_seen"))
+    left = targets.select(key, F.col(at).alias("_t"), F.lit(1).alias("_target"), F.struct(at, *cols).alias("_row"))
+    both = left.unionByName(right, allowMissingColumns=True).withColumn("_b", F.floor(F.datediff(F.col("_t"), F.lit("1970-01-01").cast("date")) / BUCKET_DAYS))
+    pick, turn = (F.min, F.desc) if ahead else (F.max, F.asc)
+    heads = both.groupBy(key, "_b").agg(pick("_seen").alias("_own"))
+    carried = F.last("_own", ignorenulls=True).over(Window.partitionBy(key).orderBy(turn("_b")).rowsBetween(Window.unboundedPreceding, -1))
+    heads = heads.select(key, "_b", carried.alias("_carried"))
+    order = [F.desc("_t"), "_target"] if ahead else ["_t", "_target"]
+    inside = F.last("_seen", ignorenulls=True).over(Window.partitionBy(key, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    met = both.withColumn("_inside", inside).where("_target = 1")
+    joined = met.alias("x").join(heads.alias("y"), F.col(f"x.{key}").eqNullSafe(F.col(f"y.{key}")) & F.col("x._b").eqNullSafe(F.col("y._b")), "left")
+    return joined.select(f"x.{key}", "_row.*", F.coalesce("_inside", "_carried").alias("_found"))
+
+
 def asof_latest(targets: DataFrame, series: DataFrame, key: str, at: str = "at", date: str = "date", value: str = "value") -> DataFrame:
     """targets (key, at) with the last observation of the key on or before ``at``: found_date, found_value."""
-    w = Window.partitionBy(key).orderBy("_t", "_target").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cols = [c for c in targets.columns if c not in (key, at)]
-    left = targets.select(key, F.col(at).alias("_t"), F.lit(1).alias("_target"), F.struct(at, *cols).alias("_row"), F.lit(None).cast(series.schema[date].dataType).alias("_d"), F.lit(None).cast(series.schema[value].dataType).alias("_v"))
-    right = series.where(F.col(value).isNotNull()).select(key, F.col(date).alias("_t"), F.lit(0).alias("_target"), F.lit(None).cast(left.schema["_row"].dataType).alias("_row"), F.col(date).alias("_d"), F.col(value).alias("_v"))
-    both = left.unionByName(right).withColumn("found_date", F.last("_d", ignorenulls=True).over(w)).withColumn("found_value", F.last("_v", ignorenulls=True).over(w))
-    return both.where("_target = 1").select(key, "_row.*", "found_date", "found_value")
+    found = _neighbours(targets, series, key, at, date, value)
+    return found.select(*[c for c in found.columns if c != "_found"], F.col("_found")["d"].alias("found_date"), F.col("_found")["v"].alias("found_value"))
 
 
 def asof_nearest(targets: DataFrame, series: DataFrame, key: str, max_gap_days: int = 140, at: str = "at", date: str = "date", value: str = "value") -> DataFrame:
-    """The last observation on or before ``at``; without one, the first after it; null beyond ``max_gap_days``.
-
-    Both neighbours come from one sorted pass each way over the union, whatever the number of targets.
-    """
-    s = series.where(F.col(value).isNotNull()).select(key, F.col(date).alias("_t"), F.lit(0).alias("_k"), F.col(value).alias("_v"))
-    t = targets.select(key, F.col(at).alias("_t"), F.lit(1).alias("_k"), F.lit(None).cast("double").alias("_v"))
-    back = Window.partitionBy(key).orderBy("_t", "_k").rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(key).orderBy("_t", "_k").rowsBetween(0, Window.unboundedFollowing)
-    seen = F.when(F.col("_k") == 0, F.struct(F.col("_t").alias("d"), F.col("_v").alias("v")))
-    u = s.unionByName(t).withColumn("_p", F.last(seen, ignorenulls=True).over(back)).withColumn("_n", F.first(seen, ignorenulls=True).over(ahead)).where("_k = 1").distinct()
-    pick = F.coalesce("_p", "_n")
-    near = F.abs(F.datediff(pick["d"], F.col("_t"))) <= max_gap_days
-    return u.select(key, F.col("_t").alias(at), F.when(near, pick["d"]).alias("found_date"), F.when(near, pick["v"]).alias("found_value"))
+    """For each distinct (key, at), the last observation on or before ``at``; without one, the first after it; null beyond
+    ``max_gap_days``."""
+    back = _neighbours(targets.select(key, at).distinct(), series, key, at, date, value).withColumnRenamed("_found", "_back")
+    both = _neighbours(back, series, key, at, date, value, ahead=True)
+    pick = F.coalesce("_back", "_found")
+    near = F.abs(F.datediff(pick["d"], F.col(at))) <= max_gap_days
+    return both.select(key, at, F.when(near, pick["d"]).alias("found_date"), F.when(near, pick["v"]).alias("found_value"))
 
 
 def event_boundary(events: DataFrame, candles: DataFrame) -> DataFrame:

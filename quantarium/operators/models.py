@@ -139,14 +139,19 @@ def history_depth(n) -> Column:
     return band(n, (2000, 100), (1260, 95), (756, 85), (504, 70), (252, 50), (126, 35), (60, 20), (1, 10), otherwise=0)
 
 
+#: Classes of liquidity with their least volume in the currency and in others, and of the quality index.
+LIQUIDITY = {"USD": (("alta", 10e6), ("média", 1e6)), None: (("alta", 5e6), ("média", 3e5))}
+RATINGS = ((85, "alta"), (70, "boa"), (50, "média"))
+
+
 def liquidity_class(volume, currency) -> Column:
-    v, usd = F.col(volume), F.col(currency) == "USD"
-    high, medium = F.when(usd, 10e6).otherwise(5e6), F.when(usd, 1e6).otherwise(3e5)
-    return F.when(v.isNull(), "undefined").when(v >= high, "high").when(v >= medium, "medium").otherwise("low")
+    v, usd = F.col(volume), F.upper(currency) == "USD"
+    by = lambda c: F.when(v >= LIQUIDITY[c][0][1], LIQUIDITY[c][0][0]).when(v >= LIQUIDITY[c][1][1], LIQUIDITY[c][1][0]).otherwise("baixa")
+    return F.when(v.isNull(), "indefinida").when(usd, by("USD")).otherwise(by(None))
 
 
 def quality_rating(score) -> Column:
-    return band(score, (85, "excellent"), (70, "good"), (50, "fair"), otherwise="weak")
+    return F.when(F.col(score).isNull(), "indefinido").otherwise(band(score, *RATINGS, otherwise="baixa"))
 
 
 #: Weights of the quality index's dimensions.
@@ -175,16 +180,16 @@ def regime_labels(df: DataFrame) -> DataFrame:
     country picks the target and the currency band."""
     br = F.col("country") == "BR"
     target = F.when(br, 3.0).otherwise(2.0)
-    level = F.when(F.col("real_rate") >= 4, "high").when(F.col("real_rate") >= 1, "neutral").when(F.col("real_rate").isNotNull(), "low").otherwise("?")
-    moved = lambda c, up, down, flat, by: F.when(F.col(c) > by, up).when(F.col(c) < -by, down).when(F.col(c).isNotNull(), flat).otherwise("?")
+    moved = lambda c, up, down, flat, by: F.when(F.col(c) > by, up).when(F.col(c) < -by, down).when(F.col(c).isNotNull(), flat)
+    level = F.when(F.col("real_rate") >= 4, "alto").when(F.col("real_rate") >= 1, "neutro").when(F.col("real_rate").isNotNull(), "baixo").otherwise("?")
     i, a, b = F.col("inflation"), F.col("growth_start"), F.col("growth_end")
-    return df.withColumns(
+    return df.withColumns(  # fixed values: the labels
         {
-            "rate_regime": F.concat_ws("/", level, moved("rate_change", "rising", "falling", "stable", 0.5)),
-            "inflation_regime": F.when(i < 0, "deflation").when(i <= target + 1.5, "anchored").when(i <= target + 5, "pressured").when(i.isNotNull(), "unanchored").otherwise("?"),
-            "credit_regime": moved("credit_change", "expanding", "tightening", "stable", 0.5),
-            "currency_regime": F.when(br, moved("currency_change", "weaker", "stronger", "stable", 5)).otherwise(moved("currency_change", "weaker", "stronger", "stable", 3)),
-            "cycle": F.when(a.isNull() | b.isNull(), "?").when(b < 0, F.when(a < 0, "contraction").otherwise("entering_contraction")).when(a < 0, "recovery").when(b < a, "slowing").otherwise("expansion"),
+            "rate_regime": F.concat_ws("/", level, F.coalesce(moved("rate_change", "subindo", "caindo", "estável", 0.5), F.lit("estável"))),
+            "inflation_regime": F.when(i < 0, "deflação").when(i <= target + 1.5, "ancorada").when(i <= target + 5, "pressionada").when(i.isNotNull(), "desancorada"),
+            "credit_regime": moved("credit_change", "expansão", "contração", "neutro", 0.5),
+            "currency_regime": F.when(br, moved("currency_change", "BRL depreciou", "BRL apreciou", "estável", 5)).otherwise(moved("currency_change", "dólar fortaleceu", "dólar enfraqueceu", "estável", 3)),
+            "cycle": F.when(b < 0, F.when(a < 0, "contração").otherwise("entrando em contração")).when(a < 0, "recuperação").when(b < a, "desaceleração").when(b.isNotNull(), "expansão"),
         }
     )
 

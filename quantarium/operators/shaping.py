@@ -94,8 +94,12 @@ def lineage(packages: DataFrame) -> DataFrame:
     """Version and superseded id of packages (id, market_date, created): versions count within a market date; a package
     whose market date is older than one before it is refused."""
     w = Window.partitionBy("market_date").orderBy("created", "id")
-    newest = F.max("market_date").over(Window.orderBy("created", "id").rowsBetween(Window.unboundedPreceding, -1))
-    return packages.select("*", F.row_number().over(w).alias("version"), F.lag("id").over(w).alias("supersedes"), F.coalesce(F.col("market_date") < newest, F.lit(False)).alias("refused"))
+    firsts = packages.where("market_date IS NOT NULL").groupBy("market_date").agg(F.min(F.struct("created", "id")).alias("_first"))
+    later = Window.orderBy(F.desc("market_date")).rowsBetween(Window.unboundedPreceding, -1)  # one row a date
+    firsts = firsts.select("market_date", F.min("_first").over(later).alias("_newer"))
+    numbered = packages.withColumns({"version": F.row_number().over(w), "supersedes": F.lag("id").over(w)}).join(firsts, "market_date", "left")
+    refused = F.coalesce(F.col("_newer") < F.struct("created", "id"), F.lit(False))
+    return numbered.select(*packages.columns, "version", "supersedes", refused.alias("refused"))
 
 
 def reindex(have: DataFrame, wanted: DataFrame, parser: int, most: int = 16) -> DataFrame:

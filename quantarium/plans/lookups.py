@@ -29,12 +29,11 @@ def asof_latest(spark, d):
     return M.rounded(J.asof_latest(_targets(spark, d), observations(spark, d), "series"))
 
 
-@query("asof_nearest_with_gap", with_views("", "observations") + f""", {_TARGETS}, late AS (SELECT * FROM observations WHERE date >= DATE '1996-01-01'), p AS (SELECT DISTINCT t.series, t.at, o.date AS pd, o.value AS pv FROM targets t ASOF LEFT JOIN late o ON t.series = o.series AND t.at >= o.date),
- q AS (SELECT p.*, o.date AS nd, o.value AS nv FROM p ASOF LEFT JOIN late o ON p.series = o.series AND p.at <= o.date)
+@query("asof_nearest_with_gap", with_views("", "observations") + f""", {_TARGETS}, p AS (SELECT DISTINCT t.series, t.at, o.date AS pd, o.value AS pv FROM targets t ASOF LEFT JOIN observations o ON t.series = o.series AND t.at >= o.date),
+ q AS (SELECT p.*, o.date AS nd, o.value AS nv FROM p ASOF LEFT JOIN observations o ON p.series = o.series AND p.at <= o.date)
  SELECT q.series, q.at, CASE WHEN abs(date_diff('day', q.at, coalesce(pd, nd))) <= 140 THEN coalesce(pd, nd) END AS found_date, CASE WHEN abs(date_diff('day', q.at, coalesce(pd, nd))) <= 140 THEN {r4('CASE WHEN pd IS NULL THEN nv ELSE pv END')} END AS found_value FROM q""")
 def asof_nearest(spark, d):
-    late = observations(spark, d).where(F.col("date") >= F.lit("1996-01-01").cast("date"))
-    return M.rounded(J.asof_nearest(_targets(spark, d).select("series", "at"), late, "series", 140))
+    return M.rounded(J.asof_nearest(_targets(spark, d).select("series", "at"), observations(spark, d), "series", 140))
 
 
 def _split_events(spark, d):
@@ -75,10 +74,10 @@ def join_filing_index(spark, d):
     return J.filing_index(o.select("company", "period", "version").distinct(), index, ["company", "period"], "version")
 
 
-@query("join_universe_discovery", "SELECT doc_id, lang, source FROM documents WHERE source IN (SELECT 'src' || n_nationkey FROM nation WHERE n_regionkey = 1) AND lang IN ('en', 'fr') AND doc_id >= 100")
+@query("join_universe_discovery", "SELECT doc_id, lang, source FROM documents WHERE source IN (SELECT 'src' || n_nationkey FROM nation WHERE n_regionkey = 1) AND lang IN ('en', 'fr')")
 def join_universe_discovery(spark, d):
     universe = table(spark, d, "nation").where("n_regionkey = 1").select(F.concat(F.lit("src"), "n_nationkey").alias("source"))
-    return table(spark, d, "documents").where(F.col("lang").isin("en", "fr") & (F.col("doc_id") >= 100)).join(universe, "source", "left_semi").select("doc_id", "lang", "source")
+    return table(spark, d, "documents").where(F.col("lang").isin("en", "fr")).join(universe, "source", "left_semi").select("doc_id", "lang", "source")
 
 
 @query("join_documents_assets", "SELECT doc_id, n_name AS asset FROM documents JOIN nation ON doc_id % 25 = n_nationkey WHERE n_regionkey <> 0 AND lang = 'de' ORDER BY doc_id DESC LIMIT 100")
@@ -133,13 +132,13 @@ def match_event_tolerant(spark, d):
     return M.rounded(J.tolerant_match(w, ev))
 
 
-@query("best_text_match_join", """WITH e AS (SELECT item_id AS id, list_distinct(list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda x: length(x) >= 6)) AS t FROM benchmark), c AS (SELECT doc_id AS cand, list_distinct(list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda x: length(x) >= 6)) AS t FROM documents WHERE lang = 'en'),
+@query("best_text_match_join", """WITH e AS (SELECT item_id AS id, list_distinct(list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda x: length(x) >= 6)) AS t FROM benchmark), c AS (SELECT doc_id AS cand, list_distinct(list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda x: length(x) >= 6)) AS t FROM documents),
  m AS (SELECT id, cand, count(*) / least(any_value(ne), any_value(nc)) AS score FROM (SELECT id, len(t) AS ne, unnest(t) AS w FROM e) JOIN (SELECT cand, len(t) AS nc, unnest(t) AS w FROM c) USING (w) GROUP BY 1, 2)
  SELECT id, cand, floor(score * 1e4 + 0.5) / 1e4 AS score FROM m WHERE score >= 0.2 QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, cand) = 1""")
 def best_text_match(spark, d):
     tok = F.array_distinct(F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda x: F.length(x) >= 6)).alias("tokens")
     e = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), tok)
-    c = table(spark, d, "documents").where("lang = 'en'").select(F.col("doc_id").alias("cand"), tok)
+    c = table(spark, d, "documents").select(F.col("doc_id").alias("cand"), tok)
     return M.rounded(J.best_text_match(e, c))
 
 
@@ -264,7 +263,7 @@ def no_regression(spark, d):
 @query("stratified_sample", "SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY sha256(CAST(doc_id AS VARCHAR))) AS rn FROM documents) ORDER BY rn, lang LIMIT 60")
 def stratified_sample(spark, d):
     w = Window.partitionBy("lang").orderBy(F.sha2(F.col("doc_id").cast("string").cast("binary"), 256))
-    return table(spark, d, "documents").select("doc_id", "lang", F.row_number().over(w).alias("rn")).orderBy("rn", "lang").limit(60).select("doc_id", "lang")
+    return table(spark, d, "documents").select("doc_id", "lang", F.row_number().over(w).alias("rn")).where("rn <= 60").orderBy("rn", "lang").limit(60).select("doc_id", "lang")
 
 
 @query("topk_documents", "SELECT source, doc_id, n_chars FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) <= 6")
@@ -276,15 +275,15 @@ def topk_documents(spark, d):
 @query("running_char_budget", "SELECT source, doc_id, greatest(0, least(n, 28000 - before)) AS used FROM (SELECT source, doc_id, length(text) AS n, coalesce(sum(length(text)) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM documents)".replace("greatest(0, least(n, 28000 - before))", "CAST(greatest(0, least(n, 28000 - before)) AS BIGINT)"))
 def running_char_budget(spark, d):
     w = Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    t = table(spark, d, "documents").select("source", "doc_id", "text", F.coalesce(F.sum(F.length("text")).over(w), F.lit(0)).alias("before"))
-    taken = F.expr("substring(text, 1, CAST(greatest(0, 28000 - before) AS INT))")
-    return t.select("source", "doc_id", F.length(taken).cast("long").alias("used"))
+    t = table(spark, d, "documents").select("source", "doc_id", F.length("text").alias("n"))
+    t = t.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0)))
+    return t.select("source", "doc_id", F.greatest(F.lit(0), F.least(F.col("n"), 28000 - F.col("before"))).cast("long").alias("used"))
 
 
-@query("stable_multi_key_sort", "SELECT l_suppkey, l_shipdate, l_orderkey, l_linenumber, l_extendedprice FROM lineitem ORDER BY l_suppkey, l_shipdate, l_orderkey, l_linenumber, l_extendedprice LIMIT 500")
+@query("stable_multi_key_sort", "SELECT l_suppkey, l_shipdate, l_orderkey, l_linenumber, l_extendedprice FROM lineitem ORDER BY l_suppkey, l_shipdate, l_orderkey, l_linenumber, l_extendedprice")
 def stable_sort(spark, d):
     keys = ["l_suppkey", "l_shipdate", "l_orderkey", "l_linenumber", "l_extendedprice"]
-    return table(spark, d, "lineitem").select(*keys).orderBy(*keys).limit(500)
+    return table(spark, d, "lineitem").select(*keys).orderBy(*keys)
 
 
 @query("last_status_run", "SELECT event_type, max(ts) AS ts, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY 1")

@@ -137,14 +137,14 @@ def history_depth(spark, d):
     return g.withColumn("depth", Q.history_depth("n"))
 
 
-@query("liquidity_class", with_views("SELECT ticker, CASE WHEN v >= 5e6 THEN 'high' WHEN v >= 3e5 THEN 'medium' ELSE 'low' END AS class FROM (SELECT ticker, avg(close * volume) AS v FROM candles GROUP BY 1)", "candles"))
+@query("liquidity_class", with_views("SELECT ticker, CASE WHEN v >= 5e6 THEN 'alta' WHEN v >= 3e5 THEN 'média' ELSE 'baixa' END AS class FROM (SELECT ticker, avg(close * volume) AS v FROM candles GROUP BY 1)", "candles"))
 def liquidity_class(spark, d):
     g = candles(spark, d).groupBy("ticker").agg(F.avg(F.col("close") * F.col("volume")).alias("v")).withColumn("cur", F.lit("BRL"))
     return g.select("ticker", Q.liquidity_class("v", "cur").alias("class"))
 
 
 @query("data_quality_index", with_views(f"""SELECT ticker, floor(((90.0 * 20 + {_LADDER} * 25.0 + CASE WHEN ticker % 3 = 0 THEN 0 ELSE 60.0 * 25 END + CASE WHEN ticker % 3 = 0 THEN 0 ELSE 70.0 * 20 END + 50.0 * 10 + 100.0 * 20) / CASE WHEN ticker % 3 = 0 THEN 75 ELSE 120 END) * 10 + 0.5) / 10 AS score,
- CASE WHEN floor(((90.0 * 20 + {_LADDER} * 25.0 + CASE WHEN ticker % 3 = 0 THEN 0 ELSE 60.0 * 25 END + CASE WHEN ticker % 3 = 0 THEN 0 ELSE 70.0 * 20 END + 50.0 * 10 + 100.0 * 20) / CASE WHEN ticker % 3 = 0 THEN 75 ELSE 120 END) * 10 + 0.5) / 10 >= 85 THEN 'excellent' WHEN floor(((90.0 * 20 + {_LADDER} * 25.0 + CASE WHEN ticker % 3 = 0 THEN 0 ELSE 60.0 * 25 END + CASE WHEN ticker % 3 = 0 THEN 0 ELSE 70.0 * 20 END + 50.0 * 10 + 100.0 * 20) / CASE WHEN ticker % 3 = 0 THEN 75 ELSE 120 END) * 10 + 0.5) / 10 >= 70 THEN 'good' ELSE 'fair' END AS rating FROM (SELECT ticker, count(*) AS n FROM candles GROUP BY 1)""", "candles"))
+ CASE WHEN floor(((90.0 * 20 + {_LADDER} * 25.0 + CASE WHEN ticker % 3 = 0 THEN 0 ELSE 60.0 * 25 END + CASE WHEN ticker % 3 = 0 THEN 0 ELSE 70.0 * 20 END + 50.0 * 10 + 100.0 * 20) / CASE WHEN ticker % 3 = 0 THEN 75 ELSE 120 END) * 10 + 0.5) / 10 >= 85 THEN 'alta' WHEN floor(((90.0 * 20 + {_LADDER} * 25.0 + CASE WHEN ticker % 3 = 0 THEN 0 ELSE 60.0 * 25 END + CASE WHEN ticker % 3 = 0 THEN 0 ELSE 70.0 * 20 END + 50.0 * 10 + 100.0 * 20) / CASE WHEN ticker % 3 = 0 THEN 75 ELSE 120 END) * 10 + 0.5) / 10 >= 70 THEN 'boa' ELSE 'média' END AS rating FROM (SELECT ticker, count(*) AS n FROM candles GROUP BY 1)""", "candles"))
 def data_quality_index(spark, d):
     g = history_depth(spark, d)
     fund = F.col("ticker") % 3 == 0
@@ -152,7 +152,7 @@ def data_quality_index(spark, d):
     return Q.data_quality_index(s).select("ticker", "score", "rating")
 
 
-@query("quality_index_capped", "SELECT s_suppkey, floor(least(80.0, CASE WHEN s_suppkey % 2 = 0 THEN 50.0 ELSE 100.0 END) * 10 + 0.5) / 10 AS score, CASE WHEN s_suppkey % 2 = 0 THEN 'fair' ELSE 'good' END AS rating FROM supplier")
+@query("quality_index_capped", "SELECT s_suppkey, floor(least(80.0, CASE WHEN s_suppkey % 2 = 0 THEN 50.0 ELSE 100.0 END) * 10 + 0.5) / 10 AS score, CASE WHEN s_suppkey % 2 = 0 THEN 'média' ELSE 'boa' END AS rating FROM supplier")
 def quality_index_capped(spark, d):
     s = table(spark, d, "supplier").select("s_suppkey", *[F.lit(80.0).alias(k) for k in Q.WEIGHTS], F.when(F.col("s_suppkey") % 2 == 0, 50.0).otherwise(100.0).alias("cap"))
     return Q.data_quality_index(s, "cap").select("s_suppkey", "score", "rating")
@@ -168,9 +168,9 @@ def economic_profile(spark, d):
 _REGIME_IN = "SELECT s_suppkey AS id, CASE WHEN s_suppkey % 2 = 0 THEN 'BR' ELSE 'US' END AS country, s_acctbal / 1000 AS x FROM supplier"
 
 
-@query("regime_labels", f"""WITH r AS ({_REGIME_IN}) SELECT id, (CASE WHEN x >= 4 THEN 'high' WHEN x >= 1 THEN 'neutral' ELSE 'low' END) || '/' || (CASE WHEN x - 3 > 0.5 THEN 'rising' WHEN x - 3 < -0.5 THEN 'falling' ELSE 'stable' END) AS rate_regime,
- CASE WHEN x < 0 THEN 'deflation' WHEN x <= t + 1.5 THEN 'anchored' WHEN x <= t + 5 THEN 'pressured' ELSE 'unanchored' END AS inflation_regime, CASE WHEN x - 3 > 0.5 THEN 'expanding' WHEN x - 3 < -0.5 THEN 'tightening' ELSE 'stable' END AS credit_regime,
- CASE WHEN x > b THEN 'weaker' WHEN x < -b THEN 'stronger' ELSE 'stable' END AS currency_regime, CASE WHEN x - 4 < 0 THEN CASE WHEN x < 0 THEN 'contraction' ELSE 'entering_contraction' END WHEN x < 0 THEN 'recovery' WHEN x - 4 < x THEN 'slowing' ELSE 'expansion' END AS cycle FROM (SELECT *, CASE WHEN country = 'BR' THEN 3.0 ELSE 2.0 END AS t, CASE WHEN country = 'BR' THEN 5 ELSE 3 END AS b FROM r)""")
+@query("regime_labels", f"""WITH r AS ({_REGIME_IN}) SELECT id, (CASE WHEN x >= 4 THEN 'alto' WHEN x >= 1 THEN 'neutro' ELSE 'baixo' END) || '/' || (CASE WHEN x - 3 > 0.5 THEN 'subindo' WHEN x - 3 < -0.5 THEN 'caindo' ELSE 'estável' END) AS rate_regime,
+ CASE WHEN x < 0 THEN 'deflação' WHEN x <= t + 1.5 THEN 'ancorada' WHEN x <= t + 5 THEN 'pressionada' ELSE 'desancorada' END AS inflation_regime, CASE WHEN x - 3 > 0.5 THEN 'expansão' WHEN x - 3 < -0.5 THEN 'contração' ELSE 'neutro' END AS credit_regime,
+ CASE WHEN x > b THEN CASE WHEN country = 'BR' THEN 'BRL depreciou' ELSE 'dólar fortaleceu' END WHEN x < -b THEN CASE WHEN country = 'BR' THEN 'BRL apreciou' ELSE 'dólar enfraqueceu' END ELSE 'estável' END AS currency_regime, CASE WHEN x - 4 < 0 THEN CASE WHEN x < 0 THEN 'contração' ELSE 'entrando em contração' END WHEN x < 0 THEN 'recuperação' WHEN x - 4 < x THEN 'desaceleração' ELSE 'expansão' END AS cycle FROM (SELECT *, CASE WHEN country = 'BR' THEN 3.0 ELSE 2.0 END AS t, CASE WHEN country = 'BR' THEN 5 ELSE 3 END AS b FROM r)""")
 def regime_labels(spark, d):
     s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.when(F.col("s_suppkey") % 2 == 0, "BR").otherwise("US").alias("country"), (F.col("s_acctbal") / 1000).alias("x"))
     x = F.col("x")

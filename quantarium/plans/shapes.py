@@ -129,12 +129,11 @@ def adjustment_sum(spark, d):
     return M.rounded(S.adjustment_sum(e))
 
 
-@query("package_lineage", """SELECT id, version, supersedes, refused FROM (SELECT n_nationkey AS id, row_number() OVER w AS version, lag(n_nationkey) OVER w AS supersedes, coalesce(m < max(m) OVER (ORDER BY n_nationkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS refused
- FROM (SELECT n_nationkey, DATE '2026-01-01' + CAST(n_nationkey // 3 - (n_nationkey % 7) // 6 * 2 AS INTEGER) AS m FROM nation) WINDOW w AS (PARTITION BY m ORDER BY n_nationkey))""")
+@query("package_lineage", """WITH p AS (SELECT o_orderkey AS id, o_custkey AS created, CAST(o_orderdate AS DATE) AS m FROM orders)
+ SELECT id, row_number() OVER w AS version, lag(id) OVER w AS supersedes, coalesce(m < max(m) OVER (ORDER BY created, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS refused FROM p WINDOW w AS (PARTITION BY m ORDER BY created, id)""")
 def package_lineage(spark, d):
-    k = F.col("n_nationkey")
-    day = F.date_add(F.lit("2026-01-01").cast("date"), (F.floor(k / 3) - F.floor((k % 7) / 6) * 2).cast("int"))
-    return S.lineage(table(spark, d, "nation").select(k.alias("id"), day.alias("market_date"), k.alias("created"))).select("id", "version", "supersedes", "refused")
+    p = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.to_date("o_orderdate").alias("market_date"), F.col("o_custkey").alias("created"))
+    return S.lineage(p).select("id", "version", "supersedes", "refused")
 
 
 @query("reindex_by_terms", "SELECT s_suppkey AS id, CASE WHEN s_suppkey % 2 = 0 THEN 'debt,margin' ELSE 'debt' END AS terms FROM supplier WHERE s_suppkey % 2 = 0 OR s_suppkey % 3 = 0")

@@ -62,14 +62,14 @@ def token_overlap(spark, d):
     return t.withColumnRenamed("item_id", "a").join(b, "a").select("a", "b", rnd(C.overlap("t", "u"), 4).alias("score"))
 
 
-_REL = r"""pg AS (SELECT doc_id AS doc, CAST(k AS BIGINT) AS page, list_distinct(string_split_regex(lower(line), '[^a-z]+')) AS tokens FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents WHERE lang = 'en')),
+_REL = r"""pg AS (SELECT doc_id AS doc, CAST(k AS BIGINT) AS page, list_distinct(string_split_regex(lower(line), '[^a-z]+')) AS tokens FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents)),
  per AS (SELECT doc, page, unnest(tokens) AS token FROM pg), df AS (SELECT doc, token, count(DISTINCT page) AS df FROM per GROUP BY 1, 2), n AS (SELECT doc, count(*) AS n FROM pg GROUP BY 1),
  terms AS (SELECT query, token FROM (VALUES ('q1', 'the'), ('q1', 'and'), ('q1', 'erthat'), ('q2', 'tion'), ('q2', 'ing')) v(query, token)), sz AS (SELECT query, count(*) AS nt FROM terms GROUP BY 1),
  sc AS (SELECT p.doc, t.query, p.page, sum(ln((n.n + 1) / (df.df + 1)) + 1) + 5.0 * count(*) / max(sz.nt) AS score, count(*) AS matches FROM per p JOIN terms t USING (token) JOIN df ON df.doc = p.doc AND df.token = p.token JOIN n ON n.doc = p.doc JOIN sz ON sz.query = t.query GROUP BY 1, 2, 3)"""
 
 
 def _scored(spark, d):
-    docs = table(spark, d, "documents").where("lang = 'en'")
+    docs = table(spark, d, "documents")
     pages = docs.select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n")).alias("page", "line")).select("doc", (F.col("page") + 1).cast("long").alias("page"), F.array_distinct(F.split(F.lower("line"), "[^a-z]+")).alias("tokens"))
     terms = spark.createDataFrame([("q1", "the"), ("q1", "and"), ("q1", "erthat"), ("q2", "tion"), ("q2", "ing")], "query string, token string")
     return D.page_relevance(pages, terms)
