@@ -1,10 +1,11 @@
 """Main text of web pages by equivalence-class template deduction.
 
-Pages of one host come from few templates. A token is a tag or a text block at its path; tokens that occur equally
-often on each of the host's pages (the same occurrence vector) form a class. Classes that many pages support are the
-template: the class of tokens that are once on every page cuts a page into slots, and the other classes count when
-all their occurrences nest in one slot. What is left between template tokens is content; the slots that hold the
-article are extracted.
+Pages of one host come from few templates. A token is an element at its path (names, classes and ids on the way) or a
+text block at its path; tokens that occur equally often on each of the host's pages (the same occurrence vector) form a
+class. Tokens that most of a host's pages hold are its template: elements that occur once a page nest into a tree of
+slots, and text blocks among them are fixed text, which is no content. What is left in the slots is free text. From the
+root, the template's tree is followed down as long as one element holds most of the free text of all the host's pages
+and leaves no heading behind: that element is the slot of the article. On each page its blocks are extracted.
 
 Vectors are never built: each page adds a hash of (page, count) to its tokens' signatures, so a host's vectors are
 sums with partial aggregation, and a host with a third of all pages is no hot task. A host's template is bounded by
@@ -16,11 +17,14 @@ from __future__ import annotations
 import html as entities
 import re
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
+
 #: Fixed: element names by their role in HTML, and words of class and id attributes that mark what is no article.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -32,10 +36,18 @@ CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "t
 #: Blocks that end an open paragraph.
 ENDS_P = BLOCKS - {"body", "html", "head", "title", "option", "caption", "td", "th", "tr", "tbody", "thead", "tfoot"}
 
+#: Of these words, those that mark an element also as a part of a longer class name, unless it is a paragraph.
+PART_MARKS = frozenset("breadcrumb breadcrumbs comment comments cookie cookies footer gdpr menu nav navbar navigation newsletter respond sidebar".split())
+#: An element is followed down to if it holds this share of its parent's free text.
+MOST = 0.6
+#: Pages of a host from which on a text block on each of them, inside the article too, is no content.
+FIXED_PAGES = 5
+
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:"[^"]*"|'[^']*'|[^'">])*)>""", re.S)
-_MARK = re.compile(r"""(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_MARK = re.compile(r"""(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _END_RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
-_WORD = re.compile(r"[a-z]+")
+_DIGITS = re.compile(r"[0-9]+")
+ROOT, OTHER, HEADING, ARTICLE, OUT, TEXT = 0, 0, 1, 2, 3, 4
 
 
 def host(url: str | None) -> str:
@@ -43,170 +55,280 @@ def host(url: str | None) -> str:
     return m.group(1).lower() if m else ""
 
 
-class Block:
-    """A run of text of one block element. where: its path; main, outside: inside an article, inside a menu or the like."""
-
-    __slots__ = ("at", "linked", "main", "outside", "text", "where")
-
-    def __init__(self, text, where, main, outside, linked, at):
-        self.text, self.where, self.main, self.outside, self.linked, self.at = text, where, main, outside, linked, at
-
-
-def token(kind: str, where: str, text: str = "") -> int:
-    return xxhash.xxh64_intdigest(f"{kind}\x00{where}\x00{text}".encode("utf-8", "surrogatepass"), 7) - (1 << 63)
-
-
-def parse(source: str) -> tuple[list[tuple[int, int]], list[Block]]:
-    """(tag token, place) and the text blocks of a page, in page order. Open elements and stray ends are tolerated."""
-    tags, blocks, stack = [], [], []  # stack: (name, path, main, outside)
-    pieces, linked, at, place, links = [], 0, 0, 0, 0
-
-    def flush():
-        nonlocal linked
-        text = " ".join("".join(pieces).split())
-        if text:
-            _, path, main, outside = stack[-1] if stack else ("", "", False, False)
-            blocks.append(Block(text, path, main, outside, linked * 2 > len(text), place))
-        pieces.clear()
-        linked = 0
-
-    def add(raw):
-        nonlocal linked
-        if raw:
-            text = entities.unescape(raw) if "&" in raw else raw
-            pieces.append(text)
-            linked += len(text) * (links > 0)
-
-    def pop(k):
-        nonlocal links
-        for name, *_ in stack[k:]:
-            links -= name == "a"
-        del stack[k:]
-
-    n = len(source)
-    while at < n:
-        m = _TAG.search(source, at)
-        if not m:
-            add(source[at:])
-            break
-        add(source[at : m.start()])
-        at = m.end()
-        name = (m.group(2) or "").lower()
-        if not name:
-            continue
-        if name == "br":
-            pieces.append(" ")
-            continue
-        if m.group(1):  # an end
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
+def token(up: int, kind: str, what: str) -> int:
+    """A token from its parent's token: paths of any depth cost the same."""
+    return xxhash.xxh64_intdigest(f"{up}\x00{kind}\x00{what}".encode("utf-8", "surrogatepass"), 7) - (1 << 63)
+
+
+def _role(name: str, marks: list[tuple[str, str]]) -> int:
+    words = {w for kind, value in marks if kind != "role" for w in value.lower().split()} | {v.lower() for k, v in marks if k == "role"}
+    if name in MAIN or ("role", "main") in marks:
+        return ARTICLE
+    if name in OUTSIDE or not MARKS.isdisjoint(words):
+        return OUT
+    if name in ("h1", "h2", "h3"):
+        return HEADING
+    if name != "p" and any(not PART_MARKS.isdisjoint(re.split(r"[-_]+", w)) for w in words):
+        return OUT
+    return OTHER
+
+
+class Page:
+    """A parsed page. up, tokens, roles: of each element its parent's number, token and role, the root first; blocks: of
+    each text block its element's number, its text and whether it is mostly linked. Open elements and stray ends are
+    tolerated."""
+
+    def __init__(self, source: str):
+        self.up, self.tokens, self.roles = [-1], [token(0, "root", "")], [OTHER]
+        self.blocks: list[tuple[int, str, bool]] = []
+        self._parse(source)
+
+    def _parse(self, source):
+        stack = [("", 0)]  # (name, element)
+        opened: dict[str, int] = {}
+        pieces, linked, links = [], 0, 0
+
+        def flush():
+            nonlocal linked
+            text = " ".join("".join(pieces).split())
+            if text:
+                self.blocks.append((stack[-1][1], text, linked * 2 > len(text)))
+            pieces.clear()
+            linked = 0
+
+        def add(raw):
+            nonlocal linked
+            if raw:
+                text = entities.unescape(raw) if "&" in raw else raw
+                pieces.append(text)
+                linked += len(text) * (links > 0)
+
+        def pop(k):
+            nonlocal links
+            for name, _ in stack[k:]:
+                opened[name] -= 1
+                links -= name == "a"
+            del stack[k:]
+
+        at, last = 0, source.rfind(">") + 1
+        hidden = source.find("<!--", last)
+        n = len(source) if hidden < 0 else hidden
+        while at < n:
+            m = _TAG.search(source, at, last)
+            if not m:
+                add(source[at:n])
+                break
+            add(source[at : m.start()])
+            at = m.end()
+            name = (m.group(2) or "").lower()
+            if not name:
+                continue
+            if name == "br":
+                pieces.append(" ")
+                continue
+            if m.group(1):  # an end
+                if name in BLOCKS:
+                    flush()
+                if opened.get(name):
+                    pop(next(k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == name))
+                continue
             if name in BLOCKS:
                 flush()
-            if k is not None:
-                tags.append((token("/", stack[k][1]), place))
-                place += 1
-                pop(k)
-            continue
-        if name in BLOCKS:
-            flush()
-            wanted = CLOSES.get(name, ())
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in wanted or (name in ENDS_P and stack[k][0] == "p"):
-                    pop(k)
-                    break
-                if stack[k][0] in BLOCKS:
-                    break
-        _, path, main, outside = stack[-1] if stack else ("", "", False, False)
-        words = [w for g in _MARK.finditer(m.group(3)) for w in _WORD.findall((g.group(1) or g.group(2) or g.group(3) or "").lower())]
-        if name in MAIN or "main" in words and "role" in m.group(3).lower():
-            main, outside = True, False
-        outside = outside or (name in OUTSIDE and not (name == "header" and main)) or not MARKS.isdisjoint(words)
-        path = f"{path}/{name}"
-        if name in VOID or m.group(3).endswith("/"):
-            continue
-        tags.append((token("<", path), place))
-        place += 1
-        if name in RAW:
-            end = _END_RAW[name].search(source, at)
-            at = end.end() if end else n
-            continue
-        stack.append((name, path, main, outside))
-        links += name == "a"
-    flush()
-    return tags, blocks
-
-
-def block_token(b: Block) -> int:
-    return token("t", b.where, b.text)
+                wanted = CLOSES.get(name, ())
+                if any(opened.get(x) for x in (*wanted, "p")):
+                    for k in range(len(stack) - 1, 0, -1):
+                        if stack[k][0] in wanted or (name in ENDS_P and stack[k][0] == "p"):
+                            pop(k)
+                            break
+                        if stack[k][0] in BLOCKS:
+                            break
+            if name in VOID or m.group(3).endswith("/"):
+                continue
+            if name in RAW:
+                end = _END_RAW[name].search(source, at)
+                at = end.end() if end else n
+                continue
+            marks = [(g.group(1).lower(), g.group(2) or g.group(3) or g.group(4) or "") for g in _MARK.finditer(m.group(3))] if m.group(3) else []
+            parent = stack[-1][1]
+            if name in BLOCKS or marks or name in MAIN:
+                self.up.append(parent)
+                self.tokens.append(token(self.tokens[parent], "<", name + _DIGITS.sub("0", "".join(f" {k}={v}" for k, v in marks))))
+                self.roles.append(_role(name, marks))
+                parent = len(self.up) - 1
+            stack.append((name, parent))  # a plain inline element belongs to the one around it
+            opened[name] = opened.get(name, 0) + 1
+            links += name == "a"
+        flush()
+
+    def block_token(self, k: int) -> int:
+        return token(self.tokens[self.blocks[k][0]], "t", self.blocks[k][1])
+
+    def chars(self) -> list[int]:
+        """Characters of the text inside each element."""
+        out = [0] * len(self.up)
+        for e, text, _ in self.blocks:
+            out[e] += len(text)
+        for e in range(len(out) - 1, 0, -1):
+            out[self.up[e]] += out[e]
+        return out
+
+
+_TOKENS = "host string, token long, up long, role int, n long, chars long, page long"
 
 
 def _token_batches(batches):
     for b in batches:
-        hosts, toks, counts, pages = [], [], [], []
-        for page, url, source in zip(b.column("page_id").to_pylist(), b.column("url").to_pylist(), b.column("html").to_pylist()):
-            tags, blocks = parse(source)
-            seen: dict[int, int] = {}
-            for t in [*(t for t, _ in tags), *map(block_token, blocks)]:
-                seen[t] = seen.get(t, 0) + 1
-            h, at = host(url), xxhash.xxh64_intdigest(f"{page}\x00{source}".encode("utf-8", "surrogatepass"))
-            seen[0] = 1  # the page itself
-            hosts += [h] * len(seen)
-            toks += seen.keys()
-            counts += seen.values()
-            pages += [xxhash.xxh64_intdigest(f"{at}:{c}") >> 24 for c in seen.values()]  # 40 bits: sums stay far below 64
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(toks, pa.int64()), pa.array(counts, pa.int64()), pa.array(pages, pa.int64())], ["host", "token", "n", "page"])
+        cols = ([], [], [], [], [], [], [])
+        for page_id, url, source in zip(b.column("page_id").to_pylist(), b.column("url").to_pylist(), b.column("html").to_pylist()):
+            page = Page(source)
+            seen: dict[int, list[int]] = {ROOT: [0, OTHER, 1, 0]}  # the page itself
+            for e, n in enumerate(page.chars()):
+                got = seen.setdefault(page.tokens[e], [page.tokens[page.up[e]] if e else 0, page.roles[e], 0, 0])
+                got[2] += 1
+                got[3] += n
+            for k, (e, text, _) in enumerate(page.blocks):
+                got = seen.setdefault(page.block_token(k), [page.tokens[e], TEXT, 0, 0])
+                got[2] += 1
+                got[3] += len(text)
+            at = xxhash.xxh64_intdigest(f"{page_id}\x00{source}".encode("utf-8", "surrogatepass"))
+            rows = [(t, *v, xxhash.xxh64_intdigest(f"{at}:{v[2]}") >> 24) for t, v in seen.items()]  # 40 bits: sums stay far below 64
+            cols[0].extend([host(url)] * len(rows))
+            for c, values in zip(cols[1:], zip(*rows)):
+                c.extend(values)
+        types = (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["host", "token", "up", "role", "n", "chars", "page"])
 
 
 def templates(pages: DataFrame, support: float = 0.5) -> DataFrame:
-    """(host, template: array of (token, signature, once)): the tokens on at least ``support`` of a host's pages, and on
-    two at least; equal signatures are one class; once: exactly once on every page."""
-    tokens = pages.mapInArrow(_token_batches, "host string, token long, n long, page long")
-    signed = tokens.groupBy("host", "token").agg(F.count("*").alias("on"), F.sum("n").alias("n"), F.sum("page").alias("signature"))
-    pages_of = signed.where("token = 0").select("host", F.col("on").alias("pages"))
-    both = signed.where("token <> 0 AND `on` >= 2").join(pages_of, "host").where(F.col("on") >= F.col("pages") * support)
-    once = (F.col("on") == F.col("pages")) & (F.col("n") == F.col("pages"))
-    return both.groupBy("host").agg(F.collect_list(F.struct("token", "signature", once.alias("once"))).alias("template"))
-
-
-def extract(source: str, template: list[tuple[int, int, bool]]) -> str:
-    """The article's blocks, joined by newlines, given the template of the page's host (empty: nothing is known)."""
-    tags, blocks = parse(source)
-    if not blocks:
-        return ""
-    known = {t: (s, once) for t, s, once in template}
-    cuts = sorted(place for t, place in tags if known.get(t, (0, False))[1])  # the class that is once on every page
-    slot_of = lambda place: sum(c < place for c in cuts) if len(cuts) < 64 else next((k for k, c in enumerate(cuts) if c >= place), len(cuts))
-    spread: dict[int, set[int]] = {}  # slots of each class of text blocks: a class nests if it has one
-    marks = [known.get(block_token(b)) for b in blocks]
-    slots = [slot_of(b.at) for b in blocks]
-    for m, s in zip(marks, slots):
-        if m:
-            spread.setdefault(m[0], set()).add(s)
-    fixed = [m is not None and len(spread[m[0]]) == 1 for m in marks]
-    inside = [b.main and not b.outside for b in blocks]
-    if any(inside):  # the slots of an article: its blocks are content even where pages of the host share them
-        return "\n".join(b.text for b, k in zip(blocks, inside) if k)
-    free = [not b.outside and not f and not b.linked for b, f in zip(blocks, fixed)]
-    size: dict[int, int] = {}
-    for b, s, k in zip(blocks, slots, free):
-        size[s] = size.get(s, 0) + len(b.text) * k
-    best = max(size.values())
-    return "\n".join(b.text for b, s, k in zip(blocks, slots, free) if k and size[s] * 5 >= best)
+    """(host, pages, template: array of (token, up, role, chars, single, every)): the tokens on at least ``support`` of a
+    host's pages, and on two at least. up: the parent's token; chars: of the text inside, over all pages; single: once
+    on each page that has it; every: in the class of the page itself, once on every page. A null html must have been
+    made empty; an empty table gives none."""
+    tokens = pages.mapInArrow(_token_batches, _TOKENS)
+    sums = [F.count("*").alias("on"), F.sum("n").alias("n"), F.sum("page").alias("signature"), F.sum("chars").alias("chars"), F.max("up").alias("up"), F.max("role").alias("role")]
+    signed = stored(tokens.groupBy("host", "token").agg(*sums).where("`on` >= 2"), "tokens")
+    pages_of = signed.where(F.col("token") == ROOT).select("host", F.col("on").alias("pages"), F.col("signature").alias("whole"))
+    both = signed.where(F.col("token") != ROOT).join(pages_of, "host").where(F.col("on") >= F.col("pages") * support)
+    rows = F.struct("token", "up", "role", "chars", (F.col("n") == F.col("on")).alias("single"), (F.col("signature") == F.col("whole")).alias("every"))
+    return both.groupBy("host").agg(F.max("pages").alias("pages"), F.collect_list(rows).alias("template"))
+
+
+class Template:
+    """What a host's pages share. article: the token of the element that holds the article, or None."""
+
+    def __init__(self, pages: int, rows: list[tuple]):
+        self.pages, self.fixed, self.every = pages, set(), set()
+        up, role, free, elements = {}, {}, {}, []
+        for t, u, r, chars, single, every in rows:
+            up[t], role[t] = u, r
+            if r == TEXT:
+                self.fixed.add(t)
+                if every and pages >= FIXED_PAGES:
+                    self.every.add(t)
+            else:
+                free[t] = free.get(t, 0) + chars
+                if single:
+                    elements.append(t)
+        for t, u, r, chars, *_ in rows:  # fixed text is not free, in all elements around it
+            if r == TEXT:
+                while u in free:
+                    free[u] -= chars
+                    u = up[u]
+        inside: dict[int, list[int]] = {}
+        for t in elements:
+            inside.setdefault(up[t], []).append(t)
+        heads: dict[int, int] = {}  # free text of headings, in all elements around them
+        for t in free:
+            u = t
+            while role[t] == HEADING and u in free:
+                heads[u] = heads.get(u, 0) + free[t]
+                u = up[u]
+        at, self.article = token(0, "root", ""), None
+        while True:
+            near = [c for c in inside.get(at, ()) if free.get(at, 0) > 0 and free[c] >= MOST * free[at] and heads.get(c, 0) >= heads.get(at, 0) - self._apart(at, inside, role, heads)]
+            if not near:
+                break
+            at = max(near, key=lambda c: (free[c], role[c] == ARTICLE, c))
+            self.article = at
+
+    @staticmethod
+    def _apart(at, inside, role, heads):
+        """Headings of menus and the like directly inside, which may be left behind."""
+        return sum(heads.get(c, 0) for c in inside.get(at, ()) if role[c] == OUT)
+
+
+def extract(source: str, template: Template | None) -> str:
+    """The article's blocks, joined by newlines, given the template of the page's host (None: nothing is known).
+
+    Inside the article's slot only what is marked as a menu, comments and the like goes, and what is the same on every
+    page. A page without that slot, or of an unknown host, is read by its elements: inside article or main, or else
+    all that is not marked, not fixed and not mostly links.
+    """
+    page = Page(source)
+    n = len(page.up)
+    wanted = template.article if template else None
+    slots = [e for e in range(n) if page.tokens[e] == wanted] if wanted is not None else []
+    if not slots:
+        slots = [e for e in range(n) if page.roles[e] == ARTICLE]
+    known, inside, out = set(slots), [False] * n, [False] * n
+    for e in range(n):  # parents come first
+        u = page.up[e]
+        inside[e] = e in known or (u >= 0 and inside[u])
+        mine = page.roles[e] == OUT
+        out[e] = e not in known and (mine or (u >= 0 and out[u]))
+        if e in known:
+            out[e] = False
+    texts = []
+    if slots:
+        every = template.every if template else ()
+        texts = [(text, bool(every) and page.block_token(k) in every) for k, (e, text, _) in enumerate(page.blocks) if inside[e] and not out[e]]
+        if any(not fixed for _, fixed in texts):
+            return "\n".join(text for text, fixed in texts if not fixed)
+        return "\n".join(text for text, _ in texts)
+    fixed = template.fixed if template else ()
+    return "\n".join(text for k, (e, text, linked) in enumerate(page.blocks) if not out[e] and not linked and not (fixed and page.block_token(k) in fixed))
+
+
+def _packed_batches(batches):
+    """Templates as bytes, so that a page carries one value."""
+    for b in batches:
+        out = []
+        for n, rows in zip(b.column("pages").to_pylist(), b.column("template").to_pylist()):
+            flat = [[n, 0, 0, 0, 0, 0]] + [[r["token"], r["up"], r["role"], r["chars"], r["single"], r["every"]] for r in sorted(rows, key=lambda r: r["token"])]
+            out.append(np.array(flat, np.int64).tobytes())
+        yield pa.RecordBatch.from_arrays([b.column("host"), b.column("pages"), pa.array(out, pa.binary())], ["host", "pages", "template"])
 
 
 def _extract_batches(batches):
+    held: dict[bytes, Template] = {}
     for b in batches:
-        out = [extract(h, [(x["token"], x["signature"], x["once"]) for x in t or ()]) for h, t in zip(b.column("html").to_pylist(), b.column("template").to_pylist())]
+        out = []
+        for h, raw in zip(b.column("html").to_pylist(), b.column("template").to_pylist()):
+            if raw is not None and raw not in held:
+                if len(held) >= 256:
+                    held.clear()
+                rows = np.frombuffer(raw, np.int64).reshape(-1, 6).tolist()
+                held[raw] = Template(rows[0][0], rows[1:])
+            out.append(extract(h, held[raw] if raw is not None else None))
         yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
-def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def main_text(pages: DataFrame, salt_pages: int = 1024, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars) of every row.
 
     White space inside a block becomes one space, blocks are joined by one newline, references are decoded. A null
     html is empty (empty text); a null url, or one without a host, belongs to the host ''; a page that is alone on its
     host has no template and is read by its elements only; repeated rows each give a row; an empty table gives none.
+
+    Templates are a written table: where Spark finds it small it is broadcast, and pages are not shuffled; else pages
+    meet their host's template by host and salt, one for each ``salt_pages`` pages of the host.
     """
     base = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     keyed = base.withColumn("host", F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^\s*(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1)))
-    joined = keyed.join(templates(base), "host", "left").select("page_id", "url", "html", "template")
+    known = stored(templates(base).mapInArrow(_packed_batches, "host string, pages long, template binary"), "templates")
+    salts = known.select("host", F.ceil(F.col("pages") / salt_pages).cast("int").alias("salts"))
+    spread = known.join(salts, "host").select("host", "template", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    spread = stored(spread, "salted")
+    salted = keyed.join(salts, "host", "left").withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.coalesce("salts", F.lit(1))).cast("int"))
+    joined = salted.join(spread, ["host", "salt"], "left").select("page_id", "url", "html", "template")
     return joined.mapInArrow(_extract_batches, "page_id long, url string, text string, n_chars long")
