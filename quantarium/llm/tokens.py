@@ -49,28 +49,55 @@ class PieceEncoder:
         if self.library.get_vocab_size() > 65536:
             raise ValueError("ids do not fit in 16 bits")
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.cache = _Pieces()
+        self.spaced = np.zeros(65536, bool)  # ids that begin with a space
+        for t, i in self.library.get_vocab().items():
+            self.spaced[i] = t.startswith("\u0120")
+        if any(" " in a for a in self.added):
+            raise ValueError("an added token holds a space")
+        self.cache = _Pieces(self.added)
         self.bare: dict[str, bytes] = {}
 
     def _library(self, pieces: list[str]) -> list[bytes]:
         return [array("H", e.ids).tobytes() for e in self.library.encode_batch_fast(pieces, add_special_tokens=False)]
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of a space and a word for each word of letters only: many words are one text, cut where an id begins with
+        the space, which no other id of such a word holds."""
+        out: list[bytes] = []
+        for at in range(0, len(words), 4096):
+            part = words[at : at + 4096]
+            got = self.library.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0]
+            ids = array("H", got.ids)
+            starts = (2 * np.flatnonzero(self.spaced[np.frombuffer(ids, "<u2")])).tolist()
+            if len(starts) != len(part):
+                raise ValueError("the vocabulary cuts words of letters otherwise than byte-level ones do")
+            raw = ids.tobytes()
+            out += [raw[s:e] for s, e in zip(starts, [*starts[1:], len(raw)])]
+        return out
+
     def _fill(self, new: list[str]) -> None:
         """Ids for new pieces: a word with marks behind it, and a word after a line's end, are made from their parts."""
-        cache, whole, made = self.cache, [], []
+        cache, bare, whole, made, cores, marks = self.cache, self.bare, [], [], [], set()
         for x in new:
+            if x.isalpha():
+                cores.append(x)
+                continue
             m = _SHAPE.fullmatch(x)
-            if m and len(m[1]) < len(x) and m[1].isalpha() and (m[3] is None or m[3].isalpha()):
-                made.append((x, m[1], [p for p in (m[2], m[3] and "\n", m[3], m[4]) if p]))
-            else:
-                whole.append(x)
-        whole += {core for _, core, _ in made if core not in cache}
-        for x, ids in zip(whole, self._library([" " + x for x in whole])):
-            cache[x] = ids
-        bare = list({p for _, _, rest in made for p in rest} - self.bare.keys())
-        self.bare.update(zip(bare, self._library(bare)))
-        for x, core, rest in made:
-            cache[x] = b"".join([cache[core], *map(self.bare.__getitem__, rest)])
+            if m:
+                core, end, more, last = m.groups()
+                if core.isalpha() and (more is None or more.isalpha()):
+                    parts = (end,) if more is None else tuple(filter(None, (end, "\n", more, last)))
+                    made.append((x, core, parts))
+                    marks.update(parts)
+                    continue
+            whole.append(x)
+        cores += {core for _, core, _ in made if core not in cache}
+        cache.update(zip(cores, self._words(cores)))
+        cache.update(zip(whole, self._library([" " + x for x in whole])))
+        marks = list(marks - bare.keys())
+        bare.update(zip(marks, self._library(marks)))
+        for x, core, parts in made:
+            cache[x] = cache[core] + bare[parts[0]] if len(parts) == 1 else cache[core] + b"".join(map(bare.__getitem__, parts))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         collecting = gc.isenabled()
@@ -82,35 +109,54 @@ class PieceEncoder:
                 gc.enable()
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        whole = [unsafe(t) or any(a in t for a in self.added) for t in texts]
         if len(self.cache) > CACHE_PIECES:
             self.cache.clear()
             self.bare.clear()
-        get, heads, found = self.cache.__getitem__, [], []
-        for w, t in zip(whole, texts):
-            if not w:
-                first, *rest = t.split(" ")
-                heads.append(first)
-                found.append(list(map(get, rest)))  # pieces not seen before: empty, and noted
-        new, self.cache.new = self.cache.new, []
-        waiting = {x: self.cache[x] for x in new}
+        cache = self.cache
+        get, heads, found = cache.__getitem__, [], []
+        for t in texts:
+            pieces = iter(t.split(" "))
+            first = next(pieces)
+            heads.append(first)
+            found.append(list(map(get, pieces)) if first and not cache.unsafe(first) else _WHOLE)
+        new, cache.new = cache.new, []
+        waiting = [cache[x] for x in new]
         self._fill(new)
-        for x, place in waiting.items():
-            place += self.cache[x]
-        joined = map(b"".join, found)
-        heads = iter(self._library(heads))
-        wholes = iter(self._library([t for w, t in zip(whole, texts) if w]))
-        return [next(wholes) if w else next(heads) + next(joined) for w in whole]
+        for x, place in zip(new, waiting):
+            place += cache[x]
+        out: list[bytes | None] = []
+        for row in found:
+            try:
+                out.append(b"".join(row))
+            except TypeError:  # a piece that can't stand alone
+                out.append(None)
+        whole = [t for t, raw in zip(texts, out) if raw is None]
+        wholes = iter(self._library(whole))
+        heads = iter(self._library([h for h, raw in zip(heads, out) if raw is not None]))
+        return [next(wholes) if raw is None else next(heads) + raw for raw in out]
+
+
+#: Stands for the pieces of a text that goes to the library whole.
+_WHOLE = [None]
 
 
 class _Pieces(dict):
-    """Ids by piece; a piece not seen before gets an empty place, to be filled, and is noted in ``new``."""
+    """Ids by piece; a piece not seen before gets an empty place, to be filled, and is noted in ``new``. None stands for
+    a piece that a cut before or behind it could change: an empty one, one that ends in white space, or one with an
+    added token's string."""
 
-    def __init__(self):
+    def __init__(self, added: list[str]):
         super().__init__()
         self.new: list[str] = []
+        self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)")
+
+    def unsafe(self, piece: str) -> bool:
+        return piece[-1].isspace() or self.added.search(piece) is not None
 
-    def __missing__(self, piece: str) -> bytearray:
+    def __missing__(self, piece: str) -> bytearray | None:
+        if not piece or self.unsafe(piece):
+            self[piece] = None
+            return None
         place = self[piece] = bytearray()
         self.new.append(piece)
         return place
