@@ -85,16 +85,20 @@ def encode_block(doc_ids: list, n_ids: list[int], ids: np.ndarray, lengths: np.n
     ends = np.cumsum(size)
     at = ends - size
     total = int(ends[-1]) if len(ends) else 0
-    value = codes[ids] << (24 - (at & 7) - size)
-    byte, n_bytes = at >> 3, (total + 7) // 8 + 3
-    out = np.zeros(n_bytes)
-    for k, shift in enumerate((16, 8, 0)):
-        out += np.bincount(byte + k, weights=(value >> shift) & 255, minlength=n_bytes)[:n_bytes]
+    value = codes[ids] << (64 - (at & 31) - size)  # of a window of 64 bits at each word of 32
+    word = at >> 5
+    first = np.flatnonzero(np.diff(word, prepend=-1))
+    out = np.zeros((total + 31) // 32 + 1, np.uint64)
+    if len(ids):  # codes don't overlap: a sum joins those of a word, and its lower half goes to the next word
+        value = value.view(np.uint64)
+        out[word[first]] += np.add.reduceat(value >> np.uint64(32), first)
+        out[word[first] + 1] += np.add.reduceat(value & np.uint64(0xFFFFFFFF), first)
+    body = out.astype(">u4").tobytes()[: (total + 7) // 8 + 3]
     marks = at[::INTERVAL].astype("<u4")
     nulls = np.array([d is None for d in doc_ids], np.uint8)
     known = np.array([0 if d is None else d for d in doc_ids], "<i8")
     head = struct.pack("<4sIII", _MAGIC, len(doc_ids), len(ids), len(marks))
-    return b"".join([head, nulls.tobytes(), known.tobytes(), np.array(n_ids, "<u4").tobytes(), marks.tobytes(), out.astype(np.uint8).tobytes()])
+    return b"".join([head, nulls.tobytes(), known.tobytes(), np.array(n_ids, "<u4").tobytes(), marks.tobytes(), body.ljust((total + 7) // 8 + 3, b"\0")])
 
 
 def decode_blocks(blocks: list[bytes], table: tuple[np.ndarray, np.ndarray]) -> list[tuple[list, np.ndarray, np.ndarray]]:
@@ -134,19 +138,22 @@ def decode_blocks(blocks: list[bytes], table: tuple[np.ndarray, np.ndarray]) ->
 
 # -- Spark --------------------------------------------------------------------
 
-_RAW = "file_no int, block_no int, base long, n_ids long, doc_ids array<long>, sizes array<int>, ids binary"
+_RAW = "file_no int, block_no int, base long, n_ids long, doc_ids array<long>, sizes array<int>, ids binary, counts binary"
 
 
 def _token_batches(batches, path, end_id):
-    """Sorted documents to raw blocks; base: ids of the same file before the block."""
+    """Sorted documents to raw blocks; base: ids of the same file before the block. The task's last block has its counts."""
     enc, end = encoder(path), np.array([end_id], "<u2").tobytes()
     file_no, block_no, base = TaskContext.get().partitionId(), 0, 0
     docs, sizes, raw, n = [], [], [], 0
+    counts = np.zeros(1 << 16, np.int64)
 
-    def block():
-        cols = [[file_no], [block_no], [base], [n], [docs], [sizes], [b"".join(raw)]]
-        types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["file_no", "block_no", "base", "n_ids", "doc_ids", "sizes", "ids"])
+    def block(last=False):
+        ids = b"".join(raw)
+        np.add(counts, np.bincount(ids_of(ids), minlength=1 << 16), out=counts)
+        cols = [[file_no], [block_no], [base], [n], [docs], [sizes], [ids], [counts.tobytes() if last else None]]
+        types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["file_no", "block_no", "base", "n_ids", "doc_ids", "sizes", "ids", "counts"])
 
     for b in batches:
         ids, all_texts = b.column("doc_id").to_pylist(), b.column("text").to_pylist()
@@ -160,15 +167,15 @@ def _token_batches(batches, path, end_id):
                     yield block()
                     block_no, base = block_no + 1, base + n
                     docs, sizes, raw, n = [], [], [], 0
-    if docs:
-        yield block()
+    if docs or block_no:
+        yield block(last=True)
 
 
 def _count_batches(batches):
     total = np.zeros(1 << 16, np.int64)
     for b in batches:
-        for raw in b.column("ids").to_pylist():
-            total += np.bincount(ids_of(raw), minlength=1 << 16)
+        for counts in b.column("counts").to_pylist():
+            total += np.frombuffer(counts, np.int64)
     used = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], ["id", "n"])
 
@@ -193,10 +200,10 @@ def write_tokens(docs: DataFrame, out_dir: str, path: str, end_id: int, id_col:
     dealt = texts(docs, id_col, text_col).repartitionByRange(parts(spark), "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
     raw = stored(dealt.mapInArrow(partial(_token_batches, path=path, end_id=end_id), _RAW), "ids", compression="zstd")
     counts = np.zeros(1 << 16, np.int64)
-    for r in raw.select("ids").mapInArrow(_count_batches, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
+    for r in raw.select("counts").where("counts IS NOT NULL").mapInArrow(_count_batches, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
         counts[r.id] = r.n
     lengths = code_lengths(counts)
-    raw.mapInArrow(partial(_block_batches, lengths=lengths.tobytes()), "file_no int, block_no int, base long, n_ids long, block binary").write.parquet(f"{out_dir}/blocks", compression="none")
+    raw.drop("counts").mapInArrow(partial(_block_batches, lengths=lengths.tobytes()), "file_no int, block_no int, base long, n_ids long, block binary").write.parquet(f"{out_dir}/blocks", compression="none")
     spark.createDataFrame([(bytearray(lengths.tobytes()),)], "lengths binary").coalesce(1).write.parquet(f"{out_dir}/lengths")
 
 
@@ -219,7 +226,8 @@ def _read_batches(batches, lengths, with_ids):
 def read_tokens(spark, out_dir: str, with_ids: bool = True) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32, ids) of every document in the files of :func:`write_tokens`.
 
-    start counts the ids of all documents before it; ids (little-endian unsigned 32-bit) is null without ``with_ids``.
+    start counts the ids of all documents before it; ids (little-endian unsigned 32-bit) is null without ``with_ids``. A
+    null doc_id is read back as null; files of an empty table give no row.
     """
     blocks = spark.read.parquet(f"{out_dir}/blocks")
     lengths = bytes(spark.read.parquet(f"{out_dir}/lengths").head().lengths)
