@@ -7,8 +7,10 @@ is left, an arc w is added that leads where v led. Copies share their arcs until
 tables keep, per token, from which token's state its own was copied and at which merge, and, per merge, the arc cut;
 whether state p has arc t follows from the cuts made along p's copies and t's left parts while these were current.
 
-Every string has exactly one accepted path. Words are encoded by walking the arcs that spell them, the longest first,
-and going back from dead ends (each position and state at most once). Decoding emits the arcs' byte labels.
+Every string has exactly one accepted path, and so has each of its prefixes. A word is encoded in one walk over its
+bytes: the state behind each prefix is the last token of its path, and transitions, once looked up, are kept in a table.
+Written out, the tables would have billions of arcs for a vocabulary of 50,000; that is why copies share them.
+Decoding emits the arcs' byte labels.
 """
 
 from __future__ import annotations
@@ -57,6 +59,12 @@ class Automaton:
         size = max(self.labels) + 1
         self.left, self.right, self.born = [0] * size, [0] * size, [-1] * size
         self.cut: dict[int, int] = {}
+        if size > 65536:
+            raise ValueError("ids do not fit in 16 bits")
+        #: first[t]: whether the start state has the arc t: its parts' arcs were there when their merge came.
+        self.first = [False] * size
+        for t in vocab.values():
+            self.first[t] = len(self.labels[t]) == 1
         for step, pair in enumerate(spec["model"]["merges"]):
             u, v = pair.split(" ") if isinstance(pair, str) else pair
             self._gadget(step, vocab[u], vocab[v], vocab[u + v])
@@ -71,14 +79,16 @@ class Automaton:
     def _gadget(self, step: int, u: int, v: int, w: int) -> None:
         self.cut[u << 16 | v] = step
         self.left[w], self.right[w], self.born[w] = u, v, step
+        self.first[w] = self.first[u] and self.first[v] and self.has_arc(u, v, step)
 
-    def has_arc(self, p: int, t: int) -> bool:
-        """Whether t may follow p: no gadget cut a left part of t behind a right part of p while both were current.
+    def has_arc(self, p: int, t: int, until: int = 1 << 30) -> bool:
+        """Whether t may follow p before merge ``until``: no gadget cut a left part of t behind a right part of p while
+        both were current.
 
         Going back in time, the part born later gives way to its own part. A cut comes before the new arc of its
         merge, so a left part still counts at the merge that made its parent, and a right part does not.
         """
-        born, cut, until = self.born, self.cut, 1 << 30
+        born, cut = self.born, self.cut
         while True:
             at = cut.get(p << 16 | t)
             if at is not None and at < until:
@@ -93,42 +103,38 @@ class Automaton:
                 t = self.left[t]
 
     def encode_word(self, word: bytes) -> list[int]:
-        whole = self.tokens.get(word)
-        n, tokens, longest, arcs = len(word), self.tokens, self.longest, self.arcs
-        if n < 2:
-            return [whole] if n else []
+        """The tokens of the word's only accepted path.
+
+        Every prefix has one accepted path too, so one walk over the bytes suffices: from the state behind each prefix,
+        named by its last token, each arc that spells what follows gives the state behind a longer prefix.
+        """
+        n, tokens, longest, arcs, first = len(word), self.tokens, self.longest, self.arcs, self.first
         if len(arcs) > 600_000:
             arcs.clear()
-        path: list[int] = []  # tokens so far
-        ends = [0]  # their ends
-        tries = [min(n, longest[word[0] << 8 | word[1]])]  # the next end to try at each depth
-        dead: set[tuple[int, int]] = set()
-        last, at, j = -1, 0, tries[0]
-        while at < n:
-            while j > at:
+        state = [-1] * (n + 1)  # the last token of the path to each place
+        for at in range(n):
+            p = state[at]
+            if p < 0 and at:
+                raise ValueError("a prefix without a path")
+            row = p << 16
+            end = at + longest[word[at] << 8 | word[at + 1]] if at + 1 < n else n
+            for j in range(at + 1, min(n, end) + 1):
                 t = tokens.get(word[at:j])
-                if t is not None:
-                    if last < 0:
-                        break
-                    k = last << 16 | t
-                    ok = arcs.get(k)
+                if t is None or state[j] >= 0:
+                    continue
+                if at == 0:
+                    ok = first[t]
+                else:
+                    ok = arcs.get(row | t)
                     if ok is None:
-                        ok = arcs[k] = self.has_arc(last, t)
-                    if ok and (not dead or (j, t) not in dead):
-                        break
-                j -= 1
-            if j > at:
-                tries[-1] = j - 1
-                path.append(t)
-                ends.append(j)
-                last, at = t, j
-                j = min(n, j + longest[word[j] << 8 | word[j + 1]]) if j + 1 < n else n
-                tries.append(j)
-            else:  # a dead end
-                dead.add((at, last))
-                path.pop(), ends.pop(), tries.pop()
-                last, at, j = path[-1] if path else -1, ends[-1], tries[-1]
-        return path
+                        ok = arcs[row | t] = first[t] and self.has_arc(p, t)
+                if ok:
+                    state[j] = t
+        out, at = [], n
+        while at:
+            out.append(state[at])
+            at -= len(self.label_list[state[at]])
+        return out[::-1]
 
     def _piece(self, piece: str) -> bytes:
         out = []
