@@ -8,6 +8,7 @@ spans that overlap, the best stays. The trees are trained here on labelled examp
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import random
@@ -28,7 +29,7 @@ N_EXAMPLES, N_TREES, PRECISION, SEED = 6000, 40, 0.995, 11
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+_IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")  # inside a run of digits it would fail as before it
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _ANY = re.compile(r"[0-9@]|[(\[{] ?(?:at|AT) ?[)\]}]")
@@ -249,10 +250,17 @@ def find_spans(text: str, model) -> tuple[list, list]:
         p = score(model, features(text, s, k, e))
         if p >= model[1][k]:
             scored.append((-p, s, k, e))
-    taken = list(base)
+    taken, starts, ends = list(base), [], []  # starts, ends: what is covered, as sorted stretches
+    for s, _, e in base:
+        if ends and s < ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s), ends.append(e)
     for _, s, k, e in sorted(scored):
-        if all(e <= s2 or e2 <= s for s2, _, e2 in taken):
+        at = bisect.bisect_right(ends, s)  # the first stretch that ends behind s
+        if at == len(starts) or e <= starts[at]:
             taken.append((s, k, e))
+            starts.insert(at, s), ends.insert(at, e)
     return base, sorted(taken)
 
 
@@ -291,8 +299,9 @@ def personal_data(docs: DataFrame, with_text: bool = True, keep: tuple[str, ...]
     comma-joined, in code points, end exclusive) and redacted (the text with spans replaced; null without ``with_text``).
 
     A null text is empty and has no spans; rows that repeat, and null ids, each keep their row; an empty table gives
-    an empty one.
+    an empty one. A column in ``keep`` that has the name of one that is added (OWN) gives way to it.
     """
+    keep = tuple(c for c in keep if c not in OWN)
     chosen = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     own = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, redacted string"
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), own])
