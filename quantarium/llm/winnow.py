@@ -58,6 +58,18 @@ def following(ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return led.join(F.broadcast(ends), "_at").select(id_col, F.coalesce("_next", "_after").alias("next_id"))
 
 
+#: Documented bound: blocks that ids are cut into, whose limits pass through the driver.
+MOST_BLOCKS = 4096
+
+
+def _places(cuts: list[int]) -> Column:
+    """How many of the sorted ``cuts`` are at most doc_id, by halving."""
+    held = f"from_json('{cuts}', 'array<bigint>')"
+    half = "CAST((s.lo + s.hi) DIV 2 AS INT)"
+    step = f"CASE WHEN s.lo >= s.hi THEN s WHEN element_at({held}, {half} + 1) <= doc_id THEN named_struct('lo', {half} + 1, 'hi', s.hi) ELSE named_struct('lo', s.lo, 'hi', {half}) END"
+    return F.expr(f"aggregate(sequence(0, {len(cuts).bit_length()}), named_struct('lo', 0, 'hi', {len(cuts)}), (s, x) -> {step}, s -> CAST(s.lo AS BIGINT))")
+
+
 def fingerprint_edits(docs: DataFrame, gram: int = 3, window: int = 8, block_rows: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of every row's text and of its edited text, in which the last quarter of the code points gives way
     to the first as many of the next document by id.
@@ -68,14 +80,16 @@ def fingerprint_edits(docs: DataFrame, gram: int = 3, window: int = 8, block_row
     table gives an empty one.
 
     Texts are shuffled once, by blocks of ids of about ``block_rows`` rows, and led inside a block; a block's last row
-    takes the first text of the next block, of which there is one a block.
+    takes the first text of the next block, of which there is one a block. Blocks are cut at quantiles of the ids,
+    however these are spread; of tables with more than MOST_BLOCKS blocks, they get larger instead (their windows spill).
     """
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    low, high, n = base.agg(F.min("doc_id"), F.max("doc_id"), F.count("doc_id")).head()
-    width = max(1, -(-block_rows * (high - low + 1) // n)) if n else 1
+    blocks = min(MOST_BLOCKS, -(-base.where("doc_id IS NOT NULL").count() // block_rows))
+    cuts = base.agg(F.percentile_approx("doc_id", [k / blocks for k in range(1, blocks)], 10 * blocks)).head()[0] if blocks > 1 else None
+    cuts = sorted(set(cuts or ()))
     spread = F.lit(-1) - F.pmod(F.xxhash64("text"), F.lit(4 * parts(spark)))  # null ids need no order
-    blocked = base.withColumn("_block", F.coalesce(F.floor((F.col("doc_id") - (low or 0)) / width).cast("long"), spread)).withColumn("_th", F.xxhash64("text"))
+    blocked = base.withColumn("_block", F.when(F.col("doc_id").isNotNull(), _places(cuts)).otherwise(spread)).withColumn("_th", F.xxhash64("text"))
     heads = stored(blocked.where("doc_id IS NOT NULL").groupBy("_block").agg(F.min_by("text", F.struct("doc_id", "_th")).alias("text")), "heads")
     order = following(heads, "_block")
     tails = order.join(heads.select(F.col("_block").alias("next_id"), F.col("text").alias("tail")), "next_id").drop("next_id")
