@@ -299,6 +299,35 @@ def test_personal_data_odd_rows(odd):
     assert pii.personal_data(odd.limit(0)).count() == 0
 
 
+def winnowed(text):
+    """By hand: Spark's xxhash64 of several strings hashes each with the one before as seed."""
+    w = [x.encode() for x in re.split(r"[\x20\x09-\x0D]+", text.lower()) if x]
+
+    def gram(words):
+        h = 42
+        for x in words:
+            h = xxhash.xxh64_intdigest(x, h)
+        return h - (1 << 64) if h >> 63 else h
+
+    h = [gram(w[k : k + 3]) for k in range(len(w) - 2)] if len(w) >= 3 else [gram([b" ".join(w)])] * bool(w)
+    places = sorted({max(i for i in range(k, min(k + 8, len(h))) if h[i] == min(h[k : k + 8])) for k in range(max(1, len(h) - 7))}) if h else []
+    return ",".join(f"{i}:{h[i] >> 32 & 0xFFFFFFFF:08x}" for i in places)
+
+
+def alike(a, b):
+    x, y = ({p.split(":")[1] for p in f.split(",") if p} for f in (a, b))
+    return len(x & y) / len(x | y) if x | y else 1.0
+
+
+def test_winnowing_far_ids(spark):
+    rows = [(k, f"text {k} of some words {k % 7}") for k in range(300)] + [(2**60, "a far one"), (-(2**60), "another")]
+    got = {r.doc_id: r for r in winnow.fingerprint_edits(spark.createDataFrame(rows, "doc_id long, text string"), block_rows=16).collect()}
+    order = sorted(rows)
+    for (d, t), (_, n) in zip(order, [*order[1:], order[0]]):
+        q = len(t) // 4
+        assert got[d].edited_sha256 == hashlib.sha256((t[: len(t) - q] + n[:q]).encode()).hexdigest() and got[d].near_next == alike(winnowed(t), winnowed(n))
+
+
 def test_winnowing(docs, odd):
     rows = docs.unionByName(odd.where("doc_id IS NULL").select("doc_id", "text"), allowMissingColumns=True)
     got = {r.doc_id: r for r in winnow.fingerprint_edits(rows, block_rows=16).collect()}
@@ -311,10 +340,51 @@ def test_winnowing(docs, odd):
         grams = len(words) - 2
         assert places == sorted(set(places)) and all(b - a <= 8 for a, b in zip(places, places[1:]))
         assert grams < 8 or (places[0] < 8 and places[-1] >= grams - 8)
+        assert got[d].fingerprint == winnowed(t) and got[d].edited_fingerprint == winnowed(t[: len(t) - q] + n[:q])
+        assert got[d].near_edited == alike(got[d].fingerprint, got[d].edited_fingerprint) and got[d].near_next == alike(got[d].fingerprint, winnowed(n))
     assert got[None].near_next is None and np.mean([r.near_edited for r in got.values()]) > 0.5
     assert winnow.fingerprint_edits(odd.limit(0)).count() == 0 and winnow.fingerprint_edits(odd).count() == len(ODD)
 
 
+def test_base_spans_equal_the_patterns():
+    """All four base kinds as the contract's patterns find them."""
+    patterns = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
+
+    def ok(kind, x):
+        d = re.sub("[^0-9]", "", x)
+        if kind == 1:
+            return all(int(p) <= 255 for p in x.split("."))
+        if kind == 2:
+            total = sum(int(c) if k % 2 == 0 else sum(divmod(2 * int(c), 10)) for k, c in enumerate(reversed(d)))
+            return 12 <= len(d) <= 19 and total % 10 == 0
+        return kind == 0 or 9 <= len(d) <= 15
+
+    rng = np.random.default_rng(8)
+    pieces = ["4111 1111 1111 1111", "10.0.0.1", "1.2.3.4.5", "256.1.1.1", "00012.3.4.5", "+1 (017) 555-7713", "+4", "a.b@c-d.org", "@x.y", "123456789012", "5500-0000-0000-0004", " ", "-", ".", "9", "(", "x", "é", "\U0001f642", "+49.30.1234567", "\n"]
+    for _ in range(4000):
+        t = "".join(rng.choice(pieces, rng.integers(0, 9)))
+        want = sorted((m.start(), k, m.end()) for k, p in enumerate(patterns) for m in re.finditer(p, t, re.ASCII) if ok(k, m.group()))
+        assert pii.base_spans(t) == want, t
+
+
+def test_op4_against_brute_force(spark, small):
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    for r in llm_queries.op4_pii(spark, small).collect():
+        base = pii.base_spans(texts[r.doc_id])
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == kind for _, k, _ in base) for kind in range(4)]
+        listed = ",".join(f"{pii.KINDS[k]}:{s}:{e}" for s, k, e in base)
+        assert r.base_sha256 == hashlib.sha256(listed.encode()).hexdigest() and set(listed.split(",")) <= set(r.spans.split(","))
+
+
+def test_long_texts_take_linear_time():
+    model, began = pii.train(), time.time()
+    for t in ("7" * 1_000_000, "1." * 500_000, "a@b." * 200_000, " ".join(f"user{k}@mail{k}.example.org" for k in range(50_000)), "+1 " * 300_000, "<" * 1_000_000):
+        pii.find_spans(t, model)
+    for t in ("<div>" * 100_000 + "x", "<a " * 300_000, "<p><b>" * 50_000, "</i>" * 200_000):
+        pages.extract(t, None)
+    assert time.time() - began < 40
+
+
 def test_passages_against_brute_force(docs):
     got = {r.doc_id: r for r in passages.passage_classes(docs).collect()}
     seen = {}
@@ -421,6 +491,21 @@ def test_pages(spark, small):
         assert r.text == "\n".join(b for b in blocks if b) and r.n_chars == len(r.text)
 
 
+def test_template_finds_the_article_without_its_name(spark):
+    """No article element: free text of all the host's pages shows the slot, whatever the classes are called."""
+    fill = lambda k, c: " ".join(f"{c}{k}x{j}" for j in range(30))
+
+    def page(k):
+        side = f'<div class="rail"><a href="/{k}">link {k}</a></div>'
+        return f'<html><body><div class="top">Our site</div><div class="box has-sidebar"><h1>Title {k}</h1><p class="share-price">{fill(k, "a")}</p><div class="ad-hoc">{fill(k, "b")}</div><div>Press here</div><ul class="share"><li>Share {k}</li></ul></div>{side}<div class="comment-list">c{k} said</div><div class="end">The end</div></body></html>'
+
+    rows = [(k, f"https://h.example/{k}", page(k)) for k in range(40)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in pages.main_text(frame, salt_pages=8).collect()}
+    assert got == {k: f"Title {k}\n{fill(k, 'a')}\n{fill(k, 'b')}" for k in range(40)}
+    assert pages.extract(page(3), None) != got[3]  # without its host's template the page is read otherwise
+
+
 def test_template_slots(spark):
     page = lambda k: f'<html><body><div>Home News</div><div id="c"><p>story {k} one</p><p>more {k} &lt;here&gt;</p></div><div>Imprint</div></body></html>'
     rows = [(k, f"https://h.example/{k}", page(k), "x") for k in range(6)] + [(90, None, None, "x"), (91, "nohost", "", "x"), (92, "https://h.example/x", "<p>open <b>tag", "x")]
