@@ -69,7 +69,7 @@ def curve_report(spark: SparkSession, path: str) -> DataFrame:
     t = lines.withColumn("head", plain_text("line").contains("vertices") & plain_text("line").contains("ettj ipca")).withColumn("cell", F.split("line", ";"))
     t = t.withColumn("days", parse_number_br(F.get("cell", F.lit(0)))).withColumn("rate", parse_number_br(F.get("cell", F.lit(1))))
     marks = t.groupBy("file").agg(F.min(F.when(F.col("head"), F.col("pos"))).alias("start"))
-    body = t.join(F.broadcast(marks), "file").where("pos > start")
+    body = t.join(marks, "file").where("pos > start")
     stop = body.where("days IS NULL").groupBy("file").agg(F.min("pos").alias("stop"))
     return body.join(stop, "file", "left").where("stop IS NULL OR pos < stop").select("file", (F.col("days") / 252).alias("vertex"), "rate")
 
@@ -158,11 +158,16 @@ def investor_bulletin(spark: SparkSession, path: str) -> DataFrame:
     return t.select("file", "category", F.when(ok, buys).alias("buys"), F.when(ok, sells).alias("sells"), F.when(ok, buys - sells).alias("balance"), F.when(~ok, F.concat(F.lit("numbers: "), F.size("n"))).alias("error"))
 
 
-def filing_member(spark: SparkSession, root: str, member: str, years: list[int]) -> DataFrame:
-    """One member's rows of unpacked yearly archives laid out as root/year=YYYY/stmt=NAME/*.csv: other members and years
-    are never opened. file: where a row came from."""
-    df = spark.read.csv(root, sep=";", header=True, quote='"', escape='"', encoding="ISO-8859-1").withColumn("file", F.col("_metadata.file_name"))
-    return df.where((F.col("stmt") == member) & F.col("year").isin(*years))
+def filing_member(spark: SparkSession, root: str, member: str, years: list[int], schema: str | None = None) -> DataFrame:
+    """One member's rows of unpacked yearly archives laid out as root/year=YYYY/stmt=NAME/*.csv, with its own header's
+    names: other members and years are never opened. A year without the member gives no rows. file: where a row came
+    from; year, stmt: its folders. With ``schema`` the header is checked against it instead of read."""
+    folders = f"{root.rstrip('/')}/year={{{','.join(map(str, years))}}}/stmt={member}"
+    reader = spark.read.option("basePath", root)
+    if schema:
+        reader = reader.schema(schema).option("enforceSchema", False)
+    df = reader.csv(folders, sep=";", header=True, quote='"', escape='"', encoding="ISO-8859-1")
+    return df.withColumn("file", F.col("_metadata.file_name")).withColumn("stmt", F.lit(member))
 
 
 def issuer_index(spark: SparkSession, root: str, years: list[int]) -> DataFrame:

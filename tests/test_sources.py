@@ -89,8 +89,10 @@ def test_flow_bulletin_and_archives(spark, tmp_path):
     for year, stmt in ((2024, "index"), (2025, "index"), (2025, "DRE_con")):
         folder = tmp_path / "arc" / f"year={year}" / f"stmt={stmt}"
         folder.mkdir(parents=True)
-        (folder / "a.csv").write_text(f"company;code;value\n{year};3.11;7\n")
-    assert S.issuer_index(spark, str(tmp_path / "arc"), [2024, 2025]).count() == 2
+        head = "company;received;subject;value" if stmt == "index" else "company;code;value"
+        (folder / "a.csv").write_text(f"{head}\n{year};3.11;7\n")
+    index = S.issuer_index(spark, str(tmp_path / "arc"), [2024, 2025])
+    assert index.count() == 2 and index.columns[:4] == ["company", "received", "subject", "value"]
     member = S.filing_member(spark, str(tmp_path / "arc"), "DRE_con", [2025]).select("company", "code", "value", F.lit("2025-12-31").cast("date").alias("period_end"), F.lit("ÚLTIMO").alias("order"), F.lit(1).alias("version"))
     accounts = spark.createDataFrame([("DRE", "3.11", "net_income")], "statement string, code string, metric string")
     r = S.account_facts({("DRE", "consolidado"): member}, accounts, spark.createDataFrame([("2025", "ABCD3")], "company string, ticker string")).collect()
