@@ -11,12 +11,12 @@ from ..functions.columns import date_br, parse_number_br, plain_text, to_number
 
 def sgs_json(spark: SparkSession, path: str, end: str | None = None, tolerant: bool = False) -> DataFrame:
     """(code, date, value) from arrays of {data: dd/mm/yyyy, valor: text}; code is the file's name. No row after ``end``;
-    the last value of a date wins. Strict: a bad date or value raises; tolerant: bad dates go, bad values are null."""
+    the last value of a date wins, by the files' names and inside a file by its order. Strict: a bad date or value raises; tolerant: bad dates go, bad values are null."""
     raw = spark.read.schema("data string, valor string").option("multiLine", True).json(path).withColumn("code", F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.json$", 1))
     value = parse_number_br("valor") if tolerant else to_number("valor")
     if tolerant:
         value = F.coalesce(to_number("valor"), value)
-    rows = raw.select("code", date_br("data").alias("date"), value.alias("value"), F.monotonically_increasing_id().alias("_i"))
+    rows = raw.select("code", date_br("data").alias("date"), value.alias("value"), F.struct(F.col("_metadata.file_path").alias("f"), F.monotonically_increasing_id().alias("i")).alias("_i"))
     if tolerant:
         rows = rows.where("date IS NOT NULL")
     else:
@@ -53,7 +53,7 @@ def treasury_csv(spark: SparkSession, path: str) -> DataFrame:
     keep = name.contains("ipca") & ~name.contains("juros") & ~name.contains("educa") & ~name.contains("renda")
     return raw.where(keep).select(
         date_br(maturity).alias("maturity"), date_br(base).alias("base_date"), parse_number_br(buy).alias("buy"), parse_number_br(sell).alias("sell"), (parse_number_br(buy) > 0).alias("offered"),
-        F.to_timestamp(F.concat(F.date_format(date_br(base), "yyyy-MM-dd"), F.lit(" 12:30:00"))).alias("available_at"),
+        F.to_timestamp(F.concat(F.date_format(date_br(base), "yyyy-MM-dd"), F.lit("T09:30:00-03:00"))).alias("available_at"),
     ).where("maturity IS NOT NULL AND base_date IS NOT NULL")
 
 

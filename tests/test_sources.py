@@ -40,7 +40,14 @@ def test_treasury_and_manifest(spark, tmp_path):
     p = put(tmp_path, "t.csv", head + "Tesouro IPCA+;15/05/2035;02/01/2026;7,10;7,22;1;1;1\nTesouro IPCA+ com Juros Semestrais;15/05/2035;02/01/2026;7,1;7,2;1;1;1\n", "latin-1")
     r = S.treasury_csv(spark, p).collect()
     assert len(r) == 1 and r[0].buy == 7.1 and r[0].offered and r[0].base_date == dt.date(2026, 1, 2)
-    assert S.source_manifest(spark, p).head().bytes > 0
+    at = lambda: S.treasury_csv(spark, p).selectExpr("unix_timestamp(available_at) AS s").head().s
+    want = int(dt.datetime(2026, 1, 2, 12, 30, tzinfo=dt.timezone.utc).timestamp())
+    spark.conf.set("spark.sql.session.timeZone", "America/Sao_Paulo")
+    try:
+        assert at() == want
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert at() == want and S.source_manifest(spark, p).head().bytes > 0
 
 
 def test_reports(spark, tmp_path):
