@@ -198,7 +198,7 @@ def write_tokens(docs: DataFrame, out_dir: str, path: str, end_id: int, id_col:
     """
     spark = docs.sparkSession
     dealt = texts(docs, id_col, text_col).repartitionByRange(parts(spark), "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    raw = stored(dealt.mapInArrow(partial(_token_batches, path=path, end_id=end_id), _RAW), "ids", compression="zstd")
+    raw = stored(dealt.mapInArrow(partial(_token_batches, path=path, end_id=end_id), _RAW), "ids", compression="snappy")
     counts = np.zeros(1 << 16, np.int64)
     for r in raw.select("counts").where("counts IS NOT NULL").mapInArrow(_count_batches, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
         counts[r.id] = r.n
