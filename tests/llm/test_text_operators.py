@@ -553,3 +553,20 @@ def test_pipeline_odd_rows(spark, odd):
     for table in (rows, rows.limit(0)):
         for _, stage in p.STAGES:
             assert stage(spark, table, "").count() >= 0
+
+
+def test_run_hashes_and_word_limits(spark):
+    from quantarium.llm import passages
+
+    h = passages.shingles([b"w%d" % (k % 40) for k in range(200)])
+    runs = passages.Runs(h)
+    at = np.arange(0, 120)
+    keys = runs(at, 41, 7)
+    for i in at:
+        for j in at:
+            assert (keys[i] == keys[j]) == bool((h[i : i + 41] == h[j : j + 41]).all())
+    assert passages.Runs(h[:0])(np.array([-20, 0]), 16, 1).tolist() == passages.Runs(h)(np.array([-20, 200]), 16, 1).tolist()
+    assert passages.word_places(" a\tbé\n")[0].tolist() == [1, 3] and passages.word_places(" a\tbé\n")[1].tolist() == [2, 5]
+    assert [len(x) for x in passages.word_places("")] == [0, 0]
+    rows = spark.createDataFrame([("",), (" a ",), ("a b",), (" a\tb\nc ",), ("a" * 100000,), (None,)], "text string")
+    assert [r[0] for r in rows.select(passages.has_words("text", 2)).collect()] == [False, False, True, True, False, None]
