@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, huffman, packing, pages, passages, pii, quality, simhash, winnow
+from . import bpe, chat, huffman, merkle, packing, pages, passages, pii, quality, simhash, sql, winnow
 from .common import new_dir, stored
 from .tokens import vocabulary_path
 
@@ -66,9 +66,19 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("conv_id", F.size("roles").cast("long").alias("n_turns"), digest(F.array_join(per_turn, "")).alias("turns_sha256"), F.length(loss).cast("long").alias("loss_chars"), digest(loss).alias("loss_sha256"), "formatted_chars")
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A reader presents texts without line ends where the id's checksum is even."""
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    shown = F.when(tampered, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    return merkle.verify(merkle.build_manifest(_table(spark, sf_dir, "documents"), presented={"text": shown}), spark)
+
+
+_QUERIES = (op1_simhash, op2_bpe, op3_quality, op4_pii, op5_winnow, op6_passages, op7_pages, op8_huffman, op9_packing, op10_chat, op11_merkle)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op2_bpe, op3_quality, op4_pii, op5_winnow, op6_passages, op7_pages, op8_huffman, op9_packing, op10_chat)}
+    return {f.__name__: f for f in _QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(sql.SQL)
