@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, huffman, merkle, packing, pages, passages, pii, quality, simhash, sql, winnow
+from . import alignment, bestfit, bpe, chat, huffman, merkle, packing, pages, passages, pii, quality, simhash, sql, winnow
 from .common import new_dir, stored
 from .tokens import vocabulary_path
 
@@ -73,7 +73,18 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verify(merkle.build_manifest(_table(spark, sf_dir, "documents"), presented={"text": shown}), spark)
 
 
-_QUERIES = (op1_simhash, op2_bpe, op3_quality, op4_pii, op5_winnow, op6_passages, op7_pages, op8_huffman, op9_packing, op10_chat, op11_merkle)
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = alignment.align(_table(spark, sf_dir, "documents"), vocabulary_path(), vocabulary_path("piece_bpe_32k.model"), with_groups=False)
+    return found.drop("groups")
+
+
+def op13_bestfit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bestfit.pack(_table(spark, sf_dir, "documents"), vocabulary_path("word_bpe_49k.json"), width=4096, end_id=1, with_ids=False).drop("ids")
+
+
+_QUERIES = (
+    op1_simhash, op2_bpe, op3_quality, op4_pii, op5_winnow, op6_passages, op7_pages, op8_huffman, op9_packing, op10_chat, op11_merkle, op12_alignment, op13_bestfit
+)
 
 
 def queries() -> dict:
