@@ -3,13 +3,19 @@
 Pages of one host come from few templates. A token is an element at its path (names, classes and ids on the way) or a
 text block at its path; tokens that occur equally often on each of the host's pages (the same occurrence vector) form a
 class. Tokens that most of a host's pages hold are its template: elements that occur once a page nest into a tree of
-slots, and text blocks among them are fixed text, which is no content. What is left in the slots is free text. From the
-root, the template's tree is followed down as long as one element holds most of the free text of all the host's pages
-and leaves no heading behind: that element is the slot of the article. On each page its blocks are extracted.
+slots, and text blocks among them are fixed text. What is left in the slots is free text. From the root, the tree is
+followed down while one element holds all free text that is not marked as a menu, an advert and the like, so that nothing
+is left behind; only an article or main element is followed although other text stays outside. The element reached is the
+slot. On each page its blocks are extracted, fixed ones among them (a byline that all pages share is part of the article).
+
+What goes from a slot: elements marked by name or class (see :func:`_role`), fixed text in elements whose class only holds
+such a word (``share price`` may be content, ``share us`` is on every page), fixed blocks at the edges of a slot that is a
+whole page, and, beside the text in a slot without an article element, elements that hold nothing but like elements in a
+number that varies from page to page (readers' replies).
 
 Vectors are never built: each page adds a hash of (page, count) to its tokens' signatures, so a host's vectors are
 sums with partial aggregation, and a host with a third of all pages is no hot task. A host's template is bounded by
-the tokens of about two pages, because each of its tokens is on at least half of the host's pages.
+the tokens of about two pages and the elements of ten, because each is on so large a share of the host's pages.
 """
 
 from __future__ import annotations
@@ -25,29 +31,39 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-#: Fixed: element names by their role in HTML, and words of class and id attributes that mark what is no article.
+#: Fixed: element names by their role in HTML.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = ("script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "select", "object", "canvas", "audio", "video")
-OUTSIDE = frozenset("nav footer aside form menu dialog button head header".split())
+OUTSIDE = frozenset("nav footer aside form menu dialog button head".split())
+OUTSIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog menu menubar toolbar".split())
 MAIN = frozenset(("article", "main"))
-MARKS = frozenset("ad ads adbox advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr masthead menu modal nav navbar navigation newsletter notice notification popup promo recommended related respond share sharing sidebar signup social sponsor sponsored subscribe teaser toolbar widget".split())
+#: Fixed: words of class and id attributes that mark what is no article, words that say where or in what form it stands,
+#: and words that only say that a page has it.
+MARKS = frozenset(
+    "ad ads adbox advert advertisement adverts banner breadcrumb breadcrumbs comment commentlist comments consent cookie cookies disqus footer gdpr masthead menu modal nav navbar navigation"
+    " newsletter notice notification popup promo recommended related replies reply respond share sharing sidebar signup social sponsor sponsored subscribe teaser toolbar widget".split()
+)
+FORMS = frozenset(
+    "area bar block body bottom box button buttons center column container content count first form global group head heading icon icons inner item items label last leaderboard left line link links list main"
+    " module outer page panel primary region right row secondary section site skyscraper slot small text title top unit wrap wrapper zone".split()
+)
+STATES = frozenset("has have is no not off on with without".split())
 CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 #: Blocks that end an open paragraph.
 ENDS_P = BLOCKS - {"body", "html", "head", "title", "option", "caption", "td", "th", "tr", "tbody", "thead", "tfoot"}
-
-#: Of these words, those that mark an element also as a part of a longer class name, unless it is a paragraph.
-PART_MARKS = frozenset("breadcrumb breadcrumbs comment comments cookie cookies footer gdpr menu nav navbar navigation newsletter respond sidebar".split())
-#: An element is followed down to if it holds this share of its parent's free text.
-MOST = 0.6
-#: Pages of a host from which on a text block on each of them, inside the article too, is no content.
-FIXED_PAGES = 5
+#: Elements that repeat as records: others repeat inside any text.
+RECORDS = frozenset(("div", "li", "article"))
+#: Shares of a host's pages that a token of the template, and an element that may repeat, must be on.
+SUPPORT, SOME = 0.5, 0.1
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:"[^"]*"|'[^']*'|[^'">])*)>""", re.S)
 _MARK = re.compile(r"""(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _END_RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
 _DIGITS = re.compile(r"[0-9]+")
-ROOT, OTHER, HEADING, ARTICLE, OUT, TEXT = 0, 0, 1, 2, 3, 4
+_PARTS = re.compile(r"[a-z]+|[A-Z][a-z]*|[0-9]+")
+#: RECORD: an element that may repeat as a reply does; DOUBT: a class holds a word that marks, among others.
+ROOT, OTHER, HEADING, ARTICLE, OUT, TEXT, RECORD, DOUBT, HEADER = 0, 0, 1, 2, 3, 4, 5, 6, 7
 
 
 def host(url: str | None) -> str:
@@ -60,26 +76,44 @@ def token(up: int, kind: str, what: str) -> int:
     return xxhash.xxh64_intdigest(f"{up}\x00{kind}\x00{what}".encode("utf-8", "surrogatepass"), 7) - (1 << 63)
 
 
+def _marked(value: str) -> int:
+    """OUT, DOUBT or OTHER by a class or id. A word marks by what its last part says, form words left aside
+    (``comment-list`` is comments, ``comment-letter`` is a letter); a class marks if each of its words marks or is a form."""
+    marks, others, any_part = 0, 0, False
+    for word in value.split():
+        parts = [x.lower() for x in _PARTS.findall(word)]
+        any_part = any_part or not MARKS.isdisjoint(parts) or "header" in parts
+        said = [x for x in parts if x not in FORMS and not x.isdigit()]
+        if said and said[-1] in MARKS and STATES.isdisjoint(parts):
+            marks += 1
+        elif said:
+            others += 1
+    return OUT if marks and not others else DOUBT if any_part else OTHER
+
+
 def _role(name: str, marks: list[tuple[str, str]]) -> int:
-    words = {w for kind, value in marks if kind != "role" for w in value.lower().split()} | {v.lower() for k, v in marks if k == "role"}
-    if name in MAIN or ("role", "main") in marks:
-        return ARTICLE
-    if name in OUTSIDE or not MARKS.isdisjoint(words):
+    """The role of an element by its name, and by class, id and role attributes. A header is the article's inside one and
+    in doubt elsewhere."""
+    by = [_marked(v) for k, v in marks if k != "role"]
+    roles = {v.lower() for k, v in marks if k == "role"}
+    if name in OUTSIDE or OUT in by or not OUTSIDE_ROLES.isdisjoint(roles):
         return OUT
+    if name in MAIN or "main" in roles:
+        return ARTICLE
     if name in ("h1", "h2", "h3"):
         return HEADING
-    if name != "p" and any(not PART_MARKS.isdisjoint(re.split(r"[-_]+", w)) for w in words):
-        return OUT
-    return OTHER
+    if DOUBT in by or name == "header":
+        return DOUBT if DOUBT in by else HEADER
+    return RECORD if name in RECORDS else OTHER
 
 
 class Page:
-    """A parsed page. up, tokens, roles: of each element its parent's number, token and role, the root first; blocks: of
+    """A parsed page. up, tokens, roles, names: of each element its parent's number, token, role and name, the root first; blocks: of
     each text block its element's number, its text and whether it is mostly linked. Open elements and stray ends are
     tolerated."""
 
     def __init__(self, source: str):
-        self.up, self.tokens, self.roles = [-1], [token(0, "root", "")], [OTHER]
+        self.up, self.tokens, self.roles, self.names = [-1], [token(0, "root", "")], [OTHER], [""]
         self.blocks: list[tuple[int, str, bool]] = []
         self._parse(source)
 
@@ -154,6 +188,7 @@ class Page:
                 self.up.append(parent)
                 self.tokens.append(token(self.tokens[parent], "<", name + _DIGITS.sub("0", "".join(f" {k}={v}" for k, v in marks))))
                 self.roles.append(_role(name, marks))
+                self.names.append(name)
                 parent = len(self.up) - 1
             stack.append((name, parent))  # a plain inline element belongs to the one around it
             opened[name] = opened.get(name, 0) + 1
@@ -164,10 +199,10 @@ class Page:
         return token(self.tokens[self.blocks[k][0]], "t", self.blocks[k][1])
 
     def chars(self) -> list[int]:
-        """Characters of the text inside each element."""
+        """Characters of the text inside each element, but for blocks that are mostly links."""
         out = [0] * len(self.up)
-        for e, text, _ in self.blocks:
-            out[e] += len(text)
+        for e, text, linked in self.blocks:
+            out[e] += len(text) * (not linked)
         for e in range(len(out) - 1, 0, -1):
             out[self.up[e]] += out[e]
         return out
@@ -186,10 +221,10 @@ def _token_batches(batches):
                 got = seen.setdefault(page.tokens[e], [page.tokens[page.up[e]] if e else 0, page.roles[e], 0, 0])
                 got[2] += 1
                 got[3] += n
-            for k, (e, text, _) in enumerate(page.blocks):
+            for k, (e, text, linked) in enumerate(page.blocks):
                 got = seen.setdefault(page.block_token(k), [page.tokens[e], TEXT, 0, 0])
                 got[2] += 1
-                got[3] += len(text)
+                got[3] += len(text) * (not linked)
             at = xxhash.xxh64_intdigest(f"{page_id}\x00{source}".encode("utf-8", "surrogatepass"))
             rows = [(t, *v, xxhash.xxh64_intdigest(f"{at}:{v[2]}") >> 24) for t, v in seen.items()]  # 40 bits: sums stay far below 64
             cols[0].extend([host(url)] * len(rows))
@@ -199,103 +234,173 @@ def _token_batches(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["host", "token", "up", "role", "n", "chars", "page"])
 
 
-def templates(pages: DataFrame, support: float = 0.5) -> DataFrame:
-    """(host, pages, template: array of (token, up, role, chars, single, every)): the tokens on at least ``support`` of a
-    host's pages, and on two at least. up: the parent's token; chars: of the text inside, over all pages; single: once
-    on each page that has it; every: in the class of the page itself, once on every page. A null html must have been
-    made empty; an empty table gives none."""
+def templates(pages: DataFrame) -> DataFrame:
+    """(host, pages, template: array of (token, up, role, chars, on, single, varies, every)): the tokens on at least
+    ``SUPPORT`` of a host's pages, and elements on ``SOME`` of them, on two pages at least. up: the parent's token; chars: of
+    the text inside, over all pages; on: pages that have it; single: once on each of these; varies: not as often on each of
+    these; every: in the class of the page itself, once on every page. A null html must have been made empty; an empty table
+    gives none."""
     tokens = pages.mapInArrow(_token_batches, _TOKENS)
-    sums = [F.count("*").alias("on"), F.sum("n").alias("n"), F.sum("page").alias("signature"), F.sum("chars").alias("chars"), F.max("up").alias("up"), F.max("role").alias("role")]
+    sums = [F.count("*").alias("on"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares"), F.sum("page").alias("signature"), F.sum("chars").alias("chars"), F.max("up").alias("up"), F.max("role").alias("role")]
     signed = stored(tokens.groupBy("host", "token").agg(*sums).where("`on` >= 2"), "tokens")
     pages_of = signed.where(F.col("token") == ROOT).select("host", F.col("on").alias("pages"), F.col("signature").alias("whole"))
-    both = signed.where(F.col("token") != ROOT).join(pages_of, "host").where(F.col("on") >= F.col("pages") * support)
-    rows = F.struct("token", "up", "role", "chars", (F.col("n") == F.col("on")).alias("single"), (F.col("signature") == F.col("whole")).alias("every"))
+    share = F.when(F.col("role") == TEXT, SUPPORT).otherwise(SOME)
+    both = signed.where(F.col("token") != ROOT).join(pages_of, "host").where(F.col("on") >= F.col("pages") * share)
+    single, varies = F.col("n") == F.col("on"), F.col("squares") * F.col("on") != F.col("n") * F.col("n")
+    rows = F.struct("token", "up", "role", "chars", "on", single.alias("single"), varies.alias("varies"), (F.col("signature") == F.col("whole")).alias("every"))
     return both.groupBy("host").agg(F.max("pages").alias("pages"), F.collect_list(rows).alias("template"))
 
 
 class Template:
-    """What a host's pages share. article: the token of the element that holds the article, or None."""
+    """What a host's pages share. slot: the token of the element that holds the article; fixed: tokens of text blocks on most
+    pages; replies: tokens of elements beside the text that hold only like elements in varying number."""
 
-    def __init__(self, pages: int, rows: list[tuple]):
-        self.pages, self.fixed, self.every = pages, set(), set()
-        up, role, free, elements = {}, {}, {}, []
-        for t, u, r, chars, single, every in rows:
+    def __init__(self, slot: int, fixed: frozenset[int], replies: frozenset[int]):
+        self.slot, self.fixed, self.replies = slot, fixed, replies
+
+    @classmethod
+    def of(cls, pages: int, rows: list[tuple]) -> "Template":
+        """rows: (token, up, role, chars, on, single, varies, every)."""
+        up, role, free, varies, fixed, tree = {}, {}, {}, set(), set(), {}
+        for t, u, r, chars, on, single, varying, _ in rows:
             up[t], role[t] = u, r
             if r == TEXT:
-                self.fixed.add(t)
-                if every and pages >= FIXED_PAGES:
-                    self.every.add(t)
-            else:
-                free[t] = free.get(t, 0) + chars
-                if single:
-                    elements.append(t)
-        for t, u, r, chars, *_ in rows:  # fixed text is not free, in all elements around it
-            if r == TEXT:
-                while u in free:
-                    free[u] -= chars
-                    u = up[u]
-        inside: dict[int, list[int]] = {}
-        for t in elements:
-            inside.setdefault(up[t], []).append(t)
-        heads: dict[int, int] = {}  # free text of headings, in all elements around them
-        for t in free:
-            u = t
-            while role[t] == HEADING and u in free:
-                heads[u] = heads.get(u, 0) + free[t]
-                u = up[u]
-        at, self.article = token(0, "root", ""), None
+                fixed.add(t)
+                continue
+            free[t] = free.get(t, 0) + chars
+            if single and on >= SUPPORT * pages:
+                tree.setdefault(u, []).append(t)
+            if varying:
+                varies.add(t)
+        down = _outer_first(free, up)
+        same = dict.fromkeys(free, 0)  # fixed text is not free, in all elements around it
+        for t, u, r, chars, *_ in rows:
+            if r == TEXT and u in same:
+                same[u] += chars
+        holds, hidden, lost, heads = set(), set(), dict.fromkeys(free, 0), dict.fromkeys(free, 0)
+        for t in reversed(down):
+            free[t] -= same[t]
+            if up[t] in same:
+                same[up[t]] += same[t]
+                if t in holds or role[t] == ARTICLE and free[t] > 0:
+                    holds.add(up[t])  # an article inside
+        for t in down:
+            if role[t] == OUT and t not in holds or up[t] in hidden:
+                hidden.add(t)
+        for t in reversed(down):  # free text that isn't marked, and that of headings
+            lost[t] = free[t] if t in hidden else lost[t]
+            heads[t] += free[t] if role[t] == HEADING else 0
+            if up[t] in lost:
+                lost[up[t]] += lost[t]
+                heads[up[t]] += 0 if t in hidden else heads[t]
+        prose = {t: free[t] - lost[t] for t in free}
+        at = token(0, "root", "")
         while True:
-            near = [c for c in inside.get(at, ()) if free.get(at, 0) > 0 and free[c] >= MOST * free[at] and heads.get(c, 0) >= heads.get(at, 0) - self._apart(at, inside, role, heads)]
-            if not near:
+            near = [c for c in tree.get(at, ()) if prose[c] > 0]
+            whole = [c for c in near if prose[c] >= prose.get(at, 0)]
+            named = [c for c in near if role[c] == ARTICLE or c in holds]
+            if len(whole) == 1:
+                at = whole[0]
+            elif len(named) == 1 and (heads[named[0]] > 0 or not heads.get(at, 0)):
+                at = named[0]
+            else:
                 break
-            at = max(near, key=lambda c: (free[c], role[c] == ARTICLE, c))
-            self.article = at
-
-    @staticmethod
-    def _apart(at, inside, role, heads):
-        """Headings of menus and the like directly inside, which may be left behind."""
-        return sum(heads.get(c, 0) for c in inside.get(at, ()) if role[c] == OUT)
+        replies = frozenset() if role.get(at) == ARTICLE else _replies(at, tree, up, role, free, prose, heads, varies, down)
+        return cls(at, frozenset(fixed), replies)
+
+    def to_bytes(self) -> bytes:
+        return np.array([self.slot, len(self.replies), *sorted(self.replies), *sorted(self.fixed)], np.int64).tobytes()
+
+    @classmethod
+    def from_bytes(cls, raw: bytes) -> "Template":
+        slot, n, *rest = np.frombuffer(raw, np.int64).tolist()
+        return cls(slot, frozenset(rest[n:]), frozenset(rest[:n]))
+
+
+def _outer_first(free: dict[int, int], up: dict[int, int]) -> list[int]:
+    """Elements, each after the one around it."""
+    inside: dict[int, list[int]] = {}
+    for t in free:
+        inside.setdefault(up[t], []).append(t)
+    out = [t for t in free if up[t] not in free]
+    for t in out:  # grows as it is read
+        out.extend(inside.get(t, ()))
+    return out
+
+
+def _replies(at, tree, up, role, free, prose, heads, varies, down) -> frozenset[int]:
+    """Elements directly in the slot, beside one that holds repeated paragraphs: all their text is in records whose number
+    varies, and there is no heading."""
+    part: dict[int, int] = {}  # of what is in the slot, the element directly in it
+    deep: dict[int, bool] = {}  # whether what is around it varies in number
+    records: dict[int, int] = {}
+    text: set[int] = set()  # elements that hold paragraphs in varying number, not in such records
+    for t in down:
+        u = up[t]
+        if u != at and u not in part:
+            continue
+        part[t], deep[t] = part.get(u, t), deep.get(u, False) or u in varies and u != at
+        if t not in varies or free[t] <= 0 or u == at:
+            continue
+        if role[t] in (RECORD, DOUBT) and u == part[t]:
+            records[u] = records.get(u, 0) + free[t]
+        elif role[t] == OTHER and not deep[t]:
+            text.add(part[t])
+    found = [c for c in tree.get(at, ()) if prose[c] > 0 and records.get(c, 0) >= prose[c] and not heads[c]]
+    return frozenset(c for c in found if text - {c})
 
 
 def extract(source: str, template: Template | None) -> str:
     """The article's blocks, joined by newlines, given the template of the page's host (None: nothing is known).
 
-    Inside the article's slot only what is marked as a menu, comments and the like goes, and what is the same on every
-    page. A page without that slot, or of an unknown host, is read by its elements: inside article or main, or else
-    all that is not marked, not fixed and not mostly links.
+    A page without its host's slot, or of an unknown host, is read by its elements: inside article or main, or else as a
+    whole. Pages of any length are read whole, in time linear in it.
     """
     page = Page(source)
     n = len(page.up)
-    wanted = template.article if template else None
-    slots = [e for e in range(n) if page.tokens[e] == wanted] if wanted is not None else []
+    slot = template.slot if template else None
+    root = page.tokens[0]
+    slots = [e for e in range(n) if page.tokens[e] == slot] if slot is not None and slot != root else []
     if not slots:
         slots = [e for e in range(n) if page.roles[e] == ARTICLE]
-    known, inside, out = set(slots), [False] * n, [False] * n
+    if not slots:
+        slots = [0]
+    fixed, replies = (template.fixed, template.replies) if template else ((), ())
+    known, inside, out, doubt, part = set(slots), [False] * n, [False] * n, [False] * n, [-1] * n
+    article = any(page.roles[e] == ARTICLE for e in slots)
+    unsure = (DOUBT,) if article else (DOUBT, HEADER)
+    around = 0 in known  # whether a slot is the page itself, or holds menus and the like
     for e in range(n):  # parents come first
         u = page.up[e]
         inside[e] = e in known or (u >= 0 and inside[u])
-        mine = page.roles[e] == OUT
-        out[e] = e not in known and (mine or (u >= 0 and out[u]))
         if e in known:
-            out[e] = False
-    texts = []
-    if slots:
-        every = template.every if template else ()
-        texts = [(text, bool(every) and page.block_token(k) in every) for k, (e, text, _) in enumerate(page.blocks) if inside[e] and not out[e]]
-        if any(not fixed for _, fixed in texts):
-            return "\n".join(text for text, fixed in texts if not fixed)
-        return "\n".join(text for text, _ in texts)
-    fixed = template.fixed if template else ()
-    return "\n".join(text for k, (e, text, linked) in enumerate(page.blocks) if not out[e] and not linked and not (fixed and page.block_token(k) in fixed))
+            continue
+        out[e] = page.roles[e] == OUT or page.tokens[e] in replies or (u >= 0 and out[u])
+        doubt[e] = page.roles[e] in unsure or (u >= 0 and doubt[u])
+        part[e] = part[u] if u >= 0 and part[u] >= 0 else e  # the element directly in the slot
+        around = around or inside[e] and page.roles[e] == OUT
+    blocks = []
+    for k, (e, text, linked) in enumerate(page.blocks):
+        if inside[e] and not out[e]:
+            same = bool(fixed) and page.block_token(k) in fixed
+            if not (same and doubt[e]):
+                blocks.append((part[e], text, same, linked and page.names[e] != "p"))
+    if article or not around:
+        return "\n".join(text for _, text, _, _ in blocks)
+    # A slot that is a whole page: links in blocks of their own, and fixed text outside the first and the last free text, go.
+    blocks = [x for x in blocks if not x[3]]
+    own = {p for p, _, same, _ in blocks if not same and p >= 0}
+    free = [k for k, (p, _, same, _) in enumerate(blocks) if not same or p in own]
+    return "\n".join(text for _, text, _, _ in blocks[free[0] : free[-1] + 1]) if free else "\n".join(x[1] for x in blocks)
 
 
 def _packed_batches(batches):
-    """Templates as bytes, so that a page carries one value."""
+    """What a page needs of its host's template, as bytes, so that a page carries one value."""
     for b in batches:
         out = []
         for n, rows in zip(b.column("pages").to_pylist(), b.column("template").to_pylist()):
-            flat = [[n, 0, 0, 0, 0, 0]] + [[r["token"], r["up"], r["role"], r["chars"], r["single"], r["every"]] for r in sorted(rows, key=lambda r: r["token"])]
-            out.append(np.array(flat, np.int64).tobytes())
+            flat = [(r["token"], r["up"], r["role"], r["chars"], r["on"], r["single"], r["varies"], r["every"]) for r in sorted(rows, key=lambda r: r["token"])]
+            out.append(Template.of(n, flat).to_bytes())
         yield pa.RecordBatch.from_arrays([b.column("host"), b.column("pages"), pa.array(out, pa.binary())], ["host", "pages", "template"])
 
 
@@ -307,8 +412,7 @@ def _extract_batches(batches):
             if raw is not None and raw not in held:
                 if len(held) >= 256:
                     held.clear()
-                rows = np.frombuffer(raw, np.int64).reshape(-1, 6).tolist()
-                held[raw] = Template(rows[0][0], rows[1:])
+                held[raw] = Template.from_bytes(raw)
             out.append(extract(h, held[raw] if raw is not None else None))
         yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], ["page_id", "url", "text", "n_chars"])
 

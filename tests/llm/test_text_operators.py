@@ -502,7 +502,7 @@ def test_template_finds_the_article_without_its_name(spark):
     rows = [(k, f"https://h.example/{k}", page(k)) for k in range(40)]
     frame = spark.createDataFrame(rows, "page_id long, url string, html string")
     got = {r.page_id: r.text for r in pages.main_text(frame, salt_pages=8).collect()}
-    assert got == {k: f"Title {k}\n{fill(k, 'a')}\n{fill(k, 'b')}" for k in range(40)}
+    assert got == {k: f"Title {k}\n{fill(k, 'a')}\n{fill(k, 'b')}\nPress here" for k in range(40)}  # fixed text inside the slot is content
     assert pages.extract(page(3), None) != got[3]  # without its host's template the page is read otherwise
 
 
