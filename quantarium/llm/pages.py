@@ -3,10 +3,10 @@
 Pages of one host come from few templates. A token is an element at its path (names, classes and ids on the way) or a
 text block at its path; tokens that occur equally often on each of the host's pages (the same occurrence vector) form a
 class. Tokens that most of a host's pages hold are its template: elements that occur once a page nest into a tree of
-slots, and text blocks among them are fixed text. What is left in the slots is free text. From the root, the tree is
-followed down while one element holds all free text that is not marked as a menu, an advert and the like, so that nothing
-is left behind; only an article or main element is followed although other text stays outside. The element reached is the
-slot. On each page its blocks are extracted, fixed ones among them (a byline that all pages share is part of the article).
+slots, and text blocks among them are fixed text. What is left in the slots is free text. On each page the
+tree is followed down from the root while one element holds all free text that is not marked as a menu, an advert and the
+like, so that nothing is left behind; only an article or main element is followed although other text stays outside. The
+element reached is the slot; its blocks are extracted, fixed ones among them (a byline that all pages share is content).
 
 What goes from a slot: elements marked by name or class (see :func:`_role`), fixed text in elements whose class only holds
 such a word (``share price`` may be content, ``share us`` is on every page), fixed blocks at the edges of a slot that is a
@@ -252,16 +252,16 @@ def templates(pages: DataFrame) -> DataFrame:
 
 
 class Template:
-    """What a host's pages share. slot: the token of the element that holds the article; fixed: tokens of text blocks on most
-    pages; replies: tokens of elements beside the text that hold only like elements in varying number."""
+    """What a host's pages share. fixed: tokens of text blocks on most pages; tree: tokens of elements once a page on most
+    pages; replies: tokens of elements beside repeated paragraphs that hold only like elements in varying number."""
 
-    def __init__(self, slot: int, fixed: frozenset[int], replies: frozenset[int]):
-        self.slot, self.fixed, self.replies = slot, fixed, replies
+    def __init__(self, fixed: frozenset[int], tree: frozenset[int], replies: frozenset[int]):
+        self.fixed, self.tree, self.replies = fixed, tree, replies
 
     @classmethod
     def of(cls, pages: int, rows: list[tuple]) -> "Template":
         """rows: (token, up, role, chars, on, single, varies, every)."""
-        up, role, free, varies, fixed, tree = {}, {}, {}, set(), set(), {}
+        up, role, free, varies, fixed, tree = {}, {}, {}, set(), set(), set()
         for t, u, r, chars, on, single, varying, _ in rows:
             up[t], role[t] = u, r
             if r == TEXT:
@@ -269,122 +269,122 @@ class Template:
                 continue
             free[t] = free.get(t, 0) + chars
             if single and on >= SUPPORT * pages:
-                tree.setdefault(u, []).append(t)
+                tree.add(t)
             if varying:
                 varies.add(t)
-        down = _outer_first(free, up)
+        inside: dict[int, list[int]] = {}
+        for t in free:
+            inside.setdefault(up[t], []).append(t)
+        down = [t for t in free if up[t] not in free]
+        for t in down:  # elements, each after the one around it; grows as it is read
+            down.extend(inside.get(t, ()))
         same = dict.fromkeys(free, 0)  # fixed text is not free, in all elements around it
         for t, u, r, chars, *_ in rows:
             if r == TEXT and u in same:
                 same[u] += chars
-        holds, hidden, lost, heads = set(), set(), dict.fromkeys(free, 0), dict.fromkeys(free, 0)
         for t in reversed(down):
             free[t] -= same[t]
             if up[t] in same:
                 same[up[t]] += same[t]
-                if t in holds or role[t] == ARTICLE and free[t] > 0:
-                    holds.add(up[t])  # an article inside
-        for t in down:
-            if role[t] == OUT and t not in holds or up[t] in hidden:
-                hidden.add(t)
-        for t in reversed(down):  # free text that isn't marked, and that of headings
-            lost[t] = free[t] if t in hidden else lost[t]
-            heads[t] += free[t] if role[t] == HEADING else 0
-            if up[t] in lost:
-                lost[up[t]] += lost[t]
-                heads[up[t]] += 0 if t in hidden else heads[t]
-        prose = {t: free[t] - lost[t] for t in free}
-        at = token(0, "root", "")
-        while True:
-            near = [c for c in tree.get(at, ()) if prose[c] > 0]
-            whole = [c for c in near if prose[c] >= prose.get(at, 0)]
-            named = [c for c in near if role[c] == ARTICLE or c in holds]
-            if len(whole) == 1:
-                at = whole[0]
-            elif len(named) == 1 and (heads[named[0]] > 0 or not heads.get(at, 0)):
-                at = named[0]
-            else:
-                break
-        replies = frozenset() if role.get(at) == ARTICLE else _replies(at, tree, up, role, free, prose, heads, varies, down)
-        return cls(at, frozenset(fixed), replies)
+        return cls(frozenset(fixed), frozenset(tree), _replies(up, role, free, tree, varies, inside, down))
 
     def to_bytes(self) -> bytes:
-        return np.array([self.slot, len(self.replies), *sorted(self.replies), *sorted(self.fixed)], np.int64).tobytes()
+        return np.array([len(self.tree), len(self.replies), *sorted(self.tree), *sorted(self.replies), *sorted(self.fixed)], np.int64).tobytes()
 
     @classmethod
     def from_bytes(cls, raw: bytes) -> "Template":
-        slot, n, *rest = np.frombuffer(raw, np.int64).tolist()
-        return cls(slot, frozenset(rest[n:]), frozenset(rest[:n]))
-
-
-def _outer_first(free: dict[int, int], up: dict[int, int]) -> list[int]:
-    """Elements, each after the one around it."""
-    inside: dict[int, list[int]] = {}
-    for t in free:
-        inside.setdefault(up[t], []).append(t)
-    out = [t for t in free if up[t] not in free]
-    for t in out:  # grows as it is read
-        out.extend(inside.get(t, ()))
-    return out
-
-
-def _replies(at, tree, up, role, free, prose, heads, varies, down) -> frozenset[int]:
-    """Elements directly in the slot, beside one that holds repeated paragraphs: all their text is in records whose number
-    varies, and there is no heading."""
-    part: dict[int, int] = {}  # of what is in the slot, the element directly in it
-    deep: dict[int, bool] = {}  # whether what is around it varies in number
-    records: dict[int, int] = {}
-    text: set[int] = set()  # elements that hold paragraphs in varying number, not in such records
+        n, m, *rest = np.frombuffer(raw, np.int64).tolist()
+        return cls(frozenset(rest[n + m :]), frozenset(rest[:n]), frozenset(rest[n : n + m]))
+
+
+def _replies(up, role, free, tree, varies, inside, down) -> frozenset[int]:
+    """Elements all of whose free text is in records directly inside, in varying number and without a heading, beside an
+    element that holds paragraphs in varying number which are in no such record."""
+    deep: dict[int, bool] = {}  # whether an element around varies in number
+    text, heads, records = set(), set(), {}  # elements with such paragraphs, with headings; free text of records directly inside
     for t in down:
-        u = up[t]
-        if u != at and u not in part:
-            continue
-        part[t], deep[t] = part.get(u, t), deep.get(u, False) or u in varies and u != at
-        if t not in varies or free[t] <= 0 or u == at:
-            continue
-        if role[t] in (RECORD, DOUBT) and u == part[t]:
-            records[u] = records.get(u, 0) + free[t]
-        elif role[t] == OTHER and not deep[t]:
-            text.add(part[t])
-    found = [c for c in tree.get(at, ()) if prose[c] > 0 and records.get(c, 0) >= prose[c] and not heads[c]]
-    return frozenset(c for c in found if text - {c})
+        deep[t] = deep.get(up[t], False) or up[t] in varies
+        if role[t] == RECORD and t in varies:
+            records[up[t]] = records.get(up[t], 0) + free[t]
+    for t in reversed(down):
+        if t in text or role[t] == OTHER and t in varies and free[t] > 0 and not deep[t]:
+            text.add(up[t])
+        if t in heads or role[t] == HEADING and free[t] > 0:
+            heads.add(up[t])
+    found = [c for c in tree if free[c] > 0 and records.get(c, 0) >= free[c] and c not in heads]
+    return frozenset(c for c in found if any(d in text and d != c for d in inside[up[c]]))
+
+
+class _Reading:
+    """A page's blocks, and the way from its root to the slot of the article."""
+
+    def __init__(self, page: Page, template: Template | None):
+        self.page, self.template = page, template
+        n = len(page.up)
+        fixed = template.fixed if template else ()
+        self.same = [bool(fixed) and page.block_token(k) in fixed for k in range(len(page.blocks))]
+        self.linked = [linked and page.names[e] != "p" for e, _, linked in page.blocks]
+        chars, named = page.chars(), [False] * n  # an article with text, here or inside
+        for e in range(n - 1, -1, -1):  # parents come first: here, last
+            named[e] = named[e] or page.roles[e] == ARTICLE and chars[e] > 0
+            if e and named[e]:
+                named[page.up[e]] = True
+        self.named, self.hidden = named, [False] * n
+        replies = template.replies if template else ()
+        for e in range(1, n):
+            self.hidden[e] = self.hidden[page.up[e]] or not named[e] and (page.roles[e] == OUT or page.tokens[e] in replies)
+
+    def slot(self) -> int:
+        page, n = self.page, len(self.page.up)
+        prose, heads, inside = [0] * n, [0] * n, [[] for _ in range(n)]  # free text that isn't marked, and of headings
+        for k, (e, text, _) in enumerate(page.blocks):
+            if not (self.same[k] or self.linked[k] or self.hidden[e]):
+                prose[e] += len(text)
+                heads[e] += len(text) * (page.roles[e] == HEADING)
+        for e in range(n - 1, 0, -1):
+            u = page.up[e]
+            prose[u] += prose[e]
+            heads[u] += heads[e]
+            inside[u].append(e)
+        at = 0
+        while True:
+            near = [c for c in inside[at] if not self.hidden[c]]
+            named = [c for c in near if self.named[c]]
+            whole = [c for c in near if prose[c] and prose[c] == prose[at] and (self.template is None or page.tokens[c] in self.template.tree)]
+            if page.names[at] != "article" and len(named) == 1 and (heads[named[0]] or not heads[at]):
+                at = named[0]
+            elif whole and page.roles[at] != ARTICLE:
+                at = whole[0]
+            else:
+                return at
 
 
 def extract(source: str, template: Template | None) -> str:
     """The article's blocks, joined by newlines, given the template of the page's host (None: nothing is known).
 
-    A page without its host's slot, or of an unknown host, is read by its elements: inside article or main, or else as a
-    whole. Pages of any length are read whole, in time linear in it.
+    On a page of an unknown host no text is known to be fixed. Pages of any length are read whole, in time linear in it.
     """
     page = Page(source)
-    n = len(page.up)
-    slot = template.slot if template else None
-    root = page.tokens[0]
-    slots = [e for e in range(n) if page.tokens[e] == slot] if slot is not None and slot != root else []
-    if not slots:
-        slots = [e for e in range(n) if page.roles[e] == ARTICLE]
-    if not slots:
-        slots = [0]
-    fixed, replies = (template.fixed, template.replies) if template else ((), ())
-    known, inside, out, doubt, part = set(slots), [False] * n, [False] * n, [False] * n, [-1] * n
-    article = any(page.roles[e] == ARTICLE for e in slots)
+    reading = _Reading(page, template)
+    slot, n = reading.slot(), len(page.up)
+    inside, doubt, part, article, around = [False] * n, [False] * n, [-1] * n, False, slot == 0
+    e = slot
+    while e >= 0:  # in an article, whatever element of it the slot is
+        article, e = article or page.roles[e] == ARTICLE, page.up[e]
     unsure = (DOUBT,) if article else (DOUBT, HEADER)
-    around = 0 in known  # whether a slot is the page itself, or holds menus and the like
-    for e in range(n):  # parents come first
+    for e in range(slot, n):  # parents come first
         u = page.up[e]
-        inside[e] = e in known or (u >= 0 and inside[u])
-        if e in known:
+        if e == slot:
+            inside[e] = True
             continue
-        out[e] = page.roles[e] == OUT or page.tokens[e] in replies or (u >= 0 and out[u])
-        doubt[e] = page.roles[e] in unsure or (u >= 0 and doubt[u])
-        part[e] = part[u] if u >= 0 and part[u] >= 0 else e  # the element directly in the slot
-        around = around or inside[e] and page.roles[e] == OUT
+        inside[e] = inside[u]
+        doubt[e] = page.roles[e] in unsure or doubt[u]
+        part[e] = part[u] if part[u] >= 0 else e  # the element directly in the slot
+        around = around or inside[e] and page.roles[e] == OUT  # the slot holds menus and the like
     blocks = []
-    for k, (e, text, linked) in enumerate(page.blocks):
-        if inside[e] and not out[e]:
-            same = bool(fixed) and page.block_token(k) in fixed
-            if not (same and doubt[e]):
-                blocks.append((part[e], text, same, linked and page.names[e] != "p"))
+    for k, (e, text, _) in enumerate(page.blocks):
+        if inside[e] and not reading.hidden[e] and not (reading.same[k] and doubt[e]):
+            blocks.append((part[e], text, reading.same[k], reading.linked[k]))
     if article or not around:
         return "\n".join(text for _, text, _, _ in blocks)
     # A slot that is a whole page: links in blocks of their own, and fixed text outside the first and the last free text, go.

@@ -45,6 +45,18 @@ def test_shared_byline(spark, n, tag):
     assert got(spark, make, n) == [f"Title {k}\nBy the staff writer.\n{prose(k, 'one')}\nAll rights with the author." for k in range(n)]
 
 
+def test_shared_byline_beside_the_text(spark):
+    """An article is taken whole, also where one element in it holds all that is free."""
+    make = lambda k: shell(k, f'<article><p class="by">By the staff writer.</p><div class="text"><h1>Title {k}</h1><p>{prose(k, "one")}</p></div></article>')
+    assert got(spark, make) == [f"By the staff writer.\nTitle {k}\n{prose(k, 'one')}" for k in range(8)]
+
+
+def test_copies_on_a_host(spark):
+    """Text that all pages share, because they are copies, is still an article."""
+    make = lambda k: shell(0, f"<article><h1>Title</h1><p>{prose(0, 'one')}</p></article>")
+    assert got(spark, make, 2) == [f"Title\n{prose(0, 'one')}"] * 2
+
+
 @pytest.mark.parametrize("inner", ['div class="share price"', 'p class="ad hoc"', 'section class="comment-letter"', 'div class="has-sidebar"', 'div id="menu-of-the-day"', 'div class="newsletter-review"', 'div class="share-enabled"'])
 def test_marked_words_in_content(spark, inner):
     name = inner.split()[0]
