@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from functools import partial
 from itertools import combinations
-from math import comb
+from math import comb, exp, lgamma
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +31,9 @@ from .passages import SHINGLE, first_texts, mix, shingles
 from .tokens import chunks
 
 BITS = 64
-#: Relative costs of one probe row (made, shuffled, sorted) and of one candidate pair (a popcount).
-PROBE_COST, PAIR_COST = 1.0, 0.25
+#: Relative costs of one probe row (made, shuffled, sorted: microseconds) and of one candidate pair (a popcount in an array:
+#: some nanoseconds).
+PROBE_COST, PAIR_COST = 1.0, 0.01
 #: Buckets of up to so many rows are compared by array operations over a whole batch.
 SMALL = 5
 
@@ -122,17 +123,43 @@ def partition_bits(both: np.ndarray, n: int, m: int) -> list[list[int]]:
     return groups
 
 
+def differing_bits(group: list[int], both: np.ndarray, n: int, most: int) -> np.ndarray:
+    """Chances that two fingerprints differ in 0, 1, .. ``most`` bits of a group.
+
+    Bits of a group are correlated, so that equal groups are much likelier than independent bits would make them: mean and
+    variance come from the counts of bits set together, and a beta-binomial distribution has both. With no more variance
+    than of independent bits, it is theirs.
+    """
+    p = np.diag(both)[group] / max(n, 1)
+    set_both = both[np.ix_(group, group)] / max(n, 1)
+    one = p[:, None] - set_both  # the first bit set, the second not
+    none = 1 - p[:, None] - p[None, :] + set_both
+    differ = 2 * (set_both * none + one * one.T)  # of two fingerprints, in both bits
+    q = 2 * p * (1 - p)
+    np.fill_diagonal(differ, q)
+    size, mean = len(group), q.sum()
+    variance, alone = differ.sum() - mean * mean, (q * (1 - q)).sum()
+    out = np.zeros(most + 1)
+    share = mean / size
+    plain = size * share * (1 - share)
+    rho = (variance / plain - 1) / (size - 1) if size > 1 and plain > 0 else 0.0
+    if variance <= alone or not 1e-6 < rho < 1 - 1e-6:
+        out[0] = 1
+        for x in q:
+            out[1:] = out[1:] * (1 - x) + out[:-1] * x
+            out[0] *= 1 - x
+        return out
+    a, b = share * (1 / rho - 1), (1 - share) * (1 / rho - 1)
+    for k in range(min(most, size) + 1):
+        out[k] = comb(size, k) * exp(lgamma(k + a) + lgamma(size - k + b) - lgamma(size + a + b) + lgamma(a + b) - lgamma(a) - lgamma(b))
+    return out
+
+
 def allocate(groups: list[list[int]], both: np.ndarray, n: int, max_bits: int) -> tuple[float, list[int]]:
     """Thresholds (-1: not probed) with sum(t + 1) = max_bits + 1 at the least estimated cost, by dynamic programming."""
-    p = np.diag(both) / max(n, 1)
     costs = []
     for g in groups:
-        dist = np.zeros(max_bits + 2)
-        dist[0] = 1
-        for b in g:  # a pair's number of differing bits in this partition
-            q = 2 * p[b] * (1 - p[b])
-            dist[1:] = dist[1:] * (1 - q) + dist[:-1] * q
-            dist[0] *= 1 - q
+        dist = differing_bits(g, both, n, max_bits)
         row = [0.0]
         for t in range(max_bits + 1):
             probes = sum(comb(len(g), k) for k in range(t + 1))
@@ -463,16 +490,13 @@ def verified_edges(ids: list[int], sets: list[np.ndarray], similarity: float, ro
         return held[k]
 
     first, second, order = [], [], []
-    if n > SMALL:
-        drawn = sketches(minima(sets))
+    drawn = sketches(minima(sets)) if n > 1 else None
     for k in range(n - 1):
         ok = np.minimum(size[k], size[k + 1 :]) >= similarity * np.maximum(size[k], size[k + 1 :]) - 1e-9
         if rest is not None:
             ok &= np.array(rest[k + 1 :]) != rest[k]
-        likely = np.ones(n - k - 1)
-        if n > SMALL:
-            likely = estimate(drawn[k + 1 :], drawn[k])
-            ok &= likely >= LEAST_ESTIMATE
+        likely = estimate(drawn[k + 1 :], drawn[k])
+        ok &= likely >= LEAST_ESTIMATE
         to = np.flatnonzero(ok)
         first.append(np.full(len(to), k)), second.append(to + k + 1), order.append(likely[to])
     out = []
