@@ -22,10 +22,14 @@ _OWNER: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir; only where that is unset (tests) a local one."""
+    """The folder all executors share, from spark.checkpoint.dir. Where that is unset, a local one if driver and executors
+    are one process (tests), else an error: executors would write to their own disks."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if where:
         return where.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _OWN_DIR:
         _OWN_DIR.append(tempfile.mkdtemp(prefix="spark-"))
     return "file://" + _OWN_DIR[0]

@@ -502,7 +502,7 @@ def test_template_finds_the_article_without_its_name(spark):
     rows = [(k, f"https://h.example/{k}", page(k)) for k in range(40)]
     frame = spark.createDataFrame(rows, "page_id long, url string, html string")
     got = {r.page_id: r.text for r in pages.main_text(frame, salt_pages=8).collect()}
-    assert got == {k: f"Title {k}\n{fill(k, 'a')}\n{fill(k, 'b')}\nPress here" for k in range(40)}  # fixed text inside the slot is content
+    assert got == {k: f"Title {k}\n{fill(k, 'a')}\n{fill(k, 'b')}" for k in range(40)}
     assert pages.extract(page(3), None) != got[3]  # without its host's template the page is read otherwise
 
 
@@ -528,6 +528,15 @@ def test_chat(spark):
     assert chat.format_chat(turns.limit(0)).count() == 0
 
 
+def test_chat_turns_without_a_conversation(spark):
+    """Each is a conversation of its own, so that their output is linear."""
+    rows = [(None, k % 3, "assistant" if k % 2 else None, f"said {k}") for k in range(400)] + [(None, None, None, None), (5, 0, "assistant", "x")]
+    examples = chat.format_chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    assert examples.count() == 402 and examples.agg(F.max(F.length("text"))).head()[0] < 40
+    read = [r for r in chat.read_chat(common.stored(examples, "chat")).collect() if r.conv_id is None]
+    assert sorted((r.roles[0], r.texts[0], *r.trained) for r in read) == sorted((r or "", t or "", *([t] if r else [])) for c, _, r, t in rows if c is None)
+
+
 # -- pipeline -----------------------------------------------------------------
 
 
