@@ -11,6 +11,7 @@ bins of each group: no task holds more than that many times ``BRANCH`` bins, how
 
 from __future__ import annotations
 
+import gc
 import os
 import zlib
 from bisect import bisect_left, bisect_right, insort
@@ -25,7 +26,7 @@ from .common import parts, stored, texts
 from .tokens import chunks
 
 #: Fixed: pieces of a first group, about; groups that meet in one; underfull bins that a group passes on; words kept a worker.
-GROUP_PIECES, BRANCH, PASSED_ON, KEPT_WORDS = 5_000, 16, 48, 400_000
+GROUP_PIECES, BRANCH, PASSED_ON, KEPT_WORDS = 5_000, 16, 48, 1_000_000
 #: Shorter items of the giver that each of its items is paired with for two-for-one exchanges.
 NEAR = 8
 _HELD: dict[str, "WordEncoder"] = {}
@@ -34,6 +35,10 @@ _HELD: dict[str, "WordEncoder"] = {}
 # -- encoding -----------------------------------------------------------------
 
 
+#: Marks that the pre-split cuts off letters before them, and that no normalisation joins to a letter. No apostrophe.
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
 class _Words(dict):
     """Ids (bytes) by word; an unknown one gets an empty place and is noted in ``new``."""
 
@@ -48,8 +53,9 @@ class _Words(dict):
 
 
 class WordEncoder:
-    """Ids of whole texts as little-endian unsigned 32-bit bytes, for vocabularies that drop white space: texts are cut at
-    spaces and line ends, which no token of such a vocabulary holds, and each distinct word is encoded once."""
+    """Ids of whole texts as little-endian unsigned 32-bit bytes, for vocabularies that drop white space and mark words'
+    ends: texts are cut at spaces and line ends, which no token of such a vocabulary holds, and each distinct word is
+    encoded once. A word of letters with marks behind it is made of its parts."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -59,22 +65,70 @@ class WordEncoder:
         self.library.no_truncation()
         self.library.no_padding()
         got = [e.ids for e in self.library.encode_batch(["a b\n c", "a", "b", "c"], add_special_tokens=False)]
-        if got[0] != got[1] + got[2] + got[3] or any(set(" \n") & set(t.content) or t.lstrip or t.rstrip for t in self.library.get_added_tokens_decoder().values()):
+        added = self.library.get_added_tokens_decoder().values()
+        if got[0] != got[1] + got[2] + got[3] or any(set(" \n") & set(t.content) or t.lstrip or t.rstrip for t in added):
             raise ValueError("the vocabulary keeps white space: words can't be encoded apart")
-        self.words = _Words()
+        vocabulary, suffix = self.library.get_vocab(), self.library.model.end_of_word_suffix or ""
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a word
+        self.last[[i for t, i in vocabulary.items() if suffix and t.endswith(suffix)]] = True
+        self.words, self.marks = _Words(), {}
+
+    def _library(self, many: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(many, add_special_tokens=False)]
+
+    def _letters(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters: many are one text, cut behind each id that ends a word. Where these are more than the
+        words (lower case may make a letter two), the words are encoded one by one."""
+        out: list[bytes] = []
+        for at in range(0, len(words), 16_384):
+            lists = [words[k : k + 64] for k in range(at, min(at + 16_384, len(words)), 64)]
+            for own, e in zip(lists, self.library.encode_batch_fast([" ".join(x) for x in lists], add_special_tokens=False)):
+                ids = np.array(e.ids, "<u4")
+                ends = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
+                if len(ends) != len(own) or ends[-1] != 4 * len(ids):
+                    out += self._library(own)
+                    continue
+                raw = ids.tobytes()
+                out += [raw[s:t] for s, t in zip([0, *ends], ends)]
+        return out
+
+    def _fill(self, new: list[str]) -> None:
+        words, cores, made, whole = self.words, [], [], []
+        for w in new:
+            if w.isalpha():
+                cores.append(w)
+                continue
+            core = w.rstrip(_MARKS)
+            if core.isalpha():
+                made.append((w, core, w[len(core) :]))
+            else:
+                whole.append(w)
+        more = list({core for _, core, _ in made if not words.get(core)})
+        found = dict(zip(cores + more, self._letters(cores + more)))
+        marks = list({m for _, _, m in made} - self.marks.keys())
+        self.marks.update(zip(marks, self._library(marks)))
+        for w in cores:
+            words[w] += found[w]
+        for w, core, m in made:
+            words[w] += (found.get(core) or words[core]) + self.marks[m]
+        for w, ids in zip(whole, self._library(whole)):
+            words[w] += ids
 
     def encode(self, many: list[str]) -> list[bytes]:
         if len(self.words) > KEPT_WORDS:
             self.words = _Words()
-        words = self.words
-        get = words.__getitem__
-        rows = [list(map(get, t.replace("\n", " ").split(" "))) for t in many]
-        new, words.new = words.new, []
-        for at in range(0, len(new), 8192):
-            part = new[at : at + 8192]
-            for w, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False)):
-                words[w] += np.array(e.ids, "<u4").tobytes()
-        return [b"".join(r) for r in rows]
+        collecting = gc.isenabled()
+        gc.disable()  # only strings and bytes are made here: nothing for the collector to find
+        try:
+            words = self.words
+            get = words.__getitem__
+            rows = [list(map(get, t.replace("\n", " ").split(" "))) for t in many]
+            new, words.new = words.new, []
+            self._fill(new)
+            return [b"".join(r) for r in rows]
+        finally:
+            if collecting:
+                gc.enable()
 
 
 def encoder(path: str) -> WordEncoder:
