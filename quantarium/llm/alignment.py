@@ -17,6 +17,7 @@ worker aligns each distinct piece once.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import os
 import re
@@ -34,7 +35,7 @@ from .common import stored, texts
 from .tokens import chunks, unsafe
 
 #: Fixed: parts of the pairs by hash. Pieces that a worker keeps. Bytes of counts that are broadcast at once.
-SEGMENTS, KEPT_PIECES, SLICE_BYTES = 256, 200_000, 64 << 20
+SEGMENTS, KEPT_PIECES, SLICE_BYTES = 256, 500_000, 64 << 20
 #: Bits of a level of the hash function to a key that is left.
 LOAD = 1.5
 _MARK = "▁"
@@ -138,11 +139,18 @@ class _Places(dict):
         return n
 
 
+#: Marks that both tokenizers cut off letters before them: A by its pre-split, B if no piece of it has both. No apostrophe.
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Words of letters that are encoded as one text.
+_WORDS = 64
+
+
 class Aligner:
     """Aligns pieces once each. Per piece: tokens of A and B, groups, whether both give back its bytes, the groups' text
-    and its links (pairs a << 16 | b)."""
+    (if wanted) and its links (pairs a << 16 | b). Words of letters are encoded many at a time and cut apart again; a piece
+    of letters with marks behind it is made of its two parts."""
 
-    def __init__(self, path_a: str, path_b: str, counts: Counts | None = None, best: np.ndarray | None = None):
+    def __init__(self, path_a: str, path_b: str, counts: Counts | None = None, best: np.ndarray | None = None, with_text: bool = True):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import sentencepiece
         from tokenizers import Tokenizer
@@ -151,20 +159,27 @@ class Aligner:
         self.a.encode_special_tokens = True
         self.a.no_truncation()
         self.a.no_padding()
-        letters, size = byte_letters(), max(self.a.get_vocab().values()) + 1
-        self.a_bytes = [b""] * size
-        for t, i in self.a.get_vocab().items():
+        letters, vocabulary = byte_letters(), self.a.get_vocab()
+        self.a_bytes = [b""] * (max(vocabulary.values()) + 1)
+        for t, i in vocabulary.items():
             self.a_bytes[i] = bytes(letters[c] for c in t) if all(c in letters for c in t) else t.encode()
-        self.b_bytes = []
+        self.b_bytes, apart = [], True
         for i in range(self.b.get_piece_size()):
             piece = self.b.id_to_piece(i)
             if _MARK in piece.lstrip(_MARK):
                 raise ValueError("a piece holds the space mark behind another character: texts can't be cut at spaces")
+            plain = not (self.b.is_byte(i) or self.b.is_control(i) or self.b.is_unknown(i))
+            apart = apart and not (plain and any(x.isalpha() and y in _MARKS for x, y in zip(piece, piece[1:])))
             self.b_bytes.append(bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace(_MARK, " ").encode())
-        if size > 1 << 16 or len(self.b_bytes) > 1 << 16:
+        if len(self.a_bytes) > 1 << 16 or len(self.b_bytes) > 1 << 16:
             raise ValueError("ids do not fit in 16 bits")
+        self.apart = apart
+        self.a_len, self.b_len = (np.array([len(x) for x in own], np.int64) for own in (self.a_bytes, self.b_bytes))
+        self.a_first, self.b_first = (np.array([x[:1] == b" " for x in own]) for own in (self.a_bytes, self.b_bytes))
+        self.names = [str(i) for i in range(max(len(self.a_bytes), len(self.b_bytes)))]
         self.space = [self.b.piece_to_id(_MARK)]
-        self.counts, self.best = counts, best
+        self.counts, self.best, self.with_text = counts, best, with_text
+        self.marks: dict[str, tuple] = {}
         self.clear()
 
     def clear(self):
@@ -179,64 +194,119 @@ class Aligner:
         """The text cut before spaces that follow another character than white space; these spaces are left out."""
         return _CUT.split(text) if unsafe(text) else text.split(" ")
 
-    def _align(self, a: list[int], b: list[int]) -> tuple[str, list[int]]:
-        groups, links, at_a, at_b, from_a, from_b, i, j = [], [], 0, 0, 0, 0, 0, 0
-        a_bytes, b_bytes = self.a_bytes, self.b_bytes
-        while i < len(a) or j < len(b):
-            if j >= len(b) or (i < len(a) and at_a <= at_b):
-                at_a += len(a_bytes[a[i]])
-                i += 1
-            else:
-                at_b += len(b_bytes[b[j]])
-                j += 1
-            if at_a == at_b and i > from_a and j > from_b:
-                groups.append(",".join(map(str, a[from_a:i])) + "|" + ",".join(map(str, b[from_b:j])))
-                links.append(a[i - 1] << 16 | b[j - 1])
-                from_a, from_b = i, j
-        return ";".join(groups), links
+    def _aligned(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
+        """Of two token sequences with the same bytes: where they end together (bytes), their links there, and for each
+        group its text."""
+        ends_a, ends_b = np.cumsum(self.a_len[a]), np.cumsum(self.b_len[b])
+        at_a = np.flatnonzero(np.isin(ends_a, ends_b, assume_unique=True))
+        at_b = np.searchsorted(ends_b, ends_a[at_a])
+        text: list[str] = []
+        if self.with_text:
+            name = self.names.__getitem__
+            sa, sb, i, j = list(map(name, a.tolist())), list(map(name, b.tolist())), 0, 0
+            for p, q in zip((at_a + 1).tolist(), (at_b + 1).tolist()):
+                text.append((sa[i] if p == i + 1 else ",".join(sa[i:p])) + "|" + (sb[j] if q == j + 1 else ",".join(sb[j:q])))
+                i, j = p, q
+        return ends_a[at_a], a[at_a].astype(np.int64) << 16 | b[at_b], ends_a, text
+
+    def _alone(self, pieces: list[str], before: str = " ") -> list[tuple]:
+        """(tokens of A, of B, both give back the bytes, links, text) of pieces, one by one. before: ' ', or a letter whose
+        token is left out again, for what stands behind letters."""
+        out = []
+        encoded = self.a.encode_batch_fast([(before if before == " " else "") + p for p in pieces], add_special_tokens=False)
+        other = self.b.encode([("" if before == " " else before) + p for p in pieces], num_threads=1)
+        for piece, e, b in zip(pieces, encoded, other):
+            b = b[1:] if before != " " else b if piece else self.space
+            raw = ((" " if before == " " else "") + piece).encode("utf-8", "surrogatepass")
+            ok = b"".join([self.b_bytes[i] for i in b]) == raw and b"".join([self.a_bytes[i] for i in e.ids]) == raw
+            _, links, _, text = self._aligned(np.array(e.ids, np.int64), np.array(b, np.int64)) if ok else (None, np.zeros(0, np.int64), None, [])
+            out.append((len(e.ids), len(b), ok, links, ";".join(text)))
+        return out
+
+    def _letters(self, words: list[str]) -> list[tuple]:
+        """The same of words of letters."""
+        out: list[tuple] = []
+        lists = [words[k : k + _WORDS] for k in range(0, len(words), _WORDS)]
+        whole = [" ".join(own) for own in lists]
+        encoded = self.a.encode_batch_fast([" " + t for t in whole], add_special_tokens=False)
+        for own, t, e, b in zip(lists, whole, encoded, self.b.encode(whole, num_threads=1)):
+            a, b, raw = np.array(e.ids, np.int64), np.array(b, np.int64), (" " + t).encode("utf-8", "surrogatepass")
+            from_a, from_b = np.flatnonzero(self.a_first[a]), np.flatnonzero(self.b_first[b])
+            same = b"".join([self.b_bytes[i] for i in b.tolist()]) == raw and b"".join([self.a_bytes[i] for i in a.tolist()]) == raw
+            if not same or len(from_a) != len(own) or len(from_b) != len(own):
+                out += self._alone(own)
+                continue
+            ends, links, ends_a, text = self._aligned(a, b)
+            word_ends = np.append(ends_a[from_a[1:] - 1], ends_a[-1])  # both cut before each space
+            cuts = np.searchsorted(ends, word_ends, side="right").tolist()
+            n_a, n_b = np.diff(np.append(from_a, len(a))).tolist(), np.diff(np.append(from_b, len(b))).tolist()
+            for x, y, s, to in zip(n_a, n_b, [0, *cuts], cuts):
+                out.append((x, y, True, links[s:to], ";".join(text[s:to])))
+        return out
 
     def _fill(self):
         new, self.places.new = self.places.new, []
-        links = []
         if not new:
             return
-        encoded = self.a.encode_batch_fast([" " + p for p in new], add_special_tokens=False)
-        for piece, e, b in zip(new, encoded, self.b.encode(new, num_threads=1)):
-            a, b, raw = e.ids, b if piece else self.space, (" " + piece).encode("utf-8", "surrogatepass")
-            ok = b"".join([self.b_bytes[i] for i in b]) == raw and b"".join([self.a_bytes[i] for i in a]) == raw
-            text, pairs = self._align(a, b) if ok else ("", [])
-            self.n_a.append(len(a))
-            self.n_b.append(len(b))
-            self.n_links.append(len(pairs))
-            self.ok.append(ok)
-            self.groups.append(text)
-            links += pairs
-        pairs = np.array(links, np.int64)
+        cores, made, whole = [], [], []
+        for k, p in enumerate(new):
+            if p.isalpha():
+                cores.append(p)
+                continue
+            core = p.rstrip(_MARKS)
+            if self.apart and core.isalpha():
+                made.append((k, core, p[len(core) :]))
+            else:
+                whole.append(p)
+        known = set(cores)
+        cores += list({core for _, core, _ in made} - known)
+        found = dict(zip(cores, self._letters(cores)))
+        found.update(zip(whole, self._alone(whole)))
+        marks = list({m for _, _, m in made} - self.marks.keys())
+        self.marks.update(zip(marks, self._alone(marks, before="a")))
+        for k, core, m in made:
+            x, y = found[core], self.marks[m]
+            text = x[4] + ";" + y[4] if self.with_text else ""
+            found[new[k]] = (x[0] + y[0], x[1] + y[1], x[2] and y[2], np.concatenate([x[3], y[3]]), text)
+        rows = [found[p] for p in new]
+        n_a, n_b, ok, links, text = zip(*rows)
+        self.n_a.extend(n_a)
+        self.n_b.extend(n_b)
+        self.ok.extend(ok)
+        sizes = [len(x) for x in links]
+        self.n_links.extend(sizes)
+        self.groups.extend(text)
+        pairs = np.concatenate(links)
         self.links.append(pairs)
         if self.counts is not None:
-            found = self.counts.look_up(pairs)
-            sizes = np.frombuffer(self.n_links, np.int64)[-len(new) :]
+            found_n = self.counts.look_up(pairs)
             ends = np.concatenate([[0], np.cumsum(sizes)])
             total = lambda v: np.diff(np.concatenate([[0], np.cumsum(v)])[ends])
-            self.count_sum.extend(total(found).tolist())
-            self.n_best.extend(total((found > 0) & (found == self.best[pairs & 0xFFFF])).tolist())
+            self.count_sum.extend(total(found_n).tolist())
+            self.n_best.extend(total((found_n > 0) & (found_n == self.best[pairs & 0xFFFF])).tolist())
 
     def read(self, many: list[str]) -> list[np.ndarray]:
         """The numbers of each text's pieces; no number for a text that has no tokens."""
         get = self.places.__getitem__
-        rows = [list(map(get, self.pieces(t))) if t else [] for t in many]
-        self._fill()
+        collecting = gc.isenabled()
+        gc.disable()  # few objects that refer to others are made here
+        try:
+            rows = [list(map(get, self.pieces(t))) if t else [] for t in many]
+            self._fill()
+        finally:
+            if collecting:
+                gc.enable()
         ok = np.frombuffer(self.ok, np.int8).astype(bool)
         out = [np.array(r, np.int64) for r in rows]
         return [r if ok[r].all() else r[:0] for r in out]
 
 
 def aligner(path_a: str, path_b: str, token: int = 0, rows=None, best: bytes | None = None) -> Aligner:
-    """The worker's aligner; ``token`` names a slice of counts. One is kept a process."""
+    """The worker's aligner; ``token`` names a slice of counts (0: none, and no text). One is kept a process."""
     key = (path_a, path_b, token)
     if key not in _HELD:
         _HELD.clear()
-        _HELD[key] = Aligner(path_a, path_b, None if rows is None else Counts(rows.value), None if best is None else np.frombuffer(best, np.int64))
+        _HELD[key] = Aligner(path_a, path_b, None if rows is None else Counts(rows.value), None if best is None else np.frombuffer(best, np.int64), with_text=token > 0)
     return _HELD[key]
 
 
@@ -365,7 +435,7 @@ def _document_batches(batches, path_a, path_b, token, rows, best, with_groups):
             if len(al.places) > KEPT_PIECES:
                 al.clear()
             found = al.read(all_texts[s:e])
-            n_a, n_b, n_links, n_best, count_sum = (np.frombuffer(x, np.int64) for x in (al.n_a, al.n_b, al.n_links, al.n_best, al.count_sum))
+            n_a, n_b, n_links, n_best, count_sum = (np.array(x, np.int64) for x in (al.n_a, al.n_b, al.n_links, al.n_best, al.count_sum))
             groups = [";".join([al.groups[k] for k in r.tolist()]) for r in found]
             cols = [[int(v[r].sum()) for r in found] for v in (n_a, n_b, n_links, n_links, n_best, count_sum)]
             before = [x[s:e].to_numpy() for x in (b.column("n_best"), b.column("count_sum"))]
