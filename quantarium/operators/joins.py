@@ -38,9 +38,13 @@ def _neighbours(targets: DataFrame, series: DataFrame, key: str, at: str, date:
 
 
 def asof_latest(targets: DataFrame, series: DataFrame, key: str, at: str = "at", date: str = "date", value: str = "value") -> DataFrame:
-    """targets (key, at) with the last observation of the key on or before ``at``: found_date, found_value."""
-    found = _neighbours(targets, series, key, at, date, value)
-    return found.select(*[c for c in found.columns if c != "_found"], F.col("_found")["d"].alias("found_date"), F.col("_found")["v"].alias("found_value"))
+    """targets (key, at) with the last observation of the key on or before ``at``: found_date, found_value.
+
+    Distinct (key, at) are looked up, however many targets share them, and the targets take what was found."""
+    found = _neighbours(targets.select(key, at).distinct(), series, key, at, date, value)
+    found = found.select(F.col(key).alias("_k"), F.col(at).alias("_a"), F.col("_found")["d"].alias("found_date"), F.col("_found")["v"].alias("found_value"))
+    both = targets.join(found, F.col(key).eqNullSafe(F.col("_k")) & F.col(at).eqNullSafe(F.col("_a")))
+    return both.select(key, at, *[c for c in targets.columns if c not in (key, at)], "found_date", "found_value")
 
 
 def asof_nearest(targets: DataFrame, series: DataFrame, key: str, max_gap_days: int = 140, at: str = "at", date: str = "date", value: str = "value") -> DataFrame:
@@ -53,13 +57,35 @@ def asof_nearest(targets: DataFrame, series: DataFrame, key: str, max_gap_days:
     return both.select(key, at, F.when(near, pick["d"]).alias("found_date"), F.when(near, pick["v"]).alias("found_value"))
 
 
-def event_boundary(events: DataFrame, candles: DataFrame) -> DataFrame:
-    """events (ticker, boundary) with the last candle before the boundary and the first on or after it."""
-    j = events.join(candles.select("ticker", "date", "close"), "ticker")
-    before, after = F.col("date") < F.col("boundary"), F.col("date") >= F.col("boundary")
-    return j.groupBy(*events.columns).agg(
-        F.max(F.when(before, F.col("date"))).alias("before_date"), F.max_by("close", F.when(before, F.col("date"))).alias("before_close"), F.min(F.when(after, F.col("date"))).alias("after_date"),
-        F.min_by("close", F.when(after, F.col("date"))).alias("after_close"), F.count_if(before).alias("n_before"), F.count_if(after).alias("n_after"),
+def event_boundary(events: DataFrame, candles: DataFrame, radius: int = 4) -> DataFrame:
+    """events (ticker, boundary) with the last candle before the boundary and the first on or after it, how many there are on
+    each side, and ``around``: (date, close) of the first on or after with ``radius`` candles on each side (none without one
+    on or after). Candles without a close take no part; an event without any candle gives no row.
+
+    Candles are numbered by date inside (ticker, bucket of days), on from the numbers of earlier buckets; an event gets the
+    number of the last candle before it in the same pass, and its rows are fetched by number. No event meets all candles.
+    """
+    day = F.floor(F.datediff(F.col("_t"), F.lit("1970-01-01").cast("date")) / BUCKET_DAYS)
+    known = candles.where("close IS NOT NULL AND date IS NOT NULL").select("ticker", F.col("date").alias("_t"), F.lit(1).alias("_candle"), F.struct("date", "close").alias("_c"))
+    asked = events.distinct().where("boundary IS NOT NULL").select("ticker", F.col("boundary").alias("_t"), F.lit(0).alias("_candle"), F.struct(*events.columns).alias("_e"))
+    both = known.unionByName(asked, allowMissingColumns=True).withColumn("_b", day)
+    heads = both.groupBy("ticker", "_b").agg(F.sum("_candle").alias("_n"))
+    by = Window.partitionBy("ticker")
+    earlier = F.coalesce(F.sum("_n").over(by.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    heads = heads.select("ticker", "_b", earlier.alias("_earlier"), F.sum("_n").over(by).alias("_all"))
+    inside = F.sum("_candle").over(Window.partitionBy("ticker", "_b").orderBy("_t", "_candle", F.col("_c.close")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    numbered = both.withColumn("_inside", inside).join(heads, ["ticker", "_b"]).withColumn("_no", F.col("_inside") + F.col("_earlier"))
+    rows = numbered.where("_candle = 1").select("ticker", "_no", "_c")
+    met = numbered.where("_candle = 0 AND _all > 0").select("ticker", "_e", F.col("_no").alias("_before"), "_all")
+    wanted = met.select("*", F.explode(F.sequence(F.col("_before") - (radius - 1), F.col("_before") + radius + 1)).alias("_no"))
+    c, before, after = F.col("_c"), F.col("_no") == F.col("_before"), F.col("_no") == F.col("_before") + 1
+    near = wanted.join(rows, ["ticker", "_no"], "left").groupBy("_e", "_before", "_all").agg(
+        F.max(F.when(before, c)).alias("_x"), F.max(F.when(after, c)).alias("_y"), F.sort_array(F.collect_list(c)).alias("_around")
+    )
+    around = F.when(F.col("_y").isNull(), F.slice("_around", 1, 0)).otherwise(F.col("_around"))
+    return near.select(
+        "_e.*", F.col("_x.date").alias("before_date"), F.col("_x.close").alias("before_close"), F.col("_y.date").alias("after_date"), F.col("_y.close").alias("after_close"),
+        F.col("_before").alias("n_before"), (F.col("_all") - F.col("_before")).alias("n_after"), around.alias("around"),
     )
 
 
@@ -128,15 +154,32 @@ def tolerant_match(witnesses: DataFrame, events: DataFrame, days: int = 5, ratio
     return witnesses.join(best, "id", "left").select(*witnesses.columns, "m.event_date", "m.event_ratio", "m.score")
 
 
+def _rarest(rows: DataFrame, own: str, n: str, frequency: DataFrame, least: float) -> DataFrame:
+    """The tokens of each set that it must share one of with any larger set that it overlaps enough: of its known tokens,
+    rarest first, all but as many as a score of ``least`` needs, less one. A set with fewer known tokens has none."""
+    ranked = rows.join(frequency, "token").withColumns(
+        {"_r": F.row_number().over(Window.partitionBy(own).orderBy("_df", "token")), "_k": F.count("*").over(Window.partitionBy(own))}
+    )
+    return ranked.where(F.col("_r") <= F.col("_k") - F.ceil(F.col(n) * least - 1e-9) + 1).drop("_r", "_k", "_df")
+
+
 def best_text_match(expected: DataFrame, candidates: DataFrame, least: float = 0.2) -> DataFrame:
-    """For each expected row (id, tokens) the candidate (cand, tokens) with the largest overlap of at least ``least``.
- Rows meet on shared tokens only, by an equi-join."""
+    """For each expected row (id, tokens) the candidate (cand, tokens) with the largest overlap of at least ``least``: shared
+    tokens over those of the smaller set.
+
+    A prefix filter: pairs meet on the rarest tokens of the smaller set that it must share one of, so that words which most
+    texts hold bring no pair together; only pairs met are compared in full. Empty sets match nothing.
+    """
     e = expected.select("id", F.size("tokens").alias("n_e"), F.explode("tokens").alias("token"))
-    c = candidates.select("cand", F.size("tokens").alias("n_c"), F.explode("tokens").alias("token"))
-    met = e.join(c, "token").groupBy("id", "cand", "n_e", "n_c").agg(F.count("*").alias("shared"))
-    score = F.col("shared") / F.least("n_e", "n_c")
+    c = candidates.select("cand", F.size("tokens").alias("n_c"), F.explode("tokens").alias("token")).join(e.select("token").distinct(), "token", "left_semi")
+    frequency = c.groupBy("token").agg(F.count("*").alias("_df"))
+    small_e, small_c = _rarest(e, "id", "n_e", frequency, least), _rarest(c, "cand", "n_c", frequency, least)
+    pairs = small_e.join(c, "token").where("n_e <= n_c").select("id", "cand").unionByName(e.join(small_c, "token").where("n_c < n_e").select("id", "cand")).distinct()
+    sets = c.groupBy("cand").agg(F.first("n_c").alias("n_c"), F.collect_list("token").alias("c_tokens"))
+    met = pairs.join(expected.select("id", F.col("tokens").alias("e_tokens")), "id").join(sets, "cand")
+    score = F.size(F.array_intersect("e_tokens", "c_tokens")) / F.least(F.size("e_tokens"), F.col("n_c"))
     w = Window.partitionBy("id").orderBy(F.desc("score"), "cand")
-    return met.withColumn("score", score).where(F.col("score") >= least).withColumn("_r", F.row_number().over(w)).where("_r = 1").select("id", "cand", "score")
+    return met.select("id", "cand", score.alias("score")).where(F.col("score") >= least).withColumn("_r", F.row_number().over(w)).where("_r = 1").select("id", "cand", "score")
 
 
 def preferred_listing(df: DataFrame) -> DataFrame:

@@ -19,12 +19,18 @@ def pit_select(facts: DataFrame, as_of: str) -> DataFrame:
     return one.join(best, ["ticker", "scope"])
 
 
-def pit_merge_first_wins(stored: DataFrame, incoming: DataFrame, keys: list[str], fields: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(rows: stored ones unchanged and new keys, revisions: keys whose fields differ, old and new values)."""
+def first_wins_delta(stored: DataFrame, incoming: DataFrame, keys: list[str], fields: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(rows of new keys, revisions: keys whose fields differ, old and new values)."""
     adds = incoming.join(stored.select(*keys), keys, "left_anti")
     new = incoming.select(*keys, *[F.col(f).alias(f"new_{f}") for f in fields])
     differ = reduce(lambda a, b: a | b, [~F.col(f).eqNullSafe(F.col(f"new_{f}")) for f in fields])
-    return stored.unionByName(adds.select(*stored.columns)), stored.select(*keys, *fields).join(new, keys).where(differ)
+    return adds.select(*stored.columns), stored.select(*keys, *fields).join(new, keys).where(differ)
+
+
+def pit_merge_first_wins(stored: DataFrame, incoming: DataFrame, keys: list[str], fields: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(rows: stored ones unchanged and new keys, revisions: keys whose fields differ, old and new values)."""
+    adds, revisions = first_wins_delta(stored, incoming, keys, fields)
+    return stored.unionByName(adds), revisions
 
 
 def versioned_diff(stored: DataFrame, incoming: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:

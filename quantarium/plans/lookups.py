@@ -10,6 +10,7 @@ from ..functions import columns as C
 from ..operators import joins as J
 from ..operators import metrics as M
 from ..operators import pit as P
+from ..operators.sums import running_sum
 from .prices import JUMPS_SQL
 from .registry import query, r4
 
@@ -40,10 +41,20 @@ def _split_events(spark, d):
     return candles_step(spark, d).select("ticker").distinct().where("ticker % 4 <> 0").select("ticker", F.lit("1998-06-01").cast("date").alias("boundary"))
 
 
-@query("asof_event_boundary", with_views(f"""SELECT ticker, DATE '1998-06-01' AS boundary, max(date) FILTER (date < DATE '1998-06-01') AS before_date, {r4("arg_max(close, date) FILTER (date < DATE '1998-06-01')")} AS before_close, min(date) FILTER (date >= DATE '1998-06-01') AS after_date,
- {r4("arg_min(close, date) FILTER (date >= DATE '1998-06-01')")} AS after_close, count(*) FILTER (date < DATE '1998-06-01') AS n_before, count(*) FILTER (date >= DATE '1998-06-01') AS n_after FROM candles_step WHERE ticker % 4 <> 0 GROUP BY ticker""", "candles_step"))
+@query("asof_event_boundary", with_views(f"""SELECT b.*, n.n_around, n.first_around, n.last_around, n.sum_around FROM (SELECT ticker, DATE '1998-06-01' AS boundary, max(date) FILTER (date < DATE '1998-06-01') AS before_date, {r4("arg_max(close, date) FILTER (date < DATE '1998-06-01')")} AS before_close, min(date) FILTER (date >= DATE '1998-06-01') AS after_date,
+ {r4("arg_min(close, date) FILTER (date >= DATE '1998-06-01')")} AS after_close, count(*) FILTER (date < DATE '1998-06-01') AS n_before, count(*) FILTER (date >= DATE '1998-06-01') AS n_after FROM k GROUP BY ticker) b
+ JOIN (SELECT ticker, count(*) FILTER (near) AS n_around, min(date) FILTER (near) AS first_around, max(date) FILTER (near) AS last_around, {r4("sum(close) FILTER (near)")} AS sum_around FROM (SELECT *, max(no) FILTER (date >= DATE '1998-06-01') OVER (PARTITION BY ticker) IS NOT NULL
+ AND no - (count(*) FILTER (date < DATE '1998-06-01') OVER (PARTITION BY ticker)) BETWEEN -3 AND 5 AS near FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date) AS no FROM k)) GROUP BY ticker) n USING (ticker)""", "candles_step").replace(" SELECT b.*", ", k AS (SELECT ticker, date, close FROM candles_step WHERE ticker % 4 <> 0 AND (day(date) + ticker) % 5 <> 0) SELECT b.*", 1))
 def event_boundary(spark, d):
-    return M.rounded(J.event_boundary(_split_events(spark, d), candles_step(spark, d)))
+    """Each fifth candle of a ticker has no close."""
+    c = candles_step(spark, d).withColumn("close", F.when((F.dayofmonth("date") + F.col("ticker")) % 5 != 0, F.col("close")))
+    found = M.rounded(J.event_boundary(_split_events(spark, d), c))
+    total = F.aggregate("around", F.lit(0.0), lambda acc, x: acc + x["close"])
+    some = F.size("around") > 0
+    return found.select(
+        *[x for x in found.columns if x != "around"], F.size("around").cast("long").alias("n_around"), F.when(some, F.array_min("around")["date"]).alias("first_around"), F.when(some, F.array_max("around")["date"]).alias("last_around"),
+        F.when(some, rnd(total, 4)).alias("sum_around"),
+    )
 
 
 _BR = "cv AS (SELECT vertex, rate FROM curve WHERE data_ref = (SELECT max(data_ref) FROM curve)), br AS (SELECT i.*, (SELECT max(vertex) FROM cv WHERE vertex <= horizon) AS lo, (SELECT min(vertex) FROM cv WHERE vertex >= horizon) AS hi FROM investments i), ip AS (SELECT br.*, a.rate AS lo_rate, b.rate AS hi_rate FROM br LEFT JOIN cv a ON a.vertex = lo LEFT JOIN cv b ON b.vertex = hi)"
@@ -274,9 +285,7 @@ def topk_documents(spark, d):
 
 @query("running_char_budget", "SELECT source, doc_id, greatest(0, least(n, 28000 - before)) AS used FROM (SELECT source, doc_id, length(text) AS n, coalesce(sum(length(text)) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM documents)".replace("greatest(0, least(n, 28000 - before))", "CAST(greatest(0, least(n, 28000 - before)) AS BIGINT)"))
 def running_char_budget(spark, d):
-    w = Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    t = table(spark, d, "documents").select("source", "doc_id", F.length("text").alias("n"))
-    t = t.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0)))
+    t = running_sum(table(spark, d, "documents").select("source", "doc_id", F.length("text").alias("n")), "source", "doc_id", "n")
     return t.select("source", "doc_id", F.greatest(F.lit(0), F.least(F.col("n"), 28000 - F.col("before"))).cast("long").alias("used"))
 
 

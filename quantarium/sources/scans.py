@@ -158,23 +158,6 @@ def investor_bulletin(spark: SparkSession, path: str) -> DataFrame:
     return t.select("file", "category", F.when(ok, buys).alias("buys"), F.when(ok, sells).alias("sells"), F.when(ok, buys - sells).alias("balance"), F.when(~ok, F.concat(F.lit("numbers: "), F.size("n"))).alias("error"))
 
 
-def filing_member(spark: SparkSession, root: str, member: str, years: list[int], schema: str | None = None) -> DataFrame:
-    """One member's rows of unpacked yearly archives laid out as root/year=YYYY/stmt=NAME/*.csv, with its own header's
-    names: other members and years are never opened. A year without the member gives no rows. file: where a row came
-    from; year, stmt: its folders. With ``schema`` the header is checked against it instead of read."""
-    folders = f"{root.rstrip('/')}/year={{{','.join(map(str, years))}}}/stmt={member}"
-    reader = spark.read.option("basePath", root)
-    if schema:
-        reader = reader.schema(schema).option("enforceSchema", False)
-    df = reader.csv(folders, sep=";", header=True, quote='"', escape='"', encoding="ISO-8859-1")
-    return df.withColumn("file", F.col("_metadata.file_name")).withColumn("stmt", F.lit(member))
-
-
-def issuer_index(spark: SparkSession, root: str, years: list[int]) -> DataFrame:
-    """The regulator's document index of several years."""
-    return filing_member(spark, root, "index", years)
-
-
 def account_facts(members: dict[tuple[str, str], DataFrame], accounts: DataFrame, tickers: DataFrame) -> DataFrame:
     """(ticker, metric, fiscal_year, value, scope, version) of statement members {(statement, scope): frame with company,
     code, value, period_end, order, version}, by the account map (statement, code, metric) and the ticker map."""

@@ -5,6 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from quantarium.sources import archives as A
 from quantarium.sources import scans as S
 from quantarium.streaming import forms
 
@@ -98,12 +99,48 @@ def test_flow_bulletin_and_archives(spark, tmp_path):
         folder.mkdir(parents=True)
         head = "company;received;subject;value" if stmt == "index" else "company;code;value"
         (folder / "a.csv").write_text(f"{head}\n{year};3.11;7\n")
-    index = S.issuer_index(spark, str(tmp_path / "arc"), [2024, 2025])
+    index = A.issuer_index(spark, str(tmp_path / "arc"), [2024, 2025])
     assert index.count() == 2 and index.columns[:4] == ["company", "received", "subject", "value"]
-    member = S.filing_member(spark, str(tmp_path / "arc"), "DRE_con", [2025]).select("company", "code", "value", F.lit("2025-12-31").cast("date").alias("period_end"), F.lit("ÚLTIMO").alias("order"), F.lit(1).alias("version"))
+    member = A.filing_member(spark, str(tmp_path / "arc"), "DRE_con", [2025]).select("company", "code", "value", F.lit("2025-12-31").cast("date").alias("period_end"), F.lit("ÚLTIMO").alias("order"), F.lit(1).alias("version"))
     accounts = spark.createDataFrame([("DRE", "3.11", "net_income")], "statement string, code string, metric string")
     r = S.account_facts({("DRE", "consolidado"): member}, accounts, spark.createDataFrame([("2025", "ABCD3")], "company string, ticker string")).collect()
     assert [(x.ticker, x.metric, x.fiscal_year, x.value) for x in r] == [("ABCD3", "net_income", 2025, 7.0)]
     stored = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
     body = spark.createDataFrame([('[{"k":2,"v":"c"},{"k":3,"v":"d"}]',)], "body string")
     assert {x.k: x.v for x in S.bulk_upsert(stored, body, "k int, v string", ["k"]).collect()} == {1: "a", 2: "c", 3: "d"}
+
+
+def test_members_are_read_by_their_own_header(spark, tmp_path):
+    """Years with different columns are joined by name; a missing year, member or folder gives no rows."""
+    for year, head, cells in ((2019, "CNPJ;CONTA;VALOR", "1;3.11;7"), (2020, "CNPJ;VERSAO;CONTA;VALOR", "2;1;3.11;8"), (2021, "VALOR;CNPJ", '"9;5";3')):
+        folder = tmp_path / "a" / f"year={year}" / "stmt=DRE_con"
+        folder.mkdir(parents=True)
+        (folder / "x.csv").write_text(f"{head}\n{cells}\n")
+    root = str(tmp_path / "a")
+    got = A.filing_member(spark, root, "DRE_con", [2019, 2020, 2021, 2022])
+    assert set(got.columns) == {"CNPJ", "CONTA", "VALOR", "VERSAO", "year", "stmt", "file"}
+    rows = {r.year: (r.CNPJ, r.CONTA, r.VALOR, r.VERSAO, r.stmt, r.file) for r in got.collect()}
+    assert rows == {2019: ("1", "3.11", "7", None, "DRE_con", "x.csv"), 2020: ("2", "3.11", "8", "1", "DRE_con", "x.csv"), 2021: ("3", None, "9;5", None, "DRE_con", "x.csv")}
+    assert A.filing_member(spark, root, "DRE_con", [1999]).count() == 0 and A.filing_member(spark, root, "capital", [2019]).count() == 0
+    typed = A.filing_member(spark, root, "DRE_con", [2019, 2020], "CNPJ long, VERSAO int, CONTA string, VALOR double")
+    assert {(r.CNPJ, r.VERSAO, r.VALOR) for r in typed.collect()} == {(1, None, 7.0), (2, 1, 8.0)} and A.filing_member(spark, root, "x", [2019], "CNPJ long").columns == ["CNPJ", "year", "stmt", "file"]
+    with pytest.raises(ValueError, match="not in the schema"):
+        A.filing_member(spark, root, "DRE_con", [2020], "CNPJ long")
+
+
+def test_zip_members(spark, tmp_path):
+    """Only wanted years and members are unpacked; columns by each header's names, a short row has nulls, BOM and accents."""
+    import zipfile
+
+    for year, head, lines in ((2019, "CNPJ;DS_CONTA;VL", ["1;Lucro líquido;7", '2;"a;""b""";8']), (2020, "\xef\xbb\xbfCNPJ;VERSAO;VL", ["3;1", "4;2;9;extra"])):
+        with zipfile.ZipFile(tmp_path / f"dfp_{year}.zip", "w") as z:
+            z.writestr(f"dfp_cia_aberta_DRE_con_{year}.csv", "\n".join([head, *lines, ""]).encode("latin-1"))
+            z.writestr(f"dfp_cia_aberta_BPA_con_{year}.csv", "CNPJ;X\n9;9\n")
+    (tmp_path / "dfp_2021.zip").write_bytes(b"no zip at all")
+    archives = A.zip_archives(spark, str(tmp_path), "dfp", [2019, 2020, 2030])
+    got = A.zip_member(archives, r"DRE_con")
+    assert got.columns == ["year", "member", "line", "CNPJ", "DS_CONTA", "VL", "VERSAO"]
+    rows = sorted((r.year, r.line, r.CNPJ, r.DS_CONTA, r.VERSAO, r.VL) for r in got.collect())
+    assert rows == [(2019, 1, "1", "Lucro líquido", None, "7"), (2019, 2, "2", 'a;"b"', None, "8"), (2020, 1, "3", None, "1", None), (2020, 2, "4", None, "2", "9")]
+    assert A.zip_member(archives, "composicao_capital").count() == 0 and A.zip_member(archives, "BPA", ["X", "Y"]).head()[3:] == ("9", None)
+    assert A.zip_archives(spark, str(tmp_path), "itr", [2019]).count() == 0
