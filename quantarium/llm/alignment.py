@@ -142,7 +142,7 @@ class _Places(dict):
 #: Marks that both tokenizers cut off letters before them: A by its pre-split, B if no piece of it has both. No apostrophe.
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Words of letters that are encoded as one text.
-_WORDS = 64
+_WORDS = 512
 
 
 class Aligner:
@@ -198,8 +198,9 @@ class Aligner:
         """Of two token sequences with the same bytes: where they end together (bytes), their links there, and for each
         group its text."""
         ends_a, ends_b = np.cumsum(self.a_len[a]), np.cumsum(self.b_len[b])
-        at_a = np.flatnonzero(np.isin(ends_a, ends_b, assume_unique=True))
-        at_b = np.searchsorted(ends_b, ends_a[at_a])
+        near = np.searchsorted(ends_b, ends_a)  # both end with the same byte: never beyond the last
+        at_a = np.flatnonzero(ends_b[near] == ends_a)
+        at_b = near[at_a]
         text: list[str] = []
         if self.with_text:
             name = self.names.__getitem__
@@ -219,10 +220,27 @@ class Aligner:
             b = b[1:] if before != " " else b if piece else self.space
             raw = ((" " if before == " " else "") + piece).encode("utf-8", "surrogatepass")
             ok = b"".join([self.b_bytes[i] for i in b]) == raw and b"".join([self.a_bytes[i] for i in e.ids]) == raw
-            _, links, _, text = self._aligned(np.array(e.ids, np.int64), np.array(b, np.int64)) if ok else (None, np.zeros(0, np.int64), None, [])
-            out.append((len(e.ids), len(b), ok, links, ";".join(text)))
+            links, text = self._walked(e.ids, b) if ok else ([], [])
+            out.append((len(e.ids), len(b), ok, np.array(links, np.int64), ";".join(text)))
         return out
 
+    def _walked(self, a: list[int], b: list[int]) -> tuple[list[int], list[str]]:
+        """Links and groups of a few tokens: what :func:`_aligned` does with arrays for many."""
+        links, text, at_a, at_b, i, j, p, q = [], [], 0, 0, 0, 0, 0, 0
+        name, len_a, len_b = self.names, self.a_bytes, self.b_bytes
+        while p < len(a):
+            at_a += len(len_a[a[p]])
+            p += 1
+            while at_b < at_a:
+                at_b += len(len_b[b[q]])
+                q += 1
+            if at_a == at_b:
+                links.append(a[p - 1] << 16 | b[q - 1])
+                if self.with_text:
+                    text.append(",".join([name[x] for x in a[i:p]]) + "|" + ",".join([name[x] for x in b[j:q]]))
+                i, j = p, q
+        return links, text
+
     def _letters(self, words: list[str]) -> list[tuple]:
         """The same of words of letters."""
         out: list[tuple] = []
