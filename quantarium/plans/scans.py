@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..fixtures import table
 from ..functions.columns import to_number
-from ..sources import archives
+from ..sources import archives, scans
 from ..sources.shared import new_dir
 from .registry import query
 
@@ -33,3 +33,16 @@ def scan_filing_archive(spark, d):
 def scan_issuer_index(spark, d):
     rows = archives.issuer_index(spark, _yearly(spark, d, "index"), list(range(1990, 2031)))
     return rows.groupBy("year", F.col("CONTA").alias("category")).agg(F.count("*").alias("n"), F.count("VERSAO").alias("versions"))
+
+
+@query("scan_nested_first_array", "SELECT s_suppkey AS id, s_acctbal AS balance, CASE s_nationkey % 3 WHEN 0 THEN 'raiz' WHEN 1 THEN 'items' ELSE 'rows' END AS via FROM supplier")
+def scan_nested_first_array(spark, d):
+    """A file a nation: an array at the root, under a usual key, or under another one behind a key that holds none."""
+    one = F.to_json(F.collect_list(F.struct(F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("balance"))))
+    files = table(spark, d, "supplier").groupBy("s_nationkey").agg(one.alias("a"))
+    k = F.col("s_nationkey") % 3
+    text = F.when(k == 0, F.col("a")).when(k == 1, F.concat(F.lit('{"other":[1],"items":'), "a", F.lit("}"))).otherwise(F.concat(F.lit('{"meta":1,"rows":'), "a", F.lit(',"a_later":[2]}')))
+    root = new_dir(spark, "json")
+    files.select("s_nationkey", text.alias("value")).write.partitionBy("s_nationkey").text(root)
+    got = scans.first_array(spark, root)
+    return got.select(F.variant_get("item", "$.id", "long").alias("id"), F.variant_get("item", "$.balance", "double").alias("balance"), "via")

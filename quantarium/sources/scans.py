@@ -81,12 +81,25 @@ def anchor_block(spark: SparkSession, path: str, anchors: str, following: int) -
     return lines.join(first, "file").where((F.col("pos") >= F.col("at")) & (F.col("pos") <= F.col("at") + following)).select("file", "pos", "line")
 
 
+#: Fixed: keys under which envelopes usually hold their rows, in order of preference.
+ENVELOPE = ("conteudo", "value", "data", "items", "resultado")
+
+
 def first_array(spark: SparkSession, path: str) -> DataFrame:
-    """One VARIANT row an element, of an array at the root or under the usual envelope keys."""
-    v = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("v"))
-    keys = ("$", "$.conteudo", "$.value", "$.data", "$.items", "$.resultado")
-    arrays = F.coalesce(*[F.try_variant_get("v", k, "array<variant>") for k in keys])
-    return v.select(F.explode(arrays).alias("item"))
+    """(item, via): one VARIANT row an element of each file's array: at the root (via: raiz), under a usual envelope key, or
+    else under the first key, in the file's own order, that holds one. A file without an array, or that is no JSON, has no
+    rows."""
+    raw = spark.read.text(path, wholetext=True)
+    v = F.try_parse_json("value")
+    holds = lambda key: F.try_variant_get(F.col("v"), key, "array<variant>")
+    named = F.coalesce(F.when(holds("$").isNotNull(), "raiz"), *[F.when(holds(f"$.{k}").isNotNull(), k) for k in ENVELOPE])
+    # A variant sorts its keys: their order comes from the text, what they hold from the variant as a map.
+    own = F.expr("try_variant_get(v, '$', 'map<string, variant>')")
+    first = F.get(F.filter(F.json_object_keys("value"), lambda k: F.substring(F.schema_of_variant(F.element_at("m", k)), 1, 5) == "ARRAY"), F.lit(0))
+    found = raw.select("value", v.alias("v")).withColumn("m", own).withColumn("via", F.coalesce(named, first))
+    usual = F.coalesce(*[F.when(F.col("via") == k, holds("$" if k == "raiz" else f"$.{k}")) for k in ("raiz", *ENVELOPE)])
+    other = F.try_variant_get(F.element_at("m", F.col("via")), "$", "array<variant>")
+    return found.where("via IS NOT NULL").select(F.explode(F.coalesce(usual, other)).alias("item"), "via")
 
 
 def provider_candles(spark: SparkSession, path: str) -> DataFrame:
@@ -97,6 +110,24 @@ def provider_candles(spark: SparkSession, path: str) -> DataFrame:
     return out.where("close IS NOT NULL AND date IS NOT NULL")
 
 
+#: Fixed: the second provider's names of a candle's fields, and the keys of its envelopes.
+CODED = {"open": "PREABE", "high": "PREMAX", "low": "PREMIN", "close": "PREULT"}
+CODED_ENVELOPE = ("data", "results", "historico")
+
+
+def coded_candles(spark: SparkSession, path: str) -> DataFrame:
+    """(ticker, date, open, high, low, close, volume) of the provider with coded field names: an array at the root or in an
+    envelope, one file a ticker (the file's name). Dates are yyyymmdd, yyyy-mm-dd or dd/mm/yyyy; the volume is VOLTOT, or
+    else QUATOT; no close, no row."""
+    raw = spark.read.text(path, wholetext=True).select(F.upper(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.[^.]*)?$", 1)).alias("ticker"), F.try_parse_json("value").alias("v"))
+    arrays = F.coalesce(*[F.try_variant_get("v", k, "array<variant>") for k in ("$", *[f"$.{k}" for k in CODED_ENVELOPE])])
+    text = lambda k: F.try_variant_get("c", f"$.{k}", "string")
+    day = F.coalesce(F.try_to_date(F.substring(text("DATPRG"), 1, 10), "yyyy-MM-dd"), date_br(text("DATPRG")), F.try_to_date(text("DATPRG"), "yyyyMMdd"))
+    rows = raw.select("ticker", F.explode(arrays).alias("c"))
+    out = rows.select("ticker", day.alias("date"), *[to_number(text(k)).alias(name) for name, k in CODED.items()], to_number(F.coalesce(text("VOLTOT"), text("QUATOT"))).alias("volume"))
+    return out.where("close IS NOT NULL AND date IS NOT NULL")
+
+
 def curated_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A curated file: header and types must be these, or reading fails."""
     return spark.read.csv(path, header=True, schema=schema, enforceSchema=False, mode="FAILFAST")

@@ -144,3 +144,14 @@ def test_zip_members(spark, tmp_path):
     assert rows == [(2019, 1, "1", "Lucro líquido", None, "7"), (2019, 2, "2", 'a;"b"', None, "8"), (2020, 1, "3", None, "1", None), (2020, 2, "4", None, "2", "9")]
     assert A.zip_member(archives, "composicao_capital").count() == 0 and A.zip_member(archives, "BPA", ["X", "Y"]).head()[3:] == ("9", None)
     assert A.zip_archives(spark, str(tmp_path), "itr", [2019]).count() == 0
+
+
+def test_first_array_found_and_coded_candles(spark, tmp_path):
+    items = lambda text: [(r.via, r.n) for r in S.first_array(spark, put(tmp_path, "e.json", text)).select("via", F.try_variant_get("item", "$", "long").alias("n")).collect()]
+    assert items('{"meta":1,"rows":[1,2]}') == [("rows", 1), ("rows", 2)] and items('{"z":[1],"a":[2]}') == [("z", 1)]
+    assert items('{"z":[1],"resultado":[3],"value":[2]}') == [("value", 2)] and items("[7]") == [("raiz", 7)]
+    assert items('{"a":{"b":[1]}}') == items("no json") == items("") == items('{"a":[]}') == []
+    for body in ('[{0}]', '{{"historico":[{0}]}}', '{{"data":null,"results":[{0}]}}'):
+        rows = '{"DATPRG":"20260105","PREABE":"1,5","PREMAX":2,"PREMIN":"1","PREULT":"1.75","QUATOT":10},{"DATPRG":"06/01/2026","PREULT":2,"VOLTOT":"7","QUATOT":1},{"DATPRG":"2026-01-07","PREULT":null}'
+        got = S.coded_candles(spark, put(tmp_path, "abcd3.json", body.format(rows))).orderBy("date").collect()
+        assert [(r.ticker, str(r.date), r.close, r.volume) for r in got] == [("ABCD3", "2026-01-05", 1.75, 10.0), ("ABCD3", "2026-01-06", 2.0, 7.0)]
