@@ -16,7 +16,8 @@ def test_query(name, spark, con, small):
     if name in SQL:
         assert compare.differences(spark, con, QUERIES[name], SQL[name], small) == ""
     else:
-        assert QUERIES[name](spark, small).count() >= 0
+        text = QUERIES[name](spark, small).toPandas()
+        assert len(text) == spark.read.parquet(f"{small}/pages.parquet").count() and not text.astype(str).apply(lambda c: c.str.contains(r"</?(?:p|div|nav|script|article)\b", regex=True)).any().any()
 
 
 def test_entry(spark):
