@@ -22,7 +22,9 @@ import hashlib
 import os
 import re
 from array import array
+from collections import defaultdict
 from functools import partial
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +42,8 @@ SEGMENTS, KEPT_PIECES, SLICE_BYTES = 256, 500_000, 64 << 20
 LOAD = 1.5
 _MARK = "▁"
 _CUT = re.compile(r"(?<=\S) ")
+#: Pieces that are cut apart again where they stand in one text: no white space in them, and no space mark of B.
+_JOINED = re.compile(f"[^\\s{_MARK}]+")
 _HELD: dict[tuple, "Aligner"] = {}
 
 
@@ -126,29 +130,23 @@ class Counts:
 # -- alignment ----------------------------------------------------------------
 
 
-class _Places(dict):
-    """Numbers of pieces in order of first sight; ``new``: those not aligned yet."""
-
-    def __init__(self):
-        super().__init__()
-        self.new: list[str] = []
-
-    def __missing__(self, piece: str) -> int:
-        self[piece] = n = len(self)
-        self.new.append(piece)
-        return n
+def _columns(rows: list[tuple]) -> tuple:
+    """Arrays of (tokens of A, of B, both give back the bytes, number of links, links) of rows that :meth:`Aligner._alone` gives."""
+    n_a, n_b, ok, links, _ = zip(*rows) if rows else ((), (), (), (), ())
+    flat = np.array([x for own in links for x in own], np.int64)
+    return np.array(n_a, np.int64), np.array(n_b, np.int64), np.array(ok, bool), np.array([len(x) for x in links], np.int64), flat
 
 
 #: Marks that both tokenizers cut off letters before them: A by its pre-split, B if no piece of it has both. No apostrophe.
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-#: Words of letters that are encoded as one text.
+#: Words that are encoded as one text.
 _WORDS = 512
 
 
 class Aligner:
     """Aligns pieces once each. Per piece: tokens of A and B, groups, whether both give back its bytes, the groups' text
-    (if wanted) and its links (pairs a << 16 | b). Words of letters are encoded many at a time and cut apart again; a piece
-    of letters with marks behind it is made of its two parts."""
+    (if wanted) and its links (pairs a << 16 | b). Words without white space are encoded many at a time and cut apart again;
+    a piece of letters with marks behind it is made of its two parts."""
 
     def __init__(self, path_a: str, path_b: str, counts: Counts | None = None, best: np.ndarray | None = None, with_text: bool = True):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -179,11 +177,10 @@ class Aligner:
         self.names = [str(i) for i in range(max(len(self.a_bytes), len(self.b_bytes)))]
         self.space = [self.b.piece_to_id(_MARK)]
         self.counts, self.best, self.with_text = counts, best, with_text
-        self.marks: dict[str, tuple] = {}
         self.clear()
 
     def clear(self):
-        self.places = _Places()
+        self.places: dict[str, int] = defaultdict(count().__next__)  # numbers of pieces in order of first sight
         self.n_a, self.n_b, self.n_links, self.ok = array("q"), array("q"), array("q"), array("b")
         self.groups: list[str] = []
         self.links: list[np.ndarray] = []  # of each batch of new pieces, in order
@@ -221,7 +218,7 @@ class Aligner:
             raw = ((" " if before == " " else "") + piece).encode("utf-8", "surrogatepass")
             ok = b"".join([self.b_bytes[i] for i in b]) == raw and b"".join([self.a_bytes[i] for i in e.ids]) == raw
             links, text = self._walked(e.ids, b) if ok else ([], [])
-            out.append((len(e.ids), len(b), ok, np.array(links, np.int64), ";".join(text)))
+            out.append((len(e.ids), len(b), ok, links, ";".join(text)))
         return out
 
     def _walked(self, a: list[int], b: list[int]) -> tuple[list[int], list[str]]:
@@ -241,64 +238,73 @@ class Aligner:
                 i, j = p, q
         return links, text
 
-    def _letters(self, words: list[str]) -> list[tuple]:
-        """The same of words of letters."""
-        out: list[tuple] = []
+    def _words(self, words: list[str]) -> tuple[list[tuple], list[str]]:
+        """The same of words: columns of each batch of them, and the words' texts (if wanted)."""
+        cols: list[tuple] = []
+        out: list[str] = []
         lists = [words[k : k + _WORDS] for k in range(0, len(words), _WORDS)]
         whole = [" ".join(own) for own in lists]
         encoded = self.a.encode_batch_fast([" " + t for t in whole], add_special_tokens=False)
-        for own, t, e, b in zip(lists, whole, encoded, self.b.encode(whole, num_threads=1)):
-            a, b, raw = np.array(e.ids, np.int64), np.array(b, np.int64), (" " + t).encode("utf-8", "surrogatepass")
+        for own, t, e, ids_b in zip(lists, whole, encoded, self.b.encode(whole, num_threads=1)):
+            ids_a, raw = e.ids, (" " + t).encode("utf-8", "surrogatepass")
+            a, b = np.array(ids_a, np.int64), np.array(ids_b, np.int64)
             from_a, from_b = np.flatnonzero(self.a_first[a]), np.flatnonzero(self.b_first[b])
-            same = b"".join([self.b_bytes[i] for i in b.tolist()]) == raw and b"".join([self.a_bytes[i] for i in a.tolist()]) == raw
+            same = b"".join([self.b_bytes[i] for i in ids_b]) == raw and b"".join([self.a_bytes[i] for i in ids_a]) == raw
             if not same or len(from_a) != len(own) or len(from_b) != len(own):
-                out += self._alone(own)
+                rows = self._alone(own)
+                cols.append(_columns(rows))
+                out += [r[4] for r in rows]
                 continue
             ends, links, ends_a, text = self._aligned(a, b)
             word_ends = np.append(ends_a[from_a[1:] - 1], ends_a[-1])  # both cut before each space
-            cuts = np.searchsorted(ends, word_ends, side="right").tolist()
-            n_a, n_b = np.diff(np.append(from_a, len(a))).tolist(), np.diff(np.append(from_b, len(b))).tolist()
-            for x, y, s, to in zip(n_a, n_b, [0, *cuts], cuts):
-                out.append((x, y, True, links[s:to], ";".join(text[s:to])))
-        return out
+            cuts = np.searchsorted(ends, word_ends, side="right")
+            cols.append((np.diff(from_a, append=len(a)), np.diff(from_b, append=len(b)), np.ones(len(own), bool), np.diff(cuts, prepend=0), links))
+            if self.with_text:
+                to = cuts.tolist()
+                out += [";".join(text[s:e]) for s, e in zip([0, *to], to)]
+        return cols, out
 
     def _fill(self):
-        new, self.places.new = self.places.new, []
+        """Align the pieces that came since the last time: words, marks behind letters, and the rest one by one."""
+        new = list(islice(self.places, len(self.n_a), None))
         if not new:
             return
-        cores, made, whole = [], [], []
-        for k, p in enumerate(new):
-            if p.isalpha():
-                cores.append(p)
-                continue
-            core = p.rstrip(_MARKS)
-            if self.apart and core.isalpha():
-                made.append((k, core, p[len(core) :]))
+        cores: dict[str, int] = defaultdict(count().__next__)
+        marks: dict[str, int] = defaultdict(count().__next__)
+        whole: list[str] = []
+        first, second = [], []  # of each piece: its word, or -1 - n for the n-th of the rest; the marks behind it, or -1
+        for p in new:
+            core = p.rstrip(_MARKS) if self.apart else ""
+            if core.isalpha() and len(core) < len(p):
+                first.append(cores[core])
+                second.append(marks[p[len(core) :]])
+            elif p.isalpha() or _JOINED.fullmatch(p):
+                first.append(cores[p])
+                second.append(-1)
             else:
+                first.append(-1 - len(whole))
+                second.append(-1)
                 whole.append(p)
-        known = set(cores)
-        cores += list({core for _, core, _ in made} - known)
-        found = dict(zip(cores, self._letters(cores)))
-        found.update(zip(whole, self._alone(whole)))
-        marks = list({m for _, _, m in made} - self.marks.keys())
-        self.marks.update(zip(marks, self._alone(marks, before="a")))
-        for k, core, m in made:
-            x, y = found[core], self.marks[m]
-            text = x[4] + ";" + y[4] if self.with_text else ""
-            found[new[k]] = (x[0] + y[0], x[1] + y[1], x[2] and y[2], np.concatenate([x[3], y[3]]), text)
-        rows = [found[p] for p in new]
-        n_a, n_b, ok, links, text = zip(*rows)
-        self.n_a.extend(n_a)
-        self.n_b.extend(n_b)
-        self.ok.extend(ok)
-        sizes = [len(x) for x in links]
-        self.n_links.extend(sizes)
-        self.groups.extend(text)
-        pairs = np.concatenate(links)
+        cols, text = self._words(list(cores))
+        for rows in (self._alone(whole), self._alone(list(marks), before="a")):
+            cols.append(_columns(rows))
+            text += [r[4] for r in rows] if self.with_text else []
+        n_a, n_b, ok, n, links = (np.concatenate(c) for c in zip(*cols))
+        x, y = np.array(first, np.int64), np.array(second, np.int64)
+        x, has = np.where(x < 0, len(cores) - 1 - x, x), y >= 0
+        y = np.where(has, y + len(cores) + len(whole), 0)
+        for own, v in ((self.n_a, n_a), (self.n_b, n_b), (self.n_links, n)):
+            own.frombytes((v[x] + np.where(has, v[y], 0)).astype(np.int64).tobytes())
+        self.ok.frombytes((ok[x] & (ok[y] | ~has)).astype(np.int8).tobytes())
+        if self.with_text:
+            self.groups.extend([text[i] + ";" + text[j] if h else text[i] for i, j, h in zip(x.tolist(), y.tolist(), has.tolist())])
+        parts = np.stack([x, y], 1)[np.stack([np.ones_like(has), has], 1)]  # word, marks, word, marks, ...
+        sizes, starts = n[parts], (np.cumsum(n) - n)[parts]
+        pairs = links[np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]
         self.links.append(pairs)
         if self.counts is not None:
             found_n = self.counts.look_up(pairs)
-            ends = np.concatenate([[0], np.cumsum(sizes)])
+            ends = np.concatenate([[0], np.cumsum(n[x] + np.where(has, n[y], 0))])
             total = lambda v: np.diff(np.concatenate([[0], np.cumsum(v)])[ends])
             self.count_sum.extend(total(found_n).tolist())
             self.n_best.extend(total((found_n > 0) & (found_n == self.best[pairs & 0xFFFF])).tolist())

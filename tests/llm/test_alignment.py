@@ -125,3 +125,16 @@ def test_registered_query(spark, small, brute):
     got = queries.op12_alignment(spark, small)
     assert got.columns == ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
     assert rows_of(got) == [w[:-1] for w in brute(rows)[0]]
+
+
+def test_words_of_a_list_are_aligned_as_alone():
+    import random
+
+    one, rng = al.Aligner(A, B), random.Random(5)
+    parts = ["don't", "'s", "12", "a", "é", "日本", "—", "…", "x.", "(", "</s>", "<0x41>", "🙂", "Ünï", "'", "1st", "​", "<|endoftext|>", "_"]
+    words = list(dict.fromkeys("".join(rng.choices(parts, k=rng.randint(1, 5))) for _ in range(1500)))
+    texts = [" ".join(rng.choices(words, k=9)) + rng.choice(["", " ", "  ", "\n\n", "!?"]) for _ in range(400)]
+    one.read(texts)
+    alone = one._alone(list(one.places))
+    assert [list(x) for x in (one.n_a, one.n_b, one.ok, one.n_links, one.groups)] == [[r[0] for r in alone], [r[1] for r in alone], [r[2] for r in alone], [len(r[3]) for r in alone], [r[4] for r in alone]]
+    assert np.concatenate(one.links).tolist() == [x for r in alone for x in r[3]]
