@@ -50,6 +50,32 @@ def declared_format(content_type, file_name) -> Column:
     return F.when(kind.contains("pdf") | (ext == "pdf"), "pdf").when(kind.contains("html") | ext.isin("html", "htm"), "html").when(kind.contains("zip") | (ext == "zip"), "zip").when(kind.contains("json") | (ext == "json"), "json").when(kind.contains("xml") | (ext == "xml"), "xml").when(kind.contains("text") | (ext == "txt"), "text").otherwise("unknown")
 
 
+#: Formats that are read as text; the others wait for a codec.
+READABLE = ("html", "text", "xml", "json")
+
+
+def tidy_text(text) -> Column:
+    """No NULs, no blanks around line ends, at most one empty line, single blanks, trimmed."""
+    t = F.regexp_replace(F.regexp_replace(col(text), "\x00", ""), r"[ \t]*\n[ \t]*", "\n")
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(t, r"\n{3,}", "\n\n"), r"[ \t]{2,}", " "), r"^\s+|\s+$", "")
+
+
+def parse_pending(docs: DataFrame, version: int, content: str = "content", state: str = "state", parsed_by: str = "parser_version") -> DataFrame:
+    """One row a document that is still to be parsed, with ``format``, ``state``, ``text``, ``error`` and ``parser_version``.
+
+    Waiting are those without a state or pending, and those that failed or had no codec under an older parser; the others go.
+    The format comes from the first bytes. html, text, xml and json become text (state ok), other formats are unsupported, and
+    what has no content or no text fails; a bad document is a row with its error and never stops the others. Bytes that are no
+    UTF-8 become replacement characters."""
+    waits = F.col(state).isNull() | (F.col(state) == "pending") | (F.col(state).isin("failed", "unsupported") & (F.coalesce(parsed_by, F.lit(0)) < version))
+    t = docs.where(waits).withColumn("format", F.coalesce(format_of(content), F.lit("empty")))
+    text = F.decode(content, "UTF-8")
+    t = t.withColumn("text", F.when(F.col("format") == "html", tidy_text(html_to_text(text))).when(F.col("format").isin(*READABLE), tidy_text(text)))
+    error = F.when(F.col("format") == "empty", "content_required").when(~F.col("format").isin(*READABLE), F.concat(F.lit("format_"), "format")).when(F.col("text") == "", "text_empty")
+    t = t.withColumn("error", error).withColumn(state, F.when(F.col("error").isNull(), "ok").when(F.col("error").startswith("format_"), "unsupported").otherwise("failed"))
+    return t.withColumn("text", F.when(F.col(state) == "ok", F.col("text"))).withColumn(parsed_by, F.lit(version))
+
+
 def head_tail(text, limit: int, marker: str = "\n[...]\n") -> Column:
     """The text, or its first and last parts around a marker where it is longer than ``limit`` code points."""
     t = col(text)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import lookups, models, prices, scans, shapes, streams, texts
+from . import lookups, models, prices, profiles, scans, shapes, streams, texts
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "lookups", "models", "prices", "scans", "shapes", "streams", "texts"]
+__all__ = ["QUERIES", "SQL", "lookups", "models", "prices", "profiles", "scans", "shapes", "streams", "texts"]

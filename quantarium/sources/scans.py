@@ -133,10 +133,63 @@ def curated_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.csv(path, header=True, schema=schema, enforceSchema=False, mode="FAILFAST")
 
 
-def context_package(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """One package as a row, with ``state``: available, or invalid_json."""
-    raw = spark.read.schema(schema + ", _corrupt string").option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
-    return raw.withColumn("state", F.when(F.col("_corrupt").isNotNull(), "invalid_json").otherwise("available")).drop("_corrupt")
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, row, line): the lines that aren't blank, numbered from 1 in each file, in its order.
+
+    A file may be cut into many parts that are read apart: each part counts its lines, and the counts of a file's earlier parts
+    are added to a line's place in its own, so that no task holds more than a part. Only the counts are sorted."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("part"))
+    lines = lines.where(F.trim("value") != "").withColumn("id", F.monotonically_increasing_id())  # without gaps inside a part
+    parts = lines.groupBy("file", "part").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("part")) - F.col("n")
+    parts = parts.select("file", "part", "first", before.alias("before"))
+    return lines.join(parts, ["file", "part"]).select("file", (F.col("before") + F.col("id") - F.col("first") + 1).alias("row"), F.col("value").alias("line"))
+
+
+def curated_rows(spark: SparkSession, path: str, fields: dict[str, str], required: tuple[str, ...] | None = None) -> DataFrame:
+    """The fields (name: string, double or date), with ``file``, ``row`` and ``error``: good and rejected rows of curated files.
+
+    The error is invalid_header for a file's first row if it doesn't begin with these names, and invalid_row_<row> where a
+    required field (all, unless given) is blank, no finite number or no date. Good rows have none; the header's row only comes
+    back when it is wrong. Texts may be quoted; values are trimmed."""
+    names = list(fields)
+    raw = F.from_csv(F.regexp_replace("line", "^\ufeff|\\r$", ""), ", ".join(f"`{n}` string" for n in names), {"quote": '"', "escape": '"'})
+    t = numbered_lines(spark, path).select("file", "row", raw.alias("r"))
+    text = {n: F.nullif(F.trim(F.col("r")[n]), F.lit("")) for n in names}
+    read = {"string": lambda c: c, "double": to_number, "date": lambda c: F.try_to_date(F.when(c.rlike(r"^\d{4}-\d{2}-\d{2}$"), c), "yyyy-MM-dd")}
+    value = {n: read[kind](text[n]) for n, kind in fields.items()}
+    head = F.forall(F.array(*[F.struct(F.coalesce(text[n], F.lit("")).alias("a"), F.lit(n).alias("b")) for n in names]), lambda x: x["a"] == x["b"])
+    bad = F.exists(F.array(*[value[n].isNull() for n in (names if required is None else required)]), lambda x: x)
+    error = F.when(F.col("row") == 1, "invalid_header").when(bad, F.concat(F.lit("invalid_row_"), "row"))
+    return t.where((F.col("row") > 1) | ~head).select("file", "row", *[v.alias(n) for n, v in value.items()], error.alias("error"))
+
+
+def strict(rows: DataFrame) -> DataFrame:
+    """Rows without their error; reading one that has one fails, and names it."""
+    first = rows.columns[0]
+    return rows.withColumn(first, F.when(F.col("error").isNotNull(), F.raise_error(F.col("error")).cast(rows.schema[first].dataType)).otherwise(F.col(first))).drop("error")
+
+
+def context_package(spark: SparkSession, path: str, schema: str, version: str | None = None, rules: dict | None = None) -> DataFrame:
+    """Packages as rows, one a file, with ``state``: missing (no file; the fields are null), invalid_json, incompatible (by
+    ``contextSchemaVersion`` against ``version``), invalid_contract (a rule of {name: broken, a Column} is broken), seed
+    (is_seed_mode) or available. Without ``version`` and ``rules`` these two are not checked."""
+    from ..operators.contracts import compatibility
+    from .shared import exists
+
+    if not exists(spark, path):
+        return spark.createDataFrame([("missing",)], "state string").select(F.from_json(F.lit(None).cast("string"), schema).alias("p"), "state").select("p.*", "state")
+    raw = spark.read.text(path, wholetext=True)
+    v = F.try_parse_json("value")
+    is_object = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
+    t = raw.select(F.from_json("value", schema).alias("p"), is_object.alias("_json"), F.try_variant_get(v, "$.contextSchemaVersion", "string").alias("_version"), F.try_variant_get(v, "$.is_seed_mode", "boolean").alias("_seed"))
+    t = t.select("p.*", "_json", "_version", "_seed")
+    state = F.when(~F.col("_json"), "invalid_json")
+    if version:
+        state = state.when(compatibility("_version", version) == "incompatible", "incompatible")
+    for broken in (rules or {}).values():
+        state = state.when(F.coalesce(broken, F.lit(False)), "invalid_contract")
+    return t.withColumn("state", state.when(F.coalesce("_seed", F.lit(False)), "seed").otherwise("available")).drop("_json", "_version", "_seed")
 
 
 def write_csv(df: DataFrame, path: str, compression: str | None = None) -> None:
@@ -189,6 +242,20 @@ def investor_bulletin(spark: SparkSession, path: str) -> DataFrame:
     return t.select("file", "category", F.when(ok, buys).alias("buys"), F.when(ok, sells).alias("sells"), F.when(ok, buys - sells).alias("balance"), F.when(~ok, F.concat(F.lit("numbers: "), F.size("n"))).alias("error"))
 
 
+#: The markets of the bulletin's volume table, in its order.
+MARKETS = ("a_vista", "a_termo", "opcoes", "exercicios", "blocos", "total_geral")
+
+
+def market_volumes(spark: SparkSession, path: str) -> DataFrame:
+    """(file, category, market, value, share): the bulletin's volumes by market. Only lines with a category and twelve numbers
+    count: six pairs of a value and its share in percent. It is volume, and never a balance."""
+    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("pos", "line"))
+    t = lines.withColumn("p", plain_text("line")).withColumn("category", F.coalesce(*[F.when(F.col("p").startswith(c), F.lit(c)) for c in CATEGORIES])).where("category IS NOT NULL")
+    n = F.filter(F.transform(F.regexp_extract_all("line", F.lit(r"(\d[\d.]*,\d{1,2}|\d[\d.]{2,})"), 1), parse_number_br), lambda x: x.isNotNull())
+    pairs = F.array(*[F.struct(F.lit(m).alias("market"), F.get("n", F.lit(2 * k)).alias("value"), F.get("n", F.lit(2 * k + 1)).alias("share")) for k, m in enumerate(MARKETS)])
+    return t.withColumn("n", n).where(F.size("n") == 12).select("file", "category", F.inline(pairs))
+
+
 def account_facts(members: dict[tuple[str, str], DataFrame], accounts: DataFrame, tickers: DataFrame) -> DataFrame:
     """(ticker, metric, fiscal_year, value, scope, version) of statement members {(statement, scope): frame with company,
     code, value, period_end, order, version}, by the account map (statement, code, metric) and the ticker map."""
