@@ -68,8 +68,8 @@ def parse_pending(docs: DataFrame, version: int, content: str = "content", state
     what has no content or no text fails; a bad document is a row with its error and never stops the others. Bytes that are no
     UTF-8 become replacement characters."""
     waits = F.col(state).isNull() | (F.col(state) == "pending") | (F.col(state).isin("failed", "unsupported") & (F.coalesce(parsed_by, F.lit(0)) < version))
-    t = docs.where(waits).withColumn("format", F.coalesce(format_of(content), F.lit("empty")))
-    text = F.decode(content, "UTF-8")
+    t = docs.where(waits).withColumn("format", F.when(col(content).isNull(), "empty").otherwise(format_of(content)))
+    text = F.make_valid_utf8(col(content).cast("string"))
     t = t.withColumn("text", F.when(F.col("format") == "html", tidy_text(html_to_text(text))).when(F.col("format").isin(*READABLE), tidy_text(text)))
     error = F.when(F.col("format") == "empty", "content_required").when(~F.col("format").isin(*READABLE), F.concat(F.lit("format_"), "format")).when(F.col("text") == "", "text_empty")
     t = t.withColumn("error", error).withColumn(state, F.when(F.col("error").isNull(), "ok").when(F.col("error").startswith("format_"), "unsupported").otherwise("failed"))

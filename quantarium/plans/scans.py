@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..fixtures import table
@@ -46,3 +49,48 @@ def scan_nested_first_array(spark, d):
     files.select("s_nationkey", text.alias("value")).write.partitionBy("s_nationkey").text(root)
     got = scans.first_array(spark, root)
     return got.select(F.variant_get("item", "$.id", "long").alias("id"), F.variant_get("item", "$.balance", "double").alias("balance"), "via")
+
+
+@query("scan_curated_csv", """WITH t AS (SELECT p_brand AS brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) + 1 AS row, p_size, p_partkey, p_name FROM part)
+ SELECT brand, row, CASE WHEN p_size >= 5 THEN DATE '2026-01-01' + CAST(p_size AS INTEGER) END AS data_ref, CASE WHEN p_size < 45 THEN p_partkey + 0.5 END AS rate, p_name || ', x' AS source, CASE WHEN p_size < 5 OR p_size >= 45 THEN 'invalid_row_' || row END AS error FROM t""")
+def scan_curated_csv(spark, d):
+    """A file a brand, some rows without a date, some without a finite number; rows are named by their place in the file."""
+    root = new_dir(spark, "curated")
+    day = F.when(F.col("p_size") >= 5, F.date_format(F.date_add(F.lit("2026-01-01").cast("date"), F.col("p_size").cast("int")), "yyyy-MM-dd")).otherwise("soon")
+    rate = F.when(F.col("p_size") < 45, F.concat("p_partkey", F.lit(".5"))).otherwise("NaN")
+    rows = table(spark, d, "part").select(F.regexp_replace("p_brand", "#", "_").alias("brand"), "p_partkey", F.concat_ws(",", day, rate, F.concat(F.lit('"'), "p_name", F.lit(', x"'))).alias("value"))
+    head = rows.select("brand").distinct().select("brand", F.lit(-1).cast("long").alias("p_partkey"), F.lit("data_ref,rate,source").alias("value"))
+    rows.unionByName(head).repartition("brand").sortWithinPartitions("brand", "p_partkey").drop("p_partkey").write.partitionBy("brand").text(root)
+    got = scans.curated_rows(spark, root, {"data_ref": "date", "rate": "double", "source": "string"})
+    return got.select(F.regexp_replace(F.regexp_extract("file", "brand=([^/]*)/", 1), "_", "#").alias("brand"), "row", "data_ref", "rate", "source", "error")
+
+
+@query("scan_context_package", """WITH t AS (SELECT s_nationkey AS id, max(s_acctbal) AS top, min(s_acctbal) AS low, count(*) AS n FROM supplier GROUP BY 1)
+ SELECT CASE WHEN top >= 1500 THEN id END AS id, CASE WHEN top < 1500 THEN 'invalid_json' WHEN n % 5 = 0 THEN 'incompatible' WHEN low < -900 THEN 'invalid_contract' WHEN low < 0 THEN 'seed' ELSE 'available' END AS state FROM t UNION ALL SELECT NULL, 'missing'""")
+def scan_context_package(spark, d):
+    """A package a nation, and a place where there is none."""
+    root = new_dir(spark, "packages")
+    t = table(spark, d, "supplier").groupBy("s_nationkey").agg(F.max("s_acctbal").alias("top"), F.min("s_acctbal").alias("low"), F.count("*").alias("n"))
+    version = F.when(F.col("n") % 5 == 0, "2.0").otherwise("1.3")
+    body = F.to_json(F.struct(F.col("s_nationkey").alias("id"), "low", version.alias("contextSchemaVersion"), (F.col("low") < 0).alias("is_seed_mode")))
+    t.select("s_nationkey", F.when(F.col("top") < 1500, F.concat(F.lit("{"), body)).otherwise(body).alias("value")).write.partitionBy("s_nationkey").text(root)
+    read = lambda path: scans.context_package(spark, path, "id long, low double", "1.2", {"low": F.col("low") < -900}).select("id", "state")
+    return read(root).unionByName(read(root + "-none"))
+
+
+@query("scan_investor_bulletin", """SELECT o_orderpriority AS file, count(*) * 1000.0 AS buys, count(DISTINCT o_custkey) * 1000.0 AS sells, (count(*) - count(DISTINCT o_custkey)) * 1000.0 AS balance, count(*) * 10.5 AS blocks, 5.25 AS blocks_share FROM orders GROUP BY 1""")
+def scan_investor_bulletin(spark, d):
+    """A bulletin a priority: a line of flows and, later, one of volumes, of the same investors."""
+    root = new_dir(spark, "bulletin")
+    o = table(spark, d, "orders").groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.count_distinct("o_custkey").alias("c"))
+    br = lambda c: F.translate(F.format_number(c, 2), ",.", ".,")
+    flows = F.concat(F.lit("Pessoas  Físicas "), br(F.col("n")), F.lit(" 1,00 "), br(F.col("c")), F.lit(" 2,00"))
+    volumes = F.concat(F.lit("PESSOAS FÍSICAS "), *[x for k in range(6) for x in (br(F.col("n") * (10.5 if k == 4 else 1.0)), F.lit(" 5,25 " if k == 4 else " 1,50 "))])
+    o.select("o_orderpriority", F.concat_ws("\n", F.lit("Fluxo"), flows, F.lit("Volume"), volumes).alias("value")).write.partitionBy("o_orderpriority").text(root)
+    # Spark names the files; the folder tells which bulletin a line is of.
+    found = []
+    for p in [r[0] for r in o.select("o_orderpriority").orderBy("o_orderpriority").collect()]:  # five priorities
+        path = f"{root}/o_orderpriority={p}"
+        flow, volume = scans.investor_bulletin(spark, path).where("error IS NULL"), scans.market_volumes(spark, path).where("market = 'blocos'")
+        found.append(flow.join(volume, ["file", "category"]).select(F.lit(p).alias("file"), "buys", "sells", "balance", F.col("value").alias("blocks"), F.col("share").alias("blocks_share")))
+    return reduce(DataFrame.unionByName, found)

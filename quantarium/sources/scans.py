@@ -173,7 +173,8 @@ def strict(rows: DataFrame) -> DataFrame:
 def context_package(spark: SparkSession, path: str, schema: str, version: str | None = None, rules: dict | None = None) -> DataFrame:
     """Packages as rows, one a file, with ``state``: missing (no file; the fields are null), invalid_json, incompatible (by
     ``contextSchemaVersion`` against ``version``), invalid_contract (a rule of {name: broken, a Column} is broken), seed
-    (is_seed_mode) or available. Without ``version`` and ``rules`` these two are not checked."""
+    (is_seed_mode) or available. Without ``version`` and ``rules`` these two are not checked. A file of no bytes, which Spark
+    passes over, gives no row."""
     from ..operators.contracts import compatibility
     from .shared import exists
 

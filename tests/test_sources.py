@@ -155,3 +155,54 @@ def test_first_array_found_and_coded_candles(spark, tmp_path):
         rows = '{"DATPRG":"20260105","PREABE":"1,5","PREMAX":2,"PREMIN":"1","PREULT":"1.75","QUATOT":10},{"DATPRG":"06/01/2026","PREULT":2,"VOLTOT":"7","QUATOT":1},{"DATPRG":"2026-01-07","PREULT":null}'
         got = S.coded_candles(spark, put(tmp_path, "abcd3.json", body.format(rows))).orderBy("date").collect()
         assert [(r.ticker, str(r.date), r.close, r.volume) for r in got] == [("ABCD3", "2026-01-05", 1.75, 10.0), ("ABCD3", "2026-01-06", 2.0, 7.0)]
+
+
+def test_rows_are_numbered_over_a_file_s_parts(spark, tmp_path):
+    n = 3000
+    text = "data_ref,rate\r\n" + "".join(f"2026-01-01,{k}.5\r\n" + ("\r\n" if k % 7 == 0 else "") for k in range(n)) + "x,1\n2026-01-02,\n"
+    put(tmp_path, "a.csv", "\ufeff" + text)
+    put(tmp_path, "b.csv", "other,rate\n2026-01-01,1\n")
+    put(tmp_path, "empty.csv", "")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        rows = S.curated_rows(spark, str(tmp_path), {"data_ref": "date", "rate": "double"})
+        assert rows.rdd.getNumPartitions() >= 1 and S.numbered_lines(spark, str(tmp_path)).select("file").distinct().count() == 2
+        got = rows.collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    a = sorted((r.row, r.rate, r.error) for r in got if r.file.endswith("a.csv"))
+    assert a[:n] == [(k + 2, k + 0.5, None) for k in range(n)]
+    assert [(r, e) for r, _, e in a[n:]] == [(n + 2, f"invalid_row_{n + 2}"), (n + 3, f"invalid_row_{n + 3}")]
+    assert sorted((r.row, r.error) for r in got if r.file.endswith("b.csv")) == [(1, "invalid_header"), (2, None)]
+    with pytest.raises(Exception, match="invalid_header"):
+        S.strict(S.curated_rows(spark, str(tmp_path / "b.csv"), {"data_ref": "date", "rate": "double"})).collect()
+    flows = S.curated_rows(spark, str(tmp_path / "a.csv"), {"data_ref": "date", "rate": "double"}, required=("rate",)).where("error IS NULL")
+    assert flows.count() == n + 1
+
+
+def test_package_states(spark, tmp_path):
+    texts = {"a": '{"id":"a","contextSchemaVersion":"1.2"}', "b": '{"id":', "c": '{"id":"c","contextSchemaVersion":"2.0"}', "d": '{"contextSchemaVersion":"1.9"}', "e": '{"id":"e","contextSchemaVersion":"1.0","is_seed_mode":true}', "f": "[]", "g": ""}
+    state = {k: S.context_package(spark, put(tmp_path, f"{k}.json", t), "id string", "1.2", {"id": F.col("id").isNull()}).head() for k, t in texts.items()}
+    assert {k: r and r.state for k, r in state.items()} == {"a": "available", "b": "invalid_json", "c": "incompatible", "d": "invalid_contract", "e": "seed", "f": "invalid_json", "g": None}
+    assert S.context_package(spark, str(tmp_path / "none.json"), "id string").head().asDict() == {"id": None, "state": "missing"}
+
+
+def test_volumes_by_market(spark, tmp_path):
+    p = put(tmp_path, "v.txt", "Institucionais 1.000,00 1,00\nINSTITUCIONAIS " + " ".join(f"{k}.000,50 {k},25" for k in range(1, 7)) + "\n")
+    got = {r.market: (r.value, r.share) for r in S.market_volumes(spark, p).collect()}
+    assert len(got) == 6 and got["a_vista"] == (1000.5, 1.25) and got["total_geral"] == (6000.5, 6.25)
+
+
+def test_pending_documents(spark):
+    from quantarium.operators import documents as D
+
+    rows = [
+        (1, b"<html><p>A&amp;B</p>\n\n\n<p>c  d</p></html>", None, None), (2, b"", "pending", None), (3, b"%PDF-1.4", "unsupported", 1), (4, b"%PDF-1.4", "unsupported", 2), (5, None, None, None),
+        (6, b"<html><script>x</script></html>", "failed", None), (7, b"text \xff here", None, 1), (8, b"old", "ok", 1), (9, b"[1,  2]", "failed", 2),
+    ]
+    df = spark.createDataFrame(rows, "id int, content binary, state string, parser_version int")
+    got = {r.id: (r.format, r.state, r.text, r.error, r.parser_version) for r in D.parse_pending(df, 2).collect()}
+    assert got == {
+        1: ("html", "ok", "A&B\nc d", None, 2), 2: ("empty", "failed", None, "content_required", 2), 3: ("pdf", "unsupported", None, "format_pdf", 2), 5: ("empty", "failed", None, "content_required", 2),
+        6: ("html", "failed", None, "text_empty", 2), 7: ("text", "ok", "text \ufffd here", None, 2),
+    }
