@@ -52,7 +52,7 @@ def scan_nested_first_array(spark, d):
 
 
 @query("scan_curated_csv", """WITH t AS (SELECT p_brand AS brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) + 1 AS row, p_size, p_partkey, p_name FROM part)
- SELECT brand, row, CASE WHEN p_size >= 5 THEN DATE '2026-01-01' + CAST(p_size AS INTEGER) END AS data_ref, CASE WHEN p_size < 45 THEN p_partkey + 0.5 END AS rate, p_name || ', x' AS source, CASE WHEN p_size < 5 OR p_size >= 45 THEN 'invalid_row_' || row END AS error FROM t""")
+ SELECT brand, row, CASE WHEN p_size >= 5 THEN DATE '2026-01-01' + CAST(p_size AS INTEGER) END AS data_ref, CASE WHEN p_size < 45 THEN CAST(p_partkey + 0.5 AS DOUBLE) END AS rate, p_name || ', x' AS source, CASE WHEN p_size < 5 OR p_size >= 45 THEN 'invalid_row_' || row END AS error FROM t""")
 def scan_curated_csv(spark, d):
     """A file a brand, some rows without a date, some without a finite number; rows are named by their place in the file."""
     root = new_dir(spark, "curated")
@@ -66,7 +66,7 @@ def scan_curated_csv(spark, d):
 
 
 @query("scan_context_package", """WITH t AS (SELECT s_nationkey AS id, max(s_acctbal) AS top, min(s_acctbal) AS low, count(*) AS n FROM supplier GROUP BY 1)
- SELECT CASE WHEN top >= 1500 THEN id END AS id, CASE WHEN top < 1500 THEN 'invalid_json' WHEN n % 5 = 0 THEN 'incompatible' WHEN low < -900 THEN 'invalid_contract' WHEN low < 0 THEN 'seed' ELSE 'available' END AS state FROM t UNION ALL SELECT NULL, 'missing'""")
+ SELECT CAST(CASE WHEN top >= 1500 THEN id END AS BIGINT) AS id, CASE WHEN top < 1500 THEN 'invalid_json' WHEN n % 5 = 0 THEN 'incompatible' WHEN low < -900 THEN 'invalid_contract' WHEN low < 0 THEN 'seed' ELSE 'available' END AS state FROM t UNION ALL SELECT NULL, 'missing'""")
 def scan_context_package(spark, d):
     """A package a nation, and a place where there is none."""
     root = new_dir(spark, "packages")
@@ -78,7 +78,7 @@ def scan_context_package(spark, d):
     return read(root).unionByName(read(root + "-none"))
 
 
-@query("scan_investor_bulletin", """SELECT o_orderpriority AS file, count(*) * 1000.0 AS buys, count(DISTINCT o_custkey) * 1000.0 AS sells, (count(*) - count(DISTINCT o_custkey)) * 1000.0 AS balance, count(*) * 10.5 AS blocks, 5.25 AS blocks_share FROM orders GROUP BY 1""")
+@query("scan_investor_bulletin", """SELECT o_orderpriority AS file, CAST(count(*) * 1000 AS DOUBLE) AS buys, CAST(count(DISTINCT o_custkey) * 1000 AS DOUBLE) AS sells, CAST((count(*) - count(DISTINCT o_custkey)) * 1000 AS DOUBLE) AS balance, CAST(count(*) * 10.5 AS DOUBLE) AS blocks, CAST(5.25 AS DOUBLE) AS blocks_share FROM orders GROUP BY 1""")
 def scan_investor_bulletin(spark, d):
     """A bulletin a priority: a line of flows and, later, one of volumes, of the same investors."""
     root = new_dir(spark, "bulletin")

@@ -212,6 +212,25 @@ def manifest(df: DataFrame, date: str, status: str) -> DataFrame:
     return g.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))
 
 
+def write_run(df: DataFrame, path: str, date: str, maturity: str, added, restated, revisions: DataFrame, log: DataFrame, keys: list[str]) -> dict:
+    """Write the merged table as Parquet, and tell of the run: rows, first and last date, rows added and restated (boolean columns;
+    null counts as no) and the share restated in percent, revisions that the log doesn't hold yet and those that it does (by keys,
+    nulls being equal, each once), and distinct maturities.
+
+    Counts and dates are observed while the rows are written; maturities, which no such metric can count, come from that one
+    column of the files. An empty table has no dates and no share."""
+    from pyspark.sql import Observation
+
+    seen, count = Observation(), lambda c: F.count(F.when(c, 1))
+    df.observe(seen, F.count(F.lit(1)).alias("rows"), count(added).alias("added"), count(restated).alias("restated"), F.min(date).alias("first"), F.max(date).alias("last")).write.mode("overwrite").parquet(path)
+    out = dict(seen.get)
+    out["restated_pct"] = 100 * out["restated"] / out["rows"] if out["rows"] else None
+    both = revisions.select(*keys).distinct().withColumn("_new", F.lit(1)).unionByName(log.select(*keys).distinct().withColumn("_new", F.lit(0)))
+    met = both.groupBy(*keys).agg(F.min("_new").alias("low"), F.max("_new").alias("high")).where("high = 1").agg(count(F.col("low") == 1).alias("new"), count(F.col("low") == 0).alias("known")).head()
+    stored = df.sparkSession.read.parquet(path)
+    return out | {"revisions_new": met.new, "revisions_known": met.known, "maturities": stored.agg(F.count_distinct(maturity)).head()[0]}
+
+
 #: Month names of the flow reports, and the bulletin's investor categories (accent-free).
 MONTHS = ("jan", "fev", "mar", "abr", "mai", "jun", "jul", "ago", "set", "out", "nov", "dez")
 CATEGORIES = ("pessoas fisicas", "institucionais", "investidores estrangeiros", "empresas", "instituicoes financeiras", "outros")

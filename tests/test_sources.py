@@ -206,3 +206,14 @@ def test_pending_documents(spark):
         1: ("html", "ok", "A&B\nc d", None, 2), 2: ("empty", "failed", None, "content_required", 2), 3: ("pdf", "unsupported", None, "format_pdf", 2), 5: ("empty", "failed", None, "content_required", 2),
         6: ("html", "failed", None, "text_empty", 2), 7: ("text", "ok", "text \ufffd here", None, 2),
     }
+
+
+def test_run_manifest(spark, tmp_path):
+    rows = [("2026-01-01", "2030", True, None), ("2026-01-03", "2035", False, True), ("2026-01-02", None, None, False), ("2026-01-02", "2030", True, False)]
+    df = spark.createDataFrame(rows, "d string, m string, added boolean, restated boolean")
+    revisions, log = (spark.createDataFrame(r, "k int, v string") for r in ([(1, "a"), (1, "a"), (2, None), (3, "x")], [(2, None), (9, "z")]))
+    got = S.write_run(df, str(tmp_path / "t"), "d", "m", F.col("added"), F.col("restated"), revisions, log, ["k", "v"])
+    assert got == {"rows": 4, "added": 2, "restated": 1, "first": "2026-01-01", "last": "2026-01-03", "restated_pct": 25.0, "revisions_new": 2, "revisions_known": 1, "maturities": 2}
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 4
+    none = S.write_run(df.limit(0), str(tmp_path / "e"), "d", "m", F.col("added"), F.col("restated"), revisions, log.limit(0), ["k", "v"])
+    assert (none["rows"], none["first"], none["restated_pct"], none["revisions_new"], none["revisions_known"], none["maturities"]) == (0, None, None, 3, 0, 0)
