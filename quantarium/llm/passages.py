@@ -8,12 +8,12 @@ that length: the run has its smallest hash at the same word in both texts, and r
 side of it. The key of a window and side is the stretch from c to that side (15 words), so one hash function meets every
 such pair. Only passages that repeat within themselves (a period under five words) can be edited at a lesser cost.
 
-Keys that one document alone holds go at once. Of the others, each window's extent is joined in two ways. Stretches
-of 45 words around its place are keys of their own: all that share one are near enough, so a star to the first document
-loses no unedited passage of 50 words, whatever else the group holds. For edited ones, the documents of a window's key
-are sorted by what follows it and by what goes before it, and each meets the one before it; a pair of edited passages
-can be missed when a key is so frequent that others lie between. Both walks are streamed, one
-edge a row, however large the group. Windows inside a shared long stretch need no such edge among themselves.
+Keys that one document alone holds go at once. Stretches of 45 words around a window's place are keys of their own: all
+that share one are near enough, so a star to the first document loses no unedited passage of 50 words, whatever else the
+group holds. For edited ones, all documents of a window's key are compared, but for those that a star joins at that place
+already. Small groups give their pairs; in larger ones, pairs are first counted by the shingles that their surroundings
+have in common, then followed there, until what is near is joined and every place that an earlier document's is near to
+has a pair. Groups beyond a block are compared block by block: only what the largest star leaves out meets all blocks.
 
 Pairs are verified on the texts. From each common window the texts are followed to both sides, over differences, while
 they stay similar. What is found counts if it lies in a stretch of 50 words or more of each text and the similarity of
@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import parts, repeated_batches, split_by_ids, stored, texts
+from .common import parts, split_by_ids, stored, texts
 from .graph import connected_components
 from .tokens import chunks
 
@@ -199,84 +199,268 @@ def _long_batches(batches, words, similarity):
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(np.concatenate(docs))], ["key", "doc_id"])
 
 
-def near_keys(h: np.ndarray, width: int, similarity: float, wanted, shared) -> np.ndarray:
-    """Distinct rows (key, order, covered), signed, of the windows whose key is ``wanted``: twice each, with what follows
-    the stretch and what goes before it as order, so that neighbours share most. covered: 1 if the place lies in a long
-    stretch whose key is ``shared``."""
+#: Groups of a key below this size give their pairs as they are; in others, pairs are first compared by context.
+FEW = 8
+#: Rows of one block: groups of a key beyond it are compared block by block.
+BLOCK = 1024
+#: Shingles on either side of a window's stretch that its context holds: what a run of 45, a difference and as much of a
+#: second run as makes 41 equal shingles can take.
+REACH = 48
+
+
+def near_rows(h: np.ndarray, d: int, width: int, similarity: float, wanted, shared, firsts) -> tuple[np.ndarray, np.ndarray, list[list[int]], np.ndarray]:
+    """(keys, later, centers, from) of the windows whose key is ``wanted``. centers: the ``firsts`` of the long stretches
+    around the place whose keys are ``shared``, or ``d`` itself; later: whether one of them is an earlier document."""
     keys, at, places = _wanted(h, width, similarity, wanted)
-    reach, long = least_run(width, similarity) // 2, width - SHINGLE
+    long = width - SHINGLE
+    shared, firsts = np.array(shared or [], np.int64).view(_U), np.array(firsts or [], np.int64)
+    by = np.argsort(shared)
+    shared, firsts = shared[by], firsts[by]
     keys_long, starts = long_keys(h, np.unique(places), width, similarity)
-    starts = np.unique(starts[_is_in(keys_long, _sorted(shared))])
-    edge = np.zeros(len(h) + 1, np.int64)
-    np.add.at(edge, starts, 1)
-    np.add.at(edge, np.minimum(starts + long, len(h)), -1)
-    covered = (np.cumsum(edge) > 0)[places].astype(np.int64)
-    mask, runs = _U(0xFFFF), Runs(h)
-    after = [runs(at + reach + SHINGLE, k, 201) & mask for k in (1, 6, 16)]
-    before = [runs(at - SHINGLE + 1 - k, k, 201) & mask for k in (1, 6, 16)]
-    rows = []
-    for salt, order in ((1, [*after, before[0]]), (2, [*before, after[0]])):
-        packed = np.zeros(len(at), _U)
-        for x in order:
-            packed = packed << _U(16) | x
-        rows.append(np.stack([mix(keys, 202 + salt).view(np.int64), packed.view(np.int64), covered], axis=1))
-    return np.unique(np.concatenate(rows), axis=0)
-
-
-def _near_batches(batches, words, similarity):
+    ok = _is_in(keys_long, shared)
+    starts, index = np.unique(starts[ok], return_index=True)
+    first = firsts[np.searchsorted(shared, keys_long[ok][index])]
+    lo, hi = np.searchsorted(starts, places - long, "right"), np.searchsorted(starts, places, "right")
+    centers = [sorted(set(first[x:y].tolist())) or [d] for x, y in zip(lo.tolist(), hi.tolist())]
+    return keys, np.array([c[0] < d for c in centers], bool), centers, at
+
+
+def contexts(h: np.ndarray, at: np.ndarray, reach: int) -> np.ndarray:
+    """The shingles around the stretches from ``at`` on, three bytes each; zeros outside the text."""
+    x = np.zeros(len(h) + 2 * REACH + reach + 1, np.uint32)
+    x[REACH : REACH + len(h)] = np.maximum((mix(h, 204) >> _U(40)).astype(np.uint32), 1)
+    size = 2 * REACH + reach + 1
+    rows = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(x, size)[at], "<u4")
+    return rows.view(np.uint8).reshape(len(at), size, 4)[:, :, :3].reshape(len(at), 3 * size)
+
+
+def _near_batches(batches, words, similarity, with_context=True):
     width = words - SHINGLE + 1
+    reach = least_run(width, similarity) // 2
     for b in batches:
-        docs, found = [], []
-        for d, t, wanted, shared in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "keys", "long_keys"))):
-            rows = near_keys(text_hashes(t), width, similarity, wanted, shared)
-            docs.append(np.full(len(rows), d)), found.append(rows)
-        if docs:
-            rows = np.concatenate(found)
-            yield pa.RecordBatch.from_arrays([*(pa.array(rows[:, k].copy()) for k in range(3)), pa.array(np.concatenate(docs))], ["key", "order", "covered", "doc_id"])
+        cols: list[list] = [[], [], [], [], [], []]
+        for d, t, wanted, often, shared, firsts in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "keys", "often", "long_keys", "firsts"))):
+            h = text_hashes(t)
+            keys, later, centers, at = near_rows(h, d, width, similarity, wanted if with_context else often, shared, firsts)
+            large = _is_in(keys, _sorted(often))
+            around = iter(contexts(h, at[large], reach) if with_context else ())
+            seen = set()
+            for key, is_later, c, is_large in zip(keys.view(np.int64).tolist(), later.tolist(), centers, large.tolist()):
+                x = next(around).tobytes() if is_large and with_context else None
+                if (key, is_later, tuple(c), x) not in seen:
+                    seen.add((key, is_later, tuple(c), x))
+                    for col, v in zip(cols, (key, d, is_later, c[0], c[1:], x)):
+                        col.append(v)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.list_(pa.int64()), pa.binary()))], ["key", "doc_id", "later", "center", "centers", "context"])
+
+
+NEAR = "key long, doc_id long, later boolean, center long, centers array<long>, context binary"
+
+
+class _Sets:
+    """Disjoint sets."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        up = self.up
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = x = up[y]
+        return x
+
+    def join(self, x: int, y: int) -> None:
+        self.up[self.root(x)] = self.root(y)
+
+
+def _common(context: np.ndarray, a: np.ndarray, b: np.ndarray, cells: int = 1 << 22) -> np.ndarray:
+    """How many values each row ``a`` has in common with each row ``b``, a value held k times counted k times; zeros do
+    not count."""
+    x = np.sort(context, axis=1).astype(np.int64)
+    at = np.arange(x.shape[1])
+    nth = at - np.maximum.accumulate(np.where(np.concatenate([np.ones((len(x), 1), bool), x[:, 1:] != x[:, :-1]], axis=1), at, 0), axis=1)
+    row, col = np.nonzero(x)
+    _, inverse, count = np.unique(x[row, col] << 8 | nth[row, col], return_inverse=True, return_counts=True)
+    number = np.cumsum(count > 1) - 1
+    ok = count[inverse] > 1
+    row, col = row[ok], number[inverse[ok]]
+    by = np.argsort(col, kind="stable")
+    row, col = row[by], col[by]
+    out, step = np.zeros((len(a), len(b)), np.float32), max(1, cells // len(x))
+    for s in range(0, int(col[-1]) + 1 if len(col) else 0, step):
+        i, j = np.searchsorted(col, (s, s + step))
+        held = np.zeros((len(x), min(step, int(col[-1]) + 1 - s)), np.float32)
+        held[row[i:j], col[i:j] - s] = 1
+        out += held[a] @ held[b].T
+    return out
 
 
-def _meets(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Whether what follows or what goes before is equal for a shingle's length: an equal run of the least length reaches
-    that far to one side of its window's stretch."""
-    z = x ^ y
-    return (z & 0xFFFF == 0) | (z >> 48 & 0xFFFF == 0)
+def _best_share(x: np.ndarray, y: np.ndarray, width: int) -> np.ndarray:
+    """Row by row, the largest share of shingles that the other context holds anywhere, of all stretches of ``width``."""
+    out = []
+    for s in range(0, len(x), 256):
+        p, q = x[s : s + 256], y[s : s + 256]
+        same = (p[:, :, None] == q[:, None, :]) & (p != 0)[:, :, None]
+        both = []
+        for held in (same.any(axis=2), same.any(axis=1)):
+            sums = np.concatenate([np.zeros((len(p), 1), np.int64), np.cumsum(held, axis=1)], axis=1)
+            both.append(np.maximum((sums[:, width:] - sums[:, :-width]).max(axis=1) / width, 1e-9))
+        out.append(1 / (1 / both[0] + 1 / both[1] - 1))
+    return np.concatenate(out) if out else np.zeros(0)
+
+
+def near_pairs(docs: list[int], later: list[bool], centers: list[list[int]], context: np.ndarray | None, first_rows, second_rows, width: int, similarity: float) -> list[tuple[int, int]]:
+    """Pairs (doc_id, first_id), later document first, of a row of ``first_rows`` and one of ``second_rows``, such that
+    their links join whatever shares a passage around the key, and every place that an earlier document's is near to has
+    a pair. Rows of one center are joined by it. With contexts, pairs are tried on them, most shingles in common first."""
+    sets, out = _Sets(), set()
+    for cs in centers:
+        for c in cs:
+            sets.join(c, cs[0])
+    done = list(later)
+    a, b = np.asarray(first_rows), np.asarray(second_rows)
+    roots = np.array([sets.root(c[0]) for c in centers])
+    ids, covered = np.array(docs), np.array(later, bool)
+    pair = ids[a][:, None] != ids[b][None, :]
+    if len(a) == len(ids) and len(b) == len(ids):
+        pair = np.triu(pair)
+    if context is None:
+        i, j = np.nonzero(pair)
+    else:
+        # two stretches of ``width`` at this similarity have so many equal shingles
+        common = _common(context, a, b)
+        i, j = np.nonzero(pair & (common >= np.ceil(2 * similarity * width / (1 + similarity) - 1e-9)))
+        by = np.argsort(-common[i, j], kind="stable")
+        i, j = i[by], j[by]
+    i, j = a[i], b[j]
+    i, j = np.where(ids[i] > ids[j], i, j), np.where(ids[i] > ids[j], j, i)
+    ok = (roots[i] != roots[j]) | ~covered[i]
+    i, j = i[ok], j[ok]
+    if context is None:
+        return list(set(zip(ids[i].tolist(), ids[j].tolist())))
+    for s in range(0, len(i), 1024):
+        x, y = i[s : s + 1024], j[s : s + 1024]
+        now = np.array([sets.root(c[0]) for c in centers])
+        ok = (now[x] != now[y]) | ~np.array(done, bool)[x]
+        x, y = x[ok], y[ok]
+        ok = _best_share(context[x], context[y], width) >= least_share(similarity)
+        for k, m in zip(x[ok].tolist(), y[ok].tolist()):
+            if done[k] and sets.root(centers[k][0]) == sets.root(centers[m][0]):
+                continue
+            if (docs[k], docs[m]) not in out:
+                p, q = context[k], context[m]
+                begin = [int(np.flatnonzero(z)[0]) for z in (p, q)]
+                if passage_at(p[p != 0], q[q != 0], REACH - begin[0], REACH - begin[1], width, similarity) is None:
+                    continue
+                out.add((docs[k], docs[m]))
+            done[k] = True
+            sets.join(centers[k][0], centers[m][0])
+    return list(out)
+
+
+def _pair_batches(batches, words, similarity):
+    """Rows sorted by key, block and doc_id: the pairs of each group. Rows of ``side`` 1 meet those of side 2, rows of
+    side 0 one another. At most one group is held, which is no larger than two blocks."""
+    width, held = words - SHINGLE + 1, None
+
+    def groups(t, starts):
+        key, doc, later, center = (t.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("key", "doc_id", "later", "center"))
+        sizes = np.diff(starts)
+        # nothing to compare: one center, and all but the first document are covered
+        rest = np.arange(len(key)) != np.repeat(starts[:-1], sizes)
+        open_ = np.add.reduceat((~later.astype(bool) & rest).astype(np.int64), starts[:-1]) > 0
+        open_ |= np.maximum.reduceat(center, starts[:-1]) != np.minimum.reduceat(center, starts[:-1])
+        found = []
+        for k in np.flatnonzero(open_).tolist():
+            part = t.slice(int(starts[k]), int(sizes[k]))
+            centers = [[c, *more] for c, more in zip(part.column("center").to_pylist(), part.column("centers").to_pylist())]
+            raw = part.column("context").to_pylist()
+            context = None
+            if raw[0] is not None:
+                x = np.zeros((len(raw), len(raw[0]) // 3, 4), np.uint8)
+                x[:, :, :3] = np.frombuffer(b"".join(raw), np.uint8).reshape(len(raw), -1, 3)
+                context = x.view("<u4")[:, :, 0]
+            side = part.column("side").to_numpy()
+            one, two = np.flatnonzero(side < 2), np.flatnonzero(side != 1)
+            found += near_pairs(doc[starts[k] : starts[k + 1]].tolist(), later[starts[k] : starts[k + 1]].tolist(), centers, context, one, two, width, similarity)
+        pairs = np.array(found, np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["doc_id", "first_id"])
 
+    for b in batches:
+        if not b.num_rows:
+            continue
+        t = pa.Table.from_batches([b])
+        if held is not None:
+            t = pa.concat_tables([held, t.rename_columns(held.schema.names)])
+        key, block = (t.column(c).to_numpy() for c in ("key", "block"))
+        starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (block[1:] != block[:-1])]))
+        if len(starts) > 1:
+            yield groups(t.slice(0, int(starts[-1])), starts)
+        held = t.slice(int(starts[-1]))
+    if held is not None:
+        yield groups(held, np.array([0, held.num_rows]))
+
+
+def _shared_batches(batches):
+    """Of rows sorted by key and doc_id, those whose key another row has too. size: 0, or 1 in a group of :data:`FEW` rows
+    or more. A group beyond a block adds one row without a document, whose size is the number of its rows."""
+    held, before = None, 0  # the last rows, at most FEW of one key; how many of that key went out before
+    schema = ["key", "doc_id", "size"]
+
+    def out(key, doc, before, last):
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        n = np.diff(np.concatenate([starts, [len(key)]]))
+        whole = n.copy()
+        whole[0] += before
+        each = np.repeat(whole, n)
+        ok = each > 1
+        big = np.flatnonzero(whole > BLOCK)
+        big = big[(big < len(starts) - 1) | last]
+        docs = pa.concat_arrays([pa.array(doc[ok]), pa.nulls(len(big), pa.int64())])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([key[ok], key[starts[big]]])), docs, pa.array(np.concatenate([(each[ok] >= FEW).astype(np.int64), whole[big]]))], schema)
 
-def _star_batches(batches):
-    """Rows sorted by key, order and doc_id: each to the first row of its key and order, and that to the first row of the
-    order before. Rows that a long stretch covers need no such link among themselves. One row is held between batches,
-    however large the group."""
-    held = None  # the first row of the order at hand, as one row an array
     for b in batches:
-        rows = [b.column(c).to_numpy(zero_copy_only=False) for c in ("key", "order", "covered", "doc_id")]
-        if not len(rows[0]):
+        key, doc = (b.column(c).to_numpy(zero_copy_only=False) for c in ("key", "doc_id"))
+        if not len(key):
             continue
         if held is not None:
-            rows = [np.concatenate(x) for x in zip(held, rows)]
-        key, order, covered, doc = rows
-        same_key = np.concatenate([[False], key[1:] == key[:-1]])
-        begins = ~same_key | np.concatenate([[True], order[1:] != order[:-1]])
-        start = np.maximum.accumulate(np.where(begins, np.arange(len(key)), 0))
-        before = np.concatenate([[0], start[:-1]])
-        to = np.where(begins, before, start)
-        ok = ~begins | same_key & _meets(order, order[before])
-        ok &= (doc != doc[to]) & ((covered == 0) | (covered[to] == 0))
-        held = [x[start[-1] : start[-1] + 1] for x in rows]
-        yield pa.RecordBatch.from_arrays([pa.array(np.maximum(doc, doc[to])[ok]), pa.array(np.minimum(doc, doc[to])[ok])], ["doc_id", "first_id"])
+            key, doc = np.concatenate([held[0], key]), np.concatenate([held[1], doc])
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        tail = len(key) - int(starts[-1])  # rows of the last key
+        own = before if len(starts) == 1 else 0  # of them, what went out before
+        if own + tail > FEW:  # known to be a large group: all but one row go out
+            cut = len(key) - 1
+        else:
+            cut = len(key) - tail
+        if cut:
+            yield out(key[:cut], doc[:cut], before, cut == int(starts[-1]))
+        before = own + cut - int(starts[-1]) if cut > int(starts[-1]) else (0 if cut else before)
+        held = key[cut:], doc[cut:]
+    if held is not None:
+        yield out(*held, before, True)
 
 
 def _first_batches(batches):
-    """Rows sorted by key and doc_id: each to the first row of its key."""
-    key0 = first = None
+    """Rows sorted by key and doc_id: those whose key another row has too, with the first row's document."""
+    held, seen, first = None, False, None  # the last row; whether the one before it is its equal; its key's first
+    schema = ["key", "doc_id", "first_id"]
     for b in batches:
         key, doc = (b.column(c).to_numpy(zero_copy_only=False) for c in ("key", "doc_id"))
         if not len(key):
             continue
-        starts = np.concatenate([[key0 is None or key0 != key[0]], key[1:] != key[:-1]])
-        at = np.maximum.accumulate(np.where(starts, np.arange(len(key)), -1))
-        to = np.where(at >= 0, doc[np.maximum(at, 0)], first if first is not None else 0)
-        key0, first, ok = key[-1], to[-1], to != doc
-        yield pa.RecordBatch.from_arrays([pa.array(doc[ok]), pa.array(to[ok])], ["doc_id", "first_id"])
+        if held is not None:
+            key, doc = np.concatenate([held[0], key]), np.concatenate([held[1], doc])
+        same = key[1:] == key[:-1]
+        keep = np.concatenate([[seen], same]) | np.concatenate([same, [False]])
+        at = np.maximum.accumulate(np.where(np.concatenate([[True], ~same]), np.arange(len(key)), 0))
+        firsts = doc[at]
+        if seen:
+            firsts = np.where(at == 0, first, firsts)
+        held, seen, first = (key[-1:], doc[-1:]), bool(keep[-1]), firsts[-1]
+        ok = keep[:-1]
+        yield pa.RecordBatch.from_arrays([pa.array(x[:-1][ok]) for x in (key, doc, firsts)], schema)
+    if held is not None and seen:
+        yield pa.RecordBatch.from_arrays([pa.array(held[0]), pa.array(held[1]), pa.array(np.array([first], np.int64))], schema)
 
 
 #: How far behind a difference the two texts may go on to be equal, in shingles: what one passage of the least length
@@ -337,6 +521,13 @@ def passage_at(a: np.ndarray, b: np.ndarray, i: int, j: int, width: int, similar
     return int(starts[x]), int(right[y, 0])
 
 
+def least_share(similarity: float) -> float:
+    """What the best stretches of the least width must have in common, a little less for rounding: with one difference
+    between two equal runs, as wide as the similarity allows, the best stretch of either text has no more than this share
+    of equal shingles, which makes s / (2 - s) of both."""
+    return similarity / (2 - similarity) - 0.02
+
+
 def _share(a: np.ndarray, b: np.ndarray, width: int) -> np.ndarray:
     """For each place of ``a``, the largest share of shingles that ``b`` holds anywhere, of all stretches of ``width``
     around it."""
@@ -362,7 +553,7 @@ def match(a: np.ndarray, b: np.ndarray, width: int, similarity: float, places_a=
     if not common.any():
         return out
     share: list[np.ndarray] = []  # made when a try fails: most pairs need none
-    least = similarity - 0.05  # a little less: the stretches compared have the least width
+    least = least_share(similarity)
     done, spread, reach = 0, width + AHEAD, least_run(width, similarity) // 2
     around = lambda x, k: x[max(0, k - spread) : k + spread].tobytes()
     held: dict[int, list[int]] = {}  # the places of a key in b, one of each surroundings
@@ -441,6 +632,33 @@ def first_texts(base: DataFrame) -> DataFrame:
     return hashed.join(firsts, "_h").select("doc_id", "first_id").distinct()
 
 
+def _in_blocks(held: DataFrame, large: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Rows of windows' keys with ``block`` and ``side``. Of ``large`` keys, those with more rows than a block, only what is
+    not joined to most by a long stretch is to be compared: in blocks, each against all blocks of the key."""
+    rows = held.mapInArrow(partial(_near_batches, words=words, similarity=similarity), NEAR)
+    whole = F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("side")
+    large = stored(large, "large")
+    if large.isEmpty():
+        return rows.select("*", *whole)
+    light = held.join(F.broadcast(large.agg(F.collect_set("key").alias("large"))), F.arrays_overlap("often", "large"))
+    light = light.select("doc_id", "text", "keys", F.array_intersect("often", "large").alias("often"), "long_keys", "firsts")
+    light = light.mapInArrow(partial(_near_batches, words=words, similarity=similarity, with_context=False), NEAR).groupBy("key", "center")
+    light = light.agg(F.count("*").alias("n"), F.sum(F.col("later").cast("long")).alias("covered"))
+    each = light.groupBy("key").agg(F.max_by("center", F.struct("n", "center")).alias("main"), F.sum("n").alias("n"), F.max_by("covered", F.struct("n", "center")).alias("done"))
+    each = stored(each.select("key", "main", F.ceil(F.col("n") / BLOCK).alias("blocks"), F.ceil((F.col("n") - F.col("done")) / BLOCK).alias("rests")), "blocks")
+    known = rows.join(F.broadcast(each), "key", "left")
+    columns = ["key", "doc_id", "later", "center", "centers", "context"]
+    place = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n))
+    up_to = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    rest = ~F.col("later") | (F.col("center") != F.col("main"))
+    number = lambda k, m: (k * F.lit(1 << 20) + m).cast("long")
+    one = F.transform(up_to("blocks"), lambda b: F.struct(number(place("rests"), b).alias("block"), F.lit(1).cast("long").alias("side")))
+    two = F.transform(up_to("rests"), lambda r: F.struct(number(r, place("blocks")).alias("block"), F.lit(2).cast("long").alias("side")))
+    alone = F.array(F.struct(*whole))
+    dealt = F.when(F.col("blocks").isNull() | F.col("context").isNull(), alone).when(F.col("rests") < 1, F.slice(alone, 1, 0)).when(rest, F.concat(one, two)).otherwise(two)
+    return known.select(*columns, F.explode(dealt).alias("p")).select(*columns, "p.block", "p.side")
+
+
 def repeated_passages(docs: DataFrame, words: int = 50, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(links, ids). links: (doc_id, first_id, spans) between differing texts, verified: the spans of doc_id's text (code
     points, end exclusive) that an earlier document first_id holds too. ids: (doc_id, first_id) of equal texts.
@@ -451,22 +669,25 @@ def repeated_passages(docs: DataFrame, words: int = 50, similarity: float = 0.8,
     spark = docs.sparkSession
     base = texts(docs, id_col, text_col).where("doc_id IS NOT NULL")
     ids = stored(first_texts(base), "first")
-    own = ids.where("doc_id = first_id").select("doc_id").distinct()  # a copy's links are those of the first of its text
-    made = base.mapInArrow(partial(_window_batches, words=words, similarity=similarity), "doc_id long, keys array<long>")
-    windows = made.join(own, "doc_id", "left_semi").select(F.explode("keys").alias("key"), "doc_id")
-    dealt = windows.repartition(parts(spark), "key").sortWithinPartitions("key", "doc_id")
-    shared = dealt.mapInArrow(repeated_batches, "key long, doc_id long").groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
-    shared = stored(shared, "shared")
-    some = split_by_ids(base, shared)[0].join(shared, "doc_id").groupBy("doc_id").agg(F.min_by(F.struct("text", "keys"), F.md5(F.col("text").cast("binary"))).alias("r"))
+    own = ids.where("doc_id = first_id").select("doc_id").distinct()
+    # a copy's links are those of the first of its text
+    copies = stored(ids.select("doc_id").distinct().join(own, "doc_id", "left_anti"), "copies")
+    maybe, once = split_by_ids(base, copies)
+    made = once.unionByName(maybe.join(copies, "doc_id", "left_anti")).mapInArrow(partial(_window_batches, words=words, similarity=similarity), "doc_id long, keys array<long>")
+    dealt = made.select(F.explode("keys").alias("key"), "doc_id").repartition(parts(spark), "key").sortWithinPartitions("key", "doc_id")
+    shared = dealt.mapInArrow(_shared_batches, "key long, doc_id long, size long").groupBy("doc_id")
+    shared = stored(shared.agg(F.collect_set("key").alias("keys"), F.collect_set(F.when(F.col("size") > 0, F.col("key"))).alias("often"), F.max("size").alias("size")), "shared")
+    some = split_by_ids(base, shared)[0].join(shared.drop("size"), "doc_id").groupBy("doc_id").agg(F.min_by(F.struct("text", "keys", "often"), F.md5(F.col("text").cast("binary"))).alias("r"))
     some = stored(some.select("doc_id", "r.*"), "texts")
     made = some.mapInArrow(partial(_long_batches, words=words, similarity=similarity), "key long, doc_id long")
     made = made.repartition(parts(spark), "key").sortWithinPartitions("key", "doc_id")
-    long = stored(made.mapInArrow(repeated_batches, "key long, doc_id long"), "long")
-    held = some.join(long.groupBy("doc_id").agg(F.collect_set("key").alias("long_keys")), "doc_id", "left")
-    exact = long.repartition(parts(spark), "key").sortWithinPartitions("key", "doc_id").mapInArrow(_first_batches, "doc_id long, first_id long")
-    near = held.mapInArrow(partial(_near_batches, words=words, similarity=similarity), "key long, order long, covered long, doc_id long")
-    near = near.repartition(parts(spark), "key").sortWithinPartitions("key", "order", "doc_id")
-    pairs = stored(exact.unionByName(near.mapInArrow(_star_batches, "doc_id long, first_id long")).distinct(), "pairs")
+    long = stored(made.mapInArrow(_first_batches, "key long, doc_id long, first_id long"), "long")
+    listed = long.groupBy("doc_id").agg(F.collect_list(F.struct("key", "first_id")).alias("l"))
+    held = some.join(listed, "doc_id", "left").select("doc_id", "text", "keys", "often", F.col("l.key").alias("long_keys"), F.col("l.first_id").alias("firsts"))
+    near = _in_blocks(held, shared.where("doc_id IS NULL").select(F.explode("keys").alias("key")), words, similarity)
+    near = near.repartition(parts(spark), "key", "block").sortWithinPartitions("key", "block", "doc_id")
+    near = near.mapInArrow(partial(_pair_batches, words=words, similarity=similarity), "doc_id long, first_id long")
+    pairs = stored(long.where("doc_id <> first_id").select("doc_id", "first_id").unionByName(near).distinct(), "pairs")
     often = pairs.groupBy("first_id").agg(F.ceil(F.count("*") / PAIRS).cast("int").alias("salts"))
     salted = pairs.join(often, "first_id").withColumn("salt", F.pmod(F.hash("doc_id"), F.col("salts")))
     firsts = some.select(F.col("doc_id").alias("first_id"), F.col("text").alias("first_text")).join(often, "first_id")

@@ -454,6 +454,25 @@ def test_partly_shared_first_documents_lose_no_link(spark):
     assert all(got[b].n_links >= 1 and got[b].spans for _, b in pairs)
 
 
+@pytest.mark.parametrize("n", [60, 1200])
+def test_edited_passages_around_a_frequent_stretch_all_link(spark, n):
+    """44 words that all documents hold are no passage; with 12 more behind a changed word, which two documents share, they
+    are. Larger groups than a block are compared block by block."""
+    rng = np.random.default_rng(14)
+    fill = lambda k: [f"w{x}" for x in rng.integers(0, 10**12, k)]
+    common, rows = fill(44), []
+    for k in range(n // 2):
+        tail = fill(12)
+        for _ in range(2):
+            behind = [*fill(1), *(tail if k < 20 else fill(12))]
+            rows.append(" ".join([*fill(15), *common, *behind, *fill(20)]))
+    ids = rng.permutation(n).tolist()
+    links, _ = passages.repeated_passages(spark.createDataFrame(list(zip(ids, rows)), "doc_id long, text string"))
+    got = {(r.doc_id, r.first_id): r.spans for r in links.collect()}
+    assert set(got) == {(max(ids[2 * k : 2 * k + 2]), min(ids[2 * k : 2 * k + 2])) for k in range(20)}
+    assert all(len(rows[ids.index(d)][s.start : s.end].split()) == 57 for (d, _), spans in got.items() for s in spans)
+
+
 def test_repeated_lines_are_matched_in_short_time():
     rng = np.random.default_rng(13)
     line = [f"l{k}".encode() for k in range(30)]
