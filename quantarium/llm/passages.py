@@ -632,16 +632,17 @@ def first_texts(base: DataFrame) -> DataFrame:
     return hashed.join(firsts, "_h").select("doc_id", "first_id").distinct()
 
 
-def _in_blocks(held: DataFrame, large: DataFrame, words: int, similarity: float) -> DataFrame:
+def _in_blocks(some: DataFrame, listed: DataFrame, large: DataFrame, words: int, similarity: float) -> DataFrame:
     """Rows of windows' keys with ``block`` and ``side``. Of ``large`` keys, those with more rows than a block, only what is
     not joined to most by a long stretch is to be compared: in blocks, each against all blocks of the key."""
-    rows = held.mapInArrow(partial(_near_batches, words=words, similarity=similarity), NEAR)
+    rows = some.join(listed, "doc_id", "left").mapInArrow(partial(_near_batches, words=words, similarity=similarity), NEAR)
     whole = F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("side")
     large = stored(large, "large")
     if large.isEmpty():
         return rows.select("*", *whole)
-    light = held.join(F.broadcast(large.agg(F.collect_set("key").alias("large"))), F.arrays_overlap("often", "large"))
-    light = light.select("doc_id", "text", "keys", F.array_intersect("often", "large").alias("often"), "long_keys", "firsts")
+    # texts without a large key are not shuffled
+    light = some.join(F.broadcast(large.agg(F.collect_set("key").alias("large"))), F.arrays_overlap("often", "large"))
+    light = light.select("doc_id", "text", "keys", F.array_intersect("often", "large").alias("often")).join(listed, "doc_id", "left")
     light = light.mapInArrow(partial(_near_batches, words=words, similarity=similarity, with_context=False), NEAR).groupBy("key", "center")
     light = light.agg(F.count("*").alias("n"), F.sum(F.col("later").cast("long")).alias("covered"))
     each = light.groupBy("key").agg(F.max_by("center", F.struct("n", "center")).alias("main"), F.sum("n").alias("n"), F.max_by("covered", F.struct("n", "center")).alias("done"))
@@ -683,8 +684,8 @@ def repeated_passages(docs: DataFrame, words: int = 50, similarity: float = 0.8,
     made = made.repartition(parts(spark), "key").sortWithinPartitions("key", "doc_id")
     long = stored(made.mapInArrow(_first_batches, "key long, doc_id long, first_id long"), "long")
     listed = long.groupBy("doc_id").agg(F.collect_list(F.struct("key", "first_id")).alias("l"))
-    held = some.join(listed, "doc_id", "left").select("doc_id", "text", "keys", "often", F.col("l.key").alias("long_keys"), F.col("l.first_id").alias("firsts"))
-    near = _in_blocks(held, shared.where("doc_id IS NULL").select(F.explode("keys").alias("key")), words, similarity)
+    listed = listed.select("doc_id", F.col("l.key").alias("long_keys"), F.col("l.first_id").alias("firsts"))
+    near = _in_blocks(some, listed, shared.where("doc_id IS NULL").select(F.explode("keys").alias("key")), words, similarity)
     near = near.repartition(parts(spark), "key", "block").sortWithinPartitions("key", "block", "doc_id")
     near = near.mapInArrow(partial(_pair_batches, words=words, similarity=similarity), "doc_id long, first_id long")
     pairs = stored(long.where("doc_id <> first_id").select("doc_id", "first_id").unionByName(near).distinct(), "pairs")
