@@ -454,10 +454,9 @@ def test_partly_shared_first_documents_lose_no_link(spark):
     assert all(got[b].n_links >= 1 and got[b].spans for _, b in pairs)
 
 
-@pytest.mark.parametrize("n", [60, 1200])
-def test_edited_passages_around_a_frequent_stretch_all_link(spark, n):
-    """44 words that all documents hold are no passage; with 12 more behind a changed word, which two documents share, they
-    are. Larger groups than a block are compared block by block."""
+def around_a_frequent_stretch(n):
+    """(ids, texts) of ``n`` documents that hold the same 44 words, which are no passage; with 12 more behind a changed word,
+    which the first 20 pairs share, they are."""
     rng = np.random.default_rng(14)
     fill = lambda k: [f"w{x}" for x in rng.integers(0, 10**12, k)]
     common, rows = fill(44), []
@@ -466,7 +465,23 @@ def test_edited_passages_around_a_frequent_stretch_all_link(spark, n):
         for _ in range(2):
             behind = [*fill(1), *(tail if k < 20 else fill(12))]
             rows.append(" ".join([*fill(15), *common, *behind, *fill(20)]))
-    ids = rng.permutation(n).tolist()
+    return rng.permutation(n).tolist(), rows
+
+
+def test_pipeline_cuts_edited_passages_around_a_frequent_stretch(spark):
+    import corpus_pipeline as p
+
+    ids, rows = around_a_frequent_stretch(60)
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in zip(ids, rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in dict(p.STAGES)["repeated_passages"](spark, docs, "").collect()}
+    later = {max(ids[2 * k : 2 * k + 2]) for k in range(20)}
+    assert {d for d, t in zip(ids, rows) if got[d] != t} == later and all(len(got[d].split()) == 92 - 57 for d in later)
+
+
+@pytest.mark.parametrize("n", [60, 1200])
+def test_edited_passages_around_a_frequent_stretch_all_link(spark, n):
+    """Larger groups than a block are compared block by block."""
+    ids, rows = around_a_frequent_stretch(n)
     links, _ = passages.repeated_passages(spark.createDataFrame(list(zip(ids, rows)), "doc_id long, text string"))
     got = {(r.doc_id, r.first_id): r.spans for r in links.collect()}
     assert set(got) == {(max(ids[2 * k : 2 * k + 2]), min(ids[2 * k : 2 * k + 2])) for k in range(20)}
