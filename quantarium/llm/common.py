@@ -35,8 +35,10 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _OWN_DIR[0]
 
 
-def _forget(spark: SparkSession, path: str) -> None:
+def _forget(spark: SparkSession, path: str, table: str | None = None) -> None:
     with contextlib.suppress(Exception):
+        if table:
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
         jvm = spark.sparkContext._jvm
         target = jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
@@ -56,6 +58,35 @@ def stored(df: DataFrame, name: str, compression: str | None = None) -> DataFram
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stored_by(df: DataFrame, name: str, key: str) -> DataFrame:
+    """As :func:`stored`, in buckets of ``key``, as many as there are shuffle partitions: what is joined by ``key`` later is
+    not shuffled again. The session's catalog knows the files by a name of their own until the driver's Python ends."""
+    spark = df.sparkSession
+    table = f"llm_{name}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{table}"
+    df.write.bucketBy(parts(spark), key).option("path", path).option("compression", "zstd").saveAsTable(table)
+    atexit.register(_forget, spark, path, table)
+    _MADE[path] = _OWNER[-1] if _OWNER else ""
+    return spark.table(table)
+
+
+#: Documented bound: bytes of the batches of rows that small_batches sends to Python at a time; a larger row goes alone.
+BATCH_BYTES = 8 << 20
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession):
+    """Jobs inside send texts to Python in batches of 8 MB at most, not of 10,000 rows whatever their length: a worker holds
+    a batch several times over (as sent, as strings, as results)."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id long, text) of every row; a null text is empty. Other columns, whatever their names, are left out."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

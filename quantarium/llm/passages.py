@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import parts, split_by_ids, stored, texts
+from .common import parts, small_batches, split_by_ids, stored, stored_by, texts
 from .graph import connected_components
 from .tokens import chunks
 
@@ -276,6 +276,8 @@ class _Sets:
 def _common(context: np.ndarray, a: np.ndarray, b: np.ndarray, cells: int = 1 << 22) -> np.ndarray:
     """How many values each row ``a`` has in common with each row ``b``, a value held k times counted k times; zeros do
     not count."""
+    used, both = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b, context = both[: len(a)], both[len(a) :], context[used]
     x = np.sort(context, axis=1).astype(np.int64)
     at = np.arange(x.shape[1])
     nth = at - np.maximum.accumulate(np.where(np.concatenate([np.ones((len(x), 1), bool), x[:, 1:] != x[:, :-1]], axis=1), at, 0), axis=1)
@@ -321,12 +323,19 @@ def near_pairs(docs: list[int], later: list[bool], centers: list[list[int]], con
     a, b = np.asarray(first_rows), np.asarray(second_rows)
     roots = np.array([sets.root(c[0]) for c in centers])
     ids, covered = np.array(docs), np.array(later, bool)
-    pair = ids[a][:, None] != ids[b][None, :]
+    later_one = ids[a][:, None] > ids[b][None, :]
+    pair = later_one | (ids[a][:, None] < ids[b][None, :])
     if len(a) == len(ids) and len(b) == len(ids):
         pair = np.triu(pair)
+    # what is joined already, at places that have a pair, is left out before anything is counted
+    pair &= (roots[a][:, None] != roots[b][None, :]) | np.where(later_one, ~covered[a][:, None], ~covered[b][None, :])
     if context is None:
         i, j = np.nonzero(pair)
     else:
+        rows, cols = pair.any(axis=1), pair.any(axis=0)
+        a, b, pair = a[rows], b[cols], pair[rows][:, cols]
+        if not len(a):
+            return []
         # two stretches of ``width`` at this similarity have so many equal shingles
         common = _common(context, a, b)
         i, j = np.nonzero(pair & (common >= np.ceil(2 * similarity * width / (1 + similarity) - 1e-9)))
@@ -334,8 +343,6 @@ def near_pairs(docs: list[int], later: list[bool], centers: list[list[int]], con
         i, j = i[by], j[by]
     i, j = a[i], b[j]
     i, j = np.where(ids[i] > ids[j], i, j), np.where(ids[i] > ids[j], j, i)
-    ok = (roots[i] != roots[j]) | ~covered[i]
-    i, j = i[ok], j[ok]
     if context is None:
         return list(set(zip(ids[i].tolist(), ids[j].tolist())))
     for s in range(0, len(i), 1024):
@@ -632,17 +639,24 @@ def first_texts(base: DataFrame) -> DataFrame:
     return hashed.join(firsts, "_h").select("doc_id", "first_id").distinct()
 
 
-def _in_blocks(some: DataFrame, listed: DataFrame, large: DataFrame, words: int, similarity: float) -> DataFrame:
+def _listed(long: DataFrame) -> DataFrame:
+    """(doc_id, long_keys, firsts): one row for each document of ``long``."""
+    listed = long.groupBy("doc_id").agg(F.collect_list(F.struct("key", "first_id")).alias("l"))
+    return listed.select("doc_id", F.col("l.key").alias("long_keys"), F.col("l.first_id").alias("firsts"))
+
+
+def _in_blocks(some: DataFrame, long: DataFrame, large: DataFrame, words: int, similarity: float) -> DataFrame:
     """Rows of windows' keys with ``block`` and ``side``. Of ``large`` keys, those with more rows than a block, only what is
     not joined to most by a long stretch is to be compared: in blocks, each against all blocks of the key."""
-    rows = some.join(listed, "doc_id", "left").mapInArrow(partial(_near_batches, words=words, similarity=similarity), NEAR)
+    rows = some.join(_listed(long), "doc_id", "left").mapInArrow(partial(_near_batches, words=words, similarity=similarity), NEAR)
     whole = F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("side")
     large = stored(large, "large")
     if large.isEmpty():
         return rows.select("*", *whole)
-    # texts without a large key are not shuffled
+    # documents without a large key, and their stretches, are not shuffled
     light = some.join(F.broadcast(large.agg(F.collect_set("key").alias("large"))), F.arrays_overlap("often", "large"))
-    light = light.select("doc_id", "text", "keys", F.array_intersect("often", "large").alias("often")).join(listed, "doc_id", "left")
+    own = split_by_ids(long, light)[0]
+    light = light.select("doc_id", "text", "keys", F.array_intersect("often", "large").alias("often")).join(_listed(own), "doc_id", "left")
     light = light.mapInArrow(partial(_near_batches, words=words, similarity=similarity, with_context=False), NEAR).groupBy("key", "center")
     light = light.agg(F.count("*").alias("n"), F.sum(F.col("later").cast("long")).alias("covered"))
     each = light.groupBy("key").agg(F.max_by("center", F.struct("n", "center")).alias("main"), F.sum("n").alias("n"), F.max_by("covered", F.struct("n", "center")).alias("done"))
@@ -667,6 +681,11 @@ def repeated_passages(docs: DataFrame, words: int = 50, similarity: float = 0.8,
     Texts are compared without ASCII case; words are split at ASCII white space. Texts under ``words`` words, and null
     ones, hold no passage. Rows with a null id take no part; rows with one id are one document.
     """
+    with small_batches(docs.sparkSession):
+        return _repeated_passages(docs, words, similarity, id_col, text_col)
+
+
+def _repeated_passages(docs: DataFrame, words: int, similarity: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     spark = docs.sparkSession
     base = texts(docs, id_col, text_col).where("doc_id IS NOT NULL")
     ids = stored(first_texts(base), "first")
@@ -679,13 +698,12 @@ def repeated_passages(docs: DataFrame, words: int = 50, similarity: float = 0.8,
     shared = dealt.mapInArrow(_shared_batches, "key long, doc_id long, size long").groupBy("doc_id")
     shared = stored(shared.agg(F.collect_set("key").alias("keys"), F.collect_set(F.when(F.col("size") > 0, F.col("key"))).alias("often"), F.max("size").alias("size")), "shared")
     some = split_by_ids(base, shared)[0].join(shared.drop("size"), "doc_id").groupBy("doc_id").agg(F.min_by(F.struct("text", "keys", "often"), F.md5(F.col("text").cast("binary"))).alias("r"))
-    some = stored(some.select("doc_id", "r.*"), "texts")
+    # read by doc_id twice more: in buckets, so that the texts are shuffled once
+    some = stored_by(some.select("doc_id", "r.*"), "texts", "doc_id")
     made = some.mapInArrow(partial(_long_batches, words=words, similarity=similarity), "key long, doc_id long")
     made = made.repartition(parts(spark), "key").sortWithinPartitions("key", "doc_id")
     long = stored(made.mapInArrow(_first_batches, "key long, doc_id long, first_id long"), "long")
-    listed = long.groupBy("doc_id").agg(F.collect_list(F.struct("key", "first_id")).alias("l"))
-    listed = listed.select("doc_id", F.col("l.key").alias("long_keys"), F.col("l.first_id").alias("firsts"))
-    near = _in_blocks(some, listed, shared.where("doc_id IS NULL").select(F.explode("keys").alias("key")), words, similarity)
+    near = _in_blocks(some, long, shared.where("doc_id IS NULL").select(F.explode("keys").alias("key")), words, similarity)
     near = near.repartition(parts(spark), "key", "block").sortWithinPartitions("key", "block", "doc_id")
     near = near.mapInArrow(partial(_pair_batches, words=words, similarity=similarity), "doc_id long, first_id long")
     pairs = stored(long.where("doc_id <> first_id").select("doc_id", "first_id").unionByName(near).distinct(), "pairs")

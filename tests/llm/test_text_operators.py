@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -488,6 +489,46 @@ def test_edited_passages_around_a_frequent_stretch_all_link(spark, n):
     assert all(len(rows[ids.index(d)][s.start : s.end].split()) == 57 for (d, _), spans in got.items() for s in spans)
 
 
+def test_pairs_of_a_large_group_take_little_memory():
+    """Two blocks of one group whose rows are joined but for a few: only pairs with these are listed."""
+    rng, n = np.random.default_rng(16), 2 * passages.BLOCK
+    context = np.repeat(rng.integers(1, 1 << 24, (1, 108)).astype(np.uint32), n, axis=0)
+    for row in context:
+        row[rng.integers(0, 108, 3)] = rng.integers(1, 1 << 24, 3)
+    docs, centers = list(range(n)), [[0]] * (n - 30) + [[d] for d in range(n - 30, n)]
+    tracemalloc.start()
+    got = passages.near_pairs(docs, [c[0] < d for c, d in zip(centers, docs)], centers, context, np.arange(passages.BLOCK), np.arange(n), 46, 0.8)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert {d for d, _ in got} == set(range(n - 30, n)) and all(f < passages.BLOCK for _, f in got)
+    assert peak < 50e6
+
+
+def test_texts_in_buckets_are_not_shuffled_again(spark):
+    from quantarium.llm.common import stored_by
+
+    some = stored_by(spark.range(1000).select(F.col("id").alias("doc_id"), F.lit("a").alias("text")), "some", "doc_id")
+    other = spark.range(2000).select(F.col("id").alias("doc_id"), F.lit(1).alias("x")).hint("merge")
+    both = some.join(other, "doc_id", "left")
+    plan = both._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and both.where("x = 1").count() == 1000
+
+
+def test_long_texts_go_to_python_in_small_batches(spark):
+    import pyarrow as pa
+
+    from quantarium.llm.common import BATCH_BYTES, small_batches
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"])
+
+    rows = spark.range(0, 3000, 1, 1).selectExpr("id", "repeat('x', 10000) AS text")
+    with small_batches(spark):
+        got = [r.n for r in rows.mapInArrow(sizes, "n long").collect()]
+    assert sum(got) > 30e6 and max(got) < 1.1 * BATCH_BYTES
+
+
 def test_repeated_lines_are_matched_in_short_time():
     rng = np.random.default_rng(13)
     line = [f"l{k}".encode() for k in range(30)]
