@@ -13,12 +13,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantarium.llm import packing, passages, pii, quality, simhash
-from quantarium.llm.common import drop_stored, split_by_ids, stored, tables_of
+from quantarium.llm.common import drop_stored, small_batches, split_by_ids, stored, tables_of
 from quantarium.llm.tokens import vocabulary_path
 
 #: Fixed: the columns of documents, which all stages but the last return.
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
+#: Documented bound: pieces of text that a worker's encoder keeps; the workers of earlier stages hold memory beside it.
+PIECES = 250_000
+
 
 def _documents(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
@@ -30,7 +33,7 @@ def _stage(step):
     @functools.wraps(step)
     def run_step(spark, docs, sf_dir):
         drop_stored(spark, "pipeline", docs)
-        with tables_of("pipeline"):
+        with tables_of("pipeline"), small_batches(spark):
             return step(spark, docs, sf_dir)
 
     return run_step
@@ -77,7 +80,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 @_stage
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of 1024 token ids along the curve."""
-    return packing.pack(docs.select("doc_id", "text"), vocabulary_path(), width=1024, end_id=0)
+    return packing.pack(docs.select("doc_id", "text"), vocabulary_path(), width=1024, end_id=0, pieces=PIECES)
 
 
 STAGES = [

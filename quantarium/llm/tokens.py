@@ -54,6 +54,7 @@ class PieceEncoder:
             self.spaced[i] = t.startswith("\u0120")
         if any(" " in a for a in self.added):
             raise ValueError("an added token holds a space")
+        self.limit = CACHE_PIECES
         self.cache = _Pieces(self.added)
         self.bare: dict[str, bytes] = {}
 
@@ -109,7 +110,7 @@ class PieceEncoder:
                 gc.enable()
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.cache) > CACHE_PIECES:
+        if len(self.cache) > self.limit:
             self.cache.clear()
             self.bare.clear()
         cache = self.cache
@@ -162,10 +163,11 @@ class _Pieces(dict):
         return place
 
 
-def encoder(path: str) -> PieceEncoder:
-    """The worker's encoder for a vocabulary file; made once a process."""
+def encoder(path: str, pieces: int = CACHE_PIECES) -> PieceEncoder:
+    """The worker's encoder for a vocabulary file; made once a process. It starts its cache afresh beyond ``pieces``."""
     if path not in _HELD:
         _HELD[path] = PieceEncoder(path)
+    _HELD[path].limit = pieces
     return _HELD[path]
 
 

@@ -245,6 +245,19 @@ def test_packing(odd, library):
         assert per[d] == n * (1 + len(library.encode(text, add_special_tokens=False).ids))
 
 
+def test_packing_with_a_small_cache_keeps_few_pieces_and_the_same_ids():
+    import pyarrow as pa
+
+    from quantarium.llm.tokens import encoder
+
+    rng = np.random.default_rng(15)
+    batches = [pa.RecordBatch.from_arrays([pa.array([k]), pa.array([" ".join(f"w{x}" for x in rng.integers(0, 10**9, 1000))])], ["doc_id", "text"]) for k in range(30)]
+    run = lambda pieces: [b.column("ids").to_pylist() for b in packing._key_batches(iter(batches), vocabulary_path(), 0, pieces)]
+    small = run(2000)
+    assert len(encoder(vocabulary_path(), 2000).cache) <= 4000
+    assert small == run(1_100_000)
+
+
 def test_hilbert_curve_is_a_walk():
     cells = np.array(list(itertools.product(range(8), repeat=3)))
     keys = packing.hilbert_key(cells, 3)
