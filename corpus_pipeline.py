@@ -20,6 +20,7 @@ from quantarium.llm.tokens import vocabulary_path
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 #: Documented bound: pieces of text that a worker's encoder keeps; the workers of earlier stages hold memory beside it.
+#: The encoder goes with its task: Spark keeps idle workers for a minute, into the next stage or run.
 PIECES = 250_000
 
 
@@ -80,7 +81,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 @_stage
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of 1024 token ids along the curve."""
-    return packing.pack(docs.select("doc_id", "text"), vocabulary_path(), width=1024, end_id=0, pieces=PIECES)
+    return packing.pack(docs.select("doc_id", "text"), vocabulary_path(), width=1024, end_id=0, pieces=PIECES, keep=False)
 
 
 STAGES = [

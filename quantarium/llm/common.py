@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import functools
 import tempfile
 import uuid
 
@@ -87,6 +88,20 @@ def small_batches(spark: SparkSession):
         spark.conf.set(name, before)
 
 
+def gives_back(step):
+    """A step over batches at whose end the worker gives the memory of the batches it has let go back to the system: Spark
+    keeps workers for a minute, and Arrow's pool keeps what it freed (70 of 210 MB behind 49 MB of texts)."""
+
+    @functools.wraps(step)
+    def run(batches, *args, **kw):
+        try:
+            yield from step(batches, *args, **kw)
+        finally:
+            pa.default_memory_pool().release_unused()
+
+    return run
+
+
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id long, text) of every row; a null text is empty. Other columns, whatever their names, are left out."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

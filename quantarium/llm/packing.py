@@ -16,8 +16,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parts, stored, texts
-from .tokens import CACHE_PIECES, chunks, encoder
+from .common import gives_back, parts, stored, texts
+from .tokens import CACHE_PIECES, chunks, drop_encoder, encoder
 
 DIMS, BITS, SEED = 3, 10, 20240229
 
@@ -65,8 +65,17 @@ def hilbert_key(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
     return key
 
 
-def _key_batches(batches, path, end_id, pieces):
-    enc, end, towards = encoder(path, pieces), np.array([end_id], "<u2").tobytes(), directions()
+@gives_back
+def _key_batches(batches, path, end_id, pieces, keep=True):
+    try:
+        yield from _keyed(batches, encoder(path, pieces), end_id)
+    finally:
+        if not keep:
+            drop_encoder(path)
+
+
+def _keyed(batches, enc, end_id):
+    end, towards = np.array([end_id], "<u2").tobytes(), directions()
     for b in batches:
         ids, all_texts = b.column("doc_id"), b.column("text").to_pylist()
         for s, e in chunks(all_texts):
@@ -83,6 +92,7 @@ def power_cuts(n: int) -> list[int]:
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
+@gives_back
 def _pack_batches(batches, width, with_ids):
     base, seq, held, filled = TaskContext.get().partitionId() << 32, 0, [], 0
 
@@ -123,16 +133,17 @@ def _pack_batches(batches, width, with_ids):
     yield rows(out)
 
 
-def pack(docs: DataFrame, path: str, width: int = 1024, end_id: int = 0, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text", pieces: int = CACHE_PIECES) -> DataFrame:
+def pack(docs: DataFrame, path: str, width: int = 1024, end_id: int = 0, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text", pieces: int = CACHE_PIECES, keep: bool = True) -> DataFrame:
     """Pieces (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids) of all documents.
 
     Every id of a document (its text's, then ``end_id``) lies in exactly one piece; a sequence holds ``width`` ids, but
     for a range's last ones, which are powers of two, so nothing is padded. Sequence ids rise along the curve. A null
     text is empty (only ``end_id``), a null id stays null, repeated rows are packed each, an empty table gives none.
     Ties on the curve are ordered by id, so copies spread over ranges however many there are. ``pieces`` bounds what a
-    worker's encoder keeps; a smaller cache takes less memory and more time, and gives the same ids.
+    worker's encoder keeps; a smaller cache takes less memory and more time, and gives the same ids. Without ``keep`` a
+    worker drops its encoder at the end of each task, so that idle workers hold none.
     """
     spark = docs.sparkSession
-    keyed = stored(texts(docs, id_col, text_col).mapInArrow(partial(_key_batches, path=path, end_id=end_id, pieces=pieces), "doc_id long, key long, ids binary"), "keyed", compression="zstd")
+    keyed = stored(texts(docs, id_col, text_col).mapInArrow(partial(_key_batches, path=path, end_id=end_id, pieces=pieces, keep=keep), "doc_id long, key long, ids binary"), "keyed", compression="zstd")
     sorted_ = keyed.repartitionByRange(parts(spark), "key", "doc_id").sortWithinPartitions("key", "doc_id", F.xxhash64("ids"))
     return sorted_.mapInArrow(partial(_pack_batches, width=width, with_ids=with_ids), _PIECES)

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import gives_back
+
 #: Fixed: kinds in the order in which spans with one start are listed; the first four have base rules.
 KINDS = ("email", "ip", "card", "phone", "secret", "iban")
 #: Documented bounds of the training: examples, trees, least held-out precision of an accepted score.
@@ -278,6 +280,7 @@ def redact(text: str, spans) -> str:
     return "".join(out) + text[at:] if spans else text
 
 
+@gives_back
 def _span_batches(batches, model, with_text, keep):
     for b in batches:
         cols = [[] for _ in range(7)]

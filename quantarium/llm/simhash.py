@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parts, repeated_batches, split_by_ids, stored, texts
+from .common import gives_back, parts, repeated_batches, split_by_ids, stored, texts
 from .graph import connected_components, rest_against_blocks
 from .passages import SHINGLE, first_texts, mix, shingles
 from .tokens import chunks
@@ -61,6 +61,7 @@ def simhash(text: str, width: int = 4, seed: int = 42) -> int:
     return int(np.packbits(2 * total > n, bitorder="little").view(np.int64)[0])
 
 
+@gives_back
 def _fingerprint_batches(batches, width):
     for b in batches:
         fp = np.fromiter((simhash(t, width) for t in b.column("text").to_pylist()), np.int64, b.num_rows)
@@ -417,6 +418,7 @@ def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (same - 1 / 16) * 16 / 15
 
 
+@gives_back
 def _sketch_batches(batches):
     for b in batches:
         all_texts = b.column("text").to_pylist()
@@ -514,6 +516,7 @@ def verified_edges(ids: list[int], sets: list[np.ndarray], similarity: float, ro
     return out
 
 
+@gives_back
 def _block_batches(batches, similarity):
     """Rows (cluster, block, doc_id, text) sorted by cluster and block to verified edges."""
     key0, ids, held = None, [], []

@@ -171,6 +171,11 @@ def encoder(path: str, pieces: int = CACHE_PIECES) -> PieceEncoder:
     return _HELD[path]
 
 
+def drop_encoder(path: str) -> None:
+    """Forget the worker's encoder for a vocabulary file, and all its pieces; :func:`encoder` makes a new one."""
+    _HELD.pop(path, None)
+
+
 def chunks(texts: list[str], chars: int = 4_000_000):
     """Slices (from, to) of about so many characters, so that long texts do not add up in memory."""
     at, size = 0, 0
