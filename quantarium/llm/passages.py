@@ -23,6 +23,7 @@ their shingles is 0.8 or more; its span goes from its first equal shingle to its
 from __future__ import annotations
 
 from functools import lru_cache, partial
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import parts, small_batches, split_by_ids, stored, stored_by, texts
+from .common import gives_back, parts, small_batches, split_by_ids, stored, stored_by, texts
 from .graph import connected_components
 from .tokens import chunks
 
@@ -49,7 +50,10 @@ def mix(x: np.ndarray, seed: int) -> np.ndarray:
 
 def shingles(words: list[bytes]) -> np.ndarray:
     """Hashes of the runs of five words; empty for shorter texts."""
-    w = np.fromiter(map(xxhash.xxh64_intdigest, words), _U, len(words))
+    return _shingles(np.fromiter(map(xxhash.xxh64_intdigest, words), _U, len(words)))
+
+
+def _shingles(w: np.ndarray) -> np.ndarray:
     n = len(w) - SHINGLE + 1
     if n <= 0:
         return np.zeros(0, _U)
@@ -136,6 +140,20 @@ def least_run(width: int, similarity: float) -> int:
     return max(1, int(np.ceil(min(runs) - 1e-9)))
 
 
+def smallest_places(x: np.ndarray, run: int) -> np.ndarray:
+    """The compact windows' places: where the smallest of some stretch of ``run`` values is, the first of equal ones."""
+    rows = np.lib.stride_tricks.sliding_window_view(x, run)
+    if len(np.unique(x)) < len(x):
+        c = rows.argmin(axis=1) + np.arange(len(rows))
+        return c[np.concatenate([[True], c[1:] != c[:-1]])]  # they never go back
+    least, n = x, 1
+    while 2 * n <= run:
+        least, n = np.minimum(least[:-n], least[n:]), 2 * n
+    least = np.minimum(least[: len(rows)], least[run - n : run - n + len(rows)])
+    at = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))  # of unequal values, each has one place
+    return rows[at].argmin(axis=1) + at
+
+
 def window_places(h: np.ndarray, width: int, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(keys, from, side): for each compact window wide enough for a run, and each side, a hash of the stretch and the
     side, and the stretch's first shingle."""
@@ -143,9 +161,7 @@ def window_places(h: np.ndarray, width: int, similarity: float) -> tuple[np.ndar
     reach = run // 2
     if len(h) < width:
         return np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    # the compact windows' places: smallest in some stretch of a run's length, the first of equal ones in both texts
-    c = np.lib.stride_tricks.sliding_window_view(mix(h, 100), run).argmin(axis=1) + np.arange(len(h) - run + 1)
-    c = c[np.concatenate([[True], c[1:] != c[:-1]])]  # they never go back
+    c = smallest_places(mix(h, 100), run)
     runs = Runs(h)
     keys, places, sides = [], [], []
     for side, at in ((1, c[c + reach < len(h)]), (2, c[c >= reach] - reach)):
@@ -158,11 +174,12 @@ def window_places(h: np.ndarray, width: int, similarity: float) -> tuple[np.ndar
     return np.concatenate(keys), np.concatenate(places), np.concatenate(sides)
 
 
+@gives_back
 def _window_batches(batches, words, similarity):
     width = words - SHINGLE + 1
     for b in batches:
         for s, e in chunks(b.column("text").to_pylist()):
-            keys = [np.unique(window_places(text_hashes(t), width, similarity)[0]).view(np.int64) for t in b.column("text")[s:e].to_pylist()]
+            keys = [np.unique(window_places(h, width, similarity)[0]).view(np.int64) for h in all_hashes(b.column("text")[s:e].to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column("doc_id")[s:e], pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "keys"])
 
 
@@ -170,6 +187,17 @@ def text_hashes(text: str) -> np.ndarray:
     return shingles(text.encode("utf-8", "surrogatepass").lower().split())
 
 
+def all_hashes(many: list[str]):
+    """:func:`text_hashes` of each text: the words of many are hashed in one array, in which no shingle spans two texts."""
+    for s, e in chunks(many, 500_000):
+        words = [t.encode("utf-8", "surrogatepass").lower().split() for t in many[s:e]]
+        n = sum(map(len, words))
+        both, at = _shingles(np.fromiter(map(xxhash.xxh64_intdigest, chain.from_iterable(words)), _U, n)), 0
+        for own in words:
+            yield both[at : at + max(0, len(own) - SHINGLE + 1)]
+            at += len(own)
+
+
 def long_keys(h: np.ndarray, places: np.ndarray, width: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
     """(keys, from): long stretches around windows' places, from all places before it in steps of a shingle. Whoever
     shares one is near enough, and whoever shares a passage of ``width`` unedited shares one."""
@@ -187,12 +215,13 @@ def _wanted(h, width, similarity, wanted):
     return keys[ok], at[ok], np.where(side == 1, at, at + least_run(width, similarity) // 2)[ok]
 
 
+@gives_back
 def _long_batches(batches, words, similarity):
     width = words - SHINGLE + 1
     for b in batches:
         docs, found = [], []
-        for d, t, wanted in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "keys"))):
-            h = text_hashes(t)
+        many, wants = (b.column(c).to_pylist() for c in ("text", "keys"))
+        for d, h, wanted in zip(b.column("doc_id").to_pylist(), all_hashes(many), wants):
             keys = np.unique(long_keys(h, np.unique(_wanted(h, width, similarity, wanted)[2]), width, similarity)[0])
             docs.append(np.full(len(keys), d)), found.append(keys.view(np.int64))
         if docs:
@@ -234,13 +263,14 @@ def contexts(h: np.ndarray, at: np.ndarray, reach: int) -> np.ndarray:
     return rows.view(np.uint8).reshape(len(at), size, 4)[:, :, :3].reshape(len(at), 3 * size)
 
 
+@gives_back
 def _near_batches(batches, words, similarity, with_context=True):
     width = words - SHINGLE + 1
     reach = least_run(width, similarity) // 2
     for b in batches:
         cols: list[list] = [[], [], [], [], [], []]
-        for d, t, wanted, often, shared, firsts in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "keys", "often", "long_keys", "firsts"))):
-            h = text_hashes(t)
+        hashes = all_hashes(b.column("text").to_pylist())
+        for h, d, wanted, often, shared, firsts in zip(hashes, *(b.column(c).to_pylist() for c in ("doc_id", "keys", "often", "long_keys", "firsts"))):
             keys, later, centers, at = near_rows(h, d, width, similarity, wanted if with_context else often, shared, firsts)
             large = _is_in(keys, _sorted(often))
             around = iter(contexts(h, at[large], reach) if with_context else ())
@@ -319,6 +349,8 @@ def near_pairs(docs: list[int], later: list[bool], centers: list[list[int]], con
     for cs in centers:
         for c in cs:
             sets.join(c, cs[0])
+    if context is None:
+        return _few_pairs(docs, later, [sets.root(c[0]) for c in centers], first_rows, second_rows)
     done = list(later)
     a, b = np.asarray(first_rows), np.asarray(second_rows)
     roots = np.array([sets.root(c[0]) for c in centers])
@@ -329,24 +361,20 @@ def near_pairs(docs: list[int], later: list[bool], centers: list[list[int]], con
         pair = np.triu(pair)
     # what is joined already, at places that have a pair, is left out before anything is counted
     pair &= (roots[a][:, None] != roots[b][None, :]) | np.where(later_one, ~covered[a][:, None], ~covered[b][None, :])
-    if context is None:
-        i, j = np.nonzero(pair)
-    else:
-        rows, cols = pair.any(axis=1), pair.any(axis=0)
-        a, b, pair = a[rows], b[cols], pair[rows][:, cols]
-        if not len(a):
-            return []
-        # two stretches of ``width`` at this similarity have so many equal shingles
-        common = _common(context, a, b)
-        i, j = np.nonzero(pair & (common >= np.ceil(2 * similarity * width / (1 + similarity) - 1e-9)))
-        by = np.argsort(-common[i, j], kind="stable")
-        i, j = i[by], j[by]
-    i, j = a[i], b[j]
+    rows, cols = pair.any(axis=1), pair.any(axis=0)
+    a, b, pair = a[rows], b[cols], pair[rows][:, cols]
+    if not len(a):
+        return []
+    # two stretches of ``width`` at this similarity have so many equal shingles
+    common = _common(context, a, b)
+    i, j = np.nonzero(pair & (common >= np.ceil(2 * similarity * width / (1 + similarity) - 1e-9)))
+    by = np.argsort(-common[i, j], kind="stable")
+    i, j = a[i[by]], b[j[by]]
     i, j = np.where(ids[i] > ids[j], i, j), np.where(ids[i] > ids[j], j, i)
-    if context is None:
-        return list(set(zip(ids[i].tolist(), ids[j].tolist())))
-    for s in range(0, len(i), 1024):
-        x, y = i[s : s + 1024], j[s : s + 1024]
+    s, step = 0, 64
+    while s < len(i):  # a few first: what they join needs no further comparison
+        x, y = i[s : s + step], j[s : s + step]
+        s, step = s + step, min(2 * step, 1024)
         now = np.array([sets.root(c[0]) for c in centers])
         ok = (now[x] != now[y]) | ~np.array(done, bool)[x]
         x, y = x[ok], y[ok]
@@ -365,31 +393,44 @@ def near_pairs(docs: list[int], later: list[bool], centers: list[list[int]], con
     return list(out)
 
 
+@gives_back
+def _few_pairs(docs: list[int], later: list[bool], roots: list[int], first_rows, second_rows) -> list[tuple[int, int]]:
+    """What :func:`near_pairs` compares, as it is: pairs that are not joined yet, or whose later document has none here."""
+    out = set()
+    for i in first_rows:
+        for j in second_rows:
+            k, m = (i, j) if docs[i] > docs[j] else (j, i)
+            if docs[k] != docs[m] and (roots[k] != roots[m] or not later[k]):
+                out.add((docs[k], docs[m]))
+    return list(out)
+
+
 def _pair_batches(batches, words, similarity):
     """Rows sorted by key, block and doc_id: the pairs of each group. Rows of ``side`` 1 meet those of side 2, rows of
     side 0 one another. At most one group is held, which is no larger than two blocks."""
     width, held = words - SHINGLE + 1, None
 
     def groups(t, starts):
-        key, doc, later, center = (t.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("key", "doc_id", "later", "center"))
+        later, center = (t.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("later", "center"))
         sizes = np.diff(starts)
         # nothing to compare: one center, and all but the first document are covered
-        rest = np.arange(len(key)) != np.repeat(starts[:-1], sizes)
+        rest = np.arange(len(later)) != np.repeat(starts[:-1], sizes)
         open_ = np.add.reduceat((~later.astype(bool) & rest).astype(np.int64), starts[:-1]) > 0
         open_ |= np.maximum.reduceat(center, starts[:-1]) != np.minimum.reduceat(center, starts[:-1])
-        found = []
-        for k in np.flatnonzero(open_).tolist():
-            part = t.slice(int(starts[k]), int(sizes[k]))
-            centers = [[c, *more] for c, more in zip(part.column("center").to_pylist(), part.column("centers").to_pylist())]
-            raw = part.column("context").to_pylist()
-            context = None
-            if raw[0] is not None:
+        found, at = [], 0
+        t = t.filter(pa.array(np.repeat(open_, sizes)))
+        docs, laters, firsts, mores, sides = (t.column(c).to_pylist() for c in ("doc_id", "later", "center", "centers", "side"))
+        few = t.column("context").is_null().to_pylist()
+        for n in sizes[open_].tolist():
+            here, at = slice(at, at + n), at + n
+            centers, context, side = [[c, *more] for c, more in zip(firsts[here], mores[here])], None, sides[here]
+            if not few[here.start]:
+                raw = t.column("context").slice(here.start, n).to_pylist()
                 x = np.zeros((len(raw), len(raw[0]) // 3, 4), np.uint8)
                 x[:, :, :3] = np.frombuffer(b"".join(raw), np.uint8).reshape(len(raw), -1, 3)
                 context = x.view("<u4")[:, :, 0]
-            side = part.column("side").to_numpy()
-            one, two = np.flatnonzero(side < 2), np.flatnonzero(side != 1)
-            found += near_pairs(doc[starts[k] : starts[k + 1]].tolist(), later[starts[k] : starts[k + 1]].tolist(), centers, context, one, two, width, similarity)
+            one, two = [k for k, x in enumerate(side) if x < 2], [k for k, x in enumerate(side) if x != 1]
+            found += near_pairs(docs[here], laters[here], centers, context, one, two, width, similarity)
         pairs = np.array(found, np.int64).reshape(-1, 2)
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["doc_id", "first_id"])
 
@@ -475,20 +516,23 @@ def _first_batches(batches):
 AHEAD = 32
 
 
-def _equal(a: np.ndarray, b: np.ndarray, i: int, j: int) -> int:
+def _equal(a: list[int], b: list[int], i: int, j: int) -> int:
     """Length of the equal stretch from a[i] and b[j] on."""
-    n, k, step = min(len(a) - i, len(b) - j), 0, 32
+    n, k, step = min(len(a) - i, len(b) - j), 0, 8
     while k < n:
-        same = a[i + k : min(i + k + step, i + n)] == b[j + k : min(j + k + step, j + n)]
-        first = int(same.argmin())
-        if not same[first]:
-            return k + first
-        k += len(same)
-        step *= 2
+        m = min(step, n - k)
+        if a[i + k : i + k + m] == b[j + k : j + k + m]:
+            k, step = k + m, 2 * step
+        elif m > 8:
+            step = 8
+        else:
+            while a[i + k] == b[j + k]:
+                k += 1
+            return k
     return n
 
 
-def _grow(a: np.ndarray, b: np.ndarray, i: int, j: int, similarity: float) -> tuple[np.ndarray, int]:
+def _grow(a: list[int], b: list[int], i: int, j: int, similarity: float) -> tuple[list[tuple[int, int, float]], int]:
     """Rows (end in a, end in b, score) behind an equal stretch that starts at (i, j), one after each further equal one;
     and the length of the first. An equal shingle scores 1 - similarity, one skipped on either side -similarity: a
     stretch is similar enough if its score is not negative."""
@@ -496,26 +540,44 @@ def _grow(a: np.ndarray, b: np.ndarray, i: int, j: int, similarity: float) -> tu
     i, j, score, best, out = i + n, j + n, 0.0, 0.0, []
     out.append((i, j, 0.0))
     while i < len(a) and j < len(b):
-        u, v = np.nonzero(a[i : i + AHEAD, None] == b[None, j : j + AHEAD])
-        if not len(u):
+        # the nearest equal shingles behind the difference, those with fewest skipped in a first
+        ahead = b[j + AHEAD - 1 : j - 1 if j else None : -1]
+        place = dict(zip(ahead, range(len(ahead) - 1, -1, -1)))  # the first place of each
+        if place.keys().isdisjoint(a[i : i + AHEAD]):
             break
-        k = int((u + v).argmin())
-        score -= similarity * int(u[k] + v[k])
+        skip_a, least = 0, 2 * AHEAD
+        for u, x in enumerate(a[i : i + AHEAD]):
+            if u >= least:
+                break
+            v = place.get(x)
+            if v is not None and u + v < least:
+                skip_a, least = u, u + v
+        score -= similarity * least
         if score < best - AHEAD:
             break
-        i, j = i + int(u[k]), j + int(v[k])
+        i, j = i + skip_a, j + least - skip_a
         n = _equal(a, b, i, j)
         i, j, score = i + n, j + n, score + (1 - similarity) * n
         best = max(best, score)
         out.append((i, j, score))
-    return np.array(out), first
+    return out, first
 
 
-def passage_at(a: np.ndarray, b: np.ndarray, i: int, j: int, width: int, similarity: float) -> tuple[int, int] | None:
+def passage_at(a, b, i: int, j: int, width: int, similarity: float) -> tuple[int, int] | None:
     """The longest stretch (from, to) of ``a`` around a[i] = b[j] that lies, with its counterpart, in stretches of
-    ``width`` or more shingles at this similarity or more: from its first to its last equal shingle."""
+    ``width`` or more shingles at this similarity or more: from its first to its last equal shingle. Arrays or lists."""
+    a, b = (x if isinstance(x, list) else x.tolist() for x in (a, b))
     right, n = _grow(a, b, i, j, similarity)
-    left, m = _grow(a[: i + 1][::-1], b[: j + 1][::-1], 0, 0, similarity)
+    left, m = _grow(a[i::-1], b[j::-1], 0, 0, similarity)
+    if len(left) * len(right) <= 24:  # arrays cost more than so few
+        least, found = -1, None
+        for x, y, s in left:
+            for end, end_b, t in right:
+                la, lb = end - (i + 1 - x), end_b - (j + 1 - y)
+                if la > least and s + t + (1 - similarity) * (n + m - 1) - similarity * (max(width - la, 0) + max(width - lb, 0)) >= -1e-9:
+                    least, found = la, (i + 1 - x, end)
+        return found
+    left, right = np.array(left), np.array(right)
     starts, starts_b = i + 1 - left[:, 0], j + 1 - left[:, 1]
     la, lb = right[None, :, 0] - starts[:, None], right[None, :, 1] - starts_b[:, None]
     short = np.maximum(width - la, 0) + np.maximum(width - lb, 0)
@@ -559,6 +621,7 @@ def match(a: np.ndarray, b: np.ndarray, width: int, similarity: float, places_a=
     out: list[tuple[int, int]] = []
     if not common.any():
         return out
+    list_a, list_b = a.tolist(), b.tolist()
     share: list[np.ndarray] = []  # made when a try fails: most pairs need none
     least = least_share(similarity)
     done, spread, reach = 0, width + AHEAD, least_run(width, similarity) // 2
@@ -583,10 +646,10 @@ def match(a: np.ndarray, b: np.ndarray, width: int, similarity: float, places_a=
         for j in places:
             if i < until.get(i - j, 0):
                 continue
-            found = passage_at(a, b, i, j, width, similarity)
+            found = passage_at(list_a, list_b, i, j, width, similarity)
             if found is not None:
                 break
-            until[i - j] = i + _equal(a, b, i, j)
+            until[i - j] = i + _equal(list_a, list_b, i, j)
         if found is None:
             tried.add((key, around(a, i)))
             share = share or [_share(a, b, width), _share(b, a, width)]
@@ -608,6 +671,7 @@ def word_places(text: str) -> tuple[np.ndarray, np.ndarray]:
     return edges[::2], edges[1::2]
 
 
+@gives_back
 def _verify_batches(batches, words, similarity):
     width = words - SHINGLE + 1
     held: dict[int, tuple] = {}  # texts of the batch at hand
@@ -648,15 +712,15 @@ def _listed(long: DataFrame) -> DataFrame:
 def _in_blocks(some: DataFrame, long: DataFrame, large: DataFrame, words: int, similarity: float) -> DataFrame:
     """Rows of windows' keys with ``block`` and ``side``. Of ``large`` keys, those with more rows than a block, only what is
     not joined to most by a long stretch is to be compared: in blocks, each against all blocks of the key."""
-    rows = some.join(_listed(long), "doc_id", "left").mapInArrow(partial(_near_batches, words=words, similarity=similarity), NEAR)
+    listed = stored_by(_listed(long), "listed", "doc_id")  # read twice, shuffled once
+    rows = some.join(listed, "doc_id", "left").mapInArrow(partial(_near_batches, words=words, similarity=similarity), NEAR)
     whole = F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("side")
     large = stored(large, "large")
     if large.isEmpty():
         return rows.select("*", *whole)
-    # documents without a large key, and their stretches, are not shuffled
+    # documents without a large key are left out
     light = some.join(F.broadcast(large.agg(F.collect_set("key").alias("large"))), F.arrays_overlap("often", "large"))
-    own = split_by_ids(long, light)[0]
-    light = light.select("doc_id", "text", "keys", F.array_intersect("often", "large").alias("often")).join(_listed(own), "doc_id", "left")
+    light = light.select("doc_id", "text", "keys", F.array_intersect("often", "large").alias("often")).join(listed, "doc_id", "left")
     light = light.mapInArrow(partial(_near_batches, words=words, similarity=similarity, with_context=False), NEAR).groupBy("key", "center")
     light = light.agg(F.count("*").alias("n"), F.sum(F.col("later").cast("long")).alias("covered"))
     each = light.groupBy("key").agg(F.max_by("center", F.struct("n", "center")).alias("main"), F.sum("n").alias("n"), F.max_by("covered", F.struct("n", "center")).alias("done"))
