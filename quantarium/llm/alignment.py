@@ -4,8 +4,8 @@ A (a byte-level BPE file of the tokenizers library) and B (a sentencepiece BPE m
 it. Byte offsets where a token of A and a token of B end cut the text in groups; the two tokens that end there are linked.
 How often a pair of ids is linked in the whole corpus is counted in dense vectors: the distinct pairs get a minimal perfect
 hash (levels of bits; a key's place is its rank among the set bits), each part of the corpus becomes a vector indexed by it,
-and vectors are summed up a tree. The pairs stand beside the counts, so that a look-up is verified. A second pass aligns
-the documents again and looks the counts up.
+and vectors are summed up a tree. The pairs stand beside the counts, so that a look-up is verified. The pass that aligns the
+documents writes their links; a second pass reads these and looks the counts up.
 
 Pairs are dealt by hash into ``SEGMENTS``, each with its own hash function and vector. A segment is bounded by the two
 vocabularies, not by the corpus (1.6 thousand million pairs at most, 6.3 million a segment).
@@ -148,7 +148,7 @@ class Aligner:
     (if wanted) and its links (pairs a << 16 | b). Words without white space are encoded many at a time and cut apart again;
     a piece of letters with marks behind it is made of its two parts."""
 
-    def __init__(self, path_a: str, path_b: str, counts: Counts | None = None, best: np.ndarray | None = None, with_text: bool = True):
+    def __init__(self, path_a: str, path_b: str, with_text: bool = True):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import sentencepiece
         from tokenizers import Tokenizer
@@ -176,15 +176,14 @@ class Aligner:
         self.a_first, self.b_first = (np.array([x[:1] == b" " for x in own]) for own in (self.a_bytes, self.b_bytes))
         self.names = [str(i) for i in range(max(len(self.a_bytes), len(self.b_bytes)))]
         self.space = [self.b.piece_to_id(_MARK)]
-        self.counts, self.best, self.with_text = counts, best, with_text
+        self.with_text = with_text
         self.clear()
 
     def clear(self):
         self.places: dict[str, int] = defaultdict(count().__next__)  # numbers of pieces in order of first sight
         self.n_a, self.n_b, self.n_links, self.ok = array("q"), array("q"), array("q"), array("b")
         self.groups: list[str] = []
-        self.links: list[np.ndarray] = []  # of each batch of new pieces, in order
-        self.n_best, self.count_sum = array("q"), array("q")
+        self.links: list[np.ndarray] = []  # of all pieces, in order: one array at most
 
     @staticmethod
     def pieces(text: str) -> list[str]:
@@ -301,13 +300,7 @@ class Aligner:
         parts = np.stack([x, y], 1)[np.stack([np.ones_like(has), has], 1)]  # word, marks, word, marks, ...
         sizes, starts = n[parts], (np.cumsum(n) - n)[parts]
         pairs = links[np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]
-        self.links.append(pairs)
-        if self.counts is not None:
-            found_n = self.counts.look_up(pairs)
-            ends = np.concatenate([[0], np.cumsum(n[x] + np.where(has, n[y], 0))])
-            total = lambda v: np.diff(np.concatenate([[0], np.cumsum(v)])[ends])
-            self.count_sum.extend(total(found_n).tolist())
-            self.n_best.extend(total((found_n > 0) & (found_n == self.best[pairs & 0xFFFF])).tolist())
+        self.links = [np.concatenate([*self.links, pairs])]
 
     def read(self, many: list[str]) -> list[np.ndarray]:
         """The numbers of each text's pieces; no number for a text that has no tokens."""
@@ -325,12 +318,21 @@ class Aligner:
         return [r if ok[r].all() else r[:0] for r in out]
 
 
-def aligner(path_a: str, path_b: str, token: int = 0, rows=None, best: bytes | None = None) -> Aligner:
-    """The worker's aligner; ``token`` names a slice of counts (0: none, and no text). One is kept a process."""
-    key = (path_a, path_b, token)
+def aligner(path_a: str, path_b: str, with_text: bool) -> Aligner:
+    """The worker's aligner. One is kept a process."""
+    key = (path_a, path_b, with_text)
     if key not in _HELD:
         _HELD.clear()
-        _HELD[key] = Aligner(path_a, path_b, None if rows is None else Counts(rows.value), None if best is None else np.frombuffer(best, np.int64), with_text=token > 0)
+        _HELD[key] = Aligner(path_a, path_b, with_text)
+    return _HELD[key]
+
+
+def counts_of(token: int, rows) -> Counts:
+    """The worker's counts of a slice, which ``token`` names. One slice is kept a process."""
+    key = ("counts", token)
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = Counts(rows.value)
     return _HELD[key]
 
 
@@ -346,36 +348,86 @@ def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
 _PAIRS = "segment int, task int, pairs binary, n binary"
 
 
+class _Tally:
+    """Numbers of the distinct links of a task's documents."""
+
+    def __init__(self, al: Aligner):
+        self.al, self.held, self.seen = al, [], np.zeros(0, np.int64)
+
+    def _flush(self) -> None:
+        pairs, sizes = np.concatenate([*self.al.links, np.zeros(0, np.int64)]), np.frombuffer(self.al.n_links, np.int64)
+        if len(pairs):
+            n = np.repeat(np.pad(self.seen, (0, len(sizes) - len(self.seen))), sizes)
+            self.held = [_summed([*self.held, (pairs[n > 0], n[n > 0])])]
+        self.seen = np.zeros(0, np.int64)
+
+    def make_room(self) -> None:
+        if len(self.al.places) > KEPT_PIECES:
+            self._flush()
+            self.al.clear()
+
+    def add(self, pieces: np.ndarray) -> None:
+        more = np.bincount(pieces, minlength=len(self.seen))
+        more[: len(self.seen)] += self.seen
+        self.seen = more
+
+    def columns(self) -> list:
+        """A row a segment: segment, task, pairs, n."""
+        self._flush()
+        pairs, n = self.held[0] if self.held else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        segments = segment_of(pairs)
+        order = np.argsort(segments, kind="stable")
+        kinds, starts = np.unique(segments[order], return_index=True)
+        rows = np.split(order, starts[1:]) if len(kinds) else []
+        cols = [kinds.astype(np.int32), [TaskContext.get().partitionId()] * len(kinds), [pairs[r].tobytes() for r in rows], [n[r].tobytes() for r in rows]]
+        return [pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.binary(), pa.binary()))]
+
+
 def _pair_batches(batches, path_a, path_b):
     """The links of a task's documents: a row a segment, of distinct pairs and their numbers."""
-    al, held, seen = aligner(path_a, path_b), [], np.zeros(0, np.int64)
+    tally = _Tally(al := aligner(path_a, path_b, False))
+    for b in batches:
+        all_texts = b.column("text").to_pylist()
+        for s, e in chunks(all_texts):
+            tally.make_room()
+            tally.add(np.concatenate([*al.read(all_texts[s:e]), np.zeros(0, np.int64)]))
+    yield pa.RecordBatch.from_arrays(tally.columns(), ["segment", "task", "pairs", "n"])
+
+
+_BOTH = f"doc_id long, n_a long, n_b long, n_links long, groups_sha256 string, groups string, links binary, {_PAIRS}"
+_BOTH_SCHEMA = pa.schema([(c.split()[0], {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary()}[c.split()[1]]) for c in _BOTH.split(", ")])
 
-    def flush():
-        pairs, sizes = np.concatenate([*al.links, np.zeros(0, np.int64)]), np.frombuffer(al.n_links, np.int64)
-        if len(pairs):
-            n = np.repeat(np.pad(seen, (0, len(sizes) - len(seen))), sizes)
-            held[:] = [_summed([*held, (pairs[n > 0], n[n > 0])])]
 
+def _aligned_batches(batches, path_a, path_b, with_groups):
+    """A row a document, with its links one after the other (pairs of four bytes); then, of a task's documents, those of
+    :func:`_pair_batches`. Either kind has nulls in the other's columns."""
+    tally = _Tally(al := aligner(path_a, path_b, True))
     for b in batches:
         all_texts = b.column("text").to_pylist()
         for s, e in chunks(all_texts):
-            if len(al.places) > KEPT_PIECES:
-                flush()
-                al.clear()
-                seen = np.zeros(0, np.int64)
-            rows = al.read(all_texts[s:e])
-            more = np.bincount(np.concatenate([*rows, np.zeros(0, np.int64)]), minlength=len(seen))
-            more[: len(seen)] += seen
-            seen = more
-    flush()
-    if held:
-        pairs, n = held[0]
-        segments = segment_of(pairs)
-        order = np.argsort(segments, kind="stable")
-        kinds, starts = np.unique(segments[order], return_index=True)
-        rows = np.split(order, starts[1:])
-        cols = [kinds.astype(np.int32), [TaskContext.get().partitionId()] * len(kinds), [pairs[r].tobytes() for r in rows], [n[r].tobytes() for r in rows]]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], ["segment", "task", "pairs", "n"])
+            tally.make_room()
+            found = al.read(all_texts[s:e])
+            pieces, ends = np.concatenate([*found, np.zeros(0, np.int64)]), np.cumsum([0, *map(len, found)])
+            tally.add(pieces)
+            n_a, n_b, sizes = (np.array(x, np.int64)[pieces] for x in (al.n_a, al.n_b, al.n_links))
+            total = lambda v: np.diff(np.concatenate([[0], np.cumsum(v)])[ends])
+            own = np.array(al.n_links, np.int64)
+            starts = (np.cumsum(own) - own)[pieces]
+            pairs = np.concatenate([*al.links, np.zeros(0, np.int64)])[np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())].astype("<u4")
+            n_links = total(sizes)
+            at = np.concatenate([[0], np.cumsum(4 * n_links)]).astype(np.int32)
+            links = pa.Array.from_buffers(pa.binary(), e - s, [None, pa.py_buffer(at), pa.py_buffer(pairs)])
+            groups = [";".join(map(al.groups.__getitem__, r.tolist())) for r in found]
+            digests = [hashlib.sha256(g.encode()).hexdigest() if g else "" for g in groups]
+            cols = [b.column("doc_id")[s:e], pa.array(total(n_a)), pa.array(total(n_b)), pa.array(n_links), pa.array(digests, pa.string()), pa.array(groups if with_groups else [None] * (e - s), pa.string()), links]
+            yield _in_schema(cols, 0)
+    yield _in_schema(tally.columns(), 7)
+
+
+def _in_schema(cols: list, first: int) -> pa.RecordBatch:
+    """Columns from the ``first`` on of the rows of :func:`_aligned_batches`, the others null."""
+    filled = dict(enumerate(cols, first))
+    return pa.RecordBatch.from_arrays([filled[k] if k in filled else pa.nulls(len(cols[0]), f.type) for k, f in enumerate(_BOTH_SCHEMA)], schema=_BOTH_SCHEMA)
 
 
 def _numbers(t: pa.Table, name: str) -> list[np.ndarray]:
@@ -420,7 +472,11 @@ def count_segments(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     """(segment, hash, keys, n) of the corpus: ``docs`` (text). Documents that have no tokens, null ones among them, count
     nothing; without links there is no segment."""
     whole = docs.select(F.coalesce("text", F.lit("")).alias("text"))
-    parts = stored(whole.mapInArrow(partial(_pair_batches, path_a=path_a, path_b=path_b), _PAIRS), "pairs")
+    return _counted(stored(whole.mapInArrow(partial(_pair_batches, path_a=path_a, path_b=path_b), _PAIRS), "pairs"))
+
+
+def _counted(parts: DataFrame) -> DataFrame:
+    """:func:`count_segments` of the tasks' rows of pairs and numbers."""
     tasks = parts.agg(F.count_distinct("task")).head()[0]
     branches = max(1, int(np.ceil(np.sqrt(tasks))))  # of the tree: so many vectors meet at its root, and as many at each branch
     parts = parts.withColumn("branch", F.pmod("task", F.lit(branches)))
@@ -451,25 +507,29 @@ def pair_counts(segments: DataFrame) -> DataFrame:
     return segments.select("keys", "n").mapInArrow(_exploded, "a int, b int, n long")
 
 
-def _document_batches(batches, path_a, path_b, token, rows, best, with_groups):
-    al = aligner(path_a, path_b, token, rows, best)
+#: Links whose counts are looked up at once.
+_LINKS = 1 << 20
+
+
+def _looked_up_batches(batches, token, rows, best):
+    """Rows of documents, with the counts of a slice added to their sums."""
+    counts, best = counts_of(token, rows), np.frombuffer(best, np.int64)
     for b in batches:
-        all_texts = b.column("text").to_pylist()
-        for s, e in chunks(all_texts):
-            if len(al.places) > KEPT_PIECES:
-                al.clear()
-            found = al.read(all_texts[s:e])
-            n_a, n_b, n_links, n_best, count_sum = (np.array(x, np.int64) for x in (al.n_a, al.n_b, al.n_links, al.n_best, al.count_sum))
-            groups = [";".join([al.groups[k] for k in r.tolist()]) for r in found]
-            cols = [[int(v[r].sum()) for r in found] for v in (n_a, n_b, n_links, n_links, n_best, count_sum)]
-            before = [x[s:e].to_numpy() for x in (b.column("n_best"), b.column("count_sum"))]
-            cols[4:] = [(np.array(c, np.int64) + x).tolist() for c, x in zip(cols[4:], before)]
-            out = [pa.array(c, pa.int64()) for c in cols] + [pa.array([hashlib.sha256(g.encode()).hexdigest() if g else "" for g in groups], pa.string())]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id")[s:e], b.column("text")[s:e], *out, pa.array(groups if with_groups else [None] * len(groups), pa.string())], _NAMES)
+        links = b.column("links")
+        at = np.frombuffer(links.buffers()[1], np.int32, len(links) + 1, 4 * links.offset) if len(links) else np.zeros(1, np.int32)
+        pairs = np.frombuffer(links.buffers()[2] or b"", np.uint8)[at[0] : at[-1]].view("<u4")
+        of_best, sums = np.zeros(len(pairs) + 1, np.int64), np.zeros(len(pairs) + 1, np.int64)
+        for s in range(0, len(pairs), _LINKS):
+            kinds, inverse = np.unique(pairs[s : s + _LINKS], return_inverse=True)
+            n = counts.look_up(kinds.astype(np.int64))
+            sums[s + 1 : s + 1 + len(inverse)] = n[inverse]
+            of_best[s + 1 : s + 1 + len(inverse)] = ((n > 0) & (n == best[kinds & 0xFFFF]))[inverse]
+        ends = (at - at[0]) // 4
+        new = {c: pa.array(b.column(c).to_numpy() + np.diff(np.cumsum(v)[ends])) for c, v in (("n_best", of_best), ("count_sum", sums))}
+        yield pa.RecordBatch.from_arrays([new.get(f.name, b.column(k)) for k, f in enumerate(b.schema)], b.schema.names)
 
 
-_OUT = "doc_id long, text string, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string, groups string"
-_NAMES = [c.split()[0] for c in _OUT.split(", ")]
+_ROWS = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string, groups string, links binary"
 
 
 def align(docs: DataFrame, path_a: str, path_b: str, with_groups: bool = True, slice_bytes: int = SLICE_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -486,7 +546,8 @@ def align(docs: DataFrame, path_a: str, path_b: str, with_groups: bool = True, s
     carry their sums along in a written table. So a worker holds one slice whatever the number of pairs.
     """
     base = texts(docs, id_col, text_col)
-    segments = count_segments(base, path_a, path_b)
+    both = stored(base.mapInArrow(partial(_aligned_batches, path_a=path_a, path_b=path_b, with_groups=with_groups), _BOTH), "aligned", compression="zstd")
+    segments = _counted(both.where("segment IS NOT NULL").select("segment", "task", "pairs", "n"))
     sizes = segments.select("segment", (F.length("hash") * 12 + F.length("keys") + F.length("n")).alias("size")).orderBy("segment").collect()  # SEGMENTS rows at most
     slices, room = [[]], slice_bytes
     for r in sizes:
@@ -498,12 +559,12 @@ def align(docs: DataFrame, path_a: str, path_b: str, with_groups: bool = True, s
     best = np.zeros(1 << 16, np.int64)
     for r in pair_counts(segments).groupBy("b").agg(F.max("n").alias("n")).collect():  # as many as B has ids
         best[r.b] = r.n
-    rows = base.select("doc_id", "text", F.lit(0).cast("long").alias("n_best"), F.lit(0).cast("long").alias("count_sum"))
+    none = F.lit(0).cast("long")
+    rows = both.where("segment IS NULL").select("doc_id", "n_a", "n_b", F.col("n_links").alias("n_groups"), "n_links", none.alias("n_best"), none.alias("count_sum"), "groups_sha256", "groups", "links")
     for k, own in enumerate(slices):
         if k:
-            rows = stored(rows, "slice")
+            rows = stored(rows, "slice", compression="zstd")
         got = [(r.segment, bytes(r["hash"]), bytes(r["keys"]), bytes(r["n"])) for r in segments.where(F.col("segment").isin(own)).collect()] if own else []
         shared = docs.sparkSession.sparkContext.broadcast(got)
-        step = partial(_document_batches, path_a=path_a, path_b=path_b, token=shared._jbroadcast.id() + 1, rows=shared, best=best.tobytes(), with_groups=with_groups)
-        rows = rows.select("doc_id", "text", "n_best", "count_sum").mapInArrow(step, _OUT)
-    return rows.drop("text")
+        rows = rows.mapInArrow(partial(_looked_up_batches, token=shared._jbroadcast.id(), rows=shared, best=best.tobytes()), _ROWS)
+    return rows.drop("links")

@@ -138,3 +138,14 @@ def test_words_of_a_list_are_aligned_as_alone():
     alone = one._alone(list(one.places))
     assert [list(x) for x in (one.n_a, one.n_b, one.ok, one.n_links, one.groups)] == [[r[0] for r in alone], [r[1] for r in alone], [r[2] for r in alone], [len(r[3]) for r in alone], [r[4] for r in alone]]
     assert np.concatenate(one.links).tolist() == [x for r in alone for x in r[3]]
+
+
+def test_texts_are_aligned_once(spark, brute, monkeypatch):
+    """The pass that looks the counts up reads written links: it takes no text, and what has no tokens has no links."""
+    asked, plain = [], al.stored
+    monkeypatch.setattr(al, "stored", lambda df, name, **kw: (asked.append((name, df.columns)), plain(df, name, **kw))[1])
+    docs = spark.createDataFrame(ODD, SCHEMA).repartition(3)
+    found = al.align(docs, A, B)
+    assert [c for n, c in asked if n == "aligned"] and all("text" not in c for _, c in asked)
+    assert rows_of(found) == brute(ODD)[0]
+    assert found.inputFiles() and all("aligned" in f for f in found.inputFiles())
