@@ -22,6 +22,8 @@ _BEFORE = tuple(f"{c} " for c in " \n\r\t\x0b\x0c\x1c\x1d\x1e\x1f")
 _WIDE_BEFORE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000] ")
 #: Letters, marks, and after a line's end perhaps letters and marks again: the pre-split pattern cuts between these.
 _SHAPE = re.compile(r"([^\W\d_]+)([^\w\s']*)(?:\n([^\W\d_]+)([^\w\s']*))?")
+#: The ASCII ones of these marks.
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^`{|}~"
 _HELD: dict[str, "PieceEncoder"] = {}
 
 
@@ -83,6 +85,11 @@ class PieceEncoder:
             if x.isalpha():
                 cores.append(x)
                 continue
+            core = x.rstrip(_MARKS)
+            if core.isalpha():
+                made.append((x, core, (x[len(core) :],)))
+                marks.add(x[len(core) :])
+                continue
             m = _SHAPE.fullmatch(x)
             if m:
                 core, end, more, last = m.groups()
@@ -150,12 +157,13 @@ class _Pieces(dict):
         super().__init__()
         self.new: list[str] = []
         self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)")
+        self.marked = not any(a.isalpha() for a in added)  # then a piece of letters alone holds none
 
     def unsafe(self, piece: str) -> bool:
         return piece[-1].isspace() or self.added.search(piece) is not None
 
     def __missing__(self, piece: str) -> bytearray | None:
-        if not piece or self.unsafe(piece):
+        if not piece or not (self.marked and piece.isalpha()) and self.unsafe(piece):
             self[piece] = None
             return None
         place = self[piece] = bytearray()
