@@ -27,6 +27,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -80,7 +81,7 @@ def _powers_of(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse; texts of about one length share them."""
-    return _powers_of(max(1 << 16, 1 << int(n).bit_length()))
+    return _powers_of(max(1 << 18, 1 << int(n).bit_length()))
 
 
 class Runs:
@@ -105,8 +106,15 @@ def _is_in(x: np.ndarray, of: np.ndarray) -> np.ndarray:
 
 
 def _sorted(keys) -> np.ndarray:
-    """Signed keys of a list, or of none, as sorted unsigned ones."""
-    return np.sort(np.array(keys or [], np.int64).view(_U))
+    """Signed keys of an array as sorted unsigned ones."""
+    return np.sort(keys.view(_U))
+
+
+def _lists(column: pa.ListArray) -> list[np.ndarray]:
+    """The values of each row of a column of lists of longs; none of a null."""
+    values = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64, copy=False)
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)).tolist()
+    return [values[s:e] for s, e in zip([0, *ends], ends)]
 
 
 def compact_windows(h: np.ndarray, width: int) -> list[tuple[int, int, int]]:
@@ -140,47 +148,104 @@ def least_run(width: int, similarity: float) -> int:
     return max(1, int(np.ceil(min(runs) - 1e-9)))
 
 
-def smallest_places(x: np.ndarray, run: int) -> np.ndarray:
-    """The compact windows' places: where the smallest of some stretch of ``run`` values is, the first of equal ones."""
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """The values of a small array, sorted, each once."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
+#: Stretches whose smallest value is looked for at once, where equal values make all of them count.
+_ROWS = 1 << 16
+
+
+def smallest_places(x: np.ndarray, run: int, own: np.ndarray | None = None) -> np.ndarray:
+    """The compact windows' places: where the smallest of some stretch of ``run`` values is, the first of equal ones.
+    ``own``: of texts that follow one another in ``x``, each value's text; no stretch spans two."""
     rows = np.lib.stride_tricks.sliding_window_view(x, run)
-    if len(np.unique(x)) < len(x):
-        c = rows.argmin(axis=1) + np.arange(len(rows))
-        return c[np.concatenate([[True], c[1:] != c[:-1]])]  # they never go back
     least, n = x, 1
     while 2 * n <= run:
         least, n = np.minimum(least[:-n], least[n:]), 2 * n
     least = np.minimum(least[: len(rows)], least[run - n : run - n + len(rows)])
-    at = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))  # of unequal values, each has one place
-    return rows[at].argmin(axis=1) + at
+    new = np.concatenate([[True], least[1:] != least[:-1]])
+    within = np.ones(len(rows), bool) if own is None else own[: len(rows)] == own[run - 1 :]
+    new[1:] |= ~within[:-1]
+    at = np.flatnonzero(new & within)
+    last = np.flatnonzero(within & np.concatenate([new[1:] | ~within[1:], [True]]))
+    c = rows[at].argmin(axis=1) + at
+    equal = np.flatnonzero(c < last)  # the place is left behind, and the smallest value stays: there is another one like it
+    if not len(equal):
+        return c
+    sizes = last[equal] - at[equal] + 1
+    every = np.repeat(at[equal] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
+    more = [rows[every[k : k + _ROWS]].argmin(axis=1) + every[k : k + _ROWS] for k in range(0, len(every), _ROWS)]
+    return _distinct(np.concatenate([c, *more]))
 
 
 def window_places(h: np.ndarray, width: int, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(keys, from, side): for each compact window wide enough for a run, and each side, a hash of the stretch and the
     side, and the stretch's first shingle."""
+    keys, at, side, _ = _window_places(h, np.array([len(h)]), width, similarity)
+    return keys, at, side
+
+
+def _window_places(h: np.ndarray, sizes: np.ndarray, width: int, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, from, side, text) as :func:`window_places` has them, of texts of these sizes that follow one another in
+    ``h``. Side 1 comes first; on each side, places ascend. ``from`` counts from the first shingle of all."""
     run = least_run(width, similarity)
     reach = run // 2
-    if len(h) < width:
-        return np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    c = smallest_places(mix(h, 100), run)
+    if (sizes < width).any():  # they hold no passage
+        long = np.repeat(sizes >= width, sizes)
+        if not long.any():
+            return np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        texts_left = np.flatnonzero(sizes >= width)
+        places = np.flatnonzero(long)
+        keys, at, side, text = _window_places(h[long], sizes[texts_left], width, similarity)
+        return keys, places[at], side, texts_left[text]
+    own = np.repeat(np.arange(len(sizes)), sizes)
+    ends = np.cumsum(sizes)
+    c = smallest_places(mix(h, 100), run, own if len(sizes) > 1 else None)
+    text = own[c]
     runs = Runs(h)
-    keys, places, sides = [], [], []
-    for side, at in ((1, c[c + reach < len(h)]), (2, c[c >= reach] - reach)):
+    keys, places, sides, of = [], [], [], []
+    for side, ok, back in ((1, c + reach < ends[text], 0), (2, c - reach >= (ends - sizes)[text], reach)):
+        at, which = c[ok] - back, text[ok]
         key = runs(at, reach + 1, 200 + side)
         # of one word said over and over, the ends will do, and places a passage apart
         next_to = np.concatenate([[False], (key[1:] == key[:-1]) & (at[1:] == at[:-1] + 1), [False]])[: len(key) + 1]
         begun = np.maximum.accumulate(np.where(next_to[:-1], 0, at)) if len(at) else at
         ok = ~(next_to[:-1] & next_to[1:]) | ((at - begun) % width == 0)
-        keys.append(key[ok]), places.append(at[ok]), sides.append(np.full(int(ok.sum()), side))
-    return np.concatenate(keys), np.concatenate(places), np.concatenate(sides)
+        keys.append(key[ok]), places.append(at[ok]), sides.append(np.full(int(ok.sum()), side)), of.append(which[ok])
+    return np.concatenate(keys), np.concatenate(places), np.concatenate(sides), np.concatenate(of)
+
+
+def all_places(many: list[str], width: int, similarity: float):
+    """(hashes, window places) of each text, as :func:`text_hashes` and :func:`window_places` have them: the windows of many
+    texts are looked for in one array."""
+    for hashes in _hash_chunks(many):
+        sizes = np.array([len(h) for h in hashes])
+        keys, at, side, text = _window_places(np.concatenate(hashes), sizes, width, similarity)
+        by = np.argsort(text, kind="stable")
+        bounds = np.searchsorted(text[by], np.arange(len(sizes) + 1)).tolist()
+        at -= (np.cumsum(sizes) - sizes)[text]
+        keys, at, side = keys[by], at[by], side[by]
+        for h, s, e in zip(hashes, bounds[:-1], bounds[1:]):
+            yield h, (keys[s:e], at[s:e], side[s:e])
 
 
 @gives_back
 def _window_batches(batches, words, similarity):
     width = words - SHINGLE + 1
     for b in batches:
-        for s, e in chunks(b.column("text").to_pylist()):
-            keys = [np.unique(window_places(h, width, similarity)[0]).view(np.int64) for h in all_hashes(b.column("text")[s:e].to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id")[s:e], pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "keys"])
+        at = 0
+        for hashes in _hash_chunks(b.column("text").to_pylist()):
+            keys, _, _, text = _window_places(np.concatenate(hashes), np.array([len(h) for h in hashes]), width, similarity)
+            by = np.lexsort((keys, text))
+            keys, text = keys[by], text[by]
+            ok = np.concatenate([[True], (keys[1:] != keys[:-1]) | (text[1:] != text[:-1])])[: len(keys)]
+            bounds = np.searchsorted(text[ok], np.arange(len(hashes) + 1)).astype(np.int32)
+            listed = pa.ListArray.from_arrays(pa.array(bounds), pa.array(keys[ok].view(np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id")[at : at + len(hashes)], listed], ["doc_id", "keys"])
+            at += len(hashes)
 
 
 def text_hashes(text: str) -> np.ndarray:
@@ -189,13 +254,19 @@ def text_hashes(text: str) -> np.ndarray:
 
 def all_hashes(many: list[str]):
     """:func:`text_hashes` of each text: the words of many are hashed in one array, in which no shingle spans two texts."""
+    return chain.from_iterable(_hash_chunks(many))
+
+
+def _hash_chunks(many: list[str]):
+    """The same in lists, of texts whose words were hashed at once."""
     for s, e in chunks(many, 500_000):
         words = [t.encode("utf-8", "surrogatepass").lower().split() for t in many[s:e]]
         n = sum(map(len, words))
-        both, at = _shingles(np.fromiter(map(xxhash.xxh64_intdigest, chain.from_iterable(words)), _U, n)), 0
+        both, at, out = _shingles(np.fromiter(map(xxhash.xxh64_intdigest, chain.from_iterable(words)), _U, n)), 0, []
         for own in words:
-            yield both[at : at + max(0, len(own) - SHINGLE + 1)]
+            out.append(both[at : at + max(0, len(own) - SHINGLE + 1)])
             at += len(own)
+        yield out
 
 
 def long_keys(h: np.ndarray, places: np.ndarray, width: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -208,9 +279,9 @@ def long_keys(h: np.ndarray, places: np.ndarray, width: int, similarity: float)
     return Runs(h)(at, long, 203), at
 
 
-def _wanted(h, width, similarity, wanted):
-    """The windows whose key is ``wanted``: their keys, stretches' starts and places."""
-    keys, at, side = window_places(h, width, similarity)
+def _wanted(places, width, similarity, wanted):
+    """Of a text's windows, those whose key is ``wanted``: their keys, stretches' starts and places."""
+    keys, at, side = places
     ok = _is_in(keys, _sorted(wanted))
     return keys[ok], at[ok], np.where(side == 1, at, at + least_run(width, similarity) // 2)[ok]
 
@@ -220,9 +291,9 @@ def _long_batches(batches, words, similarity):
     width = words - SHINGLE + 1
     for b in batches:
         docs, found = [], []
-        many, wants = (b.column(c).to_pylist() for c in ("text", "keys"))
-        for d, h, wanted in zip(b.column("doc_id").to_pylist(), all_hashes(many), wants):
-            keys = np.unique(long_keys(h, np.unique(_wanted(h, width, similarity, wanted)[2]), width, similarity)[0])
+        found_in = all_places(b.column("text").to_pylist(), width, similarity)
+        for d, (h, own), wanted in zip(b.column("doc_id").to_pylist(), found_in, _lists(b.column("keys"))):
+            keys = _distinct(long_keys(h, _distinct(_wanted(own, width, similarity, wanted)[2]), width, similarity)[0])
             docs.append(np.full(len(keys), d)), found.append(keys.view(np.int64))
         if docs:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(np.concatenate(docs))], ["key", "doc_id"])
@@ -237,21 +308,22 @@ BLOCK = 1024
 REACH = 48
 
 
-def near_rows(h: np.ndarray, d: int, width: int, similarity: float, wanted, shared, firsts) -> tuple[np.ndarray, np.ndarray, list[list[int]], np.ndarray]:
-    """(keys, later, centers, from) of the windows whose key is ``wanted``. centers: the ``firsts`` of the long stretches
-    around the place whose keys are ``shared``, or ``d`` itself; later: whether one of them is an earlier document."""
-    keys, at, places = _wanted(h, width, similarity, wanted)
+def near_rows(h: np.ndarray, own, d: int, width: int, similarity: float, wanted, shared, firsts) -> tuple[np.ndarray, list[tuple], np.ndarray]:
+    """(keys, centers, from) of the windows, of all ``own`` ones, whose key is ``wanted``. centers: the ``firsts`` of the long
+    stretches around the place whose keys are ``shared``, ascending, or ``d`` itself."""
+    keys, at, places = _wanted(own, width, similarity, wanted)
     long = width - SHINGLE
-    shared, firsts = np.array(shared or [], np.int64).view(_U), np.array(firsts or [], np.int64)
+    shared = shared.view(_U)
     by = np.argsort(shared)
     shared, firsts = shared[by], firsts[by]
-    keys_long, starts = long_keys(h, np.unique(places), width, similarity)
+    keys_long, starts = long_keys(h, _distinct(places), width, similarity)
     ok = _is_in(keys_long, shared)
     starts, index = np.unique(starts[ok], return_index=True)
     first = firsts[np.searchsorted(shared, keys_long[ok][index])]
     lo, hi = np.searchsorted(starts, places - long, "right"), np.searchsorted(starts, places, "right")
-    centers = [sorted(set(first[x:y].tolist())) or [d] for x, y in zip(lo.tolist(), hi.tolist())]
-    return keys, np.array([c[0] < d for c in centers], bool), centers, at
+    spots = list(zip(lo.tolist(), hi.tolist()))
+    made = {(x, y): tuple(sorted(set(first[x:y].tolist()))) or (d,) for x, y in set(spots)}
+    return keys, [made[spot] for spot in spots], at
 
 
 def contexts(h: np.ndarray, at: np.ndarray, reach: int) -> np.ndarray:
@@ -268,20 +340,24 @@ def _near_batches(batches, words, similarity, with_context=True):
     width = words - SHINGLE + 1
     reach = least_run(width, similarity) // 2
     for b in batches:
-        cols: list[list] = [[], [], [], [], [], []]
-        hashes = all_hashes(b.column("text").to_pylist())
-        for h, d, wanted, often, shared, firsts in zip(hashes, *(b.column(c).to_pylist() for c in ("doc_id", "keys", "often", "long_keys", "firsts"))):
-            keys, later, centers, at = near_rows(h, d, width, similarity, wanted if with_context else often, shared, firsts)
-            large = _is_in(keys, _sorted(often))
-            around = iter(contexts(h, at[large], reach) if with_context else ())
-            seen = set()
-            for key, is_later, c, is_large in zip(keys.view(np.int64).tolist(), later.tolist(), centers, large.tolist()):
-                x = next(around).tobytes() if is_large and with_context else None
-                if (key, is_later, tuple(c), x) not in seen:
-                    seen.add((key, is_later, tuple(c), x))
-                    for col, v in zip(cols, (key, d, is_later, c[0], c[1:], x)):
-                        col.append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.list_(pa.int64()), pa.binary()))], ["key", "doc_id", "later", "center", "centers", "context"])
+        cols: list[list] = [[], [], [], []]
+        sizes, docs = [], b.column("doc_id").to_pylist()
+        found = all_places(b.column("text").to_pylist(), width, similarity)
+        for (h, own), d, wanted, often, shared, firsts in zip(found, docs, *(_lists(b.column(c)) for c in ("keys", "often", "long_keys", "firsts"))):
+            keys, centers, at = near_rows(h, own, d, width, similarity, wanted if with_context else often, shared, firsts)
+            around = [None] * len(keys)
+            if with_context:
+                large = np.flatnonzero(_is_in(keys, _sorted(often)))
+                for k, x in zip(large.tolist(), contexts(h, at[large], reach)):
+                    around[k] = x.tobytes()
+            rows = dict.fromkeys(zip(keys.view(np.int64).tolist(), centers, around))  # each once
+            sizes.append(len(rows))
+            for col, v in zip(cols, ([r[0] for r in rows], [r[1][0] for r in rows], [r[1][1:] for r in rows], [r[2] for r in rows])):
+                col += v
+        doc = np.repeat(np.array(docs, np.int64), sizes)
+        center = np.array(cols[1], np.int64)
+        columns = pa.array(cols[0], pa.int64()), pa.array(doc), pa.array(center < doc), pa.array(center), pa.array(cols[2], pa.list_(pa.int64())), pa.array(cols[3], pa.binary())
+        yield pa.RecordBatch.from_arrays(list(columns), ["key", "doc_id", "later", "center", "centers", "context"])
 
 
 NEAR = "key long, doc_id long, later boolean, center long, centers array<long>, context binary"
@@ -318,12 +394,25 @@ def _common(context: np.ndarray, a: np.ndarray, b: np.ndarray, cells: int = 1 <<
     row, col = row[ok], number[inverse[ok]]
     by = np.argsort(col, kind="stable")
     row, col = row[by], col[by]
+    weight = np.ones(0, np.float32)
+    if len(col):  # shingles that the same rows hold, as those of an unedited stretch, are one with a weight
+        starts = np.flatnonzero(np.concatenate([[True], col[1:] != col[:-1]]))
+        held_by = np.add.reduceat(mix(np.arange(len(x), dtype=_U), 205)[row], starts)
+        _, first, count = np.unique(held_by, return_index=True, return_counts=True)
+        renamed = np.full(len(starts), -1)
+        renamed[first] = np.arange(len(first))
+        weight, col = count.astype(np.float32), np.repeat(renamed, np.diff(np.concatenate([starts, [len(col)]])))
+        row, col = row[col >= 0], col[col >= 0]
+        by = np.argsort(col, kind="stable")
+        row, col = row[by], col[by]
     out, step = np.zeros((len(a), len(b)), np.float32), max(1, cells // len(x))
     for s in range(0, int(col[-1]) + 1 if len(col) else 0, step):
         i, j = np.searchsorted(col, (s, s + step))
         held = np.zeros((len(x), min(step, int(col[-1]) + 1 - s)), np.float32)
         held[row[i:j], col[i:j] - s] = 1
-        out += held[a] @ held[b].T
+        out += (held[a] * weight[s : s + step]) @ held[b].T
+    i, j = np.nonzero(a[:, None] == b[None, :])
+    out[i, j] = (x[a[i]] != 0).sum(axis=1)  # with itself, shingles that no other row holds too
     return out
 
 
@@ -333,14 +422,56 @@ def _best_share(x: np.ndarray, y: np.ndarray, width: int) -> np.ndarray:
     for s in range(0, len(x), 256):
         p, q = x[s : s + 256], y[s : s + 256]
         same = (p[:, :, None] == q[:, None, :]) & (p != 0)[:, :, None]
-        both = []
-        for held in (same.any(axis=2), same.any(axis=1)):
-            sums = np.concatenate([np.zeros((len(p), 1), np.int64), np.cumsum(held, axis=1)], axis=1)
-            both.append(np.maximum((sums[:, width:] - sums[:, :-width]).max(axis=1) / width, 1e-9))
-        out.append(1 / (1 / both[0] + 1 / both[1] - 1))
+        out.append(_share_of(same.any(axis=2), same.any(axis=1), width))
     return np.concatenate(out) if out else np.zeros(0)
 
 
+def _share_of(held_x: np.ndarray, held_y: np.ndarray, width: int) -> np.ndarray:
+    both = []
+    for held in (held_x, held_y):
+        sums = np.concatenate([np.zeros((len(held), 1), np.int64), np.cumsum(held, axis=1)], axis=1)
+        both.append(np.maximum((sums[:, width:] - sums[:, :-width]).max(axis=1) / width, 1e-9))
+    return 1 / (1 / both[0] + 1 / both[1] - 1)
+
+
+class _Tries:
+    """What pairs of one group's differing contexts have come to: rows of equal ones get the same answers."""
+
+    #: Documented bound: cells of the table that says which context holds which shingle; without it, contexts are compared.
+    CELLS = 1 << 25
+
+    def __init__(self, context: np.ndarray, width: int, similarity: float):
+        self.context, self.width, self.similarity, n = context, width, similarity, len(context)
+        values, ids = np.unique(context, return_inverse=True)
+        self.ids, self.held = ids.reshape(context.shape), None
+        if n * len(values) <= self.CELLS:
+            self.held = np.zeros((n, len(values)), bool)
+            self.held[np.arange(n)[:, None], self.ids] = values[self.ids] != 0
+        self.alike: dict[int, bool] = {}
+        self.passages: dict[tuple[int, int], bool] = {}
+
+    def may(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Whether :func:`_best_share` of the contexts x and y is enough."""
+        codes, back = np.unique(x * len(self.context) + y, return_inverse=True)
+        listed = codes.tolist()
+        new = np.array([c for c in listed if c not in self.alike], np.int64)
+        if len(new):
+            p, q = new // len(self.context), new % len(self.context)
+            if self.held is None:
+                share = _best_share(self.context[p], self.context[q], self.width)
+            else:
+                share = _share_of(self.held[q[:, None], self.ids[p]], self.held[p[:, None], self.ids[q]], self.width)
+            self.alike.update(zip(new.tolist(), (share >= least_share(self.similarity)).tolist()))
+        return np.array([self.alike[c] for c in listed], bool)[back]
+
+    def have_passage(self, x: int, y: int) -> bool:
+        if (x, y) not in self.passages:
+            p, q = self.context[x], self.context[y]
+            begin = [int(np.flatnonzero(z)[0]) for z in (p, q)]
+            self.passages[x, y] = passage_at(p[p != 0], q[q != 0], REACH - begin[0], REACH - begin[1], self.width, self.similarity) is not None
+        return self.passages[x, y]
+
+
 def near_pairs(docs: list[int], later: list[bool], centers: list[list[int]], context: np.ndarray | None, first_rows, second_rows, width: int, similarity: float) -> list[tuple[int, int]]:
     """Pairs (doc_id, first_id), later document first, of a row of ``first_rows`` and one of ``second_rows``, such that
     their links join whatever shares a passage around the key, and every place that an earlier document's is near to has
@@ -351,49 +482,53 @@ def near_pairs(docs: list[int], later: list[bool], centers: list[list[int]], con
             sets.join(c, cs[0])
     if context is None:
         return _few_pairs(docs, later, [sets.root(c[0]) for c in centers], first_rows, second_rows)
-    done = list(later)
+    done = np.array(later, bool)
     a, b = np.asarray(first_rows), np.asarray(second_rows)
     roots = np.array([sets.root(c[0]) for c in centers])
-    ids, covered = np.array(docs), np.array(later, bool)
+    ids = np.array(docs)
     later_one = ids[a][:, None] > ids[b][None, :]
     pair = later_one | (ids[a][:, None] < ids[b][None, :])
     if len(a) == len(ids) and len(b) == len(ids):
         pair = np.triu(pair)
     # what is joined already, at places that have a pair, is left out before anything is counted
-    pair &= (roots[a][:, None] != roots[b][None, :]) | np.where(later_one, ~covered[a][:, None], ~covered[b][None, :])
+    pair &= (roots[a][:, None] != roots[b][None, :]) | np.where(later_one, ~done[a][:, None], ~done[b][None, :])
     rows, cols = pair.any(axis=1), pair.any(axis=0)
     a, b, pair = a[rows], b[cols], pair[rows][:, cols]
     if not len(a):
         return []
+    of, used = np.zeros(len(ids), np.int64), np.unique(np.concatenate([a, b]))
+    numbers: dict[bytes, int] = {}
+    of[used] = [numbers.setdefault(context[k].tobytes(), len(numbers)) for k in used.tolist()]
+    context = context[used[np.unique(of[used], return_index=True)[1]]]
     # two stretches of ``width`` at this similarity have so many equal shingles
-    common = _common(context, a, b)
+    (one, at_a), (two, at_b) = (np.unique(of[k], return_inverse=True) for k in (a, b))
+    common = _common(context, one, two)[at_a][:, at_b]
     i, j = np.nonzero(pair & (common >= np.ceil(2 * similarity * width / (1 + similarity) - 1e-9)))
     by = np.argsort(-common[i, j], kind="stable")
     i, j = a[i[by]], b[j[by]]
     i, j = np.where(ids[i] > ids[j], i, j), np.where(ids[i] > ids[j], j, i)
+    tries = _Tries(context, width, similarity) if len(i) else None
     s, step = 0, 64
-    while s < len(i):  # a few first: what they join needs no further comparison
+    while s < len(i):  # a few at a time: what they join needs no further comparison
         x, y = i[s : s + step], j[s : s + step]
-        s, step = s + step, min(2 * step, 1024)
-        now = np.array([sets.root(c[0]) for c in centers])
-        ok = (now[x] != now[y]) | ~np.array(done, bool)[x]
+        s += step
+        ok = (roots[x] != roots[y]) | ~done[x]
         x, y = x[ok], y[ok]
-        ok = _best_share(context[x], context[y], width) >= least_share(similarity)
+        step = min(2 * step, 4096) if len(x) < 64 else 256
+        ok = tries.may(of[x], of[y])
         for k, m in zip(x[ok].tolist(), y[ok].tolist()):
-            if done[k] and sets.root(centers[k][0]) == sets.root(centers[m][0]):
+            if done[k] and roots[k] == roots[m]:
                 continue
             if (docs[k], docs[m]) not in out:
-                p, q = context[k], context[m]
-                begin = [int(np.flatnonzero(z)[0]) for z in (p, q)]
-                if passage_at(p[p != 0], q[q != 0], REACH - begin[0], REACH - begin[1], width, similarity) is None:
+                if not tries.have_passage(int(of[k]), int(of[m])):
                     continue
                 out.add((docs[k], docs[m]))
             done[k] = True
-            sets.join(centers[k][0], centers[m][0])
+            if roots[k] != roots[m]:
+                roots[roots == roots[k]] = roots[m]
     return list(out)
 
 
-@gives_back
 def _few_pairs(docs: list[int], later: list[bool], roots: list[int], first_rows, second_rows) -> list[tuple[int, int]]:
     """What :func:`near_pairs` compares, as it is: pairs that are not joined yet, or whose later document has none here."""
     out = set()
@@ -405,6 +540,7 @@ def _few_pairs(docs: list[int], later: list[bool], roots: list[int], first_rows,
     return list(out)
 
 
+@gives_back
 def _pair_batches(batches, words, similarity):
     """Rows sorted by key, block and doc_id: the pairs of each group. Rows of ``side`` 1 meet those of side 2, rows of
     side 0 one another. At most one group is held, which is no larger than two blocks."""
@@ -674,19 +810,13 @@ def word_places(text: str) -> tuple[np.ndarray, np.ndarray]:
 @gives_back
 def _verify_batches(batches, words, similarity):
     width = words - SHINGLE + 1
-    held: dict[int, tuple] = {}  # texts of the batch at hand
-
-    def side(d, text):
-        if d not in held:
-            h = text_hashes(text)
-            held[d] = h, window_places(h, width, similarity)
-        return held[d]
-
     for b in batches:
         cols = ([], [], [])
-        held.clear()
-        for d, f, ta, tb in zip(*(b.column(c).to_pylist() for c in ("doc_id", "first_id", "text", "first_text"))):
-            (ha, at_a), (hb, at_b) = side(d, ta), side(f, tb)
+        docs, firsts, texts_a, texts_b = (b.column(c).to_pylist() for c in ("doc_id", "first_id", "text", "first_text"))
+        one = dict(zip(chain(docs, firsts), chain(texts_a, texts_b)))  # a text of the batch is looked at once
+        held = dict(zip(one, all_places(list(one.values()), width, similarity)))
+        for d, f, ta in zip(docs, firsts, texts_a):
+            (ha, at_a), (hb, at_b) = held[d], held[f]
             found = match(ha, hb, width, similarity, at_a, at_b)
             if found:
                 begins, ends = word_places(ta)
